@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphloom.llm import rules
+from graphloom.llm import bpe, rules, shards, token_cache
+from graphloom.llm.shared import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +20,28 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents")).drop("_k1", "_k2", "_lost")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = public_tokenizers.path("word_bpe_49k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = bpe.decode(bpe.encode(docs, vocab), vocab)
+    return decoded.select("doc_id", *bpe.digests(decoded))
+
+
+def op3_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = shards.shard(table(spark, sf_dir, "documents"), 24)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "v_slot")
+
+
+def op4_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = public_tokenizers.path("byte_bpe_50k.json")
+    counted = token_cache.count_tokens(table(spark, sf_dir, "documents"), vocab, shared_folder(spark, "token-counts"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": op1_bpe,
+    "op3_slot_shards": op3_slot_shards,
+    "op4_digest_cache": op4_digest_cache,
     "op7_line_frequency": op7_line_frequency,
 }
 
