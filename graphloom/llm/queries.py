@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, rules, shards, token_cache
-from graphloom.llm.shared import shared_folder
+from graphloom.llm import bpe, quality_trees, rules, secrets, shards, token_cache
+from graphloom.llm.shared import crc_fold, shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", *bpe.digests(decoded))
 
 
+def op2_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(crc_fold("doc_id", 5) != 0)
+    scored = quality_trees.score(docs, quality_trees.train(docs, labels))
+    return scored.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op3_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shards.shard(table(spark, sf_dir, "documents"), 24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "v_slot")
@@ -38,10 +45,17 @@ def op4_digest_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.find_secrets(docs, secrets.train(docs)).select("doc_id", *secrets.span_columns())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_boosted_quality": op2_boosted_quality,
     "op3_slot_shards": op3_slot_shards,
     "op4_digest_cache": op4_digest_cache,
+    "op5_markov_secrets": op5_markov_secrets,
     "op7_line_frequency": op7_line_frequency,
 }
 
