@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, quality_trees, rules, secrets, shards, token_cache
+from graphloom.llm import bpe, langid, quality_trees, rules, secrets, shards, token_cache
 from graphloom.llm.shared import crc_fold, shared_folder
 
 
@@ -50,6 +50,13 @@ def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(docs, secrets.train(docs)).select("doc_id", *secrets.span_columns())
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    machines = langid.train(docs.filter(crc_fold("doc_id", 3) != 1))
+    found = langid.predict(docs, machines)
+    return found.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_boosted_quality": op2_boosted_quality,
@@ -57,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_digest_cache": op4_digest_cache,
     "op5_markov_secrets": op5_markov_secrets,
     "op7_line_frequency": op7_line_frequency,
+    "op10_language": op10_language,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
