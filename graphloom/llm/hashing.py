@@ -36,15 +36,19 @@ class Batch:
     """Bytes, words and word hashes of a list of texts; A-Z are lower-cased unless ``keep_case``.
 
     ``begin`` and ``end`` are the byte places of the words, ``doc`` the text of each word, ``words``
-    the number of words of each text, and ``hash`` a 64-bit hash of each word's bytes.
+    the number of words of each text, and ``hash`` a 64-bit hash of each word's bytes. Bytes in ``gaps`` part words too.
     """
 
-    def __init__(self, texts: list[str], keep_case: bool = False):
+    def __init__(self, texts: list[str], keep_case: bool = False, gaps: bytes = b""):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         self.starts = np.append(0, np.cumsum(self.sizes + 1))[:-1]
         data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
         self.data = data if keep_case else _LOWER[data]
+        if gaps:
+            table = np.arange(256, dtype=np.uint8)
+            table[list(gaps)] = 32
+            self.data = table[self.data]
         gap = np.append(True, _BLANK[self.data]) if len(data) else np.array([True])
         gap = np.append(gap, True)
         edge = np.flatnonzero(gap[1:] != gap[:-1])

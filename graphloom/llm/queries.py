@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, jaccard, langid, quality_trees, rules, secrets, shards, token_cache
+from graphloom.llm import bpe, decontam, jaccard, langid, lattice, quality_trees, rules, secrets, shards, token_cache
 from graphloom.llm.shared import crc_fold, shared_folder
 
 
@@ -27,7 +27,7 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = public_tokenizers.path("word_bpe_49k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    decoded = bpe.decode(bpe.encode(docs, vocab), vocab)
+    decoded = bpe.encode(docs, vocab, decoded_col="decoded")
     return decoded.select("doc_id", *bpe.digests(decoded))
 
 
@@ -54,6 +54,15 @@ def op5_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(docs, secrets.train(docs)).select("doc_id", *secrets.span_columns())
 
 
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lattice.lattice_scores(docs, crc_fold("doc_id", 7) == 2, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op9_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     machines = langid.train(docs.filter(crc_fold("doc_id", 3) != 1))
@@ -69,6 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_markov_secrets": op5_markov_secrets,
     "op6_tiled_jaccard": op6_tiled_jaccard,
     "op7_line_frequency": op7_line_frequency,
+    "op8_lattice": op8_lattice,
+    "op9_alignment": op9_alignment,
     "op10_language": op10_language,
 }
 

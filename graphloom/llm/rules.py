@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.shared import BLANK, identity, whole
+from graphloom.llm.shared import BLANK, identity, stored, whole
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
@@ -135,10 +135,11 @@ def quality_rules(
 
 
 def apply_rules(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", **limits) -> DataFrame:
-    """The documents that pass, with lines above the limits taken out of their texts; same columns as ``docs``."""
-    verdict = quality_rules(docs, id_col, text_col, host_col, **limits).filter("kept").select(
-        F.col("_k1").alias("_v1"), F.col("_k2").alias("_v2"), F.col("_lost").alias("_lost")
-    ).dropDuplicates(["_v1", "_v2"])
+    """The documents that pass, with lines above the limits taken out of their texts; same columns as ``docs``.
+
+    The verdicts are stored first: a filter on them would otherwise be pushed below the figures and repeat their work."""
+    verdict = stored(quality_rules(docs, id_col, text_col, host_col, **limits).select("_k1", "_k2", "_lost", "kept"), "verdicts")
+    verdict = verdict.filter("kept").select(F.col("_k1").alias("_v1"), F.col("_k2").alias("_v2"), "_lost").dropDuplicates(["_v1", "_v2"])
     keyed = docs.select(F.struct("*").alias("_row"), *identity(id_col, host_col, text_col), F.col(text_col).alias("_t"))
     left = F.filter(F.split("_t", "\n"), lambda x: ~F.array_contains("_lost", F.xxhash64(_normal(x))))
     text = F.when(F.col("_lost").isNull(), F.col("_t")).otherwise(F.array_join(left, "\n"))
