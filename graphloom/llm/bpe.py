@@ -48,7 +48,7 @@ def byte_symbols() -> list[str]:
 class BpeCodec:
     """Encoder and decoder of one ``tokenizer.json``; made once per worker (see :func:`codec`)."""
 
-    def __init__(self, path: str, cache_words: int = 700_000):
+    def __init__(self, path: str, cache_words: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -245,7 +245,7 @@ def codec(path: str) -> BpeCodec:
     return _made[path]
 
 
-def text_slices(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def text_slices(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about so many characters each, so that a batch of long texts stays small."""
     start, total = 0, 0
     for i, t in enumerate(texts):
@@ -257,11 +257,14 @@ def text_slices(texts: list[str], chars: int = 4_000_000) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
-def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` without its text column and with the array of token ids of each whole text."""
-    others = [c for c in docs.columns if c not in (text_col, ids_col)]
+def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
+    """``docs`` without its text column and with the array of token ids of each whole text. With ``decoded_col``
+    the ids are decoded again in the same pass, for a round trip without a second Python worker."""
+    others = [c for c in docs.columns if c not in (text_col, ids_col, decoded_col)]
     given = docs.select(F.struct(*others).alias("_row") if others else F.lit(None).cast("int").alias("_row"), F.coalesce(text_col, F.lit("")).alias("_t"))
-    schema = T.StructType([given.schema["_row"], T.StructField("_ids", T.ArrayType(T.IntegerType()))])
+    fields = [given.schema["_row"], T.StructField("_ids", T.ArrayType(T.IntegerType()))]
+    names = ["_row", "_ids"] + ["_decoded"] * (decoded_col is not None)
+    fields += [T.StructField(n, T.StringType()) for n in names[2:]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocab_path)
@@ -270,10 +273,12 @@ def encode(docs: DataFrame, vocab_path: str, text_col: str = "text", ids_col: st
             for lo, hi in text_slices(texts):
                 ids, sizes = c.encode(texts[lo:hi])
                 rows = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), rows], names=["_row", "_ids"])
+                decoded = [pa.array(c.decode(ids, sizes), pa.string())] if decoded_col else []
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), rows, *decoded], names=names)
 
-    out = given.mapInArrow(run, schema)
-    return out.select(*[F.col("_row").getField(c).alias(c) for c in others], F.col("_ids").alias(ids_col))
+    out = given.mapInArrow(run, T.StructType(fields))
+    picked = [F.col("_row").getField(c).alias(c) for c in others] + [F.col("_ids").alias(ids_col)]
+    return out.select(*picked, *([F.col("_decoded").alias(decoded_col)] if decoded_col else []))
 
 
 def decode(encoded: DataFrame, vocab_path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
