@@ -7,8 +7,8 @@ A document's set holds the hashes of its distinct word shingles. Documents with
    which of them two or more sets hold. A set can only have a link if at least ``threshold`` of its
    shingles are shared, so all others leave here. Dealing uses shortened hashes: a clash can only keep
    a set that might have left.
-2. *Clusters.* Two linked sets share one of the lowest ``1 - threshold`` of their sorted shingles.
-   Sets that share such a shingle are joined to the least of them, and the components of these
+2. *Clusters.* Two linked sets share one of the first ``1 - threshold`` of their shingles, in any order that
+   holds for all sets; here frequent shingles come last. Sets that share such a shingle are joined to the least of them, and the components of these
    joins are the clusters: no link leaves a cluster.
 3. *Tiles.* A cluster is cut into bands of set size, and bands into blocks of bounded content; only
    blocks of equal or neighbouring bands meet, each pair of blocks as one tile. In a tile, bit counts of
@@ -98,7 +98,7 @@ def shared_counts(docs: DataFrame, n: int, text_col: str, buckets: int) -> DataF
                 hashes.append(flat[keep])
                 owners.append(np.repeat(ids[fresh], sizes[fresh]))
                 held += int(keep.sum())
-                if held > 1_500_000:
+                if held > 1_000_000:
                     yield flush()
                     held = 0
         if held:
@@ -124,10 +124,27 @@ def shared_counts(docs: DataFrame, n: int, text_col: str, buckets: int) -> DataF
             h, o = h[once], o[once]
             near = h[1:] == h[:-1]
             ids, c = np.unique(o[np.append(near, False) | np.append(False, near)], return_counts=True) if len(h) else (o, o)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(c.astype(np.int64))], names=["set_id", "c"])
+            if len(ids):
+                goal = (mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(goal, kind="stable")
+                ids, c, goal = ids[order], c[order].astype(np.int64), goal[order]
+                edge = np.flatnonzero(np.append(True, goal[1:] != goal[:-1]))
+                ends = zip(edge, np.append(edge[1:], len(goal)), strict=True)
+                rows = [(int(goal[x]), ids[x:y].tobytes(), c[x:y].tobytes()) for x, y in ends]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["goal", "ids", "c"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in batches:
+            ids += [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            c += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
+        found, of = np.unique(np.concatenate(ids), return_inverse=True)
+        total = np.bincount(of, np.concatenate(c), len(found)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], names=["set_id", "shared"])
 
     dealt = given.mapInArrow(deal, "bucket int, h binary, ids binary, of binary").repartition(buckets, "bucket")
-    return dealt.mapInArrow(count, "set_id bigint, c bigint").groupBy("set_id").agg(F.sum("c").alias("shared"))
+    counted = dealt.mapInArrow(count, "goal int, ids binary, c binary").repartition(buckets, "goal")
+    return counted.mapInArrow(add, "set_id bigint, shared bigint")
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -180,16 +197,38 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
     return out
 
 
-def links(sets: DataFrame, percent: int = 75, tile_shingles: int = 150_000) -> DataFrame:
+def prefix_keys(sets: DataFrame, percent: int, common: int = 500_000) -> DataFrame:
+    """(set_id, key) of the lowest ``1 - percent`` shingles of each set, in an order that puts frequent shingles last.
+
+    Any order is exact. The ``common`` most frequent shingles, of those in more than 8 sets, go to the executors to
+    make up the order, so that a passage of many documents does not tie them into one cluster."""
+    top = sets.select(F.explode("hashes").alias("key")).groupBy("key").count().filter("count > 8").orderBy(F.desc("count"), "key").limit(common)
+    last = sets.sparkSession.sparkContext.broadcast(np.sort(top.select("key").toArrow()["key"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = last.value
+        for b in batches:
+            sizes = b.column(1).to_numpy()
+            flat = b.column(2).flatten().to_numpy()
+            late = np.zeros(len(flat), bool)
+            if len(often):
+                late = often[np.minimum(np.searchsorted(often, flat), len(often) - 1)] == flat
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((late, owner))  # stable: hashes stay sorted within both halves
+            rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = rank < (sizes - -(-sizes * percent // 100) + 1)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[owner[keep]]), pa.array(flat[order][keep])], names=["set_id", "key"])
+
+    return sets.select("set_id", "n", "hashes").mapInArrow(run, "set_id bigint, key bigint")
+
+
+def links(sets: DataFrame, percent: int = 75, tile_shingles: int = 400_000, tile_sets: int = 4096) -> DataFrame:
     """Spanning links (a, b) between sets of a table (set_id, n, hashes: sorted array)."""
-    spark = sets.sparkSession
-    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    keys = sets.select("set_id", F.explode(F.slice("hashes", F.lit(1), prefix.cast("int"))).alias("key"))
-    stars = keys.select("set_id", F.min("set_id").over(W.partitionBy("key")).alias("least")).filter("set_id <> least").distinct()
+    stars = prefix_keys(sets, percent).select("set_id", F.min("set_id").over(W.partitionBy("key")).alias("least")).filter("set_id <> least").distinct()
     clusters = components(stars, "set_id", "least")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     placed = stored(sets.join(clusters, F.col("set_id") == F.col("node")).select("set_id", "n", "hashes", F.col("root").alias("cluster"), band.alias("band")), "placed")
-    blocks = placed.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / tile_shingles).cast("int").alias("blocks"))
+    blocks = placed.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.sum("n") / tile_shingles), F.ceil(F.count("n") / tile_sets)).cast("int").alias("blocks"))
     here = blocks.select(F.col("cluster").alias("_c"), F.col("band").alias("_b"), F.col("blocks").alias("_own"))
     above = blocks.select(F.col("cluster").alias("_c2"), (F.col("band") - 1).alias("_b2"), F.col("blocks").alias("_up"))
     below = blocks.select(F.col("cluster").alias("_c3"), (F.col("band") + 1).alias("_b3"), F.col("blocks").alias("_down"))
@@ -224,7 +263,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col:
     table = stored(set_table(docs, words, id_col, text_col), "sets")
     reps = table.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
     total, many = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 3_000_000 + 1)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 1_500_000 + 1)
     shared = shared_counts(docs, words, text_col, buckets)
     may = stored(reps.join(shared, "set_id").filter(100 * F.col("shared") >= percent * F.col("n")).select("set_id", "rep", "n"), "may")
     chosen = may.select(F.col("rep").alias("_rep")).distinct()
