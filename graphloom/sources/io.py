@@ -147,10 +147,9 @@ def sensor_feed(spark: SparkSession, cameras: int, seed: int = 42) -> DataFrame:
     return n.select(F.explode(of).alias("t")).unionByName(roads).select(F.lit("sensors").alias("g"), "t.*")
 
 
-def sampled_rows(df: DataFrame, n: int, order: str) -> DataFrame:
-    """At most ``n`` rows spread evenly over the order: those at floor(i * count / n)."""
-    total = df.agg(F.count(F.lit(1)).alias("_n"))
-    at = F.row_number().over(W.orderBy(order)) - 1
-    picked = df.withColumn("_at", at).join(F.broadcast(total))
-    step = F.floor(F.col("_at") * n / F.col("_n"))
-    return picked.filter((F.col("_n") <= n) | (F.floor(step * F.col("_n") / n) == F.col("_at")) | (F.floor((step + 1) * F.col("_n") / n) == F.col("_at"))).drop("_at", "_n")
+def sampled_rows(df: DataFrame, n: int, by: str, order: str) -> DataFrame:
+    """At most ``n`` rows of every ``by``, spread evenly over its order: those at floor(i * count / n)."""
+    group = W.partitionBy(by)
+    placed = df.withColumn("_at", F.row_number().over(group.orderBy(order)) - 1).withColumn("_n", F.count(F.lit(1)).over(group))
+    first = F.ceil(F.col("_at") * n / F.col("_n"))
+    return placed.filter((F.col("_n") <= n) | ((first < n) & (F.floor(first * F.col("_n") / n) == F.col("_at")))).drop("_at", "_n")
