@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.bpe import text_slices
 from graphloom.llm.hashing import Batch
@@ -163,7 +164,7 @@ def find_leaks(
         vocabulary = np.unique(words_of(texts).hash)
         shares = word_shares(docs, vocabulary, text_col) if len(vocabulary) else {}
         held = Items(ids, texts, shares, rarity, least_seeds)
-        item_type = pa.array(ids).type if ids else pa.int64()
+        item_type = to_arrow_type(items.schema["item_id"].dataType)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
