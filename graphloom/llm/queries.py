@@ -118,6 +118,6 @@ f AS (
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN gone USING (doc_id))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
-  AND NOT (removed_words > 0 AND (n_words - removed_words < 20 OR n_words - removed_words < 0.3 * n_words)) AS kept
+  AND NOT (removed_words > 0 AND (n_words - removed_words < 8 OR n_words - removed_words < 0.4 * n_words)) AS kept
 FROM f""",
 }

@@ -118,16 +118,16 @@ def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="s
 
 def quality_rules(
     docs: DataFrame, id_col="doc_id", text_col="text", host_col="source",
-    min_words=20, max_repeat_percent=30, max_docs=25, min_contexts=0.5, min_left=0.3,
+    min_words=20, max_repeat_percent=30, max_docs=25, min_contexts=0.5, min_left=0.4, min_left_words=8,
 ) -> DataFrame:
-    """Figures and verdict of each row: ``kept`` is false if a base rule fails, or if fewer than ``min_words``
+    """Figures and verdict of each row: ``kept`` is false if a base rule fails, or if fewer than ``min_left_words``
     words or less than the share ``min_left`` of them stay once lines above the limits are out."""
     figures = base_features(docs, id_col, text_col, host_col)
     gone = removed_lines(docs, id_col, text_col, host_col, max_docs, min_contexts)
     joined = figures.join(gone.select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"), "_lost", "removed_words"), (F.col("_k1") == F.col("_g1")) & (F.col("_k2") == F.col("_g2")), "left")
     removed = F.coalesce("removed_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    depleted = (removed > 0) & ((F.col("n_words") - removed < min_words) | (F.col("n_words") - removed < min_left * F.col("n_words")))
+    depleted = (removed > 0) & ((F.col("n_words") - removed < min_left_words) | (F.col("n_words") - removed < min_left * F.col("n_words")))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), removed.alias("removed_words"), (~failed & ~depleted).alias("kept"), "_k1", "_k2", "_lost",

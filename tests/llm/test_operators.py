@@ -181,7 +181,7 @@ def test_quality_rules(spark, docs, nothing):
     assert key(rows, "doc_id", *names) == sorted(((i, *brute_rules(t or "")) for i, t, _, _ in ROWS), key=repr)
     assert rules.quality_rules(nothing).count() == 0
     junk = "All rights reserved. See the terms of use."
-    made = [(i, long_unique(i, 30) + "\n" + junk + "\n" + long_unique(f"b{i}", 30), "h") for i in range(40)] + [(100 + i, junk + f"\nw{i} x{i}\n" + junk + "\n" + " ".join(f"t{i}{j}" for j in range(10)), "h") for i in range(3)] + [(200 + i, "one\n" + long_unique("copy", 40) + "\ntwo", "h") for i in range(60)]
+    made = [(i, long_unique(i, 30) + "\n" + junk + "\n" + long_unique(f"b{i}", 30), "h") for i in range(40)] + [(100 + i, junk + f"\nw{i} x{i}\n" + junk + "\n" + " ".join(f"t{i}{j}" for j in range(6)), "h") for i in range(3)] + [(200 + i, "one\n" + long_unique("copy", 40) + "\ntwo", "h") for i in range(60)]
     d = spark.createDataFrame(made, "doc_id int, text string, source string")
     kept = {r["doc_id"]: r["text"] for r in rules.apply_rules(d).collect()}
     assert set(kept) == {*range(40), *range(200, 260)}  # boilerplate pages are depleted; copies are left to the join
