@@ -187,3 +187,81 @@ def edge_order(items: Column, mode: str = "observed") -> Column:
 def envelope(source: Column, key: Column, text: Column) -> Column:
     """Untrusted text with its provenance around it."""
     return F.format_string('<untrusted source="%s" id="%s">\n%s\n</untrusted>', source, key.cast("string"), text)
+
+
+def without_exercises(text: Column, opens: str = r"(?i)^(#{1,6}\s*)?(exercises?|practice|problems?)\b") -> Column:
+    """Lines outside exercise blocks. State: content, or inside a section, a heading's block or a paragraph to skip.
+
+    A block opened by a heading ends at the next heading of its level or above; one opened by a plain line ends at a blank line."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("content").alias("mode"), F.lit(0).alias("level"))
+
+    def step(a: Column, line: Column) -> Column:
+        level = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
+        hit, blank = line.rlike(opens), F.trim(line) == ""
+        ends = F.when(a["mode"] == "skip_section", (level > 0) & (level <= a["level"])).when(a["mode"] == "skip_paragraph", blank).otherwise(F.lit(False))
+        free = (a["mode"] == "content") | ends
+        mode = F.when(free & hit & (level > 0), "skip_section").when(free & hit & ~blank, "skip_paragraph").when(free, "content").otherwise(a["mode"])
+        keep = (mode == "content") & ~((a["mode"] == "skip_paragraph") & blank)
+        return F.struct(
+            F.when(keep, F.array_append(a["out"], line)).otherwise(a["out"]).alias("out"), mode.alias("mode"), F.when((mode == "skip_section") & free, level).otherwise(a["level"]).alias("level")
+        )
+
+    return F.aggregate(F.split(text, "\n"), start, step, lambda a: a["out"])
+
+
+def distinct_folded(items: Column) -> Column:
+    """Items without those that equal an earlier one in lower case; order kept."""
+    low = F.transform(items, lambda x: F.lower(F.trim(x)))
+    return F.filter(items, lambda x, i: F.array_position(low, F.lower(F.trim(x))) == i + 1)
+
+
+def topic_list(text: Column) -> Column:
+    """Outline lines (``1.2 Title``) and headings that read as topics, the first of each name."""
+    found = F.regexp_extract_all(text, F.lit(r"(?m)^(?:#{1,6}\s+|\d+(?:\.\d+)+\s+)(?:\d+(?:\.\d+)*\s+)?(\S[^\n]*?)\s*$"), F.lit(1))
+    return distinct_folded(F.filter(found, topic_title))
+
+
+def objectives(text: Column, reach: int = 14) -> Column:
+    """Bullets within ``reach`` lines after "you will be able to", up to a heading or a blank line after the first bullet."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("left"), F.lit(0).alias("got"))
+
+    def step(a: Column, line: Column) -> Column:
+        cue = F.lower(line).contains("you will be able to")
+        bullet = F.regexp_extract(line, r"^\s*(?:[-*•]|\d+[.)])\s+(.*\S)\s*$", 1)
+        stop = line.rlike(r"^#{1,6}\s") | ((F.trim(line) == "") & (a["got"] > 0))
+        left = F.when(cue, F.lit(reach)).when(stop, F.lit(0)).otherwise(F.greatest(a["left"] - 1, F.lit(0)))
+        take = ~cue & ~stop & (a["left"] > 0) & (bullet != "")
+        return F.struct(F.when(take, F.array_append(a["out"], bullet)).otherwise(a["out"]).alias("out"), left.alias("left"), F.when(cue, 0).when(take, a["got"] + 1).otherwise(a["got"]).alias("got"))
+
+    return distinct_folded(F.aggregate(F.split(text, "\n"), start, step, lambda a: a["out"]))
+
+
+def defined_terms(text: Column) -> Column:
+    """Terms of "is called X", "X is defined as" and bold "**Term:**"; one to four words with a small letter, the first of each."""
+    all_of = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
+    word = r"[A-Za-z][A-Za-z-]*"
+    found = F.concat(
+        all_of(rf"(?:is|are) called (?:an? |the )?({word}(?: {word}){{0,3}})(?=[.,;:)]|$)"),
+        all_of(rf"(?:^|[.!?]\s+)(?:An? |The )?({word}(?: {word}){{0,3}}) (?:is|are) defined as"),
+        all_of(r"\*\*([^*:\n]{2,60}):?\*\*:?"),
+    )
+    clean = F.transform(found, clean_surface)
+    return distinct_folded(F.filter(clean, lambda t: F.size(F.split(t, r"\s+")).between(1, 4) & t.rlike("[a-z]")))
+
+
+def skeleton(topics: Column, aims: Column, terms: Column, cap: int = 80) -> Column:
+    """The first ``cap`` topics, objectives and terms as one text."""
+    part = lambda name, items: F.concat(F.lit(name + ":\n"), F.array_join(F.transform(F.slice(items, 1, cap), lambda x: F.concat(F.lit("- "), x)), "\n"))
+    return F.concat_ws("\n", part("Topics", topics), part("Objectives", aims), part("Terms", terms))
+
+
+def context_text(surface: Column, source: Column, starts: Column, n: int = 3, width: int = 60) -> Column:
+    """The surface and up to ``n`` windows of ``width`` characters around its places."""
+    window = lambda s: F.regexp_replace(F.substring(source, F.greatest(s - width, F.lit(0)) + 1, F.length(surface) + width + F.least(s, F.lit(width))), r"\s+", " ")
+    return F.concat_ws(" | ", surface, F.array_join(F.transform(F.slice(starts, 1, n), window), " ... "))
+
+
+def window_note(title: Column, abstract: Column, authors: Column) -> Column:
+    """A compact note: title, first three authors, first sentence of the abstract, cut to 300 characters."""
+    first = F.substring(F.split(abstract, r"\. ")[0], 1, 300)
+    return F.concat_ws(" — ", title, F.array_join(F.slice(authors, 1, 3), ", "), first)

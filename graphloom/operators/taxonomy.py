@@ -114,3 +114,20 @@ def family_names(families: DataFrame, labels: DataFrame) -> DataFrame:
     shared = tokens.groupBy("parent", "n", "w").agg(F.count_distinct("id").alias("k")).filter("k = n")
     best = shared.groupBy("parent").agg(F.max_by("w", F.struct(F.length("w"), "w")).alias("name"))
     return families.select("parent").join(best, "parent", "left").withColumn("name", F.coalesce("name", F.regexp_replace("parent", "^coined:", "")))
+
+
+def attach_stated(concepts: DataFrame, isa: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``concepts`` (concept) with their parent: a stated one from (child, parent), else their cluster's coined one from
+    (concept, coined); what has neither is an orphan."""
+    joined = concepts.join(isa.select(F.col("child").alias("concept"), F.col("parent").alias("_stated")), "concept", "left").join(clusters, "concept", "left")
+    parent = F.coalesce("_stated", "coined")
+    return joined.select("concept", parent.alias("parent"), (F.col("_stated").isNull() & F.col("coined").isNotNull()).alias("coined"), parent.isNull().alias("orphan"))
+
+
+def review_in_scope(placed: DataFrame, scope: DataFrame, grounded: DataFrame) -> DataFrame:
+    """Verdicts of placed concepts: ungrounded are rejected; orphans outside ``scope`` (concept) are parked for later; the rest is accepted."""
+    inside = scope.select("concept").distinct().withColumn("_in", F.lit(True))
+    ground = grounded.select("concept").distinct().withColumn("_g", F.lit(True))
+    joined = placed.join(inside, "concept", "left").join(ground, "concept", "left")
+    verdict = F.when(F.col("_g").isNull(), "reject").when(F.col("orphan") & F.col("_in").isNull(), "park").otherwise("accept")
+    return joined.withColumn("verdict", verdict).drop("_in", "_g")

@@ -51,3 +51,25 @@ def test_edge_order_and_markdown(spark):
     a = F.array(*map(F.lit, "abcde"))
     assert one(spark, X.edge_order(a), "") == list("abcde") and one(spark, X.edge_order(a, "edges"), "") == list("acedb")
     assert one(spark, X.clean_markdown(F.col("t")), "# Head\n**bold** [link](http://x) `code` <b>x</b>") == "Head\nbold link code  x"
+
+
+def test_exercise_blocks(spark):
+    t = "intro\nPractice: do this\nmore of it\n\nback\n## Exercises\n1. a\n### deeper\nb\n## Next\nend"
+    assert one(spark, X.without_exercises(F.col("t")), t) == ["intro", "back", "## Next", "end"]
+
+
+def test_skeleton_parts(spark):
+    t = "# Whole Numbers\n1.2 Use Place Value\n# whole numbers\nYou will be able to:\n- name parts\n- Name Parts\n- add them\n\n- not this\nA ray is called a half line. A point is defined as a place. **Line segment:** x"
+    assert one(spark, X.topic_list(F.col("t")), t) == ["Whole Numbers", "Use Place Value"]
+    assert one(spark, X.objectives(F.col("t")), t) == ["name parts", "add them"]
+    assert one(spark, X.defined_terms(F.col("t")), t) == ["half line", "point", "Line segment"]
+    s = one(spark, X.skeleton(X.topic_list(F.col("t")), X.objectives(F.col("t")), X.defined_terms(F.col("t"))), t)
+    assert s.startswith("Topics:\n- Whole Numbers\n- Use Place Value\nObjectives:\n- name parts")
+
+
+def test_windows(spark):
+    t = "x" * 100 + " fire " + "y" * 100
+    got = one(spark, X.context_text(F.lit("fire"), F.col("t"), F.array(F.lit(101))), t)
+    assert got == "fire | " + "x" * 59 + " fire " + "y" * 59
+    note = one(spark, X.window_note(F.lit("T"), F.col("t"), F.array(*map(F.lit, "abcd"))), "First part. Second.")
+    assert note == "T — a, b, c — First part"
