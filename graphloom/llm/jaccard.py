@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import text_slices
-from graphloom.llm.components import components
+from graphloom.operators.graph import components
 from graphloom.llm.hashing import Batch, mixed, per_text_sets
 from graphloom.llm.shared import stored
 
@@ -233,7 +233,10 @@ def links(sets: DataFrame, percent: int = 75, tile_shingles: int = 400_000, tile
     above = blocks.select(F.col("cluster").alias("_c2"), (F.col("band") - 1).alias("_b2"), F.col("blocks").alias("_up"))
     below = blocks.select(F.col("cluster").alias("_c3"), (F.col("band") + 1).alias("_b3"), F.col("blocks").alias("_down"))
     sized = here.join(above, (F.col("_c") == F.col("_c2")) & (F.col("_b") == F.col("_b2")), "left").join(below, (F.col("_c") == F.col("_c3")) & (F.col("_b") == F.col("_b3")), "left")
-    rows = placed.join(sized.select("_c", "_b", "_own", F.coalesce("_up", F.lit(0)).alias("_up"), F.coalesce("_down", F.lit(0)).alias("_down")), (F.col("cluster") == F.col("_c")) & (F.col("band") == F.col("_b")))
+    sized = stored(sized.select("_c", "_b", "_own", F.coalesce("_up", F.lit(0)).alias("_up"), F.coalesce("_down", F.lit(0)).alias("_down")), "blocks")
+    if sized.count() <= BROADCAST_ROWS:  # few rows: the sets of a large cluster then need not meet in one task
+        sized = F.broadcast(sized)
+    rows = placed.join(sized, (F.col("cluster") == F.col("_c")) & (F.col("band") == F.col("_b")))
     rows = rows.withColumn("_s", F.pmod(F.xxhash64("set_id"), F.col("_own")).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda low, s, t, side, step: F.struct(low.alias("low"), s.alias("s"), t.alias("t"), F.lit(side).alias("side"), F.lit(step).alias("step"))

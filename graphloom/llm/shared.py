@@ -35,13 +35,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpoint_ready(spark: SparkSession) -> None:
-    """Make sure that ``DataFrame.checkpoint`` has a reliable folder."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
-
-
 def whole(text: str | Column) -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
