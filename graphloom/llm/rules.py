@@ -4,10 +4,12 @@ Base rules look at one text: its words, symbols, repeated lines and repeated 8-w
 The corpus rule hashes normalised lines, counts the distinct documents of a host that hold each
 line, takes lines above the limits out, and rejects documents that have too little left.
 
-A line is above the limits when more than ``max_docs`` documents of its host hold it *and* it
-stands between different neighbours in at least ``min_contexts`` of them. The second limit tells
-boilerplate (the same line in unlike documents) from copies of one document, whose lines keep
-their neighbours; those are the near-duplicate operator's work.
+A line is above the limits when more than ``max_docs`` unlike documents of its host hold it. Documents with the same
+text are one. So are near copies: texts that, without the lines that many texts of the host hold, share one of the ``SKETCH``
+least hashes of their ``NEAR`` -word windows. The count is thus free of how often a document was copied or edited, and
+a line's neighbours play no part: every line of a repeated block counts by itself. The lines of copies stay; they are
+the near-duplicate operator's work. Copies whose edits stand alone in lines of fewer than ``NEAR`` words, all else being
+common, cannot be told from pages of one template and count as unlike.
 
 Defined results: a null text has no words and fails the base rules; an empty text likewise; rows
 that repeat id, host and text count as one document; a null host is a host of its own; columns other
@@ -23,6 +25,10 @@ from graphloom.llm.shared import BLANK, identity, stored, whole
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
+#: Near copies are told by this many least hashes of windows of so many words.
+SKETCH, NEAR = 4, 5
+#: Up to so many documents with common lines, their keys are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def _normal(line: Column) -> Column:
@@ -78,52 +84,59 @@ def base_features(docs: DataFrame, id_col="doc_id", text_col="text", host_col="s
 
 
 def document_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
-    """One row per document and distinct normalised line: its hash, its words in the document, its first neighbours."""
-    split = docs.select(
-        F.col(host_col).alias("_host"), *identity(id_col, host_col, text_col),
-        F.filter(F.transform(F.split(whole(text_col), "\n"), _normal), lambda x: x != "").alias("_l"),
-    )
-    item = F.transform(
-        "_l",
-        lambda x, i: F.struct(
-            F.xxhash64(x).alias("h"),
-            F.xxhash64(F.when(i > 0, F.get("_l", i - 1)), F.get("_l", i + 1)).alias("c"),
-            F.size(F.split(x, " ")).cast("long").alias("w"),
-        ),
-    )
+    """One row per document and distinct normalised line: its hash and its words in the document."""
+    split = docs.select(F.col(host_col).alias("_host"), *identity(id_col, host_col, text_col), _lines(text_col).alias("_l"))
+    item = F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("w")))
     rows = split.select("_host", "_k1", "_k2", F.posexplode(item).alias("_pos", "_x"))
-    return rows.groupBy("_host", "_k1", "_k2", F.col("_x.h").alias("_line")).agg(
-        F.min_by("_x.c", "_pos").alias("_context"),
-        (F.max("_x.w") * F.size(F.collect_set("_pos"))).alias("_words"),
-    )
+    return rows.groupBy("_host", "_k1", "_k2", F.col("_x.h").alias("_line")).agg((F.max("_x.w") * F.size(F.collect_set("_pos"))).alias("_words"))
 
 
-def frequent_lines(lines: DataFrame, max_docs: int, min_contexts: float) -> DataFrame:
-    """Lines above the limits, by host. Counted in two steps, so that a common line is spread by its contexts first."""
-    return (
-        lines.groupBy("_host", "_line", "_context").agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("_host", "_line").agg(F.sum("_n").alias("_docs"), F.count(F.lit(1)).alias("_contexts"))
-        .filter((F.col("_docs") > max_docs) & (F.col("_contexts") >= min_contexts * F.col("_docs")))
-        .select(F.col("_host").alias("_host2"), F.col("_line").alias("_line2"))
-    )
+def _lines(text_col: str) -> Column:
+    return F.filter(F.transform(F.split(whole(text_col), "\n"), _normal), lambda x: x != "")
+
+
+def common_lines(docs: DataFrame, max_docs: int, text_col="text", host_col="source") -> DataFrame:
+    """Lines that more than ``max_docs`` different texts of a host hold. Distinct pairs come first, so a hot line is spread by its texts."""
+    pairs = docs.select(F.col(host_col).alias("_host2"), F.xxhash64(host_col, text_col).alias("_k2"), F.explode(F.array_distinct(F.transform(_lines(text_col), lambda x: F.xxhash64(x)))).alias("_line2")).distinct()
+    return pairs.groupBy("_host2", "_line2").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_docs).drop("_n")
+
+
+def alike(docs: DataFrame, common: DataFrame, text_col="text", host_col="source") -> DataFrame:
+    """(_k2, _like) of each text in ``common`` (_host, _k2, _line): texts that are near copies outside those lines have one ``_like``."""
+    by_text = common.groupBy(F.col("_k2").alias("_t2")).agg(F.collect_set("_line").alias("_common"))
+    if common.select("_k2").distinct().count() <= BROADCAST_ROWS:
+        by_text = F.broadcast(by_text)
+    held = docs.select(F.col(host_col).alias("_host"), F.xxhash64(host_col, text_col).alias("_k2"), F.col(text_col).alias("_t"))
+    held = held.join(by_text, F.col("_k2") == F.col("_t2")).dropDuplicates(["_k2"])
+    words = held.select("_host", "_k2", F.split(F.array_join(F.filter(_lines("_t"), lambda x: ~F.array_contains("_common", F.xxhash64(x))), " "), " ").alias("_w"))
+    windows = F.when(
+        F.size("_w") >= NEAR, F.transform(F.sequence(F.lit(1), F.size("_w") - (NEAR - 1)), lambda i: F.xxhash64(F.slice("_w", i, NEAR)))
+    ).otherwise(F.array(F.xxhash64("_w")))
+    marks = stored(words.select("_host", "_k2", F.explode(F.slice(F.array_sort(F.array_distinct(windows)), 1, SKETCH)).alias("_mark")), "marks")
+    many = marks.groupBy(F.col("_host").alias("_h2"), F.col("_mark").alias("_m2")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    best = marks.join(many, F.col("_host").eqNullSafe(F.col("_h2")) & (F.col("_mark") == F.col("_m2")), "left").groupBy("_k2")
+    return best.agg(F.max_by("_mark", F.struct(F.coalesce("_n", F.lit(1)), "_mark")).alias("_like"))
 
 
-def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", max_docs=25, min_contexts=0.5) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", max_docs=25) -> DataFrame:
     """Per document that loses lines: ``_k1 _k2``, the hashes of those lines and the words that go with them."""
-    lines = document_lines(docs, id_col, text_col, host_col)
-    hot = frequent_lines(lines, max_docs, min_contexts)
-    lost = lines.join(hot, F.col("_host").eqNullSafe(F.col("_host2")) & (F.col("_line") == F.col("_line2")))
-    return lost.groupBy("_k1", "_k2").agg(F.collect_set("_line").alias("_lost"), F.sum("_words").alias("removed_words"))
+    lines, often = document_lines(docs, id_col, text_col, host_col), common_lines(docs, max_docs, text_col, host_col)
+    same = lambda h, x: F.col("_host").eqNullSafe(F.col(h)) & (F.col("_line") == F.col(x))
+    common = stored(lines.join(often, same("_host2", "_line2")).select("_host", "_k1", "_k2", "_line", "_words"), "common-lines")
+    groups = alike(docs, common.select("_host", "_k2", "_line"), text_col, host_col).withColumnRenamed("_k2", "_g2")
+    unlike = common.select("_host", "_line", "_k2").distinct().join(groups, F.col("_k2") == F.col("_g2")).select("_host", "_line", "_like").distinct()
+    hot = unlike.groupBy(F.col("_host").alias("_host3"), F.col("_line").alias("_line3")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_docs)
+    return common.join(hot, same("_host3", "_line3")).groupBy("_k1", "_k2").agg(F.collect_set("_line").alias("_lost"), F.sum("_words").alias("removed_words"))
 
 
 def quality_rules(
     docs: DataFrame, id_col="doc_id", text_col="text", host_col="source",
-    min_words=20, max_repeat_percent=30, max_docs=25, min_contexts=0.5, min_left=0.4, min_left_words=8,
+    min_words=20, max_repeat_percent=30, max_docs=25, min_left=0.4, min_left_words=8,
 ) -> DataFrame:
     """Figures and verdict of each row: ``kept`` is false if a base rule fails, or if fewer than ``min_left_words``
     words or less than the share ``min_left`` of them stay once lines above the limits are out."""
     figures = base_features(docs, id_col, text_col, host_col)
-    gone = removed_lines(docs, id_col, text_col, host_col, max_docs, min_contexts)
+    gone = removed_lines(docs, id_col, text_col, host_col, max_docs)
     joined = figures.join(gone.select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"), "_lost", "removed_words"), (F.col("_k1") == F.col("_g1")) & (F.col("_k2") == F.col("_g2")), "left")
     removed = F.coalesce("removed_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))

@@ -190,6 +190,25 @@ def test_quality_rules(spark, docs, nothing):
     assert same.columns == docs.columns and same.collect() == docs.filter("doc_id = 1").collect()
 
 
+def test_lines_of_a_block_and_beside_copies(spark):
+    block = [f"block line {i} of the licence text" for i in range(5)]
+    line = "One line that many pages hold."
+    rows = [(i, "\n".join([long_unique(f"u{i}", 40), *block, long_unique(f"v{i}", 40)]), "h") for i in range(30)]
+    rows += [(100 + i, "\n".join([*block, *block, long_unique(f"p{i}", 12)]), "h") for i in range(3)]  # made mostly of the block
+    rows += [(200 + i, "\n".join([long_unique(f"w{i}", 40), line, long_unique(f"x{i}", 40)]), "c") for i in range(30)]
+    rows += [(300 + i, "\n".join([long_unique("cp", 40), line, long_unique("cq", 40)]), "c") for i in range(90)]  # copies of one page
+    near = long_unique("near", 40).split()
+    for i in range(60):
+        edited = [*near[:i % 40], f"edit{i}", *near[i % 40 + 1 :]]
+        rows.append((500 + i, "\n".join([long_unique("na", 20), " ".join(edited), long_unique("nb", 20)]), "n"))
+    d = spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(4)
+    kept = {r["doc_id"]: r["text"] for r in rules.apply_rules(d).collect()}
+    assert set(kept) == {i for i, *_ in rows} - {100, 101, 102}
+    assert all(kept[i] == long_unique(f"u{i}", 40) + "\n" + long_unique(f"v{i}", 40) for i in range(30))
+    assert all(line not in kept[i] for i in [*range(200, 230), *range(300, 390)])
+    assert all(kept[i] == t for i, t, h in rows if h == "n")  # near copies keep their lines
+
+
 def brute_classes(rows, percent=75):
     sets = {}
     for i, t in rows:
