@@ -1,12 +1,13 @@
 """Graph operators over edge tables (src, dst): closure, depth, ancestors, cycles, hops, paths, neighbourhoods.
 
-Iterations are joins of a frontier, bounded in rounds and cut by reliable checkpoints.
+Iterations are joins of a frontier that end when it is empty, cut by reliable checkpoints.
 """
 
 from __future__ import annotations
 
 import tempfile
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,13 +25,13 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
 
-def closure(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, hops): all reachable pairs but a node with itself, with the least number of steps; safe on cycles."""
     use_checkpoints(edges.sparkSession)
     step = edges.select("src", "dst").filter("src <> dst").distinct()
     known = step.withColumn("hops", F.lit(1)).checkpoint()
     fresh = known
-    for hop in range(2, max_rounds + 1):
+    for hop in count(2):
         reached = fresh.select("src", F.col("dst").alias("mid")).join(step.withColumnRenamed("src", "mid"), "mid").select("src", "dst").filter("src <> dst").distinct()
         fresh = reached.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if fresh.isEmpty():
@@ -39,16 +40,18 @@ def closure(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     return known
 
 
-def longest_depth(edges: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(node, depth): longest distance to a root of an acyclic child-parent table."""
+def longest_depth(edges: DataFrame) -> DataFrame:
+    """(node, depth): longest distance to a root of an acyclic child-parent table; an error if a cycle hangs under a root."""
     use_checkpoints(edges.sparkSession)
     nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select("dst").withColumnRenamed("dst", "node")).distinct()
     level = nodes.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(0)).checkpoint()
-    found = level
-    for depth in range(1, max_depth + 1):
+    found, many = level, nodes.count()
+    for depth in count(1):
         level = edges.join(level.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct().withColumn("depth", F.lit(depth)).checkpoint()
         if level.isEmpty():
             break
+        if depth >= many:
+            raise ValueError("the longest depth is not defined: the table has a cycle")
         found = found.unionByName(level)
     return found.groupBy("node").agg(F.max("depth").alias("depth"))
 
@@ -64,17 +67,53 @@ def lowest_common_ancestors(sets: DataFrame, edges: DataFrame) -> DataFrame:
     return deep.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select("set_id", F.col("anc").alias("lca"))
 
 
-def cyclic_edges(edges: DataFrame) -> DataFrame:
-    """Edges on a cycle: the target reaches the source."""
-    back = closure(edges).select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return edges.join(back, ["src", "dst"], "left_semi").unionByName(edges.filter("src = dst"))
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` without those that lead from a node nothing leads to, or to a node that leads nowhere, until none is left of these."""
+    many = edges.count()
+    while True:
+        into, out = edges.select(F.col("dst").alias("src")).distinct(), edges.select(F.col("src").alias("dst")).distinct()
+        edges = edges.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst").checkpoint()
+        many, before = edges.count(), many
+        if many == before:
+            return edges
 
 
-def break_cycles(edges: DataFrame, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def cyclic_edges(edges: DataFrame) -> DataFrame:
+    """Edges on a cycle: both ends reach each other.
+
+    Each node takes the greatest node that reaches it; those of its followers that lead back to that one are a knot.
+    Knots are taken out and the rest goes on, so no pairs of nodes are built and a cycle may have any length."""
+    use_checkpoints(edges.sparkSession)
+    left, found = _trimmed(edges.select("src", "dst").filter("src <> dst").distinct().checkpoint()), []
+    while not left.isEmpty():
+        label = left.select(F.col("src").alias("node"), F.col("src").alias("label")).distinct().checkpoint()
+        while True:
+            given = left.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("label").alias("_m"))
+            label = label.join(given, "node").select("node", F.greatest("label", "_m").alias("label"), (F.col("_m") > F.col("label")).alias("_moved")).checkpoint()
+            if label.filter("_moved").isEmpty():
+                break
+            label = label.drop("_moved")
+        side = lambda end: label.select(F.col("node").alias(end), F.col("label").alias("_" + end))  # noqa: E731, B023
+        left = left.join(side("src"), "src").join(side("dst"), "dst").filter("_src = _dst").select("src", "dst").checkpoint()
+        core = frontier = label.filter("node = label").select("node").checkpoint()
+        while True:
+            above = left.join(frontier.withColumnRenamed("node", "dst"), "dst").select(F.col("src").alias("node")).distinct()
+            frontier = above.join(core, "node", "left_anti").checkpoint()
+            if frontier.isEmpty():
+                break
+            core = core.unionByName(frontier)
+        start, end = core.withColumnRenamed("node", "src"), core.withColumnRenamed("node", "dst")
+        found.append(left.join(start, "src", "left_semi").join(end, "dst", "left_semi").select("src", "dst").checkpoint())
+        left = _trimmed(left.join(start, "src", "left_anti").join(end, "dst", "left_anti").select("src", "dst"))
+    loops = edges.filter("src = dst")
+    return edges.join(reduce(DataFrame.unionByName, found), ["src", "dst"], "left_semi").select(*edges.columns).unionByName(loops) if found else loops
+
+
+def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(kept, removed) of a table (src, dst, confidence): of every knot of cycles the weakest edge goes, until none is left."""
     use_checkpoints(edges.sparkSession)
     kept, gone = edges.filter("src <> dst"), [edges.filter("src = dst")]
-    for _ in range(max_rounds):
+    while True:
         bad = cyclic_edges(kept).checkpoint()
         if bad.isEmpty():
             break
@@ -122,13 +161,13 @@ def hops_from(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, max_rounds: int = 30) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """One row (path) along directed edges, the least by its nodes among the shortest; no row if there is none."""
     spark = edges.sparkSession
     use_checkpoints(spark)
     frontier = spark.createDataFrame([(source, [source])], "node string, path array<string>")
     seen = frontier.select("node").checkpoint()
-    for _ in range(max_rounds):
+    while True:
         hit = frontier.filter(F.col("node") == target)
         if not hit.isEmpty():
             return hit.select("path")

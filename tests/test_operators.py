@@ -1,5 +1,6 @@
 """Operators against small fixtures whose results are known."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from graphloom.operators import context, graph, mapping, retrieval, surface, taxonomy, traces, verify, vocabulary
@@ -185,3 +186,21 @@ def test_sources(spark, tmp_path):
 
     vectors, fresh = io.embed_with_cache(texts, spark.createDataFrame([], "key string, vec array<float>"), embed, "m", 2)
     assert fresh.count() == 2 and {tuple(r["vec"]) for r in vectors.collect()} == {(1.0, 2.0)}
+
+
+def test_graph_rounds_have_no_cap(spark):
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(55)], "src string, dst string")
+    assert graph.closure(chain).count() == 55 * 56 // 2
+    assert {r["node"]: r["depth"] for r in graph.longest_depth(chain).collect()} == {f"n{i:03}": 55 - i for i in range(56)}
+    assert len(graph.shortest_path(chain, "n000", "n040").first()["path"]) == 41
+    with pytest.raises(ValueError):
+        graph.longest_depth(spark.createDataFrame([(1, 2), (2, 1), (1, 3)], "src int, dst int"))
+
+
+def test_edges_of_long_and_knotted_cycles(spark):
+    ring = {(i, (i + 1) % 60) for i in range(60)}  # the way back has 59 steps
+    knot = {(100, 101), (101, 102), (102, 100), (101, 103), (103, 101), (110, 111), (111, 110)}
+    other = {(5, 100), (102, 110), (111, 200), (200, 201), (201, 202), (300, 301), (301, 0)}
+    edges = spark.createDataFrame(sorted(ring | knot | other) + [(7, 7)], "src int, dst int")
+    got = graph.cyclic_edges(edges).collect()
+    assert len(got) == len(ring | knot) + 1 and {tuple(r) for r in got} == ring | knot | {(7, 7)}
