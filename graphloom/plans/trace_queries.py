@@ -121,8 +121,7 @@ def triage_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     feedback = lb.select(F.col("doc_id").alias("item"), F.when(F.col("quality") == 1, "kept").otherwise("deleted").alias("verdict"), F.col("doc_id").alias("ts"))
     topic = F.concat_ws("-", "source", "lang", (F.col("doc_id") % 3).cast("string"))
     items = d.select(F.col("doc_id").alias("id"), F.array(topic).alias("topics"))
-    tracked = [r[0] for r in items.select(F.explode("topics")).distinct().orderBy("col").limit(1000).collect()]
-    return feed.tune_triage(feedback, items, tracked)
+    return feed.tune_triage(feedback, items, items.select(F.explode("topics").alias("topic")))
 
 
 def taxonomy_review(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,12 +54,14 @@ def run_feed(stream: DataFrame, edges: DataFrame, tracked: list[str], floor_year
     return triggered(stream, tracked, floor_year).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def tune_triage(feedback: DataFrame, items: DataFrame, tracked: list[str]) -> DataFrame:
-    """Tracked topics of which an item was deleted and none kept; the last verdict on an item counts."""
+def tune_triage(feedback: DataFrame, items: DataFrame, tracked: DataFrame | list[str]) -> DataFrame:
+    """Tracked topics, a table (topic) or a short list, of which an item was deleted and none kept; the last verdict on an item counts."""
     last = feedback.groupBy("item").agg(F.max_by("verdict", "ts").alias("verdict"))
     topics = last.join(items.select(F.col("id").alias("item"), F.explode("topics").alias("topic")), "item")
     judged = topics.groupBy("topic").agg(F.bool_or(F.col("verdict") == "kept").alias("kept"), F.bool_or(F.col("verdict") == "deleted").alias("deleted"))
-    return judged.filter(~F.col("kept") & F.col("deleted") & F.col("topic").isin(tracked)).select("topic")
+    if isinstance(tracked, list):
+        tracked = feedback.sparkSession.createDataFrame([(t,) for t in tracked], "topic string")
+    return judged.filter(~F.col("kept") & F.col("deleted")).select("topic").join(tracked.select("topic"), "topic", "left_semi")
 
 
 def first_in_window(stream: DataFrame, key: str, ts: str = "ts", late: str = "5 minutes") -> DataFrame:

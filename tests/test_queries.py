@@ -41,3 +41,9 @@ def test_query(spark, duck, name):
 def test_every_query_has_its_sql():
     for p in (graph_queries, text_queries, trace_queries):
         assert set(p.QUERIES) == set(p.ORACLE_SQL)
+
+
+def test_triage_reports_every_topic(spark, tmp_path):
+    spark.range(1100).selectExpr("id AS doc_id", "'en' AS lang", "concat('s', id) AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(1100).selectExpr("id AS doc_id", "0 AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    assert trace_queries.triage_topics(spark, str(tmp_path)).count() == 1100
