@@ -5,7 +5,6 @@ Iterations are joins of a frontier that end when it is empty, cut by reliable ch
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 from itertools import count
 
@@ -13,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.storage import shared_base
+
 
 def use_checkpoints(spark: SparkSession) -> None:
-    """Set the session's shared checkpoint folder; a folder of this machine only where none is named."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(base or "file://" + tempfile.mkdtemp(prefix="graphloom-"))
+    """Set the session's shared checkpoint folder."""
+    shared_base(spark)
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -125,6 +124,20 @@ def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept, reduce(DataFrame.unionByName, gone)
 
 
+def least_by(pairs: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """``pairs`` with ``name``, the least ``value`` among the rows of the same ``key``.
+
+    Minima come from partial aggregation, so no task holds a hot key's rows; they are keyed by a struct, so that the join
+    deals both sides anew and adaptive execution can split a hot key."""
+    least = pairs.groupBy(F.struct(F.col(key).alias("k")).alias("_key")).agg(F.min(value).alias(name))
+    return pairs.join(least, F.col(key) == F.col("_key.k")).drop("_key")
+
+
+def stars(table: DataFrame, key: str, node: str) -> DataFrame:
+    """(a, b): every ``node`` joined to the least one that shares its ``key``."""
+    return least_by(table.select(key, node), key, node, "_least").filter(F.col(node) != F.col("_least")).select(F.col(node).alias("a"), F.col("_least").alias("b")).distinct()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node with an edge to another; root is the least node of its component.
 
@@ -132,7 +145,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     use_checkpoints(edges.sparkSession)
 
     def least(pairs: DataFrame) -> DataFrame:
-        return pairs.withColumn("m", F.least("u", F.min("v").over(W.partitionBy("u"))))
+        return least_by(pairs, "u", "v", "m").withColumn("m", F.least("u", "m"))
 
     now, mark = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").distinct().checkpoint(), None
     while True:
