@@ -16,9 +16,12 @@ A document's set holds the hashes of its distinct word shingles. Documents with
    connected are compared by intersecting their sorted arrays. A tile returns a spanning forest.
 4. *Components* of all forests give the class of each document.
 
+Rows are known by a hash of id and text throughout, so rows without an id link like all others.
+
 Defined results: null texts, empty texts and texts without words have an empty set and are linked with
 nothing; texts of fewer words than a shingle have one shingle of the whole sequence; repeated rows
-are in one class; ties never matter, as every pair at the threshold is a link; other columns are ignored.
+are in one class; the component of a class is its least id that is not null, and null only if no row of it has an id;
+ties never matter, as every pair at the threshold is a link; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.bpe import text_slices
-from graphloom.operators.graph import components
 from graphloom.llm.hashing import Batch, mixed, per_text_sets
-from graphloom.llm.shared import stored
+from graphloom.llm.shared import Scratch, stored
+from graphloom.operators.graph import components, stars
 
 BITS = 1024
+#: Characters and shingles that a task works on at once: a few arrays of some MB.
+SLICE_CHARS, SLICE_SHINGLES = 300_000, 250_000
 #: Rows up to which a table of ids is broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -52,19 +56,25 @@ def text_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return flat, sizes, mixed(sums ^ mixed(sizes.astype(np.uint64))).view(np.int64)
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows of different id or text apart; never null."""
+    return F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit("")))
+
+
 def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, set_id, n_shingles) of every row."""
-    given = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("_t"))
+    """(doc_id, row, set_id, n_shingles) of every row."""
+    given = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for lo, hi in text_slices(texts):
+            texts = b.column(2).to_pylist()
+            for lo, hi in text_slices(texts, SLICE_CHARS):
                 _, sizes, ids = text_sets(texts[lo:hi], n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(ids), pa.array(sizes)], names=["doc_id", "set_id", "n_shingles"])
+                here = [b.column(i).slice(lo, hi - lo) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*here, pa.array(ids), pa.array(sizes)], names=["doc_id", "row", "set_id", "n_shingles"])
 
-    return given.mapInArrow(run, f"doc_id {kind}, set_id bigint, n_shingles bigint")
+    return given.mapInArrow(run, f"doc_id {kind}, row bigint, set_id bigint, n_shingles bigint")
 
 
 def shared_counts(docs: DataFrame, n: int, text_col: str, buckets: int) -> DataFrame:
@@ -91,14 +101,14 @@ def shared_counts(docs: DataFrame, n: int, text_col: str, buckets: int) -> DataF
 
         for b in batches:
             texts = b.column(0).to_pylist()
-            for lo, hi in text_slices(texts):
+            for lo, hi in text_slices(texts, SLICE_CHARS):
                 flat, sizes, ids = text_sets(texts[lo:hi], n)
                 fresh = np.array([s > 0 and i not in seen and not seen.add(i) for i, s in zip(ids.tolist(), sizes.tolist(), strict=True)], bool)
                 keep = np.repeat(fresh, sizes)
                 hashes.append(flat[keep])
                 owners.append(np.repeat(ids[fresh], sizes[fresh]))
                 held += int(keep.sum())
-                if held > 1_000_000:
+                if held > SLICE_SHINGLES:
                     yield flush()
                     held = 0
         if held:
@@ -208,32 +218,34 @@ def prefix_keys(sets: DataFrame, percent: int, common: int = 500_000) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = last.value
         for b in batches:
-            sizes = b.column(1).to_numpy()
-            flat = b.column(2).flatten().to_numpy()
-            late = np.zeros(len(flat), bool)
-            if len(often):
-                late = often[np.minimum(np.searchsorted(often, flat), len(often) - 1)] == flat
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            order = np.lexsort((late, owner))  # stable: hashes stay sorted within both halves
-            rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = rank < (sizes - -(-sizes * percent // 100) + 1)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[owner[keep]]), pa.array(flat[order][keep])], names=["set_id", "key"])
+            n = b.column(1).to_numpy()
+            part = (np.cumsum(n) - n) // SLICE_SHINGLES
+            for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
+                sizes = n[rows]
+                flat = b.column(2).slice(rows[0], len(rows)).flatten().to_numpy() if len(rows) else np.zeros(0, np.int64)
+                late = np.zeros(len(flat), bool)
+                if len(often):
+                    late = often[np.minimum(np.searchsorted(often, flat), len(often) - 1)] == flat
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                order = np.lexsort((late, owner))  # stable: hashes stay sorted within both halves
+                rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                keep = rank < (sizes - -(-sizes * percent // 100) + 1)[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[rows][owner[keep]]), pa.array(flat[order][keep])], names=["set_id", "key"])
 
     return sets.select("set_id", "n", "hashes").mapInArrow(run, "set_id bigint, key bigint")
 
 
-def links(sets: DataFrame, percent: int = 75, tile_shingles: int = 400_000, tile_sets: int = 4096) -> DataFrame:
+def links(sets: DataFrame, scratch: Scratch, percent: int = 75, tile_shingles: int = 400_000, tile_sets: int = 4096) -> DataFrame:
     """Spanning links (a, b) between sets of a table (set_id, n, hashes: sorted array)."""
-    stars = prefix_keys(sets, percent).select("set_id", F.min("set_id").over(W.partitionBy("key")).alias("least")).filter("set_id <> least").distinct()
-    clusters = components(stars, "set_id", "least")
+    clusters = components(stars(scratch.stored(prefix_keys(sets, percent), "prefixes"), "key", "set_id"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    placed = stored(sets.join(clusters, F.col("set_id") == F.col("node")).select("set_id", "n", "hashes", F.col("root").alias("cluster"), band.alias("band")), "placed")
+    placed = scratch.stored(sets.join(clusters, F.col("set_id") == F.col("node")).select("set_id", "n", "hashes", F.col("root").alias("cluster"), band.alias("band")), "placed")
     blocks = placed.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.sum("n") / tile_shingles), F.ceil(F.count("n") / tile_sets)).cast("int").alias("blocks"))
     here = blocks.select(F.col("cluster").alias("_c"), F.col("band").alias("_b"), F.col("blocks").alias("_own"))
     above = blocks.select(F.col("cluster").alias("_c2"), (F.col("band") - 1).alias("_b2"), F.col("blocks").alias("_up"))
     below = blocks.select(F.col("cluster").alias("_c3"), (F.col("band") + 1).alias("_b3"), F.col("blocks").alias("_down"))
     sized = here.join(above, (F.col("_c") == F.col("_c2")) & (F.col("_b") == F.col("_b2")), "left").join(below, (F.col("_c") == F.col("_c3")) & (F.col("_b") == F.col("_b3")), "left")
-    sized = stored(sized.select("_c", "_b", "_own", F.coalesce("_up", F.lit(0)).alias("_up"), F.coalesce("_down", F.lit(0)).alias("_down")), "blocks")
+    sized = scratch.stored(sized.select("_c", "_b", "_own", F.coalesce("_up", F.lit(0)).alias("_up"), F.coalesce("_down", F.lit(0)).alias("_down")), "blocks")
     if sized.count() <= BROADCAST_ROWS:  # few rows: the sets of a large cluster then need not meet in one task
         sized = F.broadcast(sized)
     rows = placed.join(sized, (F.col("cluster") == F.col("_c")) & (F.col("band") == F.col("_b")))
@@ -260,39 +272,66 @@ def links(sets: DataFrame, percent: int = 75, tile_shingles: int = 400_000, tile
     return given.groupBy("cluster", "low", "step", "s", "t").applyInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles and component_id, the least doc_id that links reach from the document."""
+def classes(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, set_id, n_shingles) of every row, and (set_id, root, component_id) of every set with shingles.
+
+    Two sets are in one class if their ``root`` is the same; ``component_id`` is the least id of the class."""
     spark = docs.sparkSession
     table = stored(set_table(docs, words, id_col, text_col), "sets")
-    reps = table.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    total, many = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).first()
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 1_500_000 + 1)
-    shared = shared_counts(docs, words, text_col, buckets)
-    may = stored(reps.join(shared, "set_id").filter(100 * F.col("shared") >= percent * F.col("n")).select("set_id", "rep", "n"), "may")
-    chosen = may.select(F.col("rep").alias("_rep")).distinct()
-    if may.count() <= BROADCAST_ROWS:
-        chosen = F.broadcast(chosen)
-    left = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(chosen, F.col("_id") == F.col("_rep"), "left_semi")
+    with Scratch(spark, "jaccard") as scratch:
+        reps = table.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n_shingles").alias("n"))
+        total = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 1_500_000 + 1)
+        shared = shared_counts(docs, words, text_col, buckets)
+        may = scratch.stored(reps.join(shared, "set_id").filter(100 * F.col("shared") >= percent * F.col("n")).select("set_id", "row"), "may")
+        chosen = may.select("row").distinct()
+        if may.count() <= BROADCAST_ROWS:
+            chosen = F.broadcast(chosen)
+        left = docs.select(row_key(id_col, text_col).alias("row"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen, "row", "left_semi")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = b.column(0).to_pylist()
+                for lo, hi in text_slices(texts, SLICE_CHARS):
+                    flat, sizes, ids = text_sets(texts[lo:hi], words)
+                    rows = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), rows], names=["set_id", "n", "hashes"])
+
+        sets = left.select("text").mapInArrow(run, "set_id bigint, n bigint, hashes array<bigint>").filter("n > 0")
+        sets = scratch.stored(sets.join(may.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "may-sets")
+        found = scratch.stored(components(links(sets, scratch, percent)), "found")
+        first = reps.join(found, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
+        # only a class of several sets needs the least of their ids; those are few, and met in a counted broadcast where they can be
+        many = scratch.stored(first.join(found.select("root").distinct(), "root", "left_semi").groupBy("root").agg(F.min("rep").alias("least")), "least")
+        if many.count() <= BROADCAST_ROWS:
+            many = F.broadcast(many)
+        alone, joined = F.col("least").isNull(), first.join(many, "root", "left")
+        return table, stored(joined.select("set_id", "root", F.when(alone, F.col("rep")).otherwise(F.col("least")).alias("component_id")), "classes")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b.column(0).to_pylist()]
-            for lo, hi in text_slices(texts):
-                flat, sizes, ids = text_sets(texts[lo:hi], words)
-                rows = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), rows], names=["set_id", "n", "hashes"])
-
-    sets = left.select("_t").mapInArrow(run, "set_id bigint, n bigint, hashes array<bigint>").filter("n > 0")
-    sets = stored(sets.join(may.select(F.col("set_id").alias("_m")), F.col("set_id") == F.col("_m"), "left_semi").dropDuplicates(["set_id"]), "may-sets")
-    classes = components(links(sets, percent))
-    first = reps.join(classes, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
-    least = stored(first.withColumn("component_id", F.min("rep").over(W.partitionBy("root"))).select(F.col("set_id").alias("_set"), "component_id"), "classes")
-    joined = table.join(least, F.col("set_id") == F.col("_set"), "left")
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles and component_id, the least doc_id that links reach from the document."""
+    table, known = classes(docs, words, percent, id_col, text_col)
+    joined = table.join(known, "set_id", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the least id of every class, with all its columns; texts without words are all kept."""
-    classes = near_duplicates(docs.select(id_col, text_col), words, percent, id_col, text_col)
-    gone = classes.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """One row of every class, with all its columns: the one with the least id, ids before nulls, then with the least hash.
+    Of rows that repeat id and text any one stays; texts without words are all kept."""
+    spark = docs.sparkSession
+    table, known = classes(docs.select(id_col, text_col), words, percent, id_col, text_col)
+    rows = table.filter("n_shingles > 0").join(known.select("set_id", "root"), "set_id")
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("row").alias("c"))
+    best = rows.groupBy("root").agg(F.min(order)["c"].alias("row"))
+    gone = stored(rows.select("row").distinct().join(best, "row", "left_anti"), "gone")
+    again = stored(rows.groupBy("row").count().filter("count > 1").select("row").join(best, "row", "left_semi"), "again")
+
+    def small(keys: DataFrame) -> DataFrame:
+        return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+    keyed = docs.select(F.struct("*").alias("_row"), row_key(id_col, text_col).alias("row")).join(small(gone), "row", "left_anti")
+    if not again.isEmpty():
+        once = small(again)
+        keyed = keyed.join(once, "row", "left_anti").unionByName(keyed.join(once, "row", "left_semi").dropDuplicates(["row"]))
+    return keyed.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

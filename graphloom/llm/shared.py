@@ -2,37 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.storage import remove, shared_base
+
 #: ASCII white space: space and tab to carriage return.
 BLANK = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset (tests, local mode)
-    a folder of this machine is made and set as the checkpoint folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = got.get() if got.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the folder that driver and executors share."""
+    return f"{shared_base(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    return _kept(df, shared_folder(df.sparkSession, name))
+
+
+def _kept(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """A folder for one operator's intermediate tables, deleted when its block ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.tables = spark, shared_folder(spark, name), 0
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables += 1
+        return _kept(df, f"{self.path}/{self.tables}-{name}")
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        remove(self.spark, self.path)
 
 
 def whole(text: str | Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontam, jaccard, langid, lattice, quality_trees, rules, secrets, shards, token_cache
 from graphloom.operators.graph import components
-from graphloom.llm.shared import crc_fold, shared_folder
+from graphloom.llm.shared import Scratch, crc_fold, shared_folder
 
 WORDS = "the of lorem ipsum dolor sit amet and was river stone cloud under over seven quiet Élan naïve forest with".split()
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, _t string, score double, _row int, h bigint"
@@ -210,8 +210,9 @@ def test_lines_of_a_block_and_beside_copies(spark):
 
 
 def brute_classes(rows, percent=75):
-    sets = {}
-    for i, t in rows:
+    """(id, shingles, least id of the class) by comparing all rows, which are known by their place."""
+    sets, names = {}, [i for i, _ in rows]
+    for i, (_, t) in enumerate(rows):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
         sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
     up = {i: i for i in sets}
@@ -228,12 +229,16 @@ def brute_classes(rows, percent=75):
             if sets[a] and sets[b] and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 p, q = root(a), root(b)
                 up[max(p, q)] = min(p, q)
-    return sorted((i, len(sets[i]), root(i)) for i in ids)
+    least = {}
+    for i in ids:
+        known = [names[j] for j in ids if root(j) == root(i) and names[j] is not None]
+        least[i] = (min(known) if known else None) if sets[i] else names[i]
+    return sorted([(names[i], len(sets[i]), least[i]) for i in ids], key=repr), [root(i) for i in ids]
 
 
 def test_jaccard_classes(spark, nothing):
     rng = np.random.default_rng(11)
-    rows, n = [(i, t) for k, (i, t, _, _) in enumerate(ROWS) if i is not None and k != 13], 1000
+    rows, n = [(i, t) for i, t, _, _ in ROWS], 1000
     passage = long_unique("passage", 40)
     for family in range(12):
         base = long_unique(f"f{family}", int(rng.integers(20, 160))).split()
@@ -244,20 +249,32 @@ def test_jaccard_classes(spark, nothing):
             rows.append((n, " ".join(w) + (" " + passage if rng.random() < 0.4 else "")))
             n += 1
     rows += [(n + i, rows[-1][1].upper()) for i in range(3)]
-    d = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    got = sorted(tuple(r) for r in jaccard.near_duplicates(d).collect())
-    assert got == brute_classes(rows)
-    roots = {c for _, _, c in got}
-    assert {r["doc_id"] for r in jaccard.one_of_each(d).collect()} == roots
-    assert jaccard.near_duplicates(nothing).count() == 0
+    chain = long_unique("chain", 60).split()  # a null id between two texts that only link through it; a class without any id
+    rows += [(5000, " ".join(chain)), (None, " ".join([*chain[:-4], *"abcd"])), (5001, " ".join([*chain[5:-4], *"abcd"])), (None, long_unique("no id", 30)), (None, long_unique("no id", 30) + " end")]
+    rows += [(6000, long_unique("again", 25))] * 3 + [(6001, long_unique("other", 25)), (6001, long_unique("third", 25))]  # repeated rows; one id, two texts
+    d = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, _gone string, row int").repartition(5)
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(d).collect()), key=repr)
+    want, roots = brute_classes(rows)
+    assert got == want
+    kept = jaccard.one_of_each(d)
+    assert kept.columns == d.columns
+    kept = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    empty = [k for k, (_, t) in enumerate(rows) if not (t or "").split()]
+    assert len(kept) == len({r for k, r in enumerate(roots) if k not in empty}) + len(empty)
+    classes = {}
+    for k, (i, t) in enumerate(rows):
+        if k not in empty:
+            classes.setdefault(roots[k], []).append((i is None, i if i is not None else 0))
+    assert sorted(min(c) for c in classes.values()) == sorted((i is None, i if i is not None else 0) for i, t in kept if (t or "").split())
+    assert jaccard.near_duplicates(nothing).count() == 0 and jaccard.one_of_each(nothing).count() == 0
 
 
 def test_small_tiles_lose_no_link(spark):
     sets = [np.sort(np.random.default_rng(i // 6).integers(0, 1 << 60, 60))[(i % 6) : 50 + (i % 3)] for i in range(60)]
     d = spark.createDataFrame([(i, len(s), [int(x) for x in s]) for i, s in enumerate(sets)], "set_id bigint, n bigint, hashes array<bigint>")
     for size in (60, 100_000):
-        found = jaccard.links(d, 75, tile_shingles=size)
-        got = {r["node"]: r["root"] for r in components(found).collect()}
+        with Scratch(spark, "tiles") as scratch:
+            got = {r["node"]: r["root"] for r in components(jaccard.links(d, scratch, 75, tile_shingles=size)).collect()}
         up = list(range(60))
         for a in range(60):
             for b in range(a):
