@@ -107,10 +107,9 @@ cover AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT d
 raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
 norm AS (SELECT * FROM (SELECT doc_id, source, p, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS x FROM raw) WHERE x <> ''),
-ctx AS (SELECT *, lag(x) OVER o AS a, lead(x) OVER o AS b, len(string_split(x, ' ')) AS nw FROM norm WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
-per AS (SELECT source, doc_id, x, arg_min(struct_pack(a := a, b := b), p) AS c, sum(nw) AS nw FROM ctx GROUP BY 1, 2, 3),
-hot AS (SELECT source, x FROM per GROUP BY 1, 2 HAVING count(*) > 25 AND count(DISTINCT c) >= 0.5 * count(*)),
-gone AS (SELECT doc_id, sum(nw) AS n FROM per JOIN hot USING (source, x) GROUP BY 1),
+per AS (SELECT source, doc_id, x, sum(len(string_split(x, ' '))) AS nw FROM norm GROUP BY 1, 2, 3),
+hot AS (SELECT source, x FROM (SELECT DISTINCT n.source, n.x, d.t FROM norm n JOIN d USING (doc_id)) GROUP BY 1, 2 HAVING count(*) > 25),
+gone AS (SELECT doc_id, sum(nw) AS n FROM per JOIN hot ON per.x = hot.x AND per.source IS NOT DISTINCT FROM hot.source GROUP BY 1),
 f AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,

@@ -2,17 +2,16 @@
 
 Base rules look at one text: its words, symbols, repeated lines and repeated 8-word windows.
 The corpus rule hashes normalised lines, counts the distinct documents of a host that hold each
-line, takes lines above the limits out, and rejects documents that have too little left.
+line, takes lines above the limit out, and rejects documents that have too little left.
 
-A line is above the limits when more than ``max_docs`` unlike documents of its host hold it. Documents with the same
-text are one. So are near copies: texts that, without the lines that many texts of the host hold, share one of the ``SKETCH``
-least hashes of their ``NEAR`` -word windows. The count is thus free of how often a document was copied or edited, and
-a line's neighbours play no part: every line of a repeated block counts by itself. The lines of copies stay; they are
-the near-duplicate operator's work. Copies whose edits stand alone in lines of fewer than ``NEAR`` words, all else being
-common, cannot be told from pages of one template and count as unlike.
+A line is above the limit when more than ``max_docs`` distinct documents of its host hold it; copies of one text are one
+document, however many they are. Near copies are documents of their own: lines that many of them share go like all others.
+
+Lines are known by one hash of host and line. A first pass counts all of a line's places with partial sums, which bounds its
+documents from above; only lines beyond the limit, few as they are, meet the documents again, before any exchange.
 
 Defined results: a null text has no words and fails the base rules; an empty text likewise; rows
-that repeat id, host and text count as one document; a null host is a host of its own; columns other
+that repeat id, host and text are each judged as one document is; a null host is a host of its own; columns other
 than the four named are never touched; an empty table gives an empty result.
 """
 
@@ -25,9 +24,7 @@ from graphloom.llm.shared import BLANK, identity, stored, whole
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: Near copies are told by this many least hashes of windows of so many words.
-SKETCH, NEAR = 4, 5
-#: Up to so many documents with common lines, their keys are broadcast.
+#: Up to so many lines beyond the limit, their keys are broadcast.
 BROADCAST_ROWS = 500_000
 
 
@@ -35,6 +32,11 @@ def _normal(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, BLANK, " ")))
 
 
+def line_key(host: str | Column, line: Column) -> Column:
+    """One hash of a host and a normalised line."""
+    return F.xxhash64(host, line)
+
+
 def base_features(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
     """One row per input row: ``_k1 _k2``, the id, and the base figures of the whole text."""
     words = docs.select(
@@ -84,49 +86,24 @@ def base_features(docs: DataFrame, id_col="doc_id", text_col="text", host_col="s
 
 
 def document_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
-    """One row per document and distinct normalised line: its hash and its words in the document."""
-    split = docs.select(F.col(host_col).alias("_host"), *identity(id_col, host_col, text_col), _lines(text_col).alias("_l"))
-    item = F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("h"), F.size(F.split(x, " ")).cast("long").alias("w")))
-    rows = split.select("_host", "_k1", "_k2", F.posexplode(item).alias("_pos", "_x"))
-    return rows.groupBy("_host", "_k1", "_k2", F.col("_x.h").alias("_line")).agg((F.max("_x.w") * F.size(F.collect_set("_pos"))).alias("_words"))
-
-
-def _lines(text_col: str) -> Column:
-    return F.filter(F.transform(F.split(whole(text_col), "\n"), _normal), lambda x: x != "")
-
-
-def common_lines(docs: DataFrame, max_docs: int, text_col="text", host_col="source") -> DataFrame:
-    """Lines that more than ``max_docs`` different texts of a host hold. Distinct pairs come first, so a hot line is spread by its texts."""
-    pairs = docs.select(F.col(host_col).alias("_host2"), F.xxhash64(host_col, text_col).alias("_k2"), F.explode(F.array_distinct(F.transform(_lines(text_col), lambda x: F.xxhash64(x)))).alias("_line2")).distinct()
-    return pairs.groupBy("_host2", "_line2").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_docs).drop("_n")
-
-
-def alike(docs: DataFrame, common: DataFrame, text_col="text", host_col="source") -> DataFrame:
-    """(_k2, _like) of each text in ``common`` (_host, _k2, _line): texts that are near copies outside those lines have one ``_like``."""
-    by_text = common.groupBy(F.col("_k2").alias("_t2")).agg(F.collect_set("_line").alias("_common"))
-    if common.select("_k2").distinct().count() <= BROADCAST_ROWS:
-        by_text = F.broadcast(by_text)
-    held = docs.select(F.col(host_col).alias("_host"), F.xxhash64(host_col, text_col).alias("_k2"), F.col(text_col).alias("_t"))
-    held = held.join(by_text, F.col("_k2") == F.col("_t2")).dropDuplicates(["_k2"])
-    words = held.select("_host", "_k2", F.split(F.array_join(F.filter(_lines("_t"), lambda x: ~F.array_contains("_common", F.xxhash64(x))), " "), " ").alias("_w"))
-    windows = F.when(
-        F.size("_w") >= NEAR, F.transform(F.sequence(F.lit(1), F.size("_w") - (NEAR - 1)), lambda i: F.xxhash64(F.slice("_w", i, NEAR)))
-    ).otherwise(F.array(F.xxhash64("_w")))
-    marks = stored(words.select("_host", "_k2", F.explode(F.slice(F.array_sort(F.array_distinct(windows)), 1, SKETCH)).alias("_mark")), "marks")
-    many = marks.groupBy(F.col("_host").alias("_h2"), F.col("_mark").alias("_m2")).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    best = marks.join(many, F.col("_host").eqNullSafe(F.col("_h2")) & (F.col("_mark") == F.col("_m2")), "left").groupBy("_k2")
-    return best.agg(F.max_by("_mark", F.struct(F.coalesce("_n", F.lit(1)), "_mark")).alias("_like"))
+    """One row for each line with a word: ``_k1 _k2`` of its row, a hash of host and text, the normalised line and its key."""
+    rows = docs.select(
+        F.col(host_col).alias("_host"), *identity(id_col, host_col, text_col), F.xxhash64(host_col, whole(text_col)).alias("_text"),
+        F.explode(F.split(whole(text_col), "\n")).alias("_raw"),
+    )
+    rows = rows.select("_k1", "_k2", "_text", "_host", _normal(F.col("_raw")).alias("_line")).filter("_line <> ''")
+    return rows.withColumn("_key", line_key("_host", F.col("_line"))).drop("_host")
 
 
 def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", max_docs=25) -> DataFrame:
-    """Per document that loses lines: ``_k1 _k2``, the hashes of those lines and the words that go with them."""
-    lines, often = document_lines(docs, id_col, text_col, host_col), common_lines(docs, max_docs, text_col, host_col)
-    same = lambda h, x: F.col("_host").eqNullSafe(F.col(h)) & (F.col("_line") == F.col(x))
-    common = stored(lines.join(often, same("_host2", "_line2")).select("_host", "_k1", "_k2", "_line", "_words"), "common-lines")
-    groups = alike(docs, common.select("_host", "_k2", "_line"), text_col, host_col).withColumnRenamed("_k2", "_g2")
-    unlike = common.select("_host", "_line", "_k2").distinct().join(groups, F.col("_k2") == F.col("_g2")).select("_host", "_line", "_like").distinct()
-    hot = unlike.groupBy(F.col("_host").alias("_host3"), F.col("_line").alias("_line3")).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_docs)
-    return common.join(hot, same("_host3", "_line3")).groupBy("_k1", "_k2").agg(F.collect_set("_line").alias("_lost"), F.sum("_words").alias("removed_words"))
+    """Per row that loses lines: ``_k1 _k2``, the keys of those lines and the words that go with them."""
+    lines = document_lines(docs, id_col, text_col, host_col)
+    often = stored(lines.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_docs).select("_key"), "often")
+    met = lines.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "_key")
+    words = F.size(F.split("_line", " ")).cast("long")
+    held = stored(met.select("_k1", "_k2", "_text", "_key", words.alias("_w")).groupBy("_k1", "_k2", "_text", "_key").agg(F.sum("_w").alias("_words")), "common-lines")
+    hot = held.select("_key", "_text").distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_docs).select("_key")
+    return held.join(hot, "_key").groupBy("_k1", "_k2").agg(F.collect_set("_key").alias("_lost"), F.sum("_words").alias("removed_words"))
 
 
 def quality_rules(
@@ -153,8 +130,8 @@ def apply_rules(docs: DataFrame, id_col="doc_id", text_col="text", host_col="sou
     The verdicts are stored first: a filter on them would otherwise be pushed below the figures and repeat their work."""
     verdict = stored(quality_rules(docs, id_col, text_col, host_col, **limits).select("_k1", "_k2", "_lost", "kept"), "verdicts")
     verdict = verdict.filter("kept").select(F.col("_k1").alias("_v1"), F.col("_k2").alias("_v2"), "_lost").dropDuplicates(["_v1", "_v2"])
-    keyed = docs.select(F.struct("*").alias("_row"), *identity(id_col, host_col, text_col), F.col(text_col).alias("_t"))
-    left = F.filter(F.split("_t", "\n"), lambda x: ~F.array_contains("_lost", F.xxhash64(_normal(x))))
+    keyed = docs.select(F.struct("*").alias("_row"), *identity(id_col, host_col, text_col), F.col(host_col).alias("_host"), F.col(text_col).alias("_t"))
+    left = F.filter(F.split("_t", "\n"), lambda x: ~F.array_contains("_lost", line_key(F.col("_host"), _normal(x))))
     text = F.when(F.col("_lost").isNull(), F.col("_t")).otherwise(F.array_join(left, "\n"))
     joined = keyed.join(verdict, (F.col("_k1") == F.col("_v1")) & (F.col("_k2") == F.col("_v2"))).withColumn("_text", text)
     return joined.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])

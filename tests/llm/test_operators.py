@@ -198,15 +198,23 @@ def test_lines_of_a_block_and_beside_copies(spark):
     rows += [(200 + i, "\n".join([long_unique(f"w{i}", 40), line, long_unique(f"x{i}", 40)]), "c") for i in range(30)]
     rows += [(300 + i, "\n".join([long_unique("cp", 40), line, long_unique("cq", 40)]), "c") for i in range(90)]  # copies of one page
     near = long_unique("near", 40).split()
-    for i in range(60):
-        edited = [*near[:i % 40], f"edit{i}", *near[i % 40 + 1 :]]
-        rows.append((500 + i, "\n".join([long_unique("na", 20), " ".join(edited), long_unique("nb", 20)]), "n"))
+    for i in range(60):  # near copies are documents of their own, and their shared lines go
+        edited = " ".join([*near[: i % 40], f"edit{i}", *near[i % 40 + 1 :]])
+        rows.append((500 + i, "\n".join([long_unique("na", 5), edited, long_unique("nb", 5)]), "n"))
+    rows += [(700 + i, "\n".join([long_unique(f"y{i}", 40), line]), "c" if i % 2 else None) for i in range(20)]
     d = spark.createDataFrame(rows, "doc_id int, text string, source string").repartition(4)
     kept = {r["doc_id"]: r["text"] for r in rules.apply_rules(d).collect()}
     assert set(kept) == {i for i, *_ in rows} - {100, 101, 102}
+    lines, found = defaultdict(set), {}
+    for _, t, h in rows:
+        for x in t.split("\n"):
+            lines[h, x.lower()].add(t)
+    for i, t, h in rows:
+        found[i] = "\n".join(x for x in t.split("\n") if len(lines[h, x.lower()]) <= 25)
+    assert all(kept[i] == found[i] for i in kept)
     assert all(kept[i] == long_unique(f"u{i}", 40) + "\n" + long_unique(f"v{i}", 40) for i in range(30))
-    assert all(line not in kept[i] for i in [*range(200, 230), *range(300, 390)])
-    assert all(kept[i] == t for i, t, h in rows if h == "n")  # near copies keep their lines
+    assert all(line not in kept[i] for i in [*range(200, 230), *range(300, 390)]) and line in kept[700] and line not in kept[701]
+    assert kept[500] == rows[-80][1].split("\n")[1]
 
 
 def brute_classes(rows, percent=75):
