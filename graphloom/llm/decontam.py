@@ -2,16 +2,18 @@
 
 Test items are cut into word trigrams. A trigram is a seed if its words make it rare (the product of
 their shares of the corpus is at most ``rarity``); the ``least_seeds`` rarest of every item are seeds in any
-case. Rarity comes from single words, so an item that the corpus holds many times keeps its seeds. Where a
-document holds a seed, the passage around it is aligned with the item word by word, and the best local
+case. Rarity comes from single words, so an item that the corpus holds many times keeps its seeds. A seed that is not rare
+is in many documents by chance: if the item has more than ``least_seeds`` trigrams, a second seed at a matching
+place must confirm it, so common phrases do not set off alignments. Where a
+document holds an item's seeds, the passage around them is aligned with the item word by word, and the best local
 alignment's score, over that of a perfect copy, tells copies and edited copies from chance.
 
 The items are sent to the executors in blocks of at most ``block_words`` words; a larger benchmark takes
-more passes over the documents instead of more memory.
+more passes over the documents instead of more memory, and each block's finds are stored before the next one is read.
 
 Defined results: texts are compared in lower case, without ASCII punctuation; null and empty texts and items
 match nothing, and neither do items of fewer than three words; repeated rows of documents or items each
-give their rows; empty tables give an empty result; other columns are ignored.
+give their rows, rows with a null id among them; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +29,14 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from graphloom.llm.bpe import text_slices
 from graphloom.llm.hashing import Batch
-from graphloom.llm.shared import whole
+from graphloom.llm.shared import stored, whole
 
 GAPS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SEED = 3
+#: Characters that a task works on at once.
+SLICE_CHARS = 300_000
+#: Up to so many leaking rows, their keys are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def words_of(texts: list[str]) -> Batch:
@@ -75,23 +81,35 @@ class Items:
         if len(at):
             start = np.append(True, np.diff(doc[order]) != 0)
             rank[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
-        keep = (chance <= rarity) | (rank < least_seeds)
+        sure = (chance <= rarity) | (b.words[doc] - SEED < least_seeds)
+        keep = sure | (rank < least_seeds)
         order = np.argsort(value[keep], kind="stable")
-        self.seed, self.of, self.offset = value[keep][order], doc[keep][order], (at - self.first[doc])[keep][order]
+        self.seed, self.of, self.offset, self.sure = (x[keep][order] for x in (value, doc, at - self.first[doc], sure))
 
-    def hits(self, b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, where the item would begin in the batch's words) for every seed found."""
+    def hits(self, b: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, where the item would begin in the batch's words, place in the item, is it sure) for every seed found."""
         value, doc, at = b.shingles(SEED)
         lo, hi = np.searchsorted(self.seed, value, "left"), np.searchsorted(self.seed, value, "right")
         found = np.flatnonzero(hi > lo)
         many = hi[found] - lo[found]
         which = np.arange(many.sum()) + np.repeat(lo[found] - np.cumsum(many) + many, many)
-        return np.repeat(doc[found], many), self.of[which], np.repeat(at[found], many) - self.offset[which]
+        return np.repeat(doc[found], many), self.of[which], np.repeat(at[found], many) - self.offset[which], self.offset[which], self.sure[which]
+
+    def confirmed(self, doc: np.ndarray, item: np.ndarray, begin: np.ndarray, offset: np.ndarray, sure: np.ndarray) -> np.ndarray:
+        """Sure hits, and others with a hit of another place of the item within half the item's length of the same diagonal."""
+        order = np.lexsort((begin, item, doc))
+        reach = np.maximum(self.sizes[item[order]] // 2, 4)
+        next_to = (np.diff(doc[order]) == 0) & (np.diff(item[order]) == 0) & (np.diff(begin[order]) <= reach[1:]) & (np.diff(offset[order]) != 0)
+        ok = np.zeros(len(doc), bool)
+        ok[order] = np.append(next_to, False) | np.append(False, next_to)
+        return ok | sure
 
     def leaks(self, texts: list[str], least: float) -> list[tuple[int, int, float, int]]:
         """(text, item, score, last aligned word) of each pair that reaches the score ``least``."""
         b = words_of(texts)
-        doc, item, begin = self.hits(b)
+        doc, item, begin, offset, sure = self.hits(b)
+        ok = self.confirmed(doc, item, begin, offset, sure)
+        doc, item, begin = doc[ok], item[ok], begin[ok]
         if not len(doc):
             return []
         # hits on about the same diagonal are one passage; begins are rounded to half an item's length
@@ -133,7 +151,7 @@ def word_shares(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> dict[
         counts, total = np.zeros(len(vocabulary), np.int64), 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for lo, hi in text_slices(texts):
+            for lo, hi in text_slices(texts, SLICE_CHARS):
                 h = words_of(texts[lo:hi]).hash
                 at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
                 counts += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
@@ -149,7 +167,7 @@ def word_shares(docs: DataFrame, vocabulary: np.ndarray, text_col: str) -> dict[
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    least: float = 0.4, rarity: float = 1e-8, least_seeds: int = 8, block_words: int = 1_000_000,
+    least: float = 0.4, rarity: float = 1e-8, least_seeds: int = 12, block_words: int = 1_000_000,
 ) -> DataFrame:
     """(doc_id, item_id, score, last_word): documents that hold a copy or an edited copy of a test item."""
     kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -169,7 +187,7 @@ def find_leaks(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 texts = b.column(1).to_pylist()
-                for lo, hi in text_slices(texts):
+                for lo, hi in text_slices(texts, SLICE_CHARS):
                     found = held.leaks(texts[lo:hi], least) if len(held.seed) else []
                     if found:
                         yield pa.RecordBatch.from_arrays(
@@ -179,10 +197,16 @@ def find_leaks(
 
         return given.mapInArrow(run, f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, last_word bigint")
 
-    return reduce(DataFrame.unionByName, [block_leaks(k) for k in range(blocks)])
+    if blocks == 1:
+        return block_leaks(0)
+    return reduce(DataFrame.unionByName, [stored(block_leaks(k), "leaks") for k in range(blocks)])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that hold no test item, with all their columns."""
-    leaks = find_leaks(docs.select(id_col, text_col), benchmark, id_col, text_col, **how)
-    return docs.join(leaks.select(F.col("doc_id").alias("_leak")).distinct(), F.col(id_col) == F.col("_leak"), "left_anti")
+    """The documents that hold no test item, with all their columns. Rows are judged by id and text each, whatever their ids."""
+    key = F.xxhash64(F.col(id_col), whole(text_col))
+    leaks = find_leaks(docs.select(key.alias("key"), F.col(text_col).alias("text")), benchmark, "key", "text", **how)
+    keyed = docs.select(F.struct("*").alias("_row"), key.alias("key"))
+    gone = stored(leaks.select(F.col("doc_id").alias("key")).distinct(), "leaking")
+    left = keyed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "key", "left_anti")
+    return left.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

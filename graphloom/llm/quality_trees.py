@@ -147,11 +147,13 @@ def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = 20_000, **shape) -> Trees:
-    """Grow trees from at most ``sample_rows`` rows of ``labels`` that have a label."""
+    """Grow trees from at most ``sample_rows`` rows of ``labels`` that have a label, those with the least hash of the id.
+    Of rows that repeat an id, the text with the least hash counts."""
     chosen = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
     picked = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"), "left_semi")
-    rows = with_statistics(picked, "_doc", "_text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "x", "_y").limit(2 * sample_rows).toPandas()
+    once = picked.groupBy("_doc").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), F.col("_text").alias("t")))["t"].alias("_text"))
+    rows = with_statistics(once, "_doc", "_text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "x", "_y").toPandas()
     rows = rows.sort_values("doc_id")
     x = np.stack(rows["x"].to_numpy()) if len(rows) else np.zeros((0, len(STATISTICS)))
     return grow(x, rows["_y"].to_numpy(float), **shape)

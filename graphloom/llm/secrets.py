@@ -5,8 +5,9 @@ base span is scored under two first-order character models, one of random string
 ordinary identifiers; a run whose log-likelihood ratio is high enough is a span of kind ``markov``.
 
 Both models are trained from labelled samples: what the patterns match, together with strings made
-from digests, is random; tokens of the sampled documents outside all matches are ordinary. The sample
-is bounded: the ``sample_docs`` texts with the lowest hash, and ``sample_tokens`` tokens of each label.
+from digests, is random; tokens of the sampled documents outside all matches are ordinary, and so are identifiers made
+of words: in camel and snake case, paths, option names, dates and UUIDs. The sample is bounded: the ``sample_docs`` texts with
+the lowest hash, and of each label the ``sample_tokens`` tokens with the lowest hash, up to ``sample_chars`` characters each.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; spans
 are sorted by start, then by kind; repeated rows each get a row; columns other than the text pass through.
@@ -75,17 +76,49 @@ def made_strings(n: int = 3000) -> list[str]:
     return [forms[i % 4](r) for i, r in enumerate(raw)]
 
 
+#: Words that names in programs and files are made of.
+NAME_WORDS = (
+    "abstract account action adapter address admin agent api app archive array asset async attribute author auto backend background bar base batch bean binary body boot branch bridge buffer build builder "
+    "button by byte cache call category channel char check child class clean client clone cluster code column command comment commit common component config connection console constant container content "
+    "context control cookie copy core count create current custom data database date debug decode default delete depth detail device dialog digest direct disk display document domain download driver dynamic "
+    "edit element email empty enable encode end engine entity entry enum environment error event exception export external factory field file filter first flag float flow folder font format frame from function "
+    "gateway get global graph group handler hash header height helper hidden home host html http icon id image import index info init input insert instance int interface internal invalid is item iterator java "
+    "job json key label language last layer layout length level library license limit line link list listener load local lock log login long loop machine main make manager map mapper master match max member "
+    "memory menu message meta method min mock mode model module mouse name network new next node null number object offset on open operation option order output owner package page panel parameter parent parse "
+    "parser password path pattern payment permission phone pixel plugin point policy pool popup port position post prefix private process processor product profile project property protocol provider proxy public "
+    "query queue random range rate read record reference refresh register registry remote remove render report request reset resource response result role root route router row rule run runtime sample save scale "
+    "schedule schema screen script search section security select send sequence server service session set setting shared show simple singleton size socket sort source spring stack start state static status step "
+    "storage store stream string style submit support sync system tab table tag target task template test text theme thread time title to token toolbar tools trace transaction transform tree type unit update "
+    "upload url user util valid validate value variable vector version view visible web width window with word worker wrapper write xml zone"
+).split()
+
+
+def made_names(words: list[str], n: int = 6000) -> list[str]:
+    """Ordinary identifiers of two to six words, picked by digests of numbers: every form in turn."""
+    out = []
+    for i in range(n):
+        d = hashlib.sha256(f"name {i}".encode()).digest()
+        picked = [words[int.from_bytes(d[2 * k : 2 * k + 2]) % len(words)].lower() for k in range(2 + d[30] % 5)]
+        caps, number, hexes = "".join(w.capitalize() for w in picked), str(d[29] % 100), d.hex()
+        forms = (
+            caps, picked[0] + caps[len(picked[0]) :], "_".join(picked), "_".join(picked).upper(), "-".join(picked), "/" + "/".join(picked), "/".join(picked) + "_" + number, caps + number,
+            "--" + "-".join(picked) + "=" + number, "_".join(picked) + "_v" + number, f"{picked[0]}_20{d[28] % 90 + 10}-{d[27] % 12 + 1:02d}-{d[26] % 28 + 1:02d}", f"{hexes[:8]}-{hexes[8:12]}-4{hexes[13:16]}-a{hexes[17:20]}-{hexes[20:32]}",
+        )
+        out.append(forms[i % len(forms)])
+    return out
+
+
 def fit(random: list[str], ordinary: list[str]) -> np.ndarray:
     """Table of log-likelihood ratios, random over ordinary, by last and next character."""
     return _transitions(random, 1.0) - _transitions(ordinary, 0.5)
 
 
-def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000, sample_tokens: int = 20000) -> np.ndarray:
-    """Train the ratio table on a bounded sample of ``docs``."""
+def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000, sample_tokens: int = 20000, sample_chars: int = 200) -> np.ndarray:
+    """Train the ratio table on a bounded sample of ``docs`` and on made strings of both labels."""
     texts = docs.select(F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_h")).filter("_t is not null")
     edge = texts.select("_h").orderBy("_h").limit(sample_docs).agg(F.max("_h")).first()[0]
     if edge is None:
-        return fit(made_strings(), [])
+        return fit(made_strings(), made_names(NAME_WORDS))
     chosen = texts.filter(F.col("_h") <= edge).dropDuplicates(["_h"])
     values = F.concat(
         F.filter(F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= 12),
@@ -96,10 +129,12 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000, samp
     plain = F.regexp_extract_all(rest, F.lit(r"[A-Za-z0-9+/_=-]{6,}"), F.lit(0))
 
     def sampled(column) -> list[str]:
-        one = chosen.select(F.explode(column).alias("s")).select(F.substring("s", 1, 200).alias("s")).distinct()
+        one = chosen.select(F.explode(column).alias("s")).select(F.substring("s", 1, sample_chars).alias("s")).distinct()
         return [r[0] for r in one.orderBy(F.xxhash64("s"), "s").limit(sample_tokens).collect()]
 
-    return fit(sampled(values) + made_strings(), sampled(plain))
+    ordinary = sampled(plain)
+    words = sorted({w for w in ordinary if w.isalpha() and w.isascii() and len(w) <= 12}, key=lambda w: hashlib.sha256(w.encode()).digest())[: len(NAME_WORDS)]
+    return fit(sampled(values) + made_strings(), ordinary + made_names(NAME_WORDS) + made_names(words or NAME_WORDS, 2000))
 
 
 def _ratios(runs: list[str], table: np.ndarray) -> np.ndarray:

@@ -91,7 +91,7 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     stored = spark.read.schema(MAP_SCHEMA).parquet(path)
     if version is None:
         version = stored.agg(F.max("version")).first()[0]
-    return stored.filter(F.col("version") == version).drop("version")
+    return stored.filter(F.col("version") == version)
 
 
 def assign(placed: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -113,3 +113,16 @@ def shard(docs: DataFrame, shards: int, id_col="doc_id", text_col="text", slots=
     sizes = slot_sizes(placed)
     store_map(spark, path, 1, packed(sizes, shards, slots), sizes)
     return assign(placed, read_map(spark, path, 1))
+
+
+def rebalance(docs: DataFrame, map_path: str, shards: int, id_col="doc_id", text_col="text", tolerance=0.01) -> DataFrame:
+    """Deal all rows by the stored map, edited for their sizes now and for ``shards`` shards; the edit is stored as the next version.
+
+    The slots stay as they are, so only rows of slots that the edit moves change their shard."""
+    spark = docs.sparkSession
+    version = read_map(spark, map_path).agg(F.max("version")).first()[0]
+    current = {r["v_slot"]: r["shard"] for r in read_map(spark, map_path, version).collect()}
+    placed = with_slots(docs, id_col, text_col, len(current))
+    sizes = slot_sizes(placed)
+    store_map(spark, map_path, version + 1, rebalanced(current, sizes, shards, tolerance), sizes)
+    return assign(placed, read_map(spark, map_path, version + 1))

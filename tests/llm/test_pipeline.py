@@ -27,3 +27,32 @@ def test_stages_take_effect(spark, tmp_path):
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(out) == {*range(6), 15}
     assert all(r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest() for r in out.values())
+
+
+def test_odd_tables(spark, tmp_path):
+    """Empty tables, repeated and null rows, a very long text, and columns whose names the stages use inside."""
+    import corpus_pipeline
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, _gone string, row int, key int, _leak string, _t string, spans string, ids string"
+    item, long = long_unique("item", 30), "\n".join(long_unique(f"long{i}", 40) for i in range(800))
+    rows = [(1, long, "en"), (2, long_unique("a", 50), "en"), (2, long_unique("a", 50), "en"), (None, long_unique("b", 50), None), (None, long_unique("b", 50) + " tail", None)]
+    rows += [(None, item + " " + long_unique("c", 30), "en"), (None, None, None), (3, "", "en"), (3, long_unique("d", 50), "en")]
+    tail = ("s", 0, "g", 1, 2, "l", "t", "sp", "id")
+    for name, given in (("some", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(*r, *tail) for r in given], schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, item)] if given else [], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+        docs, seen = spark.read.parquet(f"{folder}/documents.parquet"), []
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, folder)
+            assert docs.columns == schema.replace(",", "").split()[::2]
+            seen.append(sorted(((r["doc_id"], len(r["text"] or "")) for r in docs.collect()), key=repr))
+        if given:
+            size = lambda seed, n: len(long_unique(seed, n))
+            last = [(1, len(long)), (2, size("a", 50)), (3, size("d", 50))]
+            assert [x for x in seen[3] if x[0]] == last and [x[0] for x in seen[3]].count(None) == 1
+            assert len(seen[0]) == 7 and len(seen[1]) == 5 and len(seen[2]) == 4
+        else:
+            assert seen == [[]] * 4
+        out = corpus_pipeline.run(spark, folder)
+        assert out.count() == len(seen[3]) and out.filter("ids is null").count() == 0
