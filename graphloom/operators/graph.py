@@ -20,6 +20,15 @@ def use_checkpoints(spark: SparkSession) -> None:
     shared_base(spark)
 
 
+#: Rows up to which a frontier is broadcast to the stored edges, so that these need no shuffle in a round.
+BROADCAST_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, which must be stored or checkpointed, with a broadcast hint if a count shows it to be small."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 
@@ -27,9 +36,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, hops): all reachable pairs but a node with itself, with the least number of steps; safe on cycles."""
     use_checkpoints(edges.sparkSession)
-    step = edges.select("src", "dst").filter("src <> dst").distinct()
-    known = step.withColumn("hops", F.lit(1)).checkpoint()
-    fresh = known
+    known = edges.select("src", "dst").filter("src <> dst").distinct().withColumn("hops", F.lit(1)).checkpoint()
+    step, fresh = known.drop("hops"), known
     for hop in count(2):
         reached = fresh.select("src", F.col("dst").alias("mid")).join(step.withColumnRenamed("src", "mid"), "mid").select("src", "dst").filter("src <> dst").distinct()
         fresh = reached.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
@@ -164,11 +172,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def hops_from(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """(focal, node, hop) within ``k`` steps over undirected ``edges``; ``starts`` has a column focal."""
     use_checkpoints(edges.sparkSession)
-    step = both_ways(edges)
+    step = both_ways(edges).checkpoint()
     seen = starts.select("focal", F.col("focal").alias("node")).distinct().withColumn("hop", F.lit(0)).checkpoint()
     frontier = seen
     for hop in range(1, k + 1):
-        found = frontier.select("focal", F.col("node").alias("src")).join(step, "src").select("focal", F.col("dst").alias("node")).distinct()
+        found = step.join(small(frontier.select("focal", F.col("node").alias("src"))), "src").select("focal", F.col("dst").alias("node")).distinct()
         frontier = found.join(seen, ["focal", "node"], "left_anti").withColumn("hop", F.lit(hop)).checkpoint()
         seen = seen.unionByName(frontier)
     return seen
@@ -178,13 +186,14 @@ def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """One row (path) along directed edges, the least by its nodes among the shortest; no row if there is none."""
     spark = edges.sparkSession
     use_checkpoints(spark)
+    step = edges.select("src", "dst").distinct().checkpoint()
     frontier = spark.createDataFrame([(source, [source])], "node string, path array<string>")
     seen = frontier.select("node").checkpoint()
     while True:
         hit = frontier.filter(F.col("node") == target)
         if not hit.isEmpty():
             return hit.select("path")
-        found = frontier.withColumnRenamed("node", "src").join(edges.select("src", "dst").distinct(), "src")
+        found = step.join(small(frontier.withColumnRenamed("node", "src")), "src")
         found = found.groupBy(F.col("dst").alias("node")).agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
         frontier = found.join(seen, "node", "left_anti").checkpoint()
         if frontier.isEmpty():
@@ -197,7 +206,7 @@ def citing_all(edges: DataFrame, targets: DataFrame, years: DataFrame, low: int
     """Papers that cite every target (id), newest first."""
     wanted = targets.select(F.col("id").alias("dst")).distinct()
     need = wanted.agg(F.count(F.lit(1)).alias("need"))
-    hits = edges.join(F.broadcast(wanted), "dst").groupBy("src").agg(F.countDistinct("dst").alias("n"))
+    hits = edges.join(wanted, "dst").groupBy("src").agg(F.countDistinct("dst").alias("n"))
     found = hits.join(F.broadcast(need), F.col("n") == F.col("need")).join(years.select(F.col("id").alias("src"), "year"), "src")
     if low is not None:
         found = found.filter(F.col("year").between(low, high if high is not None else low))
