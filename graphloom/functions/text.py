@@ -2,30 +2,85 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: The ordered substitutions of the markdown cleaner.
+#: What the markdown cleaner takes out or keeps, in this order (pattern, replacement).
 MARKDOWN_RULES = [
-    (r"(?s)\A---\n.*?\n---\n", ""), (r"(?s)<!--.*?-->", ""), (r"(?s)```.*?```", ""), (r"`([^`]*)`", "$1"),
-    (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"(?m)^\s*\|.*\|\s*$", ""), (r"<[^>]+>", " "),
-    (r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"),
-    (r"&[a-zA-Z#0-9]+;", " "), (r"(?s)\$\$.*?\$\$", " "), (r"[\x{2460}-\x{2473}]", ""), (r"(?m)^\s*[-*_]{3,}\s*$", ""), (r"\n{3,}", "\n\n"),
+    (r"(?sd)\A---\s*\n.*?\n---\s*\n", ""),
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?s)```.*?```", " "),
+    (r"`[^`\n]*`", " "),
+    (r"!\[[^\]]*\]\([^)]*\)", " "),
+    (r"\[([^\]]+)\]\([^)]+\)", "$1"),
+    (r"(?md)^\|.*\|.*$", ""),
+    (r"(?md)^#{1,6}\s+", ""),
+    (r"(?md)^>+\s*", ""),
+    (r"\*{1,3}([^*\n]+)\*{1,3}", "$1"),
+    (r"_{1,3}([^_\n]+)_{1,3}", "$1"),
+    ("&gt;", ">"),
+    ("&lt;", "<"),
+    ("&amp;", "&"),
+    ("&nbsp;", " "),
+    (r"(?s)\$\$.*?\$\$", " "),
+    (r"\$[^$\n]+\$", ""),
+    ("[\u2460-\u2469]", ""),
+    (r"(?md)^\s*---\s*$", ""),
+    (r"\n{3,}", "\n\n"),
+]
+#: Beginnings of headings whose block is left out, of a numbered section, and of lines that begin other blocks.
+SKIPPED_HEADINGS = [
+    r"EXAMPLE\s+\d", "Solution", r"HOW TO\b", r"BE PREPARED\b", "MANIPULATIVE MATHEMATICS", "Learning Objectives?", "Practice Makes Perfect", "Writing Exercises?", "Everyday Math",
+    "Self Check", r"Practice\s+Test", r"Review\s+Exercises?", r"Key\s+(?:Concepts?|Terms?|Takeaways?)", r"Chapter\s+(?:Review|Outline)", r"TRY IT\b",
 ]
+NUMBERED_SECTION = r"(?i)^#{1,6}\s+\d+\.\d+\s+(?!EXERCISES)\S"
+EXERCISE_LINE = r"(?i)^\s*\d+\.\d+\s+EXERCISES\b"
+QUOTED_TASK = r"(?i)^\s*>+\s*(?:TRY IT|HOW TO)\b"
+#: Beginnings of sentences that state no fact.
+NOISE_STARTS = [r"Figure\s+\d", r"Step\s+\d", r"Chapter\s+\d", r"Solution\b", r"This\s+OpenStax\b", r"http\S+", r"\d{1,3}\.\s", r"[A-Z]\s+[A-Z]\b"]
+#: Words that make a numbered term a label of the document.
+DOCUMENT_WORDS = ["chapter", "page", "section", "figure", "fig", "table", "example", "exercise", "exercises", "step", "solution", "appendix", "part", "problem", "unit"]
+#: Entity names left over when a parser splits an entity, and words that end or begin no term.
+ENTITY_NAMES = ["gt", "lt", "amp", "quot", "nbsp", "apos"]
 #: Leading articles and determiners that labels and terms lose.
 ARTICLES = ["the", "a", "an", "this", "that", "these", "those"]
+#: Determiners and pronouns that begin no term.
+LEADING = [*ARTICLES, "my", "your", "his", "her", "its", "our", "their", "some", "any", "each", "every", "no", "all", "both", "which", "what", "whose", "it", "he", "she", "they", "we", "you", "i", "another", "such"]
 
 
 def clean_markdown(text: Column) -> Column:
-    """Markup, code, tables and entities out, in a fixed order."""
-    return F.trim(reduce(lambda t, rule: F.regexp_replace(t, *rule), MARKDOWN_RULES, text))
+    """Markup, code, formulas and table rows out, entities decoded, in a fixed order."""
+    return reduce(lambda t, rule: F.regexp_replace(t, *rule), MARKDOWN_RULES, text)
+
+
+def cleaning_statistics(text: Column) -> Column:
+    """struct of characters at first, without exercise blocks, without markup, how many are gone, and in percent."""
+    less = F.array_join(without_exercises(text), "\n")
+    n = [F.length(x) for x in (text, less, clean_markdown(less))]
+    names = ("original_chars", "after_exercise_removal", "after_markdown_clean")
+    return F.struct(*[x.alias(c) for x, c in zip(n, names, strict=True)], (n[0] - n[2]).alias("chars_removed"), F.bround(100 * (1 - n[2] / n[0]), 1).alias("pct_removed"))
+
+
+@F.pandas_udf(T.StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def composed(text: Column) -> Column:
+    """Compatibility forms (ligatures, full-width letters) as plain ones. Only rows beyond ASCII bring text to Python."""
+    odd = text.rlike(r"[^\x00-\x7F]")
+    return F.when(odd, _composed(F.when(odd, text))).otherwise(text)
 
 
 def clean_surface(text: Column) -> Column:
-    """White space collapsed, edge punctuation off."""
-    return F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), r"^[\s.,;:!?\"'()\[\]*_-]+|[\s.,;:!?\"'()\[\]*_-]+$", "")
+    """White space collapsed, edge punctuation off; give it :func:`composed` text where that may hold compatibility forms."""
+    edge = r"[\s\"'`.,;:!?()\[\]{}<>|*#-]+"
+    return F.regexp_replace(F.regexp_replace(F.trim(text), r"\s+", " "), f"^{edge}|{edge}$", "")
 
 
 def lemma(word: Column) -> Column:
@@ -42,7 +97,7 @@ def lemma(word: Column) -> Column:
 
 def dedup_key(surface: Column) -> Column:
     """Lemmas of the words, joined; the lower-cased surface if there are none."""
-    words = F.filter(F.split(F.lower(F.trim(surface)), r"[^a-z0-9]+"), lambda w: w != "")
+    words = F.filter(F.split(F.lower(F.trim(surface)), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
     key = F.array_join(F.transform(words, lemma), " ")
     return F.when(key != "", key).otherwise(F.lower(F.trim(surface)))
 
@@ -65,7 +120,7 @@ def canonical_label(surface: Column, kind: Column) -> Column:
     """PascalCase for concepts, camelCase for relations; short words in capitals stay; leading articles go."""
     words = F.filter(F.split(surface, r"[^A-Za-z0-9]+"), lambda w: w != "")
     kept = F.filter(words, lambda w, i: ~((i == 0) & F.lower(w).isin(ARTICLES) & (F.size(words) > 1)))
-    cap = lambda w: F.when(w.rlike("^[A-Z0-9]{2,5}$"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 10_000))))
+    cap = lambda w: F.when(w.rlike("^[A-Z0-9]{2,5}$"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
     camel = F.transform(kept, lambda w, i: F.when(i == 0, F.lower(w)).otherwise(cap(w)))
     return F.array_join(F.when(kind == "relation", camel).otherwise(F.transform(kept, cap)), "")
 
@@ -86,11 +141,16 @@ def literal_type(surface: Column) -> Column:
     )
 
 
+def year_bounds(spec: Column) -> tuple[Column, Column]:
+    """First and last year of ``2024``, ``2019-2023``, ``since Y`` or ``before Y``; null without a year."""
+    first, second = F.regexp_extract(spec, r"([0-9]{4})", 1).try_cast("int"), F.regexp_extract(spec, r"[0-9]{4}\s*-\s*([0-9]{4})", 1).try_cast("int")
+    low = F.when(first.isNotNull() & spec.rlike("(?i)before"), F.lit(1900)).otherwise(first)
+    return low, F.when(first.isNotNull() & spec.rlike("(?i)since"), F.year(F.current_date())).otherwise(F.coalesce(second, first))
+
+
 def year_matches(year: Column, spec: Column) -> Column:
-    """``2024``, ``2019-2023``, ``since Y``, ``before Y``; a null spec passes all, a null year never matches another."""
-    first, second = F.regexp_extract(spec, r"([0-9]{4})", 1).try_cast("int"), F.regexp_extract(spec, r"[0-9]{4}\s*-\s*([0-9]{4})", 1)
-    low = F.when(spec.rlike("(?i)before"), F.lit(1900)).otherwise(first)
-    high = F.when(spec.rlike("(?i)since"), F.year(F.current_date())).when(second != "", second.try_cast("int")).otherwise(first)
+    """Whether a year is within a spec's bounds; a null spec passes all, a null year never matches another."""
+    low, high = year_bounds(spec)
     return spec.isNull() | F.coalesce(year.between(low, high), F.lit(False))
 
 
@@ -99,10 +159,12 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: s != "")
 
 
-def knowledge_sentence(sentence: Column) -> Column:
-    """Neither caption, step, address nor numbered item; has letters and six words or more."""
-    noise = sentence.rlike(r"(?i)^\s*(figure|table|step|fig\.)\s*[0-9]|https?://|^\s*[0-9]+[.)]\s")
-    return ~noise & sentence.rlike("[A-Za-z]") & (F.size(F.split(F.trim(sentence), r"\s+")) >= 6)
+def knowledge_sentence(sentence: Column, tags: Column | None = None) -> Column:
+    """Begins like a fact, has letters and six tokens or more (words and marks); with ``tags``, word classes from
+    an extractor, also a verb and a noun."""
+    text = F.trim(sentence)
+    ok = ~text.rlike("(?i)^(?:" + "|".join(NOISE_STARTS) + ")") & text.rlike("[A-Za-z]") & (F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]")) >= 6)
+    return ok if tags is None else ok & F.array_contains(tags, "VERB") & F.arrays_overlap(tags, F.array(F.lit("NOUN"), F.lit("PROPN")))
 
 
 def sliding_chunks(text: Column, size: int = 800, overlap: int = 150) -> Column:
@@ -136,18 +198,28 @@ def blocks_with_offsets(text: Column) -> Column:
     return F.filter(placed, lambda b: F.trim(b["block"]) != "")
 
 
-def content_lines(text: Column, heading: str, dropped: str) -> Column:
-    """Lines outside sections whose heading matches ``dropped``, deeper subsections included.
+def section_filter(text: Column, heading: str, dropped: str) -> Column:
+    """struct(lines, dropped): lines outside sections whose heading matches ``dropped``, deeper subsections included, and the
+    headings of the sections left out.
 
     ``heading`` is a pattern whose first group's length is the level. State: the level of the open dropped section, 0 if none."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("level"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("lines"), none.alias("dropped"), F.lit(0).alias("level"))
 
     def step(a: Column, line: Column) -> Column:
         level = F.length(F.regexp_extract(line, heading, 1))
-        opened = F.when((level > 0) & ((a["level"] == 0) | (level <= a["level"])), F.when(line.rlike(dropped), level).otherwise(0)).otherwise(a["level"])
-        return F.struct(F.when(opened == 0, F.array_append(a["out"], line)).otherwise(a["out"]).alias("out"), opened.alias("level"))
+        free = (level > 0) & ((a["level"] == 0) | (level <= a["level"]))
+        hit = free & line.rlike(dropped)
+        opened = F.when(hit, level).when(free, 0).otherwise(a["level"])
+        return F.struct(
+            F.when(opened == 0, F.array_append(a["lines"], line)).otherwise(a["lines"]).alias("lines"), F.when(hit, F.array_append(a["dropped"], line)).otherwise(a["dropped"]).alias("dropped"), opened.alias("level")
+        )
 
-    return F.aggregate(F.split(text, "\n"), start, step, lambda a: a["out"])
+    return F.aggregate(F.split(text, "\n"), start, step, lambda a: F.struct(a["lines"].alias("lines"), a["dropped"].alias("dropped")))
+
+
+def content_lines(text: Column, heading: str, dropped: str) -> Column:
+    return section_filter(text, heading, dropped)["lines"]
 
 
 def topic_title(heading: Column) -> Column:
@@ -157,20 +229,34 @@ def topic_title(heading: Column) -> Column:
 
 
 def looks_like_term(text: Column) -> Column:
-    """A term needs a word of two letters and no markup, address or entity."""
-    return text.rlike("[A-Za-z]{2,}") & ~text.rlike(r"\||&[a-z]+;|https?://|!\[|\[.*\]\(")
+    """A term has two characters and two letters in a row at least, and is no markup, address, entity or file name."""
+    low = F.lower(text)
+    junk = low.isin(ENTITY_NAMES) | text.contains("|") | low.rlike("&[a-z]{2,5};?") | text.rlike(r"^(#|!|<|http|www\.|img-|&)") | text.rlike(r"\.(png|jpg|jpeg|gif|svg)$")
+    return (F.length(text) >= 2) & text.rlike("[A-Za-z]{2,}") & ~junk
+
+
+def trimmed_term(text: Column, stop_words: list[str]) -> Column:
+    """The term without leading determiners and pronouns and without punctuation at its edges; null if only stop words are left."""
+    words = F.split(clean_surface(text), " ")
+    first = F.get(F.filter(F.transform(words, lambda w, i: F.when(F.lower(w).isin(LEADING), None).otherwise(i)), lambda i: i.isNotNull()), F.lit(0))
+    kept = F.when(first.isNotNull(), F.slice(words, first + 1, F.size(words)))
+    content = F.exists(kept, lambda w: w.rlike("[A-Za-z]{2,}") & ~F.lower(w).isin(stop_words))
+    return F.when(content, clean_surface(F.array_join(kept, " ")))
 
 
 def kind_gate(text: Column, kind: Column) -> Column:
-    """struct(bin, reason): classes, individuals (digits) and non-concepts (no letters, markup, numbered document words)."""
+    """struct(bin, reason): classes, individuals (a particular with a digit) and non-concepts. Relations lose only debris and digits."""
     out = lambda b, r: F.struct(F.lit(b).alias("bin"), F.lit(r).alias("reason"))
-    bad = ~F.coalesce(text.rlike("[A-Za-z]"), F.lit(False))
+    relation, digit = F.coalesce(kind == "relation", F.lit(False)), text.rlike("[0-9]")
+    label = digit & F.arrays_overlap(F.split(F.lower(text), "[^a-z]+"), F.array(*map(F.lit, DOCUMENT_WORDS)))
     return (
-        F.when(bad, out("non_concept", "no_letters"))
-        .when(text.rlike(r"[{}\\$|<>&]"), out("non_concept", "markup"))
-        .when(text.rlike(r"(?i)^(figure|table|section|chapter|step|page)\s*[0-9]"), out("non_concept", "numbered_document_word"))
-        .when((kind == "concept") & text.rlike("[0-9]"), out("individual", "has_digit"))
-        .otherwise(out("class", "ok"))
+        F.when(~F.coalesce(text.rlike("[A-Za-z]"), F.lit(False)), F.when(relation, out("non_concept", "no letters")).otherwise(out("non_concept", "no letters (pure symbol/number)")))
+        .when(text.rlike(r"[\\${}^_|<>&]"), out("non_concept", "LaTeX/markup debris"))
+        .when(relation & digit, out("non_concept", "numeric (not a relation)"))
+        .when(relation, out("class", "predicate"))
+        .when(label, out("non_concept", "numbered document-structure label"))
+        .when(digit, out("individual", "contains a numeric value (a particular)"))
+        .otherwise(out("class", "common-noun phrase"))
     )
 
 
@@ -189,22 +275,22 @@ def envelope(source: Column, key: Column, text: Column) -> Column:
     return F.format_string('<untrusted source="%s" id="%s">\n%s\n</untrusted>', source, key.cast("string"), text)
 
 
-def without_exercises(text: Column, opens: str = r"(?i)^(#{1,6}\s*)?(exercises?|practice|problems?)\b") -> Column:
-    """Lines outside exercise blocks. State: content, or inside a section, a heading's block or a paragraph to skip.
+def without_exercises(text: Column) -> Column:
+    """Lines outside exercises, worked examples and end-of-section blocks.
 
-    A block opened by a heading ends at the next heading of its level or above; one opened by a plain line ends at a blank line."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("content").alias("mode"), F.lit(0).alias("level"))
+    State: content, or skipping: after a bare exercise line up to the next numbered section, under a skipped heading up to a heading
+    of its depth or above, or after a quoted task up to a blank line."""
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("content").alias("mode"), F.lit(0).alias("depth"))
+    opens = r"(?i)^#{1,6}\s+(?:" + "|".join(SKIPPED_HEADINGS) + ")"
 
     def step(a: Column, line: Column) -> Column:
-        level = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1))
-        hit, blank = line.rlike(opens), F.trim(line) == ""
-        ends = F.when(a["mode"] == "skip_section", (level > 0) & (level <= a["level"])).when(a["mode"] == "skip_paragraph", blank).otherwise(F.lit(False))
-        free = (a["mode"] == "content") | ends
-        mode = F.when(free & hit & (level > 0), "skip_section").when(free & hit & ~blank, "skip_paragraph").when(free, "content").otherwise(a["mode"])
-        keep = (mode == "content") & ~((a["mode"] == "skip_paragraph") & blank)
-        return F.struct(
-            F.when(keep, F.array_append(a["out"], line)).otherwise(a["out"]).alias("out"), mode.alias("mode"), F.when((mode == "skip_section") & free, level).otherwise(a["level"]).alias("level")
-        )
+        depth, was = F.length(F.regexp_extract(line, r"^(#{1,6})\s", 1)), a["mode"]
+        ends = (
+            F.when(was == "section", line.rlike(NUMBERED_SECTION)).when(was == "heading", (depth > 0) & (depth <= a["depth"])).when(was == "paragraph", F.trim(line) == "").otherwise(True)
+        )
+        hit = (was.isin("content", "heading")) & ends & line.rlike(opens)
+        mode = F.when(line.rlike(EXERCISE_LINE), "section").when(hit, "heading").when((was == "content") & line.rlike(QUOTED_TASK), "paragraph").when(ends, "content").otherwise(was)
+        return F.struct(F.when(mode == "content", F.array_append(a["out"], line)).otherwise(a["out"]).alias("out"), mode.alias("mode"), F.when(hit, depth).otherwise(a["depth"]).alias("depth"))
 
     return F.aggregate(F.split(text, "\n"), start, step, lambda a: a["out"])
 
@@ -265,3 +351,16 @@ def window_note(title: Column, abstract: Column, authors: Column) -> Column:
     """A compact note: title, first three authors, first sentence of the abstract, cut to 300 characters."""
     first = F.substring(F.split(abstract, r"\. ")[0], 1, 300)
     return F.concat_ws(" — ", title, F.array_join(F.slice(authors, 1, 3), ", "), first)
+
+
+def fenced_json(reply: Column) -> Column:
+    """The JSON object in a model's reply: code fences off, else from the first to the last brace; null if there is none."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(reply), r"(?m)^```(?:json)?\s*", ""), r"(?m)\s*```$", ""))
+    found = F.regexp_extract(bare, r"(?s)\{.*\}", 0)
+    return F.when(found != "", found)
+
+
+def merged_unique(*lists: Column) -> Column:
+    """Scope terms of several lists: trimmed, blanks out, the first of each name whatever its case."""
+    items = F.filter(F.transform(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]), lambda x: F.trim(x)), lambda x: x != "")
+    return distinct_folded(items)

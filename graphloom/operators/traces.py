@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import year_bounds
+
 #: Price per 1,000 tokens of the three tiers, and the tier of each stage.
 PRICES = {"small": 0.001, "medium": 0.004, "large": 0.020}
 CITATION = r"\[S2:([A-Za-z0-9]+)\]"
@@ -14,7 +16,7 @@ CITATION = r"\[S2:([A-Za-z0-9]+)\]"
 def is_empty(output: Column, status: Column) -> Column:
     """Null or blank, status empty, no hits or count, or an empty paper list."""
     get = lambda p: F.get_json_object(output, p)
-    return output.isNull() | (F.trim(output) == "") | F.coalesce(status == "empty", F.lit(False)) | F.coalesce((get("$.hits") == "0") | (get("$.count") == "0") | (get("$.papers") == "[]"), F.lit(False))
+    return output.isNull() | (F.trim(output) == "") | F.coalesce(status == "empty", F.lit(False)) | F.coalesce((get("$.hits") == "0") | (get("$.count") == "0"), F.lit(False)) | F.coalesce((get("$.papers") == "[]") | (get("$.status") == "empty"), F.lit(False))
 
 
 def is_error(output: Column) -> Column:
@@ -35,17 +37,24 @@ def run_totals(spans: DataFrame) -> DataFrame:
 
 
 def seen_ids(spans: DataFrame) -> DataFrame:
-    """(run_id, id) of papers that searches listed or fetches returned."""
+    """(run_id, id) of papers that searches listed or fetches returned; an id is read as ``id`` or ``paperId``."""
     out = spans.filter(F.col("name").isin("tool:search_papers", "tool:fetch_paper"))
-    listed = F.from_json(F.get_json_object("output", "$.papers"), "array<struct<paperId:string>>")
-    ids = F.concat(F.coalesce(F.transform(listed, lambda p: p["paperId"]), F.array().cast("array<string>")), F.array(F.get_json_object("output", "$.paperId")))
-    return out.select("run_id", F.explode(ids).alias("id")).filter("id is not null").distinct()
+    listed = F.from_json(F.get_json_object("output", "$.papers"), "array<struct<id:string,paperId:string>>")
+    listed = F.when(F.col("name") == "tool:search_papers", F.transform(listed, lambda p: F.coalesce(p["id"], p["paperId"])))
+    fetched = F.when(F.col("name") == "tool:fetch_paper", F.coalesce(F.get_json_object("output", "$.id"), F.get_json_object("output", "$.paperId")))
+    ids = F.concat(F.coalesce(listed, F.array().cast("array<string>")), F.array(fetched))
+    return out.select("run_id", F.explode(ids).alias("id")).filter("id is not null and id <> ''").distinct()
+
+
+#: Names under which saving a file is traced.
+SAVES = ["tool:save_to_file", "tool:save_file"]
 
 
 def saved_content(spans: DataFrame) -> DataFrame:
-    """(run_id, content, file) of the first save."""
-    saves = spans.filter(F.col("name") == "tool:save_file")
-    return saves.groupBy("run_id").agg(F.min_by(F.get_json_object("input", "$.content"), "seq").alias("content"), F.min_by(F.get_json_object("input", "$.filename"), "seq").alias("file"))
+    """(run_id, content, file): the first saved content of a run, and the first file that stays inside the output folder."""
+    saves = spans.filter(F.col("name").isin(SAVES)).withColumn("_f", F.get_json_object("input", "$.filename")).withColumn("_c", F.get_json_object("input", "$.content"))
+    first = lambda x, ok: F.min_by(F.when(ok, F.col(x)), F.when(ok, F.col("seq")))
+    return saves.groupBy("run_id").agg(first("_c", F.col("_c").isNotNull()).alias("content"), first("_f", F.coalesce(safe_path(F.col("_f")), F.lit(False))).alias("file"))
 
 
 def cited_ids(contents: DataFrame) -> DataFrame:
@@ -63,32 +72,78 @@ def invented(cited: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def safe_path(path: Column) -> Column:
-    return (path != "") & ~path.startswith("/") & ~F.exists(F.split(path, "/"), lambda p: p == "..")
+    return (path != "") & ~path.startswith("/") & ~path.contains("..")
 
 
-def grade_runs(runs: DataFrame, spans: DataFrame, gold: DataFrame | None = None, least_recall: float = 0.8) -> DataFrame:
-    """(run_id, passed, reason): the cheapest failing check gives the reason."""
+def grade_runs(runs: DataFrame, spans: DataFrame, gold: DataFrame | None = None, judged: DataFrame | None = None, least_recall: float = 0.8) -> DataFrame:
+    """(run_id, passed, reason): checks from cheap to dear, the first that fails gives the reason.
+
+    ``gold`` is (run_id, id); ``judged`` (run_id, scores map<string,int>, evidence) holds a judge's verdicts, where there are any."""
     contents = saved_content(spans)
     cited, seen = cited_ids(contents), seen_ids(spans)
     bad = invented(cited, seen).groupBy("run_id").agg(F.count(F.lit(1)).alias("n_invented"))
-    searches = spans.filter(F.col("name") == "tool:search_papers").groupBy("run_id").agg(F.bool_and(is_empty(F.col("output"), F.col("status"))).alias("all_empty"))
-    joined = runs.select("run_id").join(contents, "run_id", "left").join(bad, "run_id", "left").join(searches, "run_id", "left")
+    cites = cited.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_cited"))
+    searches = spans.filter(F.col("name") == "tool:search_papers").groupBy("run_id").agg(F.bool_and(is_empty(F.col("output"), F.lit("ok"))).alias("all_empty"))
+    joined = runs.select("run_id").distinct()
+    for part in (contents, bad, cites, searches):
+        joined = joined.join(part, "run_id", "left")
     if gold is None:
         joined = joined.withColumn("recall", F.lit(1.0))
     else:
-        hits = gold.join(seen.withColumn("_h", F.lit(1)), ["run_id", "id"], "left").groupBy("run_id").agg(F.avg(F.coalesce("_h", F.lit(0)).cast("double")).alias("recall"))
+        hits = gold.distinct().join(seen.withColumn("_h", F.lit(1)), ["run_id", "id"], "left").groupBy("run_id").agg(F.avg(F.coalesce("_h", F.lit(0)).cast("double")).alias("recall"))
         joined = joined.join(hits, "run_id", "left").withColumn("recall", F.coalesce("recall", F.lit(1.0)))
-    abstained = F.coalesce(F.lower("content").rlike("no (relevant )?(papers|sources|results)|could not find|abstain"), F.lit(False))
+    joined = joined.join(judged.select("run_id", "scores", "evidence"), "run_id", "left") if judged is not None else joined.withColumn("scores", F.lit(None).cast("map<string,int>")).withColumn("evidence", F.lit(None).cast("string"))
+    text = F.coalesce("content", F.lit(""))
     reason = (
-        F.when(~F.coalesce(well_formed(F.col("content")), F.lit(True)), "malformed citation")
+        F.when(F.col("file").isNull(), "no file saved to output/")
+        .when(~well_formed(text), "malformed citation")
         .when(F.coalesce("n_invented", F.lit(0)) > 0, "invented citation")
-        .when(F.coalesce("all_empty", F.lit(False)) & ~abstained, "no abstention on zero sources")
-        .when(F.col("file").isNotNull() & ~safe_path(F.col("file")), "saved outside the output folder")
-        .when(F.col("recall") < least_recall, "low recall")
+        .when(F.coalesce("all_empty", F.lit(False)) & ~abstains(text, F.col("n_cited")), "improvised a section with zero sources")
+        .when(F.col("recall") < least_recall, "missed required papers")
+        .when(F.array_min(F.map_values("scores")) < 1, F.coalesce("evidence", F.lit("{}")))
     )
     return joined.select("run_id", reason.isNull().alias("passed"), reason.alias("reason"))
 
 
+#: What a text says that leaves a section out for want of sources.
+ABSTENTIONS = ["no sources", "no results", "omitted", "abstain"]
+
+
+def abstains(content: Column, n_cited: Column) -> Column:
+    """Says so, and cites nothing."""
+    return F.lower(content).rlike("|".join(ABSTENTIONS)) & (F.coalesce(n_cited, F.lit(0)) == 0)
+
+
+def replay_cases(cases: DataFrame, runs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(case, run_id, passed) of frozen cases (case, run_id, kind): ``abstain`` asks that a run invents no citation and does not
+    write a section without sources, ``full`` that it passes all grades."""
+    contents, seen = saved_content(spans), seen_ids(spans)
+    cited = cited_ids(contents)
+    bad = invented(cited, seen).select("run_id").distinct().withColumn("_bad", F.lit(True))
+    cites = cited.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_cited"))
+    searches = spans.filter(F.col("name") == "tool:search_papers").groupBy("run_id").agg(F.bool_and(is_empty(F.col("output"), F.lit("ok"))).alias("all_empty"))
+    full = grade_runs(runs, spans).select("run_id", F.col("passed").alias("_full"))
+    joined = cases
+    for part in (contents, bad, cites, searches, full):
+        joined = joined.join(part, "run_id", "left")
+    quiet = ~F.coalesce("all_empty", F.lit(False)) | abstains(F.coalesce("content", F.lit("")), F.col("n_cited"))
+    return joined.select("case", "run_id", F.when(F.col("kind") == "full", F.coalesce("_full", F.lit(False))).otherwise(F.col("_bad").isNull() & quiet).alias("passed"))
+
+
+def parser_regression(cases: DataFrame) -> DataFrame:
+    """(name, passed) of cases (name, spec, low, high): bounds that a year spec must have; a null spec has none."""
+    low, high = year_bounds(F.col("spec"))
+    return cases.select("name", (low.eqNullSafe(F.col("low")) & high.eqNullSafe(F.col("high"))).alias("passed"))
+
+
+def with_feedback(spans: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``spans`` with a span ``feedback:<item>`` after the others of its run for each verdict (run_id, item, verdict)."""
+    last = spans.groupBy("run_id").agg(F.max("seq").alias("_last"))
+    place = F.row_number().over(W.partitionBy("run_id").orderBy("item"))
+    rows = verdicts.join(last, "run_id").select("run_id", (F.col("_last") + place).cast(spans.schema["seq"].dataType).alias("seq"), F.concat(F.lit("feedback:"), "item").alias("name"), F.lit("ok").alias("status"), F.col("verdict").alias("output"))
+    return spans.unionByName(rows, allowMissingColumns=True)
+
+
 def cost_rollup(spans: DataFrame, tier: str) -> DataFrame:
     """Tokens and cost by run and span name, and of each run as a whole (name null)."""
     by = spans.groupBy("run_id", "name").agg(F.sum("tokens").alias("tokens"))
@@ -105,14 +160,29 @@ def routed_and_flat(spans: DataFrame, routes: DataFrame, flat: str = "large", de
 
 
 def summary_lines(spans: DataFrame) -> DataFrame:
-    a = spans.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "error").alias("e"), F.count_if(F.col("status") == "empty").alias("m"), F.sum("tokens").alias("t"))
-    return a.select("run_id", F.format_string("%d spans, %d errors, %d empty, %d tokens", "n", "e", "m", "t").alias("line"))
+    """(run_id, line): subtopics, or searches where none is traced, papers fetched, and whether writing has begun."""
+    count = lambda name: F.count_if(F.col("name") == name)
+    a = spans.groupBy("run_id").agg(count("worker").alias("w"), count("tool:search_papers").alias("s"), count("tool:fetch_paper").alias("p"), F.bool_or(F.col("name") == "synthesize").alias("z"))
+    state = F.when(F.col("z"), "synthesizing now").otherwise("gathering sources")
+    return a.select("run_id", F.format_string("Surveying %d subtopics \u00b7 %d papers retrieved \u00b7 %s", F.when(F.col("w") > 0, F.col("w")).otherwise(F.col("s")), "p", state).alias("line"))
+
+
+def plan_view(spans: DataFrame) -> DataFrame:
+    """(run_id, lines): every subtopic with its mark; one line of its own for a run without any."""
+    n = F.row_number().over(W.partitionBy("run_id").orderBy("seq"))
+    workers = spans.filter(F.col("name") == "worker").withColumn("_n", n)
+    mark = F.when(F.col("status").isin("ok", "error"), "[x]").when(F.col("status") == "empty", "[!]").otherwise("[ ]")
+    label = F.coalesce(F.get_json_object("input", "$.subgoal"), F.concat(F.lit("subtopic "), F.col("_n").cast("string")))
+    line = F.rtrim(F.concat(F.lit("  "), mark, F.lit(" "), label, F.lit(" "), F.when(F.col("status") == "empty", "0 papers").otherwise("")))
+    lines = workers.select("run_id", F.struct("_n", line.alias("line")).alias("_l")).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list("_l")), lambda x: x["line"]).alias("lines"))
+    return spans.select("run_id").distinct().join(lines, "run_id", "left").withColumn("lines", F.coalesce("lines", F.array(F.lit("  [ ] (no plan recorded)"))))
 
 
 def waterfall(spans: DataFrame) -> DataFrame:
-    """Spans in order with their start and length in milliseconds from the run's first start."""
-    w = W.partitionBy("run_id")
-    return spans.select("run_id", F.row_number().over(w.orderBy("start", "seq")).alias("step"), "name", F.round((F.col("start") - F.min("start").over(w)) * 1000, 3).alias("at_ms"), F.round((F.col("end") - F.col("start")) * 1000, 3).alias("ms"))
+    """(run_id, step, line): spans in order with their milliseconds, and their status where it is not ok."""
+    ms = F.floor((F.col("end") - F.col("start")) * 1000).cast("string")
+    line = F.concat(F.lit("  "), F.rpad("name", F.greatest(F.length("name"), F.lit(24)), F.lit(" ")), F.lit(" "), F.lpad(ms, F.greatest(F.length(ms), F.lit(6)), F.lit(" ")), F.lit("ms"), F.when(F.col("status") == "ok", "").otherwise(F.concat(F.lit("  <"), "status", F.lit(">"))))
+    return spans.select("run_id", F.row_number().over(W.partitionBy("run_id").orderBy("seq")).alias("step"), line.alias("line"))
 
 
 def self_consistency(samples: DataFrame) -> DataFrame:
@@ -121,16 +191,26 @@ def self_consistency(samples: DataFrame) -> DataFrame:
 
 
 def claim_gate(claims: DataFrame, edges: DataFrame, fetched: DataFrame) -> DataFrame:
-    """``claims`` (src, rel, dst, ambiguous) with action and rendered text: state, resolve, ask or abstain."""
+    """``claims`` (src, rel, dst, ambiguous) with action (state, resolve, ask, abstain), verified, and the text to show."""
     key = ["src", "rel", "dst"]
     joined = claims.join(edges.select(*key).distinct().withColumn("_e", F.lit(True)), key, "left").join(fetched.select(*key).distinct().withColumn("_f", F.lit(True)), key, "left")
     action = F.when(F.col("_e"), "state").when(F.col("_f"), "resolve").when(F.col("ambiguous"), "ask").otherwise("abstain")
-    mark = F.when(F.col("action").isin("state", "resolve"), "[verified]").otherwise("[unverified]")
-    return joined.withColumn("action", action).withColumn("text", F.concat_ws(" ", "src", "rel", "dst", mark)).drop("_e", "_f")
+    verb = F.when(F.col("rel") == "CITES", "cites").otherwise(F.col("rel"))
+    said = lambda source: F.concat(F.concat_ws(" ", "src", verb, "dst"), F.lit(f"  [source: {source}, verified]"))
+    maybe = F.concat(F.concat_ws(" ", "src", F.lit("may"), F.when(F.col("rel") == "CITES", "cite").otherwise(F.col("rel")), "dst"), F.lit("  [unverified: no supporting graph record]"))
+    ask = F.concat(F.lit("Which paper do you mean by '"), "src", F.lit("' / '"), "dst", F.lit("'?"))
+    text = F.when(F.col("action") == "state", said("graph")).when(F.col("action") == "resolve", said("tool:semantic_scholar")).when(F.col("action") == "ask", ask).otherwise(maybe)
+    return joined.withColumn("action", action).withColumn("verified", F.col("action").isin("state", "resolve")).withColumn("text", text).drop("_e", "_f")
+
+
+def resolved_edges(edges: DataFrame, gated: DataFrame) -> DataFrame:
+    """``edges`` (src, rel, dst) with those that the gate resolved."""
+    return edges.select("src", "rel", "dst").unionByName(gated.filter("action = 'resolve'").select("src", "rel", "dst")).distinct()
 
 
-def response_policy(supported: Column, consistent: Column, ambiguous: Column, risky: Column) -> Column:
-    return F.when(ambiguous, "ask").when(risky & ~supported, "abstain").when(supported & consistent, "state").when(supported, "hedge").otherwise("abstain")
+def response_policy(reducible: Column, by_agent: Column, bounded: Column, high_stakes: Column) -> Column:
+    """What can be found out is resolved, or asked if only the user knows; a bounded doubt of low stakes is hedged; else abstain."""
+    return F.when(reducible & by_agent, "resolve").when(reducible, "ask").when(bounded & ~high_stakes, "hedge").otherwise("abstain")
 
 
 def budget_audit(spans: DataFrame, cap: int) -> DataFrame:
@@ -148,8 +228,12 @@ def write_audit(calls: DataFrame, irreversible: list[str]) -> DataFrame:
 
 
 def screening(records: DataFrame) -> DataFrame:
-    """Screening flow of (title, doi, excluded_by): identified, after dedup, excluded and included."""
-    unique = records.withColumn("_t", F.lower(F.trim("title"))).dropDuplicates(["_t", "doi"])
+    """Screening flow of (title, doi, excluded_by): identified, screened after dedup, excluded, included, and a map of exclusions by
+    reason. Records are one if title, whatever its case and white space, and doi are the same; one with a reason wins."""
+    key = F.regexp_replace(F.lower(F.trim("title")), r"\s+", " ")
+    unique = records.groupBy(key.alias("_t"), "doi").agg(F.min("excluded_by").alias("excluded_by"))
     a = records.agg(F.count(F.lit(1)).alias("identified"))
     b = unique.agg(F.count(F.lit(1)).alias("screened"), F.count("excluded_by").alias("excluded"), F.count_if(F.col("excluded_by").isNull()).alias("included"))
-    return a.join(b)
+    reasons = unique.filter("excluded_by is not null").groupBy("excluded_by").agg(F.count(F.lit(1)).alias("n"))
+    by = reasons.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("excluded_by", "n")))).alias("by_reason"))
+    return a.join(b).join(by)

@@ -129,17 +129,58 @@ def test_retrieval(spark):
     assert retrieval.recall_at_k(top, spark.createDataFrame([(2, 0), (2, 3)], "query_id long, id long"), 2).first()["recall"] == 0.5
 
 
+def spans_of(spark):
+    schema = "run_id string, seq long, name string, status string, input string, output string, start double, end double, tokens int"
+    save = lambda c, f="n.md": '{"filename": "%s", "content": "%s"}' % (f, c)
+    empty, some = '{"hits": 0, "status": "empty"}', '{"papers": [{"id": "a1"}, {"id": "b2"}]}'
+    rows = [
+        ("bad", 1, "tool:search_papers", "empty", None, empty, 10), ("bad", 2, "tool:save_to_file", "ok", save("x [S2:fake1234]"), "saved", 5), ("good", 1, "tool:search_papers", "error", None, '{"error": "limit"}', 10), ("good", 2, "tool:save_to_file", "ok", save("text"), "saved", 5),
+        ("quiet", 1, "tool:search_papers", "empty", None, empty, 1), ("quiet", 2, "tool:save_to_file", "ok", save("Omitted: no sources"), "", 1), ("bold", 1, "tool:search_papers", "empty", None, empty, 1), ("bold", 2, "tool:save_to_file", "ok", save("A section"), "", 1),
+        ("none", 1, "worker", "empty", '{"subgoal": "gnn"}', None, 1), ("out", 1, "tool:save_to_file", "ok", save("x", "../n.md"), "", 1), ("form", 1, "tool:save_to_file", "ok", save("[S2:a-b]"), "", 1),
+        ("cites", 1, "tool:search_papers", "ok", None, some, 1), ("cites", 2, "tool:fetch_paper", "ok", None, '{"id": "c3"}', 1), ("cites", 3, "tool:save_to_file", "ok", save("[S2:a1] [S2:c3]"), "", 1), ("cites", 4, "synthesize", "ok", None, None, 1),
+    ]
+    return spark.createDataFrame([(*r[:6], 1.0 * r[1], 1.0 * r[1] + 0.041, r[6]) for r in rows], schema)
+
+
 def test_replayed_traces(spark):
-    s = spark.createDataFrame(
-        [("bad", 1, "tool:search_papers", "empty", None, '{"papers": []}', 10), ("bad", 2, "tool:save_file", "ok", '{"filename": "n.md", "content": "x [S2:fake1234]"}', "saved", 5), ("good", 1, "tool:search_papers", "error", None, '{"error": "limit"}', 10), ("good", 2, "tool:save_file", "ok", '{"filename": "n.md", "content": "no sources"}', "saved", 5)],
-        "run_id string, seq long, name string, status string, input string, output string, tokens int",
-    )
-    g = traces.grade_runs(s.select("run_id").distinct(), s)
-    assert rows(g, "run_id", "passed", "reason") == [("bad", False, "invented citation"), ("good", True, None)]
-    assert rows(traces.run_totals(s), "run_id", "tokens", "has_anomaly") == [("bad", 15, True), ("good", 15, True)]
-    claims = spark.createDataFrame([("P1", "CITES", "P2", False), ("P1", "CITES", "P3", False)], "src string, rel string, dst string, ambiguous boolean")
-    gate = traces.claim_gate(claims, spark.createDataFrame([("P1", "CITES", "P2")], "src string, rel string, dst string"), claims.limit(0))
-    assert rows(gate, "dst", "action") == [("P2", "state"), ("P3", "abstain")]
+    s = spans_of(spark)
+    runs = s.select("run_id").distinct()
+    want = {"bad": "invented citation", "good": None, "quiet": None, "bold": "improvised a section with zero sources", "none": "no file saved to output/", "out": "no file saved to output/", "form": "malformed citation", "cites": None}
+    assert {r["run_id"]: r["reason"] for r in traces.grade_runs(runs, s).collect()} == want
+    gold = spark.createDataFrame([("cites", x) for x in ("a1", "b2", "zz")] + [("good", "q")], "run_id string, id string")
+    judged = spark.createDataFrame([("quiet", {"depth": 0}, '{"depth": "thin"}')], "run_id string, scores map<string,int>, evidence string")
+    got = {r["run_id"]: r["reason"] for r in traces.grade_runs(runs, s, gold, judged).collect()}
+    assert got == want | {"cites": "missed required papers", "good": "missed required papers", "quiet": '{"depth": "thin"}'}
+    cases = spark.createDataFrame([("w", r, "abstain") for r in ("bad", "good", "quiet", "bold")] + [("f", "out", "full")], "case string, run_id string, kind string")
+    assert rows(traces.replay_cases(cases, runs, s), "run_id", "passed") == [("bad", False), ("bold", False), ("good", True), ("out", False), ("quiet", True)]
+    assert {r["run_id"]: (r["tokens"], r["has_anomaly"]) for r in traces.run_totals(s).collect()}["bad"] == (15, True)
+    lines = {r["run_id"]: r["line"] for r in traces.summary_lines(s).collect()}
+    assert lines["cites"] == "Surveying 1 subtopics \u00b7 1 papers retrieved \u00b7 synthesizing now" and lines["none"].endswith("0 papers retrieved \u00b7 gathering sources")
+    plans = {r["run_id"]: r["lines"] for r in traces.plan_view(s).collect()}
+    assert plans["none"] == ["  [!] gnn 0 papers"] and plans["bad"] == ["  [ ] (no plan recorded)"]
+    assert [r["line"] for r in traces.waterfall(s).filter("run_id = 'bad'").orderBy("step").collect()] == ["  tool:search_papers           40ms  <empty>", "  tool:save_to_file            40ms"]
+    fed = traces.with_feedback(s, spark.createDataFrame([("cites", "P1", "kept"), ("cites", "P2", "deleted")], "run_id string, item string, verdict string"))
+    assert rows(fed.filter("name like 'feedback:%'"), "run_id", "seq", "name", "output") == [("cites", 5, "feedback:P1", "kept"), ("cites", 6, "feedback:P2", "deleted")]
+
+
+def test_claims_and_policies(spark):
+    claims = spark.createDataFrame([("P1", "CITES", "P2", False), ("P1", "CITES", "P3", False), ("P1", "CITES", "P4", False), ("P1", "CITES", "P5", True)], "src string, rel string, dst string, ambiguous boolean")
+    edges = spark.createDataFrame([("P1", "CITES", "P2")], "src string, rel string, dst string")
+    gate = traces.claim_gate(claims, edges, spark.createDataFrame([("P1", "CITES", "P4")], "src string, rel string, dst string"))
+    assert rows(gate, "dst", "action", "verified", "text") == [
+        ("P2", "state", True, "P1 cites P2  [source: graph, verified]"), ("P3", "abstain", False, "P1 may cite P3  [unverified: no supporting graph record]"),
+        ("P4", "resolve", True, "P1 cites P4  [source: tool:semantic_scholar, verified]"), ("P5", "ask", False, "Which paper do you mean by 'P1' / 'P5'?"),
+    ]
+    assert rows(traces.resolved_edges(edges, gate), "dst") == [("P2",), ("P4",)]
+    b = [True, False]
+    grid = spark.createDataFrame([(r, a, o, h) for r in b for a in b for o in b for h in b], "r boolean, a boolean, o boolean, h boolean")
+    for x in grid.withColumn("x", traces.response_policy(F.col("r"), F.col("a"), F.col("o"), F.col("h"))).collect():
+        assert x["x"] == (("resolve" if x["a"] else "ask") if x["r"] else "hedge" if x["o"] and not x["h"] else "abstain")
+    year = spark.range(1).select(F.year(F.current_date()).alias("y")).first()["y"]
+    cases = [("since", "since 2024", 2024, year), ("single", "2024", 2024, 2024), ("range", "2019-2023", 2019, 2023), ("none", None, None, None), ("before", "before 2020", 1900, 2020), ("wrong", "2024", 2024, 2025)]
+    assert rows(traces.parser_regression(spark.createDataFrame(cases, "name string, spec string, low int, high int")).filter("not passed"), "name") == [("wrong",)]
+    flow = traces.screening(spark.createDataFrame([("A b", "1", None), ("a  B ", "1", "off topic"), ("C", "2", None), ("D", "3", "old"), ("D", "4", "old")], "title string, doi string, excluded_by string")).first()
+    assert (flow["identified"], flow["screened"], flow["excluded"], flow["included"], flow["by_reason"]) == (5, 4, 3, 1, {"off topic": 1, "old": 2})
 
 
 def test_feed(spark, tmp_path):

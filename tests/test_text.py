@@ -43,19 +43,46 @@ def test_keys_and_labels(spark):
     assert one(spark, X.canonical_label(F.col("t"), F.lit("concept")), "the water main") == "WaterMain"
     assert one(spark, X.canonical_label(F.col("t"), F.lit("relation")), "dispatched to EMS") == "dispatchedToEMS"
     assert one(spark, X.dedup_key(F.col("t")), "Water  Mains") == "water main"
-    assert one(spark, X.kind_gate(F.col("t"), F.lit("concept")), "Unit 7")["bin"] == "individual"
-    assert one(spark, X.kind_gate(F.col("t"), F.lit("concept")), "--")["reason"] == "no_letters"
+    assert one(spark, X.kind_gate(F.col("t"), F.lit("concept")), "Engine 7")["bin"] == "individual"
+    assert one(spark, X.kind_gate(F.col("t"), F.lit("concept")), "--")["bin"] == "non_concept"
 
 
 def test_edge_order_and_markdown(spark):
     a = F.array(*map(F.lit, "abcde"))
     assert one(spark, X.edge_order(a), "") == list("abcde") and one(spark, X.edge_order(a, "edges"), "") == list("acedb")
-    assert one(spark, X.clean_markdown(F.col("t")), "# Head\n**bold** [link](http://x) `code` <b>x</b>") == "Head\nbold link code  x"
+    assert one(spark, X.clean_markdown(F.col("t")), "# Head\n**bold** [link](http://x) `code` <b>x</b>") == "Head\nbold link   <b>x</b>"
 
 
 def test_exercise_blocks(spark):
-    t = "intro\nPractice: do this\nmore of it\n\nback\n## Exercises\n1. a\n### deeper\nb\n## Next\nend"
-    assert one(spark, X.without_exercises(F.col("t")), t) == ["intro", "back", "## Next", "end"]
+    t = "intro\n> TRY IT : 1.1\nmore of it\n\nback\n## EXAMPLE 1.1\n1. a\n### deeper\nb\n## Solution\nc\n## Next\ntext\n 1.1 EXERCISES\n## Practice\nd\n# 1.2 EXERCISES\ne\n# 1.2 Use It\nend"
+    assert one(spark, X.without_exercises(F.col("t")), t) == ["intro", "", "back", "## Next", "text", "# 1.2 Use It", "end"]
+
+
+def test_markdown_rules(spark):
+    t = "---\ntitle: x\n---\n<!-- c\nd -->A ***b*** __c__ _d_ &lt;e&gt; &amp; $x+1$ \u2460 $$y\nz$$\n| a | b |\n\n\n\n> quote\n---\nend"
+    assert one(spark, X.clean_markdown(F.col("t")), t) == " A b c d <e> &    \n\n\nquote\n\nend".replace("\n\n\n", "\n\n")
+    got = one(spark, X.cleaning_statistics(F.col("t")), "# Head\n## EXAMPLE 1\nx\n# 1.1 Next\n**b**")
+    assert tuple(got) == (38, 23, 15, 23, 60.5)
+
+
+def test_sections_report_what_is_dropped(spark):
+    got = one(spark, X.section_filter(F.col("t"), r"^(#{1,6})\s", "EXAMPLE|EXERCISES"), "# A\n# EXAMPLE 1\n## S\n# 1.1 EXERCISES\ny")
+    assert got["lines"] == ["# A"] and got["dropped"] == ["# EXAMPLE 1", "# 1.1 EXERCISES"]
+
+
+def test_terms_and_gates(spark):
+    assert one(spark, X.clean_surface(X.composed(F.col("t"))), " *\ufb01re\uff11 {x}| ") == "fire1 {x"
+    assert one(spark, X.dedup_key(F.col("t")), "Na\u00efve  Caf\u00e9s") == "na\u00efve caf\u00e9"
+    assert [one(spark, X.looks_like_term(F.col("t")), t) for t in ("gt", "a|b", "x.png", "&amp", "water", "w", "www.x")] == [False, False, False, False, True, False, False]
+    assert [one(spark, X.trimmed_term(F.col("t"), ["two", "it", "of"]), t) for t in ("your  whole number,", "the two", "it")] == ["whole number", None, None]
+    gate = lambda t, k: tuple(one(spark, X.kind_gate(F.col("t"), F.lit(k)), t))
+    assert gate("see Chapter 3", "concept")[0] == "non_concept" and gate("a_b", "concept")[0] == "non_concept" and gate("step 2 of", "relation") == ("non_concept", "numeric (not a relation)")
+    assert gate("divides by", "relation") == ("class", "predicate") and gate("water main", "concept") == ("class", "common-noun phrase")
+    assert one(spark, X.fenced_json(F.col("t")), 'so:\n```json\n{"a": {"b": 1}}\n```') == '{"a": {"b": 1}}' and one(spark, X.fenced_json(F.col("t")), "none") is None
+    assert one(spark, X.merged_unique(F.array(F.lit("A "), F.lit("b")), F.array(F.lit("a"), F.lit(" "), F.lit("C"))), "") == ["A", "b", "C"]
+    tags = F.array(F.lit("VERB"), F.lit("NOUN"))
+    s = "Crews seal the main at noon."
+    assert one(spark, X.knowledge_sentence(F.col("t"), tags), s) and not one(spark, X.knowledge_sentence(F.col("t"), F.array(F.lit("VERB"))), s) and not one(spark, X.knowledge_sentence(F.col("t")), "Figure 3 shows the main at noon today.")
 
 
 def test_skeleton_parts(spark):
