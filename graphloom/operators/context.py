@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import degrees, pi, sin
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -48,20 +49,24 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def within_radius(centres: DataFrame, points: DataFrame, metres: float) -> DataFrame:
-    """(centre, point, metres) strictly nearer than ``metres``; a grid of cells of that height keeps the join an equi-join.
-
-    Cells of longitude are as wide as needed at the highest latitude in use."""
-    cell = metres / 111_000.0
-    top = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    from math import cos, radians
-
-    wide = cell / max(cos(radians(min(top + cell, 89.0))), 1e-3)
-    place = lambda d: d.withColumn("_y", F.floor(F.col("lat") / cell)).withColumn("_x", F.floor(F.col("lon") / wide))
-    near = place(centres.select(F.col("id").alias("centre"), "lat", "lon")).withColumn("_dy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("_dx", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-    near = near.select("centre", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), (F.col("_y") + F.col("_dy")).alias("_y"), (F.col("_x") + F.col("_dx")).alias("_x"))
-    pairs = place(points.select(F.col("id").alias("point"), "lat", "lon")).join(near, ["_y", "_x"])
-    return pairs.select("centre", "point", haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")).alias("metres")).filter(F.col("metres") < metres)
+def within_radius(centres: DataFrame, points: DataFrame, metres: float, kind: str | None = None) -> DataFrame:
+    """(centre, point, metres, rank) strictly nearer than ``metres``, rank 1 the nearest; with ``kind`` only points of that ``type``.
+
+    Bands of latitude are cut into cells as wide as the radius at their edge farther from the equator, counted around the globe; a centre
+    meets the cells beside its own in three bands. So the join is on equal cells, also across the 180th meridian and at the poles."""
+    arc = metres / EARTH_M
+    cell = degrees(arc) * 1.001
+    far = lambda y: F.least(F.greatest(F.abs(y * cell), F.abs((y + 1) * cell)) + cell, F.lit(90.0))
+    wide = lambda y: F.degrees(F.asin(F.least(F.lit(1.0), sin(min(arc, pi / 2)) / F.greatest(F.cos(F.radians(far(y))), F.lit(1e-12))))) * 1.001
+    cells = lambda y: F.when(wide(y) >= 90, 1).otherwise(F.floor(360 / wide(y))).cast("long")
+    column = lambda y, lon: F.pmod(F.floor((lon + 180) / 360 * cells(y)).cast("long"), cells(y))
+    band = F.floor(F.col("lat") / cell).cast("long")
+    near = centres.select(F.col("id").alias("centre"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.array(*[band + i for i in (-1, 0, 1)])).alias("_y"))
+    beside = F.array_distinct(F.array(*[F.pmod(column(F.col("_y"), F.col("_lon")) + i, cells(F.col("_y"))) for i in (-1, 0, 1)]))
+    near = near.select("centre", "_lat", "_lon", "_y", F.explode(beside).alias("_x"))
+    placed = (points if kind is None else points.filter(F.col("type") == kind)).withColumn("_y", band).withColumn("_x", column(F.col("_y"), F.col("lon")))
+    pairs = placed.join(near, ["_y", "_x"]).select("centre", F.col("id").alias("point"), haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")).alias("metres"))
+    return pairs.filter(F.col("metres") < metres).withColumn("rank", F.row_number().over(W.partitionBy("centre").orderBy("metres", "point")))
 
 
 def ask_gate(requests: DataFrame, active: DataFrame, available: DataFrame) -> DataFrame:

@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import fold_key, literal_type, slug
-from graphloom.operators.vocabulary import cosine
+from graphloom.operators.retrieval import TILE, unit_rows
 
 
-def top_match(queries: DataFrame, labels: DataFrame) -> DataFrame:
+def top_match(queries: DataFrame, labels: DataFrame, block_rows: int = 20_000) -> DataFrame:
     """(query_id, id, score): best label (id, idx, vec) of each query (query_id, vec); the first label wins ties.
 
-    The label table is the ontology's, and is sent to the queries; Spark decides by its size how."""
-    pairs = queries.select("query_id", F.col("vec").alias("_q")).join(F.broadcast(labels.select("id", "idx", F.col("vec").alias("_v"))))
-    scored = pairs.select("query_id", "id", "idx", F.round(cosine(F.col("_q"), F.col("_v")), 9).alias("score"))
-    best = scored.groupBy("query_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("idx"))).alias("b"))
+    Labels go to the queries in blocks of about ``block_rows`` rows; a task of queries keeps its best of each block."""
+    kinds = queries.schema["query_id"].dataType.simpleString(), labels.schema["id"].dataType.simpleString()
+    blocks = labels.count() // block_rows + 1
+    given = queries.select("query_id", "vec").filter("vec is not null")
+
+    def block(b: int) -> DataFrame:
+        held = labels.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).filter("vec is not null").select(F.col("idx").cast("long").alias("idx"), "id", "vec").orderBy("idx").toArrow().combine_chunks()
+        ids, idx = (held[c].combine_chunks() if len(held) else held[c] for c in ("id", "idx"))
+        v = unit_rows(held["vec"]) if len(held) else None
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows if v is not None else 0, TILE):
+                    part = batch.slice(lo, TILE)
+                    score = np.round(unit_rows(part.column(1)) @ v.T, 9)
+                    best = score.argmax(axis=1)  # the first of equal ones, in order of idx
+                    yield pa.RecordBatch.from_arrays([part.column(0), ids.take(pa.array(best)), idx.take(pa.array(best)), pa.array(score[np.arange(len(best)), best])], names=["query_id", "id", "idx", "score"])
+
+        return given.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, idx bigint, score double")
+
+    found = reduce(DataFrame.unionByName, map(block, range(blocks)))
+    best = found.groupBy("query_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("idx"))).alias("b"))
     return best.select("query_id", "b.id", "b.score")
 
 
@@ -39,13 +62,20 @@ def predicate_table(properties: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(W.partitionBy("norm").orderBy("inverted", "seq"))).filter("_r = 1").select("norm", "iri", "inverted")
 
 
-def map_predicates(predicates: DataFrame, table: DataFrame, near: DataFrame | None = None, least: float = 0.45) -> DataFrame:
-    """(predicate, iri, inverted, confidence): string match, else the nearest label of ``near`` (predicate, id, score)."""
-    keyed = predicates.select("predicate").distinct().withColumn("norm", fold_key(F.col("predicate"))).join(table, "norm", "left")
+def map_predicates(predicates: DataFrame, table: DataFrame, near: DataFrame | None = None, model: DataFrame | None = None, properties: DataFrame | None = None, least: float = 0.45) -> DataFrame:
+    """(predicate, iri, inverted, confidence): string match, else the nearest label of ``near`` (predicate, id, inverted, score), both
+    high; else a model's answer (predicate, answer, direction), low, if it is an iri or local name of ``properties`` (iri, local_name)."""
+    keyed = predicates.select("predicate").distinct().withColumn("norm", fold_key(F.col("predicate"))).join(table, "norm", "left").withColumn("confidence", F.lit("high"))
     if near is not None:
-        keyed = keyed.join(near.filter(F.col("score") >= least).select("predicate", F.col("id").alias("_n")), "predicate", "left")
-        keyed = keyed.withColumn("iri", F.coalesce("iri", "_n")).drop("_n")
-    return keyed.filter("iri is not null").select("predicate", "iri", F.coalesce("inverted", F.lit(False)).alias("inverted"), F.lit("high").alias("confidence"))
+        turned = F.col("inverted") if "inverted" in near.columns else F.lit(False)
+        keyed = keyed.join(near.filter(F.col("score") >= least).select("predicate", F.col("id").alias("_n"), turned.alias("_i")), "predicate", "left")
+        keyed = keyed.withColumn("inverted", F.when(F.col("iri").isNull(), F.col("_i")).otherwise(F.col("inverted"))).withColumn("iri", F.coalesce("iri", "_n")).drop("_n", "_i")
+    if model is not None:
+        names = properties.select(F.col("iri").alias("_a"), "iri").unionByName(properties.select(F.col("local_name").alias("_a"), "iri")).groupBy("_a").agg(F.min("iri").alias("_m"))
+        said = model.withColumn("_a", F.regexp_replace("answer", "^:+", "")).join(names, "_a").select("predicate", "_m", (F.col("direction") == "inverse").alias("_i"))
+        keyed = keyed.join(said, "predicate", "left").withColumn("confidence", F.when(F.col("iri").isNull(), "low").otherwise(F.col("confidence")))
+        keyed = keyed.withColumn("inverted", F.when(F.col("iri").isNull(), F.col("_i")).otherwise(F.col("inverted"))).withColumn("iri", F.coalesce("iri", "_m"))
+    return keyed.filter("iri is not null").select("predicate", "iri", F.coalesce("inverted", F.lit(False)).alias("inverted"), "confidence")
 
 
 def least_confidence(*parts: Column) -> Column:

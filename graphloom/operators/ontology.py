@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import closure
+from graphloom.operators.verify import short_datatype
 
 CHARACTERISTICS = ["Functional", "InverseFunctional", "Transitive", "Symmetric", "Asymmetric", "Reflexive", "Irreflexive"]
 _TYPES = [f"owl:{c}Property" for c in CHARACTERISTICS]
@@ -16,27 +17,59 @@ def local_name(iri):
 
 
 def class_index(t: DataFrame) -> DataFrame:
-    """iri, local_name, label, aliases, comment, superclasses of each class."""
+    """iri, local_name, label, aliases, comment, superclasses and equivalents (either way) of each class."""
     classes = t.filter("p = 'rdf:type' and o = 'owl:Class'").select("s").distinct()
     pick = lambda p: F.when(F.col("p") == p, F.col("o"))
-    facts = t.groupBy("s").agg(
-        F.min(pick("rdfs:label")).alias("label"), F.array_sort(F.collect_set(pick("skos:altLabel"))).alias("aliases"),
-        F.min(pick("rdfs:comment")).alias("comment"), F.array_sort(F.collect_set(pick("rdfs:subClassOf"))).alias("superclasses"),
+    turned = t.filter("p = 'owl:equivalentClass' and o_kind = 'iri'").select(F.col("o").alias("s"), "p", F.col("s").alias("o"))
+    facts = t.select("s", "p", "o").unionByName(turned).groupBy("s").agg(
+        F.min(pick("rdfs:label")).alias("label"), F.array_sort(F.collect_set(pick("skos:altLabel"))).alias("aliases"), F.min(pick("rdfs:comment")).alias("comment"),
+        F.array_sort(F.collect_set(pick("rdfs:subClassOf"))).alias("superclasses"), F.array_sort(F.collect_set(pick("owl:equivalentClass"))).alias("equivalents"),
     )
-    return classes.join(facts, "s").select(F.col("s").alias("iri"), local_name("s").alias("local_name"), F.coalesce("label", local_name("s")).alias("label"), "aliases", "comment", "superclasses")
+    return classes.join(facts, "s").select(F.col("s").alias("iri"), local_name("s").alias("local_name"), F.coalesce("label", local_name("s")).alias("label"), "aliases", "comment", "superclasses", "equivalents")
 
 
 def property_index(t: DataFrame) -> DataFrame:
-    """iri, kind, domain, range, flags and label of each property; owl:Thing counts as no domain."""
-    pick = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
+    """iri, local_name, kind, label, aliases, comment, domain, range, flags, inverse with its labels and aliases, and the least maximum
+    of each property; owl:Thing counts as no domain."""
+    first = lambda p: F.min(F.when(F.col("p") == p, F.col("o")))
     typed = lambda o: F.coalesce(F.bool_or((F.col("p") == "rdf:type") & (F.col("o") == o)), F.lit(False))
+    several = lambda p: F.array_sort(F.collect_set(F.when(F.col("p") == p, F.col("o"))))
     facts = t.groupBy(F.col("s").alias("iri")).agg(
-        typed("owl:ObjectProperty").alias("_object"), typed("owl:DatatypeProperty").alias("_data"), pick("rdfs:domain").alias("domain"), pick("rdfs:range").alias("range"),
-        typed("owl:FunctionalProperty").alias("is_functional"), typed("owl:InverseFunctionalProperty").alias("is_inverse_functional"), pick("rdfs:label").alias("label"),
+        typed("owl:ObjectProperty").alias("_object"), typed("owl:DatatypeProperty").alias("_data"), first("rdfs:domain").alias("domain"), first("rdfs:range").alias("range"),
+        typed("owl:FunctionalProperty").alias("is_functional"), typed("owl:InverseFunctionalProperty").alias("is_inverse_functional"), first("rdfs:label").alias("label"),
+        several("rdfs:label").alias("_labels"), several("skos:altLabel").alias("aliases"), first("rdfs:comment").alias("comment"),
     )
     kind = F.when(F.col("_object"), "object_property").otherwise("datatype_property")
     domain = F.when(F.col("domain") != "owl:Thing", F.col("domain"))
-    return facts.filter("_object or _data").select("iri", kind.alias("kind"), domain.alias("domain"), "range", "is_functional", "is_inverse_functional", F.coalesce("label", local_name("iri")).alias("label"))
+    own = facts.filter("_object or _data").select(
+        "iri", local_name("iri").alias("local_name"), kind.alias("kind"), domain.alias("domain"), "range", "is_functional", "is_inverse_functional", F.coalesce("label", local_name("iri")).alias("label"), "aliases", "comment"
+    )
+    other = inverse_map(t).join(facts.select(F.col("iri").alias("inverse"), "_labels", F.col("aliases").alias("_aliases")), "inverse", "left")
+    pooled = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
+    other = other.groupBy(F.col("property").alias("iri")).agg(F.min("inverse").alias("inverse_of"), pooled("_labels").alias("inverse_labels"), pooled("_aliases").alias("inverse_aliases"))
+    most = max_cardinality(t).withColumnRenamed("property", "iri")
+    none = F.array().cast("array<string>")
+    return own.join(other, "iri", "left").join(most, "iri", "left").withColumns({c: F.coalesce(c, none) for c in ("inverse_labels", "inverse_aliases")})
+
+
+def namespace_index(t: DataFrame, prefix: str) -> dict[str, DataFrame]:
+    """Index over one namespace, by local names: classes, properties, closure with every class itself, disjoint pairs.
+
+    Only one parent of a class is kept, the last by name; domains and ranges outside the namespace are null, datatypes are ``xsd:`` names."""
+    inside = lambda c: F.col(c).startswith(prefix)
+    classes = class_index(t).filter(inside("iri")).select("local_name", "iri", "label")
+    parents = t.filter(F.col("p") == "rdfs:subClassOf").filter(inside("s") & inside("o")).groupBy(F.col("s").alias("src")).agg(F.max("o").alias("dst"))
+    up = closure(parents).select(local_name("src").alias("sub"), local_name("dst").alias("super")).unionByName(classes.select(F.col("local_name").alias("sub"), F.col("local_name").alias("super"))).distinct()
+    within = lambda c: F.when(inside(c), local_name(c))
+    known = property_index(t).filter(inside("iri"))
+    kept = known.select("local_name", "iri", "label", "kind", within("domain").alias("domain"), F.coalesce(within("range"), short_datatype(F.col("range"))).alias("range"), "is_functional", "is_inverse_functional")
+    pairs = t.filter(F.col("p") == "owl:disjointWith").filter(inside("s") & inside("o")).select(local_name("s").alias("a"), local_name("o").alias("b")).distinct()
+    return {"classes": classes, "properties": kept, "closure": up, "disjoint": pairs}
+
+
+def direct_subclasses(t: DataFrame, parent: str) -> DataFrame:
+    """Names of the classes right below one."""
+    return t.filter((F.col("p") == "rdfs:subClassOf") & (F.col("o") == parent)).select(local_name("s").alias("name")).distinct().orderBy("name")
 
 
 def inverse_map(t: DataFrame) -> DataFrame:
@@ -46,7 +79,7 @@ def inverse_map(t: DataFrame) -> DataFrame:
 
 def max_cardinality(t: DataFrame) -> DataFrame:
     on = t.filter("p = 'owl:onProperty'").select("s", F.col("o").alias("property"))
-    limit = t.filter("p in ('owl:maxCardinality', 'owl:cardinality')").select("s", F.col("o").try_cast("int").alias("n"))
+    limit = t.filter("p in ('owl:maxCardinality', 'owl:exactCardinality', 'owl:cardinality')").select("s", F.col("o").try_cast("int").alias("n"))
     return on.join(limit, "s").groupBy("property").agg(F.min("n").alias("max_cardinality"))
 
 

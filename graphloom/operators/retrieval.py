@@ -1,13 +1,22 @@
-"""Vector retrieval: hashed bag-of-words vectors, top-k search and recall."""
+"""Vector retrieval: hashed bag-of-words vectors, top-k search, memory of notes, hybrid recall."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import sliding_chunks
-from graphloom.operators.vocabulary import cosine
+from graphloom.functions.text import edge_order, sliding_chunks
+from graphloom.operators.graph import neighborhood
+from graphloom.sources.io import append_vectors, read_vectors
+
+#: Rows of vectors and of queries whose scores a task holds at once.
+TILE = 1024
 
 
 def hashed_terms(docs: DataFrame, dims: int = 256) -> DataFrame:
@@ -27,23 +36,101 @@ def dense(terms: DataFrame, ids: DataFrame, dims: int = 256) -> DataFrame:
     return ids.select("id").join(maps, "id", "left").select("id", vec.alias("vec"))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, max_queries: int = 10_000) -> DataFrame:
-    """(query_id, id, score, rank) of queries (query_id, vec) against vectors (seq, id, vec); order of arrival breaks ties.
+def unit_rows(column: pa.Array) -> np.ndarray:
+    """Vectors of a list column as rows of length 1; a zero vector stays zero."""
+    rows = np.array(column.to_pylist(), float).reshape(len(column), -1)
+    norm = np.linalg.norm(rows, axis=1)
+    return rows / np.where(norm > 0, norm, 1)[:, None]
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
+    """(query_id, id, seq, score): for each query (query_id, vec) its ``k`` best of the vectors (seq, id, vec) in each task and block.
+
+    Queries go to the executors in blocks of about ``block_rows`` rows, whatever their number; a task keeps ``k`` rows a query."""
+    kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
+    blocks = queries.count() // block_rows + 1
+    given = vectors.select(F.col("seq").cast("long").alias("seq"), "id", "vec").filter("vec is not null")
+
+    def block(b: int) -> DataFrame:
+        held = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).filter("vec is not null").select("query_id", "vec").toArrow().combine_chunks()
+        ids = held["query_id"].combine_chunks() if len(held) else held["query_id"]
+        q = unit_rows(held["vec"]) if len(held) else np.zeros((0, 0))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: list[list] = [[] for _ in range(0, len(q), TILE)]
+            for batch in batches:
+                for lo in range(0, batch.num_rows, TILE) if len(q) else ():
+                    part = batch.slice(lo, TILE)
+                    v, seq = unit_rows(part.column(2)), part.column(0).to_numpy()
+                    for n, at in enumerate(range(0, len(q), TILE)):
+                        score = np.round(q[at : at + TILE] @ v.T, 6)
+                        edge = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
+                        r, c = np.nonzero(score >= edge[:, None])
+                        best[n].append((r, score[r, c], seq[c], part.column(1).take(pa.array(c))))
+                        if len(best[n]) > 8:
+                            best[n] = [cut(best[n])]
+            for n, at in enumerate(range(0, len(q), TILE)):
+                if best[n]:
+                    r, score, seq, id = cut(best[n])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + at)), id, pa.array(seq), pa.array(score)], names=["query_id", "id", "seq", "score"])
+
+        def cut(parts: list) -> tuple:
+            r, score, seq = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            id = pa.concat_arrays([p[3] for p in parts])
+            order = np.lexsort((seq, -score, r))
+            first = np.append(True, r[order][1:] != r[order][:-1])
+            rank = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
+            order = order[rank < k]
+            return r[order], score[order], seq[order], id.take(pa.array(order))
+
+        return given.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, seq bigint, score double")
+
+    return reduce(DataFrame.unionByName, map(block, range(blocks)))
 
-    A stated query set against all rows: queries are checked to be few, sent to the vectors, and cut to k in every task."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} queries; search in blocks")
-    pairs = vectors.join(F.broadcast(queries.select("query_id", F.col("vec").alias("_q"))))
-    scored = pairs.select("query_id", "id", "seq", F.round(cosine(F.col("_q"), F.col("vec")), 6).alias("score"))
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
+    """(query_id, id, score, rank) of queries (query_id, vec) against vectors (seq, id, vec) by cosine; order of arrival breaks ties."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "seq")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("seq")
+    return nearest(queries, vectors, k, block_rows).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("seq")
+
+
+def embedded(texts: DataFrame, dims: int = 256) -> DataFrame:
+    """(id, vec) of texts (id, text): hashed bag of words, the same for notes and questions."""
+    return dense(hashed_terms(texts, dims), texts, dims)
 
 
-def remember(notes: DataFrame, size: int = 800, overlap: int = 150) -> DataFrame:
-    """(id, chunk, text): chunks of notes (id, text), to be embedded and appended."""
+def chunks(notes: DataFrame, size: int = 800, overlap: int = 150) -> DataFrame:
+    """(id, chunk, text) of notes (id, text)."""
     return notes.select("id", F.posexplode(sliding_chunks(F.col("text"), size, overlap)).alias("chunk", "text"))
 
 
+def remember(notes: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] = embedded, size: int = 800, overlap: int = 150) -> DataFrame:
+    """Chunk notes (id, text, and ``meta`` map<string,string> where there is one), embed the chunks, append them to the vector table at
+    ``path``, and return the whole table as read again. ``embed`` turns (id, text) into (id, vec)."""
+    pieces = chunks(notes, size, overlap).withColumn("key", F.concat_ws("#", F.col("id").cast("string"), F.col("chunk").cast("string")))
+    vectors = embed(pieces.select(F.col("key").alias("id"), "text")).withColumnRenamed("id", "key")
+    meta = notes.select("id", F.col("meta") if "meta" in notes.columns else F.create_map().cast("map<string,string>").alias("meta")).dropDuplicates(["id"])
+    rows = pieces.join(vectors, "key").join(meta, "id").select(F.col("id").cast("string").alias("id"), "chunk", F.col("vec").cast("array<double>").alias("vec"), "text", "meta")
+    append_vectors(rows, path)
+    return read_vectors(notes.sparkSession, path)
+
+
+def recall(questions: DataFrame, memory: DataFrame, k: int = 5, embed: Callable[[DataFrame], DataFrame] = embedded) -> DataFrame:
+    """(query_id, notes): for each question (query_id, text) its ``k`` nearest chunks as (id, note), the strongest at both ends."""
+    asked = embed(questions.select(F.col("query_id").alias("id"), "text")).withColumnRenamed("id", "query_id")
+    stored = memory.withColumn("seq", F.xxhash64("id", "chunk", "text"))
+    hits = top_k(asked, stored.select("seq", F.struct("id", F.col("text").alias("note")).alias("id"), "vec"), k)
+    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("_n"))
+    return listed.select("query_id", edge_order(F.transform("_n", lambda x: x["id"]), "edges").alias("notes"))
+
+
+def hybrid_recall(questions: DataFrame, vectors: DataFrame, edges: DataFrame, types: DataFrame, k: int = 3, hops: int = 1, kind: str = "Paper") -> tuple[DataFrame, DataFrame]:
+    """(seeds, context): the ``k`` nearest vectors (seq, id, vec) of questions (query_id, vec), and the nodes of a kind within
+    ``hops`` of any seed in the graph, seeds included."""
+    seeds = top_k(questions, vectors, k)
+    return seeds, neighborhood(edges, types, seeds.select("id").distinct(), hops, kind)
+
+
 def recall_at_k(found: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """(query_id, recall) of ranked results against gold (query_id, id)."""
     hits = gold.join(found.filter(F.col("rank") <= k).select("query_id", "id").withColumn("_h", F.lit(1)), ["query_id", "id"], "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import dedup_key, lemma, sentences
+from graphloom.functions.text import dedup_key, fenced_json, fold_key, lemma, sentences
 
 
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -29,7 +29,7 @@ def surface_relations(sents: DataFrame, verbs: DataFrame) -> DataFrame:
     words = sents.select("doc_id", "sentence_index", F.posexplode(F.split(F.lower("text"), r"[^a-z]+")).alias("pos", "word"))
     after = F.lead("word").over(W.partitionBy("doc_id", "sentence_index").orderBy("pos"))
     words = words.withColumn("next", after)
-    joined = words.join(F.broadcast(verbs), F.col("word") == F.col("verb"))
+    joined = words.join(verbs, F.col("word") == F.col("verb"))
     particle = F.col("next").isin("in", "on", "at", "to", "by", "of", "with", "from", "for", "up", "out", "off", "over")
     return joined.select("doc_id", "sentence_index", "pos", F.when(particle, F.concat_ws(" ", "word", "next")).otherwise(F.col("word")).alias("relation"))
 
@@ -37,7 +37,7 @@ def surface_relations(sents: DataFrame, verbs: DataFrame) -> DataFrame:
 def surface_triples(sents: DataFrame, verbs: DataFrame) -> DataFrame:
     """subject-verb-object by pattern, with a negation flag."""
     words = sents.select("doc_id", "sentence_index", "text", F.split(F.regexp_replace("text", r"[.!?]+$", ""), r"\s+").alias("w"))
-    hits = words.select("*", F.posexplode("w").alias("pos", "word")).join(F.broadcast(verbs), F.lower("word") == F.col("verb"))
+    hits = words.select("*", F.posexplode("w").alias("pos", "word")).join(verbs, F.lower("word") == F.col("verb"))
     first = hits.withColumn("_r", F.row_number().over(W.partitionBy("doc_id", "sentence_index").orderBy("pos"))).filter("_r = 1 and pos > 0")
     side = lambda a, n: F.array_join(F.filter(F.slice("w", a, n), lambda x: ~F.lower(x).isin("not", "never", "no", "does", "did")), " ")
     subject, obj = side(F.lit(1), F.col("pos")), side(F.col("pos") + 2, F.greatest(F.size("w") - F.col("pos") - 1, F.lit(0)))
@@ -86,11 +86,65 @@ def surfacing_statistics(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if("literal_span").alias("n_literal"), F.count_if("llm_only").alias("n_llm_only"), F.count_if(~F.col("literal_span")).alias("n_implicit"))
 
 
+def exact_places(occurrences: DataFrame, texts: DataFrame) -> DataFrame:
+    """``occurrences`` (doc_id, start, end, ..) with ``text`` set to the exact slice of the document (doc_id, text); offsets are authoritative."""
+    source = texts.select("doc_id", F.col("text").alias("_src"))
+    return occurrences.drop("text").join(source, "doc_id").withColumn("text", F.substring("_src", F.col("start") + 1, F.col("end") - F.col("start"))).drop("_src")
+
+
 def cheap_first_union(cheap: DataFrame, proposed: DataFrame) -> DataFrame:
-    """(key, text, source): one row a key; a cheap mention wins over a proposed one."""
-    both = cheap.select("text", F.lit("cheap").alias("source"), F.lit(0).alias("_p")).unionByName(proposed.select("text", F.lit("llm").alias("source"), F.lit(1).alias("_p")))
-    keyed = both.withColumn("key", F.lower(F.trim("text")))
-    return keyed.withColumn("_r", F.row_number().over(W.partitionBy("key").orderBy("_p", "text"))).filter("_r = 1").select("key", "text", "source")
+    """(key, text, source, grounded): one row a key; a cheap mention (text) wins over a proposed one (text, grounded) and is grounded."""
+    both = cheap.select("text", F.lit("cheap").alias("source"), F.lit(0).alias("_p"), F.lit(True).alias("grounded")).unionByName(proposed.select("text", F.lit("llm").alias("source"), F.lit(1).alias("_p"), "grounded"))
+    keyed = both.withColumn("key", fold_key(F.col("text")))
+    first = keyed.groupBy("key").agg(F.min(F.struct("_p", "text", "source", "grounded")).alias("_m"))
+    return first.select("key", "_m.text", "_m.source", "_m.grounded")
+
+
+def union_statistics(cheap: DataFrame, proposed: DataFrame) -> DataFrame:
+    """One row: cheap mentions, proposed ones, and how many of these the cheap extractor had already."""
+    known = cheap.select(fold_key(F.col("text")).alias("key")).distinct().withColumn("_h", F.lit(True))
+    found = proposed.withColumn("key", fold_key(F.col("text"))).join(known, "key", "left").agg(F.count(F.lit(1)).alias("llm"), F.count("_h").alias("merged"))
+    return cheap.agg(F.count(F.lit(1)).alias("cheap")).join(found)
+
+
+def batched(rows: DataFrame, n: int, by: str, order: str) -> DataFrame:
+    """``rows`` with ``batch``, a number for every ``n`` rows of each ``by`` in ``order``."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / n).cast("int"))
+
+
+def prompts(batches: DataFrame, by: str, head: str = "Below are %d sentences from a source document, indexed %s.") -> DataFrame:
+    """(by, batch, n, prompt): the numbered sentences (sentence_index, text) of each batch below a head that names how many and which."""
+    listed = batches.groupBy(by, "batch").agg(F.array_sort(F.collect_list(F.struct("sentence_index", "text"))).alias("_s"))
+    numbers = F.array_join(F.transform("_s", lambda x: x["sentence_index"].cast("string")), ", ")
+    body = F.array_join(F.transform("_s", lambda x: F.concat(x["sentence_index"].cast("string"), F.lit(": "), x["text"])), "\n")
+    return listed.select(by, "batch", F.size("_s").alias("n"), F.concat(F.format_string(head, F.size("_s"), numbers), F.lit("\n\nSentences:\n"), body).alias("prompt"))
+
+
+_REPLY = "results map<string,struct<mentions:array<struct<surface:string,mention_type:string>>,triples:array<struct<subject:string,predicate:string,object:string,negated:boolean>>>>"
+
+
+def parsed_replies(replies: DataFrame, batches: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """(mentions, triples) of model replies (by, batch, reply): fences off, the JSON object read, numbers of sentences that are no part of
+    the batch left out, blank fields too; a mention that is no value is an entity."""
+    parsed = replies.select(by, "batch", F.explode(F.from_json(fenced_json(F.col("reply")), _REPLY)["results"]).alias("_i", "_r")).withColumn("sentence_index", F.trim("_i").try_cast("int"))
+    inside = parsed.join(batches.select(by, "batch", "sentence_index").distinct(), [by, "batch", "sentence_index"], "left_semi")
+    m = inside.select(by, "sentence_index", F.explode("_r.mentions").alias("m"))
+    kind = F.lower(F.trim("m.mention_type"))
+    mentions = m.select(by, "sentence_index", F.trim("m.surface").alias("surface_form"), F.when(kind == "value", "value").otherwise("entity").alias("mention_type"), F.lit("llm").alias("source")).filter("surface_form <> ''")
+    t = inside.select(by, "sentence_index", F.explode("_r.triples").alias("t"))
+    triples = t.select(by, "sentence_index", *[F.trim(f"t.{c}").alias(c) for c in ("subject", "predicate", "object")], F.coalesce("t.negated", F.lit(False)).alias("negated"), F.lit("llm").alias("source"))
+    return mentions, triples.filter("subject <> '' and predicate <> '' and object <> ''")
+
+
+def gate_override(gated: DataFrame, labels: DataFrame) -> DataFrame:
+    """``gated`` (canonical, kind, bin, reason) after a model's labels (term, label): concepts that passed as classes may turn out to be
+    individuals or no terms; a missing label leaves them, relations are never moved."""
+    known = labels.groupBy(F.col("term").alias("_t")).agg(F.max("label").alias("_l"))
+    asked = (F.col("kind") == "concept") & (F.col("bin") == "class")
+    moved = asked & F.coalesce(F.col("_l").isin("individual", "non_concept"), F.lit(False))
+    said = F.when(F.col("_l") == "individual", "LLM: named individual").otherwise("LLM: not a domain term")
+    joined = gated.join(known, F.col("canonical") == F.col("_t"), "left")
+    return joined.withColumn("reason", F.when(moved, said).otherwise(F.col("reason"))).withColumn("bin", F.when(moved, F.col("_l")).otherwise(F.col("bin"))).drop("_t", "_l")
 
 
 def grounded_in(terms: DataFrame, words: DataFrame, stop: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ def coined_families(edges: DataFrame) -> DataFrame:
 
 def resolve_relations(relations: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(resolved, dropped) relations (id, domain, range, seq): both ends must be classes; the first row of an id stays."""
-    end = lambda c: index.select(alnum_key(F.col("label")).alias(f"_{c}"), F.col("id").alias(f"{c}_id")).dropDuplicates([f"_{c}"])
+    end = lambda c: index.groupBy(alnum_key(F.col("label")).alias(f"_{c}")).agg(F.min("id").alias(f"{c}_id"))
     keyed = relations.withColumn("_domain", alnum_key(F.col("domain"))).withColumn("_range", alnum_key(F.col("range")))
     joined = keyed.join(end("domain"), "_domain", "left").join(end("range"), "_range", "left").drop("_domain", "_range")
     ok = joined.filter("domain_id is not null and range_id is not null").withColumn("_r", F.row_number().over(W.partitionBy("id").orderBy("seq"))).filter("_r = 1").drop("_r")
@@ -52,10 +54,27 @@ def relax_disjointness(axioms: DataFrame, edges: DataFrame) -> DataFrame:
     return axioms.join(both, ["a", "b"], "left").withColumn("relaxed", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
+def parent_map(edges: DataFrame, families: DataFrame) -> DataFrame:
+    """(child, parent): parent edges, and the membership of coined families (parent, children)."""
+    return edges.select("child", "parent").unionByName(families.select(F.explode("children").alias("child"), "parent")).distinct()
+
+
 def roots(classes: DataFrame, edges: DataFrame) -> DataFrame:
     return classes.join(edges.select(F.col("child").alias("id")).distinct(), "id", "left_anti").select("id")
 
 
+def structure_statistics(classes: DataFrame, concepts: DataFrame, edges: DataFrame, families: DataFrame) -> DataFrame:
+    """(stat, n): classes (id, label), those with a parent, roots, coined families, vocabulary labels (label) that no class took up, and the
+    edges (child, parent, via) by each of their origins."""
+    count = lambda df, name: df.agg(F.lit(name).alias("stat"), F.count(F.lit(1)).alias("n"))
+    taken = classes.select(alnum_key(F.col("label")).alias("_k")).distinct()
+    omitted = concepts.withColumn("_k", alnum_key(F.col("label"))).join(taken, "_k", "left_anti")
+    parts = [count(classes, "classes"), count(roots(classes, edges), "roots"), count(classes.join(edges.select(F.col("child").alias("id")).distinct(), "id", "left_semi"), "with_parent")]
+    parts += [count(families, "coined_parents"), count(omitted, "omitted_candidates")]
+    via = edges.select(F.explode("via").alias("via")).groupBy(F.concat(F.lit("via:"), "via").alias("stat")).agg(F.count(F.lit(1)).alias("n"))
+    return reduce(DataFrame.unionByName, [*parts, via])
+
+
 def merge_duplicate_labels(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(merged, remap): of classes (id, label, mention_count, alt_labels) with one label the most mentioned stays."""
     keyed = classes.withColumn("_k", alnum_key(F.col("label")))
@@ -72,6 +91,15 @@ def rewrite(df: DataFrame, column: str, remap: DataFrame) -> DataFrame:
     return df.join(remap, F.col(column) == F.col("old_id"), "left").withColumn(column, F.coalesce("new_id", column)).drop("old_id", "new_id")
 
 
+def rewrite_axioms(axioms: DataFrame, remap: DataFrame) -> DataFrame:
+    """``axioms`` (id, type, classes, relaxed) through the remap, every class once; a disjointness left with fewer than two is relaxed and degenerate."""
+    cells = axioms.select("id", F.posexplode("classes").alias("_p", "_c")).join(remap, F.col("_c") == F.col("old_id"), "left")
+    lists = cells.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("_p", F.coalesce("new_id", "_c").alias("c")))).alias("_l"))
+    rows = axioms.drop("classes").join(lists, "id", "left").withColumn("classes", F.array_distinct(F.transform("_l", lambda x: x["c"]))).drop("_l")
+    bare = (F.col("type") == "disjointWith") & (F.coalesce(F.size("classes"), F.lit(0)) < 2)
+    return rows.withColumn("degenerate", bare).withColumn("relaxed", F.col("relaxed") | bare)
+
+
 def concept_verdict(grounded, multi_parent, text_only, orphan):
     """struct(verdict, parked) of a concept."""
     out = lambda v, p=False: F.struct(F.lit(v).alias("verdict"), F.lit(p).alias("parked"))
@@ -85,6 +113,13 @@ def coined_verdicts(families: DataFrame, grounded: DataFrame) -> DataFrame:
     return counted.withColumn("verdict", F.when(F.col("n") >= 2, "accept").when(F.col("n") == 1, "demote").otherwise("reject"))
 
 
+def review_coined(families: DataFrame, grounded: DataFrame, edges: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(verdicts, edges, orphans): coined parents tested, edges (child, parent) to those not accepted gone, and the classes (id) that have no parent then."""
+    verdicts = coined_verdicts(families, grounded)
+    left = edges.join(verdicts.filter("verdict <> 'accept'").select("parent"), "parent", "left_anti").select(*edges.columns)
+    return verdicts, left, roots(classes, left)
+
+
 def relationship_verdicts(relations: DataFrame, admitted: DataFrame) -> DataFrame:
     ids = admitted.select("id").distinct()
     joined = relations.join(ids.select(F.col("id").alias("domain_id"), F.lit(True).alias("_a")), "domain_id", "left").join(ids.select(F.col("id").alias("range_id"), F.lit(True).alias("_b")), "range_id", "left")
@@ -103,8 +138,27 @@ def unconnected(classes: DataFrame, edges: DataFrame, relations: DataFrame) -> D
     return classes.join(used.distinct(), "id", "left_anti").select("id")
 
 
+def feedback_set(decisions: DataFrame, unconnected_ids: DataFrame) -> DataFrame:
+    """(id, kind, feedback) for the next pass, from decisions (id, kind, verdict, parked) and unconnected classes (id)."""
+    said = F.when(F.col("verdict") == "reject", "rejected").when(F.col("verdict") == "escalate", "escalated").when(F.col("parked"), "parked")
+    rows = decisions.select("id", "kind", said.alias("feedback")).filter("feedback is not null")
+    return rows.unionByName(unconnected_ids.select("id", F.lit("concept").alias("kind"), F.lit("unconnected").alias("feedback"))).distinct()
+
+
+def edit_log(remap: DataFrame, verdicts: DataFrame, names: DataFrame) -> DataFrame:
+    """(type, targets, detail) of a review's edits: merged labels, demoted or rejected coined parents, and coined parents that got a name."""
+    none = F.array().cast("array<string>")
+    merges = remap.groupBy("new_id").agg(F.array_sort(F.collect_set("old_id")).alias("_o")).select(F.lit("merge").alias("type"), F.concat(F.array("new_id"), F.coalesce("_o", none)).alias("targets"), F.col("new_id").alias("detail"))
+    gone = verdicts.filter("verdict <> 'accept'").select(F.col("verdict").alias("type"), F.array("parent").alias("targets"), F.concat(F.col("n").cast("string"), F.lit(" grounded children")).alias("detail"))
+    named = names.join(verdicts.filter("verdict = 'accept'").select("parent"), "parent", "left_semi").select(F.lit("name_coined").alias("type"), F.array("parent").alias("targets"), F.col("name").alias("detail"))
+    return merges.unionByName(gone).unionByName(named)
+
+
 def review_statistics(decisions: DataFrame) -> DataFrame:
-    return decisions.groupBy("kind", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    """(kind, verdict, n), and over all kinds (kind null) how many were decided without a person: accepted, rejected, escalated."""
+    by = decisions.groupBy("kind", "verdict").agg(F.count(F.lit(1)).alias("n"))
+    auto = by.groupBy(F.concat(F.lit("auto_"), "verdict").alias("verdict")).agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("kind"), F.when(F.col("verdict") == "auto_escalate", "escalated").otherwise(F.concat("verdict", F.lit("ed"))).alias("verdict"), "n")
+    return by.unionByName(auto)
 
 
 def family_names(families: DataFrame, labels: DataFrame) -> DataFrame:

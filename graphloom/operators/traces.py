@@ -154,7 +154,7 @@ def cost_rollup(spans: DataFrame, tier: str) -> DataFrame:
 def routed_and_flat(spans: DataFrame, routes: DataFrame, flat: str = "large", default: str = "medium") -> DataFrame:
     """(run_id, routed_usd, flat_usd): stages (the name before a colon) at their tier's price, or all at one."""
     prices = F.create_map(*[x for k, v in PRICES.items() for x in (F.lit(k), F.lit(v))])
-    staged = spans.withColumn("stage", F.element_at(F.split("name", ":"), 1)).join(F.broadcast(routes), "stage", "left")
+    staged = spans.withColumn("stage", F.element_at(F.split("name", ":"), 1)).join(routes, "stage", "left")
     rate = F.element_at(prices, F.coalesce("tier", F.lit(default)))
     return staged.groupBy("run_id").agg(F.round(F.sum(F.col("tokens") / 1000 * rate), 6).alias("routed_usd"), F.round(F.sum(F.col("tokens") / 1000 * PRICES[flat]), 6).alias("flat_usd"))
 

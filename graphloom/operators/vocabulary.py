@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import canonical_label, slug
+from graphloom.functions.text import canonical_label, fold_key, slug
 from graphloom.operators.graph import components
 
-#: Single words that never make an element.
-BOILERPLATE = ["thing", "things", "example", "examples", "section", "chapter", "figure", "table", "page", "way", "part", "case", "number"]
+#: Single words that name parts of documents and no concept.
+BOILERPLATE = [
+    "page", "step", "figure", "fig", "table", "example", "exercise", "chapter", "section", "note", "answer", "solution", "problem", "part", "item", "row", "column", "appendix", "outline", "objective",
+    "introduction", "summary",
+]
+#: Parts that the rows of a kind are cut into before they are ranked.
+PARTS = 64
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -26,11 +33,34 @@ def acronym_links(candidates: DataFrame) -> DataFrame:
     return short.join(long, ["kind", "letters"]).select("kind", "a", "b").distinct()
 
 
-def semantic_links(items: DataFrame, distance: float = 0.07) -> DataFrame:
-    """(a, b) of items (id, tokens, vec) whose vectors are near and which share a token: the token is the join key."""
-    one = items.select("id", "vec", F.explode(F.array_distinct("tokens")).alias("token"))
-    pairs = one.alias("x").join(one.alias("y"), "token").filter("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.vec").alias("va"), F.col("y.vec").alias("vb")).dropDuplicates(["a", "b"])
-    return pairs.filter(cosine(F.col("va"), F.col("vb")) >= 1 - distance).select("a", "b")
+def semantic_links(items: DataFrame, distance: float = 0.07, block_rows: int = 2000) -> DataFrame:
+    """(a, b) of items (id, tokens, vec) whose vectors are near and which share a token.
+
+    A token's items are dealt to blocks of about ``block_rows`` rows; each pair of blocks is one task's matrix product, of which only
+    near pairs leave. So a common token is many bounded tasks. An acronym (a token of 2 to 6 capitals) links nothing by itself."""
+    one = items.select("id", "vec", F.explode(F.array_distinct("tokens")).alias("token")).filter(~F.col("token").rlike("^[A-Z]{2,6}$"))
+    sizes = one.groupBy(F.col("token").alias("_t")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_n"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    dealt = one.join(sizes, F.col("token") == F.col("_t")).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    dealt = dealt.select("token", "id", "vec", "_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
+    tiles = dealt.select("token", F.least("_s", "_o").alias("s"), F.greatest("_s", "_o").alias("t"), F.when(F.col("_s") <= F.col("_o"), 0).otherwise(1).alias("side"), "id", "vec")
+    kind = items.schema["id"].dataType.simpleString()
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks().sort_by("id")
+        vec = np.array(tile["vec"].to_pylist(), float)
+        norm = np.linalg.norm(vec, axis=1)
+        vec /= np.where(norm > 0, norm, 1)[:, None]
+        side = tile["side"].to_numpy()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        right = left if tile["s"][0].as_py() == tile["t"][0].as_py() else right
+        i, j = np.nonzero(vec[left] @ vec[right].T >= 1 - distance - 1e-12)
+        i, j = left[i], right[j]
+        keep = i < j if right is left else i != j
+        i, j = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
+        ids = tile["id"].combine_chunks() if isinstance(tile["id"], pa.ChunkedArray) else tile["id"]
+        return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j))})
+
+    return tiles.groupBy("token", "s", "t").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
 def group_candidates(candidates: DataFrame, edges: DataFrame) -> DataFrame:
@@ -39,38 +69,51 @@ def group_candidates(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     return candidates.join(roots, F.col("key") == F.col("node"), "left").withColumn("group", F.coalesce("root", "key")).drop("node", "root")
 
 
-def build_elements(grouped: DataFrame) -> DataFrame:
-    """One element per kind and group: representative, label, pooled forms and sources, summed mentions."""
+def build_elements(grouped: DataFrame, most_places: int = 50) -> DataFrame:
+    """One element per kind and group: representative, label, pooled forms, members, sources, entity labels and places, summed mentions.
+
+    ``ner_labels`` and ``occurrences`` (start, end, text) are pooled where the candidates have them; of the places the first ``most_places`` stay."""
+    for name, kind in (("ner_labels", "array<string>"), ("occurrences", "array<struct<start:int,end:int,text:string>>")):
+        if name not in grouped.columns:
+            grouped = grouped.withColumn(name, F.array().cast(kind))
     acronym = F.col("canonical").rlike("^[A-Z]{2,6}$")
     best = F.max_by("canonical", F.struct(F.col("literal_span").alias("a"), (~acronym).alias("b"), F.col("mention_count").alias("c"), F.length("canonical").alias("d"), F.col("canonical").alias("e")))
+    pooled = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    forms = F.array_union("variants", F.array("canonical"))
     out = grouped.groupBy("kind", "group").agg(
-        best.alias("representative"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("variants")))).alias("alt_labels"), F.array_sort(F.collect_set("key")).alias("members"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"), F.sum("mention_count").alias("mention_count"),
+        best.alias("representative"), pooled(forms).alias("alt_labels"), F.array_sort(F.collect_set("key")).alias("members"), pooled("sources").alias("sources"), pooled("ner_labels").alias("ner_labels"),
+        F.slice(pooled(F.slice(F.array_sort("occurrences"), 1, most_places)), 1, most_places).alias("occurrences"), F.sum("mention_count").alias("mention_count"),
         F.bool_or("literal_span").alias("literal_span"), F.bool_and("llm_only").alias("llm_only"),
     )
     label = canonical_label(F.col("representative"), F.col("kind"))
     return out.select(F.concat(F.col("kind"), F.lit(":"), slug(label, "-")).alias("id"), label.alias("label"), "*")
 
 
-def rejection_reason(text: Column, mention_count: Column, llm_only: Column, literal_span: Column) -> Column:
-    words = F.size(F.split(F.trim(text), r"\s+"))
+def rejection_reason(text: Column, kind: Column, mention_count: Column, llm_only: Column, literal_span: Column, sources: Column) -> Column:
+    """Why an element is near certainly none, or null to keep it."""
+    surface = F.trim(text)
+    words = F.regexp_extract_all(surface, F.lit("[A-Za-z0-9]+"), F.lit(0))
+    concept = kind == "concept"
     return (
-        F.when(F.trim(text) == "", "empty")
-        .when(~text.rlike("[A-Za-z]"), "no_letters")
-        .when((words == 1) & F.lower(text).isin(BOILERPLATE), "boilerplate")
-        .when(words > 7, "too_long")
-        .when(llm_only & ~literal_span & (mention_count <= 1), "ungrounded_one_off")
+        F.when(F.coalesce(F.size(words), F.lit(0)) < 1, "empty or symbol-only surface")
+        .when(~surface.rlike(r"\p{L}"), "numeric or symbolic value, not a concept")
+        .when(concept & (F.size(words) == 1) & F.lower(F.get(words, F.lit(0))).isin(BOILERPLATE), "document boilerplate, not a domain concept")
+        .when(concept & (F.size(words) > 7), F.concat(F.lit("sentence fragment ("), F.size(words).cast("string"), F.lit(" tokens)")))
+        .when((mention_count <= 1) & ~literal_span & (F.size(sources) <= 1) & llm_only, "one-off ungrounded LLM proposal (appears nowhere in text)")
     )
 
 
 def strongest(candidates: DataFrame, cap: int) -> DataFrame:
-    order = W.partitionBy("kind").orderBy(F.desc("mention_count"), "key")
-    return candidates.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= cap).drop("_r")
+    """The ``cap`` most mentioned of each kind; parts of a kind are cut first, so no task ranks a whole kind."""
+    order, left = (F.desc("mention_count"), "key"), candidates.withColumn("_part", F.pmod(F.hash("key"), F.lit(PARTS)))
+    for by in (["kind", "_part"], ["kind"]):
+        left = left.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("_r") <= cap).drop("_r")
+    return left.drop("_part")
 
 
 def synonym_groups(mentions: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Concepts from (text, grounded) by a synonym table (surface, canonical); what it lacks is its own concept."""
-    joined = mentions.withColumn("surface", F.lower("text")).join(F.broadcast(synonyms), "surface", "left")
+    joined = mentions.withColumn("surface", F.lower("text")).join(synonyms, "surface", "left")
     name = F.coalesce("canonical", canonical_label(F.col("text"), F.lit("concept")))
     return joined.groupBy(name.alias("concept")).agg(F.bool_or("grounded").alias("grounded"), F.array_sort(F.collect_set("text")).alias("surfaces"))
 
@@ -92,13 +135,32 @@ def salience(elements: DataFrame, scope: DataFrame) -> DataFrame:
     return joined.select("id", "surface", "mention_count", scope_match.alias("scope_match"), F.round(freq, 6).alias("freq"), "spread", F.round(total, 6).alias("salience"))
 
 
-def keep_or_park(scored: DataFrame, top_n: int | None = None) -> DataFrame:
-    """Kept if in scope or mentioned three times, and inside the optional cap; else parked with the reason."""
-    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.desc("salience"), "id"))
-    strong = (F.col("scope_match") > 0) | (F.col("mention_count") >= F.when(F.col("kind") == "relation", 2).otherwise(3))
-    inside = F.lit(True) if top_n is None else rank <= top_n
-    reason = F.concat_ws("; ", F.when(~strong, "weak"), F.when(~inside, "beyond_cap"))
-    return scored.withColumn("kept", strong & inside).withColumn("reason", reason)
+def keep_or_park(scored: DataFrame, top_n: int = 0, least: int = 3, least_relation: int = 2) -> DataFrame:
+    """``kept`` and the reason of the park: a concept in scope or mentioned ``least`` times, and among the ``top_n`` most salient
+    concepts where that is not 0; a relation mentioned ``least_relation`` times."""
+    concept, scope_hit = F.col("kind") != "relation", F.coalesce(F.col("scope_match") == 1, F.lit(False))
+    rows = scored.withColumn("_top", F.lit(True))
+    if top_n:
+        top = scored.filter(concept).orderBy(F.desc("salience"), "id").limit(top_n).select("id", F.lit(True).alias("_top"))
+        rows = scored.join(top, "id", "left").withColumn("_top", F.coalesce("_top", F.lit(False)))
+    frequent = F.col("mention_count") >= F.when(concept, least).otherwise(least_relation)
+    kept = F.when(concept, (scope_hit | frequent) & F.col("_top")).otherwise(frequent)
+    of_concept = F.concat_ws("; ", F.when(~scope_hit, "not in scope"), F.when(~frequent, f"mention_count < {least}"), F.when(~F.col("_top"), f"below top-{top_n}"))
+    reason = F.when(~concept, f"mention_count < {least_relation}").when(of_concept == "", "low salience").otherwise(of_concept)
+    return rows.withColumn("kept", kept).withColumn("reason", F.when(~F.col("kept"), reason)).drop("_top")
+
+
+def simple_salience(concepts: DataFrame, topics: DataFrame, floor: float = 0.15, max_topics: int = 100_000) -> DataFrame:
+    """``concepts`` (label, grounded) with salience (half for a topic within the label or around it, 0.3 for grounding, 0.2 for
+    being named) and ``kept``. The topics (topic) of a scope are a short list, of ``max_topics`` at most."""
+    names = topics.select(fold_key(F.col("topic")).alias("t")).distinct()
+    if names.limit(max_topics + 1).count() > max_topics:
+        raise ValueError(f"more than {max_topics} topics")
+    listed = names.agg(F.array_sort(F.collect_list("t")).alias("_topics"))
+    label = fold_key(F.col("label"))
+    rows = concepts.join(F.broadcast(listed)).withColumn("scope_hit", F.exists("_topics", lambda t: label.contains(t) | t.contains(label))).drop("_topics")
+    total = F.round(F.when(F.col("scope_hit"), 0.5).otherwise(0.0) + F.when(F.col("grounded"), 0.3).otherwise(0.0) + 0.2, 3)
+    return rows.withColumn("salience", total).withColumn("kept", F.col("salience") >= floor)
 
 
 def vocabulary_statistics(candidates: DataFrame, elements: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    chunks = retrieval.remember(d.select(F.col("doc_id").alias("id"), "text"))
+    chunks = retrieval.chunks(d.select(F.col("doc_id").alias("id"), "text"))
     return chunks.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min(F.length("text")).alias("shortest"))
 
 
@@ -146,14 +146,14 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every vector whose id is divisible by 20, against all rows."""
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vec")
     queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec")
-    return retrieval.top_k(queries, e.select(F.col("vec_id").alias("seq"), F.col("vec_id").alias("id"), "vec"), 5, 1_000_000).select("query_id", "id", "score")
+    return retrieval.top_k(queries, e.select(F.col("vec_id").alias("seq"), F.col("vec_id").alias("id"), "vec"), 5).select("query_id", "id", "score")
 
 
 def recall_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recall of same-label vectors among the ten nearest, for the same queries."""
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vec")
     queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec", "label")
-    found = retrieval.top_k(queries.select("query_id", "vec"), e.select(F.col("vec_id").alias("seq"), F.col("vec_id").alias("id"), "vec"), 10, 1_000_000)
+    found = retrieval.top_k(queries.select("query_id", "vec"), e.select(F.col("vec_id").alias("seq"), F.col("vec_id").alias("id"), "vec"), 10)
     gold = queries.select("query_id", "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
     return retrieval.recall_at_k(found, gold, 10).select("query_id", F.round("recall", 6).alias("recall"))
 

@@ -110,19 +110,34 @@ def ingest_papers(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.filter("src is not null and dst is not null").distinct()
 
 
+VECTORS = "id string, chunk int, vec array<double>, text string, meta map<string,string>"
+
+
 def append_vectors(df: DataFrame, path: str) -> None:
+    """Append rows (id, chunk, vec, text, meta) to a vector table."""
     df.write.mode("append").parquet(path)
 
 
-def embed_with_cache(texts: DataFrame, cache: DataFrame, embed: Callable, model: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(vectors, new cache rows) of texts (id, text): only distinct misses go through ``embed``, a mapInPandas function
-    from (key, text) to (key, vec); a text it does not return gets a zero vector."""
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """A vector table as it is now; empty where nothing has been appended."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], VECTORS)
+    return spark.read.schema(VECTORS).parquet(path)
+
+
+def embed_with_cache(texts: DataFrame, cache_path: str, embed: Callable, model: str, dim: int) -> DataFrame:
+    """(id, vec) of texts (id, text): only distinct texts that the table at ``cache_path`` lacks go through ``embed``, a mapInPandas
+    function from (key, text) to (key, vec), once; their vectors are stored first and read from there. A text that ``embed`` does not
+    return gets a zero vector."""
+    spark, schema = texts.sparkSession, "key string, vec array<float>"
+    at = spark._jvm.org.apache.hadoop.fs.Path(cache_path)
+    known = spark.read.schema(schema).parquet(cache_path) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else spark.createDataFrame([], schema)
     keyed = texts.withColumn("key", F.sha1(F.concat_ws("|", F.lit(model), F.lit(str(dim)), "text")))
-    misses = keyed.select("key", "text").dropDuplicates(["key"]).join(cache, "key", "left_anti")
-    fresh = misses.mapInPandas(embed, "key string, vec array<float>")
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    known = cache.select("key", "vec").unionByName(fresh)
-    return keyed.join(known, "key", "left").select("id", F.coalesce("vec", zero).alias("vec")), fresh
+    misses = keyed.select("key", "text").dropDuplicates(["key"]).join(known, "key", "left_anti")
+    misses.mapInPandas(embed, schema).write.mode("append").parquet(cache_path)
+    stored = spark.read.schema(schema).parquet(cache_path).dropDuplicates(["key"])
+    return keyed.join(stored, "key", "left").select("id", F.coalesce("vec", F.array_repeat(F.lit(0.0).cast("float"), dim)).alias("vec"))
 
 
 def routed_sink(df: DataFrame, path: str) -> None:
@@ -147,6 +162,22 @@ def sensor_feed(spark: SparkSession, cameras: int, seed: int = 42) -> DataFrame:
     return n.select(F.explode(of).alias("t")).unionByName(roads).select(F.lit("sensors").alias("g"), "t.*")
 
 
+#: Lights of the incident scene and their distance north of the incident in metres, and where that is.
+SCENE_LIGHTS = [("TL_90", 60.0), ("TL_88", 210.0), ("TL_91", 430.0), ("TL_97", 700.0)]
+SCENE_PLACE, METRES_A_DEGREE = (40.75, -73.99), 111_320.0
+
+
+def incident_scene(spark: SparkSession) -> DataFrame:
+    """Triples of an active incident, a road and four lights at known distances, in the sensors' graph."""
+    lat, lon = SCENE_PLACE
+    rows = [("Incident_I204", "rdf:type", "Incident", "iri"), ("Incident_I204", "hasStatus", "active", "literal"), ("Incident_I204", "hasLatitude", str(lat), "literal"), ("Incident_I204", "hasLongitude", str(lon), "literal")]
+    road = "RoadSegment_Main_St_NB"
+    rows += [(road, "rdf:type", "RoadSegment", "iri"), (road, "hasIdentifier", "Main-St-NB", "literal"), (road, "hasSpeedLimit", "50", "literal")]
+    for light, metres in SCENE_LIGHTS:
+        rows += [(light, "rdf:type", "TrafficLight", "iri"), (light, "locatedOn", road, "iri"), (light, "hasLatitude", str(lat + metres / METRES_A_DEGREE), "literal"), (light, "hasLongitude", str(lon), "literal")]
+    return spark.createDataFrame([("sensors", *r) for r in rows], "g string, s string, p string, o string, o_kind string")
+
+
 def sampled_rows(df: DataFrame, n: int, by: str, order: str) -> DataFrame:
     """At most ``n`` rows of every ``by``, spread evenly over its order: those at floor(i * count / n)."""
     group = W.partitionBy(by)

@@ -33,10 +33,27 @@ def verified(drafts: DataFrame, edges: DataFrame) -> DataFrame:
     return drafts.join(flags, "id", "left").withColumn("flags", F.coalesce("flags", F.array().cast("array<string>"))).withColumn("route", F.when(F.size("flags") == 0, "digest").otherwise("inbox"))
 
 
-def run_feed(stream: DataFrame, edges: DataFrame, tracked: list[str], floor_year: int, out: str, state: str, checkpoint: str, day: str):
+def pass_spans(routed: DataFrame, run_id: str, note: DataFrame | None = None) -> DataFrame:
+    """(run_id, name, status, output) of one pass over routed items: the trigger, a maker and a verifier for each item, the connectors'
+    counts, and the topics that the tuning step would drop, as its note."""
+    span = lambda name, status, output: F.struct(name.alias("name"), status.alias("status"), output.alias("output"))
+    ok, grounded = F.lit("ok"), F.size("flags") == 0
+    checked = F.to_json(F.struct(grounded.alias("grounded"), F.col("flags").alias("flags")))
+    each = routed.select(F.explode(F.array(span(F.concat(F.lit("maker:"), "id"), ok, F.col("draft")), span(F.concat(F.lit("verify:"), "id"), F.when(grounded, "ok").otherwise("error"), checked))).alias("s")).select("s.*")
+    count = lambda route: F.count_if(F.col("route") == route).alias(route)
+    ends = routed.agg(F.count(F.lit(1)).alias("items"), count("digest"), count("inbox"))
+    whole = ends.select(F.explode(F.array(span(F.lit("trigger"), ok, F.to_json(F.struct("items"))), span(F.lit("connectors"), ok, F.to_json(F.struct("digest", "inbox"))))).alias("s")).select("s.*")
+    out = each.unionByName(whole)
+    if note is not None:
+        dropped = note.agg(F.array_join(F.array_sort(F.collect_set("topic")), ", ").alias("output"))
+        out = out.unionByName(dropped.select(F.lit("tune_triage").alias("name"), ok.alias("status"), "output"))
+    return out.select(F.lit(run_id).alias("run_id"), "*")
+
+
+def run_feed(stream: DataFrame, edges: DataFrame, tracked: list[str], floor_year: int, out: str, state: str, checkpoint: str, day: str, spans: str | None = None, feedback: DataFrame | None = None):
     """Start the feed: new items of each micro-batch are routed to ``out`` by day and route, and their ids kept in ``state``.
 
-    A batch that is replayed after a failure overwrites its own folder, so a restart neither loses nor doubles items."""
+    With ``spans``, a folder, each pass leaves its trace there, with the note of the tuning step if there is ``feedback``. A batch that is replayed after a failure overwrites its own folder, so a restart neither loses nor doubles items."""
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, number: int) -> None:
@@ -48,6 +65,9 @@ def run_feed(stream: DataFrame, edges: DataFrame, tracked: list[str], floor_year
             fresh = unseen(fresh, earlier)
         routed = verified(drafted(fresh), edges).withColumn("day", F.lit(day)).persist()
         routed.write.partitionBy("day", "route").mode("overwrite").parquet(f"{out}/batch={number}")
+        if spans:
+            note = tune_triage(feedback, batch, tracked) if feedback is not None else None
+            pass_spans(routed, f"{day}-{number}", note).write.mode("overwrite").parquet(f"{spans}/batch={number}")
         routed.select("id").write.mode("overwrite").parquet(f"{state}/batch={number}")
         routed.unpersist()
 

@@ -225,8 +225,16 @@ def test_sources(spark, tmp_path):
         for b in batches:
             yield b.assign(vec=[[1.0, 2.0]] * len(b))[["key", "vec"]]
 
-    vectors, fresh = io.embed_with_cache(texts, spark.createDataFrame([], "key string, vec array<float>"), embed, "m", 2)
-    assert fresh.count() == 2 and {tuple(r["vec"]) for r in vectors.collect()} == {(1.0, 2.0)}
+    cache = str(tmp_path / "vec")
+    assert {tuple(r["vec"]) for r in io.embed_with_cache(texts, cache, embed, "m", 2).collect()} == {(1.0, 2.0)} and spark.read.parquet(cache).count() == 2
+
+    def never(batches):
+        for b in batches:
+            assert not len(b)
+            yield b.assign(vec=[])[["key", "vec"]]
+
+    again = io.embed_with_cache(texts, cache, never, "m", 2)
+    assert rows(again, "id", "vec") == [(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0])] and spark.read.parquet(cache).count() == 2
 
 
 def test_graph_rounds_have_no_cap(spark):
