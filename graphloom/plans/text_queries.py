@@ -23,17 +23,63 @@ def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.min(F.length("text")).alias("shortest"))
 
 
+def _marked_up(text):
+    """A document as a section of markdown, followed by an example to drop and a section with markup."""
+    tail = "\n## EXAMPLE 1.1\nskip **me**\n### deeper\n# 1.2 Next\n**bold** `code` [a](b) &lt;x&gt; $y$ end"
+    return F.concat(F.lit("# "), "source", F.lit("\n"), text, F.lit(tail))
+
+
 def cleaning_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markup in pages before and after cleaning."""
-    p = table(spark, sf_dir, "pages").select("page_id", "html", F.regexp_replace(F.regexp_replace("html", r"(?s)<[^>]+>", " "), r"&[a-zA-Z#0-9]+;", " ").alias("clean"))
-    before, after = F.length("html"), F.length("clean")
-    return p.select("page_id", before.alias("before"), after.alias("after"), F.bround(100 * (before - after) / before, 1).alias("percent"))
+    """Characters of each document, put into markdown, before and after the exercise blocks and the markup go."""
+    d = table(spark, sf_dir, "documents").select("doc_id", X.cleaning_statistics(_marked_up(F.col("text"))).alias("s"))
+    return d.select("doc_id", "s.*")
+
+
+def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.md5(X.clean_markdown(F.array_join(X.without_exercises(_marked_up(F.col("text"))), "\n"))).alias("md5"))
+
+
+def kept_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document in markdown outside its example, and the headings of what is left out."""
+    d = table(spark, sf_dir, "documents").select("doc_id", X.section_filter(_marked_up(F.col("text")), r"^(#{1,6})\s", "EXAMPLE").alias("s"))
+    return d.select("doc_id", F.size("s.lines").alias("n_lines"), F.array_join("s.dropped", "|").alias("dropped"))
 
 
 def page_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of pages that read as topics; the first of a name on a page stays."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1))).alias("pos", "topic"))
-    return p.groupBy("page_id", F.lower("topic").alias("key")).agg(F.min("pos").alias("pos"))
+    heads = F.regexp_extract_all("html", F.lit("<(?:h1|li)>(?:<a[^>]*>)?([^<\n]*)<"), F.lit(1))
+    p = table(spark, sf_dir, "pages").select("page_id", X.topic_list(F.array_join(F.transform(heads, lambda h: F.concat(F.lit("# "), h)), "\n")).alias("t"))
+    return p.select("page_id", F.size("t").alias("n"), F.array_join("t", "|").alias("topics"))
+
+
+def scope_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines made from sources and languages: topics, objectives and defined terms as one text."""
+    d = table(spark, sf_dir, "documents")
+    s = F.concat(F.lit("Team "), F.translate("source", "0123456789", "abcdefghij"))
+    md = F.concat(F.lit("# "), s, F.lit(" Work\n1.2 Use "), s, F.lit("\n# "), s, F.lit(" work\nYou will be able to:\n- read "), "lang", F.lit("\n- Read "), "lang", F.lit("\n\n- not this\nThat is called a quick "), "lang", F.lit(" test."))
+    return d.select("source", "lang", X.skeleton(X.topic_list(md), X.objectives(md), X.defined_terms(md)).alias("outline")).groupBy("source", "lang", "outline").agg(F.count(F.lit(1)).alias("n"))
+
+
+def placed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank-line blocks of each document: how many, where they begin in sum, and whether each is found at its place."""
+    t = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    d = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"), X.blocks_with_offsets(t).alias("b"))
+    total = F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + x["start"])
+    exact = F.forall("b", lambda x: F.substr("t", x["start"] + 1, F.length(x["block"])) == x["block"])
+    return d.select("doc_id", F.size("b").alias("n"), total.alias("starts"), exact.alias("exact"))
+
+
+def edge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of every customer, the dearest at both ends."""
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("o_totalprice")).alias("p"), "o_orderkey"))), lambda x: x["o_orderkey"].cast("string")).alias("k"))
+    return o.select("o_custkey", F.array_join(X.edge_order(F.col("k"), "edges"), ",").alias("keys"))
+
+
+def scope_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and brands of each part type as one scope list, the first of each name."""
+    p = table(spark, sf_dir, "part").groupBy("p_type").agg(F.array_sort(F.collect_set("p_name")).alias("a"), F.array_sort(F.collect_set(F.upper("p_name"))).alias("b"), F.array_sort(F.collect_set("p_brand")).alias("c"))
+    return p.select("p_type", F.array_join(X.merged_unique(F.col("a"), F.col("b"), F.col("c")), "|").alias("terms"))
 
 
 def keys_and_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,15 +123,20 @@ def paper_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event properties as model replies: the first JSON object, its field typed, out-of-range values dropped."""
-    e = table(spark, sf_dir, "events").select("event_type", F.from_json(F.regexp_extract("props", r"(?s)(\{.*\})", 1), "k int").alias("j"))
-    return e.filter("j.k is not null and j.k < 90").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("j.k").alias("total"))
+    """Events as model replies on sentences 0 to 89 of their type, in fences: mentions by sentence; others are out of the batch."""
+    e = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    body = F.concat(F.lit('```json\n{"results": {"'), k, F.lit('": {"mentions": [{"surface": " '), "event_type", F.lit('", "mention_type": "Value"}, {"surface": ""}], "triples": []}}}\n```'))
+    replies = e.select("event_type", F.lit(0).alias("batch"), body.alias("reply"))
+    batch = e.select("event_type").distinct().select("event_type", F.lit(0).alias("batch"), F.explode(F.sequence(F.lit(0), F.lit(89))).alias("sentence_index"))
+    mentions, _ = surface.parsed_replies(replies, batch, "event_type")
+    return mentions.groupBy("event_type", "sentence_index", "surface_form", "mention_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _raw_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the documents' first lines as raw mentions."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.split("text", "\n")[0].alias("line"))
-    return d.select(F.lit("concept").alias("kind"), "doc_id", "source", F.posexplode(F.split("line", "[^A-Za-z]+")).alias("start", "text")).withColumn("end", F.col("start") + 1).filter("text <> ''")
+    """Words of the documents as raw mentions; a place is the number of the word in its text."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return d.select(F.lit("concept").alias("kind"), "doc_id", "source", F.posexplode(F.split("text", "[^A-Za-z]+")).alias("start", "text")).withColumn("end", F.col("start") + 1).filter("text <> ''")
 
 
 def mention_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,19 +163,23 @@ def triple_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which part names have all their words in the orders' priorities and part types."""
-    words = table(spark, sf_dir, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("word")).filter("word like '%e%'")
-    terms = table(spark, sf_dir, "part").select(F.col("p_name").alias("term")).distinct()
-    return surface.grounded_in(terms, words, ["the"]).select("term", "grounded")
+    """Which benchmark items have all their words in the documents."""
+    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("word"))
+    terms = table(spark, sf_dir, "benchmark").select(F.col("text").alias("term")).distinct()
+    return surface.grounded_in(terms, words, ["the"]).select(F.md5("term").alias("term"), "grounded")
 
 
 def vocabulary_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions to candidates to elements, grouped by a shared first letter pair; the 100 strongest."""
-    c = vocabulary.strongest(surface.dedup_mentions(_raw_mentions(spark, sf_dir)), 100)
-    elements = vocabulary.build_elements(c.withColumn("group", F.substring("key", 1, 2)))
+    """Mentions to candidates to elements: all keys, those with the same first eight letters as one group."""
+    elements = vocabulary.build_elements(surface.dedup_mentions(_raw_mentions(spark, sf_dir)).withColumn("group", F.substring("key", 1, 8)))
     return elements.select("group", "representative", "label", "mention_count", F.size("members").alias("n_members"))
 
 
+def strongest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 most mentioned keys: a top-k report."""
+    return vocabulary.strongest(surface.dedup_mentions(_raw_mentions(spark, sf_dir)), 100).select("key", "mention_count")
+
+
 def salience_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Salience of part names: scope from brands' first names, spread over keys."""
     p = table(spark, sf_dir, "part")
@@ -197,9 +252,9 @@ def sibling_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbered turns of a conversation as one prompt."""
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["turn"].cast("string"), F.lit(". "), x["role"], F.lit(": "), x["text"])), "\n")).alias("md5"))
+    """Turns of conversations in batches of three, each as the numbered text of a prompt."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("sentence_index"), F.concat_ws(": ", "role", "text").alias("text"))
+    return surface.prompts(surface.batched(c, 3, "conv_id", "sentence_index"), "conv_id").select("conv_id", "batch", "n", F.md5("prompt").alias("md5"))
 
 
 def even_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -209,12 +264,18 @@ def even_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    sentence_segments, sliding_windows, cleaning_statistics, page_topics, keys_and_slugs, literal_types, year_filter, kind_gates, provenance_envelopes, paper_search, reply_parsing, mention_dedup, entity_merge,
+    sentence_segments, sliding_windows, cleaning_statistics, cleaned_texts, kept_sections, page_topics, scope_skeletons, placed_blocks, edge_orders, scope_terms, strongest_terms, keys_and_slugs, literal_types, year_filter, kind_gates, provenance_envelopes, paper_search, reply_parsing, mention_dedup, entity_merge,
     triple_merge, grounded_terms, vocabulary_elements, salience_scores, hashed_embedding, vector_top_k, recall_of_labels, minted_iris, merged_labels, ingested_nodes, triples_round_trip, sibling_stems, prompt_texts, even_samples,
 )}
 
 _SENT = r"[x for x in string_split_regex(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) if x <> '']"
-_MENT = r"""m AS (SELECT doc_id, source, p - 1 AS start, t FROM (SELECT doc_id, source, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, source, string_split_regex(split_part(text, chr(10), 1), '[^A-Za-z]+') AS w FROM documents)) WHERE t <> ''),
+_MD = r"""l AS (SELECT doc_id, '# ' || source || chr(10) || text || chr(10) || '## EXAMPLE 1.1' || chr(10) || 'skip **me**' || chr(10) || '### deeper' AS head, '# ' || source || chr(10) || text AS kept,
+chr(10) || '# 1.2 Next' || chr(10) || '**bold** `code` [a](b) &lt;x&gt; $y$ end' AS tail FROM documents),
+m0 AS (SELECT doc_id, head || tail AS whole, kept || tail AS less FROM l),
+m1 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(less, '`[^`\n]*`', ' ', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '(?m)^\|.*\|.*$', '', 'g'), '(?m)^#{1,6}\s+', '', 'g') AS t FROM m0),
+m2 AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '(?m)^>+\s*', '', 'g'), '\*{1,3}([^*\n]+)\*{1,3}', '\1', 'g'), '_{1,3}([^_\n]+)_{1,3}', '\1', 'g') AS u FROM m1),
+m AS (SELECT doc_id, whole, less, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(u, '&gt;', '>'), '&lt;', '<'), '&amp;', '&'), '&nbsp;', ' '), '(?s)\$\$.*?\$\$', ' ', 'g'), '\$[^$\n]+\$', '', 'g'), '(?m)^\s*---\s*$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS clean FROM m2)"""
+_MENT = r"""m AS (SELECT doc_id, source, p - 1 AS start, t FROM (SELECT doc_id, source, unnest(w) AS t, generate_subscripts(w, 1) AS p FROM (SELECT doc_id, source, string_split_regex(text, '[^A-Za-z]+') AS w FROM documents)) WHERE t <> ''),
 k AS (SELECT *, lower(t) AS l FROM m), g AS (SELECT *, CASE WHEN regexp_matches(l, '(ss|us|is)$') THEN l WHEN regexp_matches(l, 'ies$') AND len(l) > 4 THEN regexp_replace(l, 'ies$', 'y') WHEN regexp_matches(l, '(xes|ses|ches|shes|zes)$') THEN regexp_replace(l, 'es$', '') WHEN regexp_matches(l, 's$') AND len(l) > 3 THEN regexp_replace(l, 's$', '') ELSE l END AS key FROM k),
 f AS (SELECT key, t, count(*) AS n FROM g GROUP BY 1, 2), b AS (SELECT key, arg_min(t, struct_pack(a := -n, b := -len(t), c := t)) AS canonical FROM f GROUP BY 1),
 d AS (SELECT key, canonical, count(DISTINCT struct_pack(a := doc_id, b := start)) AS mention_count, count(DISTINCT source) AS n_sources, count(DISTINCT t) AS n_variants FROM g JOIN b USING (key) GROUP BY 1, 2)"""
@@ -223,25 +284,41 @@ _TOP = f"e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings),
 
 ORACLE_SQL = {
     "sentence_segments": rf"""WITH s AS (SELECT doc_id, {_SENT} AS s FROM documents)
-SELECT doc_id, len(s) AS n, (len(s) - 1)::INT AS last, len([x for x in s if NOT regexp_matches(x, '(?i)^\s*(figure|table|step|fig\.)\s*[0-9]|https?://|^\s*[0-9]+[.)]\s') AND regexp_matches(x, '[A-Za-z]') AND len(string_split_regex(trim(x), '\s+')) >= 6]) AS n_kg FROM s WHERE len(s) > 0""",
+SELECT doc_id, len(s) AS n, (len(s) - 1)::INT AS last, len([x for x in s if NOT regexp_matches(trim(x), '(?i)^(?:Figure\s+\d|Step\s+\d|Chapter\s+\d|Solution\b|This\s+OpenStax\b|http\S+|\d{{1,3}}\.\s|[A-Z]\s+[A-Z]\b)') AND regexp_matches(x, '[A-Za-z]') AND len(regexp_extract_all(trim(x), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]')) >= 6]) AS n_kg FROM s WHERE len(s) > 0""",
     "sliding_windows": "SELECT doc_id AS id, count(*) AS n, sum(least(800, len(text) - i))::BIGINT AS chars, min(least(800, len(text) - i))::INT AS shortest FROM (SELECT doc_id, text, unnest(range(0, len(text), 650)) AS i FROM documents) GROUP BY 1",
-    "cleaning_statistics": "SELECT page_id, b::INT AS before, a::INT AS after, round_even(100.0::DOUBLE * (b - a) / b, 1) AS percent FROM (SELECT page_id, len(html) AS b, len(regexp_replace(regexp_replace(html, '(?s)<[^>]+>', ' ', 'g'), '&[a-zA-Z#0-9]+;', ' ', 'g')) AS a FROM pages)",
-    "page_topics": "SELECT page_id, lower(t) AS key, min(p - 1)::INT AS pos FROM (SELECT page_id, unnest(x) AS t, generate_subscripts(x, 1) AS p FROM (SELECT page_id, regexp_extract_all(html, '<h1>([^<]*)</h1>', 1) AS x FROM pages)) GROUP BY 1, 2",
+    "cleaning_statistics": f"WITH {_MD} SELECT doc_id, len(whole)::INT AS original_chars, len(less)::INT AS after_exercise_removal, len(clean)::INT AS after_markdown_clean, (len(whole) - len(clean))::INT AS chars_removed, round_even(100 * (1 - len(clean)::DOUBLE / len(whole)), 1) AS pct_removed FROM m",
+    "cleaned_texts": f"WITH {_MD} SELECT doc_id, md5(clean) AS md5 FROM m",
+    "kept_sections": "SELECT doc_id, (len(string_split(text, chr(10))) + 3)::INT AS n_lines, '## EXAMPLE 1.1' AS dropped FROM documents",
+    "page_topics": r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '<(?:h1|li)>(?:<a[^>]*>)?([^<\n]*)<', 1) AS x FROM pages), u AS (SELECT page_id, generate_subscripts(x, 1) AS p, trim(regexp_replace(trim(unnest(x)), '^\d+(\.\d+)*\s+', '')) AS t FROM h),
+k AS (SELECT page_id, p, t FROM u WHERE t <> '' AND len(string_split_regex(t, '\s+')) BETWEEN 2 AND 9 AND len(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 0.85 * greatest(len(regexp_replace(t, '\s', '', 'g')), 1)),
+f AS (SELECT page_id, min(p) AS p, arg_min(t, p) AS t FROM k GROUP BY page_id, lower(t)), g AS (SELECT page_id, count(*) AS n, string_agg(t, '|' ORDER BY p) AS topics FROM f GROUP BY 1)
+SELECT page_id, coalesce(n, 0)::INT AS n, coalesce(topics, '') AS topics FROM pages LEFT JOIN g USING (page_id)""",
+    "scope_skeletons": """WITH d AS (SELECT source, lang, 'Team ' || translate(source, '0123456789', 'abcdefghij') AS s FROM documents)
+SELECT source, lang, 'Topics:' || chr(10) || '- ' || s || ' Work' || chr(10) || '- Use ' || s || chr(10) || 'Objectives:' || chr(10) || '- read ' || lang || chr(10) || 'Terms:' || chr(10) || '- quick ' || lang || ' test' AS outline, count(*) AS n FROM d GROUP BY ALL""",
+    "placed_blocks": """WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents), c AS (SELECT doc_id, l, sum(len(l) + 2) OVER (PARTITION BY doc_id ORDER BY p) - len(l) - 2 AS pos FROM b)
+SELECT doc_id, (count(*) FILTER (trim(l) <> ''))::INT AS n, coalesce(sum(pos) FILTER (trim(l) <> ''), 0)::BIGINT AS starts, true AS exact FROM c GROUP BY 1""",
+    "edge_orders": """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY CASE WHEN n <= 2 THEN i WHEN i % 2 = 0 THEN i // 2 ELSE n - 1 - i // 2 END) AS keys FROM r GROUP BY 1""",
+    "scope_terms": "SELECT p_type, string_agg(DISTINCT p_name, '|' ORDER BY p_name) || '|' || string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS terms FROM part GROUP BY 1",
+    "strongest_terms": f"WITH {_MENT} SELECT key, mention_count FROM d ORDER BY mention_count DESC, key LIMIT 100",
     "keys_and_slugs": """WITH w AS (SELECT p_partkey, p_name, string_split(p_name, ' ') AS x FROM part) SELECT p_partkey, replace(p_name, ' ', '_') AS slug, replace(p_name, ' ', '') AS compact, replace(p_name, ' ', '') AS alnum,
 array_to_string([upper(y[1]) || y[2:] for y in x], '') AS concept, x[1] || array_to_string([upper(y[1]) || y[2:] for y in x[2:]], '') AS relation FROM w""",
     "literal_types": "SELECT p_partkey, CASE p_partkey % 6 WHEN 2 THEN p_size || '.50' WHEN 3 THEN '1' || lpad(p_size::VARCHAR, 3, '0') WHEN 4 THEN '2024-05-06' WHEN 5 THEN p_name ELSE p_size::VARCHAR END AS value, 'xsd:' || CASE p_partkey % 6 WHEN 0 THEN 'decimal' WHEN 1 THEN 'integer' WHEN 2 THEN 'decimal' WHEN 3 THEN 'integer' WHEN 4 THEN 'date' ELSE 'string' END AS datatype FROM part",
     "year_filter": "SELECT spec, count(*) AS n FROM orders, (VALUES ('1995', 1995, 1995), ('1993-1996', 1993, 1996), ('since 1997', 1997, 9999), ('before 1994', 1900, 1994)) s(spec, lo, hi) WHERE year(o_orderdate) BETWEEN lo AND hi GROUP BY 1",
-    "kind_gates": r"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '[\x20\x09-\x0D]+')) AS w FROM documents) WHERE w <> ''), g AS (SELECT CASE WHEN NOT regexp_matches(w, '[A-Za-z]') THEN 'no_letters' WHEN regexp_matches(w, '[{}\\$|<>&]') THEN 'markup' WHEN regexp_matches(w, '(?i)^(figure|table|section|chapter|step|page)\s*[0-9]') THEN 'numbered_document_word' WHEN regexp_matches(w, '[0-9]') THEN 'has_digit' ELSE 'ok' END AS reason FROM w)
-SELECT CASE reason WHEN 'ok' THEN 'class' WHEN 'has_digit' THEN 'individual' ELSE 'non_concept' END AS bin, reason, count(*) AS n FROM g GROUP BY ALL""",
+    "kind_gates": r"""WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(string_split_regex(text, '[\x20\x09-\x0D]+')) AS w FROM documents) WHERE w <> ''),
+g AS (SELECT CASE WHEN NOT regexp_matches(w, '[A-Za-z]') THEN 'no letters (pure symbol/number)' WHEN regexp_matches(w, '[\\${}^_|<>&]') THEN 'LaTeX/markup debris'
+ WHEN regexp_matches(w, '[0-9]') AND list_has_any(string_split_regex(lower(w), '[^a-z]+'), ['chapter', 'page', 'section', 'figure', 'fig', 'table', 'example', 'exercise', 'exercises', 'step', 'solution', 'appendix', 'part', 'problem', 'unit']) THEN 'numbered document-structure label'
+ WHEN regexp_matches(w, '[0-9]') THEN 'contains a numeric value (a particular)' ELSE 'common-noun phrase' END AS reason FROM w)
+SELECT CASE reason WHEN 'common-noun phrase' THEN 'class' WHEN 'contains a numeric value (a particular)' THEN 'individual' ELSE 'non_concept' END AS bin, reason, count(*) AS n FROM g GROUP BY ALL""",
     "provenance_envelopes": "SELECT doc_id, md5('<untrusted source=\"' || source || '\" id=\"' || doc_id || '\">' || chr(10) || text || chr(10) || '</untrusted>') AS md5 FROM documents",
     "paper_search": "SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1995 ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
-    "reply_parsing": "SELECT event_type, count(*) AS n, sum(k)::BIGINT AS total FROM (SELECT event_type, (props->>'$.k')::INT AS k FROM events) WHERE k < 90 GROUP BY 1",
+    "reply_parsing": "SELECT event_type, (props->>'$.k')::INT AS sentence_index, event_type AS surface_form, 'value' AS mention_type, count(*) AS n FROM events WHERE (props->>'$.k')::INT < 90 GROUP BY ALL",
     "mention_dedup": f"WITH {_MENT} SELECT key, canonical, mention_count, n_sources::INT AS n_sources, n_variants::INT AS n_variants FROM d",
     "entity_merge": """WITH r AS (SELECT lower(trim(p_name)) AS key, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS t, p_partkey % 2 = 0 AS llm, p_size, p_partkey FROM part)
 SELECT key, coalesce(arg_min(t, p_partkey) FILTER (llm AND t IS NOT NULL), arg_min(t, p_partkey) FILTER (NOT llm AND t IS NOT NULL), 'entity') AS mention_type, array_to_string(list_sort(list(DISTINCT CASE WHEN llm THEN 'llm' ELSE 'ner' END)), ',') AS sources, count(DISTINCT p_size)::INT AS n FROM r GROUP BY 1""",
     "triple_merge": """SELECT 'Supplier ' || l_suppkey AS subject, CASE WHEN l_returnflag = 'R' THEN 'receives' ELSE 'ships' END AS predicate, p_type AS object, bool_or(l_quantity > 49) AS negated, array_to_string(list_sort(list(DISTINCT CASE WHEN l_linestatus = 'F' THEN 'llm' ELSE 'dep_parse' END)), ',') AS sources, count(DISTINCT l_linenumber)::INT AS n, 'entity' AS object_type FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3""",
-    "grounded_terms": "WITH w AS (SELECT DISTINCT unnest(string_split(lower(p_name), ' ')) AS word FROM part), t AS (SELECT DISTINCT p_name AS term, unnest(string_split(lower(p_name), ' ')) AS word FROM part) SELECT term, bool_and(word LIKE '%e%') AS grounded FROM t GROUP BY 1",
-    "vocabulary_elements": f"""WITH {_MENT}, s AS (SELECT * FROM d ORDER BY mention_count DESC, key LIMIT 100), x AS (SELECT key[1:2] AS "group", arg_max(canonical, struct_pack(b := NOT regexp_matches(canonical, '^[A-Z]{{2,6}}$'), c := mention_count, d := len(canonical), e := canonical)) AS representative, sum(mention_count)::BIGINT AS mention_count, count(*)::INT AS n_members FROM s GROUP BY 1)
+    "grounded_terms": "WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents), t AS (SELECT DISTINCT text AS term, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM benchmark) SELECT md5(term) AS term, bool_and(word IN (SELECT word FROM w)) AS grounded FROM t WHERE word NOT IN ('', 'the') GROUP BY 1",
+    "vocabulary_elements": f"""WITH {_MENT}, x AS (SELECT key[1:8] AS "group", arg_max(canonical, struct_pack(b := NOT regexp_matches(canonical, '^[A-Z]{{2,6}}$'), c := mention_count, d := len(canonical), e := canonical)) AS representative, sum(mention_count)::BIGINT AS mention_count, count(*)::INT AS n_members FROM d GROUP BY 1)
 SELECT "group", representative, CASE WHEN regexp_matches(representative, '^[A-Z0-9]{{2,5}}$') THEN representative ELSE upper(representative[1]) || lower(representative[2:]) END AS label, mention_count, n_members FROM x""",
     "salience_scores": """WITH b AS (SELECT p_name AS id, count(*) AS n, count(DISTINCT least(19, floor(p_partkey / ((SELECT count(*) FROM part) / 20.0::DOUBLE)))) / least(20, count(*))::DOUBLE AS spread, bool_or(p_size > 48) AS hit FROM part GROUP BY 1), m AS (SELECT max(ln(1 + n)) AS m FROM b)
 SELECT id, n AS mention_count, (CASE WHEN hit THEN 1 ELSE 0 END)::DOUBLE AS scope_match, round(spread, 6) AS spread, round(0.35::DOUBLE * (CASE WHEN hit THEN 1 ELSE 0 END) + 0.30::DOUBLE * ln(1 + n) / m + 0.20::DOUBLE * spread + 0.15::DOUBLE * (CASE WHEN n > 5 THEN 1 ELSE 0 END), 6) AS salience FROM b, m""",
@@ -256,7 +333,8 @@ SELECT class, key, class || '_' || regexp_replace(key, '[- ]', '_', 'g') || CASE
 SELECT 'Paper' AS what, count(DISTINCT x) AS n FROM (SELECT id AS x FROM p UNION ALL SELECT r FROM c) UNION ALL SELECT 'Venue', count(DISTINCT v) FROM p UNION ALL SELECT 'Topic', count(DISTINCT t) FROM p UNION ALL SELECT 'CITES', count(*) FROM c UNION ALL SELECT 'PUBLISHED_IN', count(*) FROM p UNION ALL SELECT 'ON_TOPIC', count(*) FROM p""",
     "triples_round_trip": "SELECT p_name AS o, 'en' AS lang, 'literal' AS o_kind, count(*) AS n FROM part GROUP BY 1",
     "sibling_stems": "SELECT page_id, page_id AS other FROM pages",
-    "prompt_texts": "SELECT conv_id, md5(string_agg(turn || '. ' || role || ': ' || text, chr(10) ORDER BY turn)) AS md5 FROM conversations GROUP BY 1",
+    "prompt_texts": """WITH c AS (SELECT conv_id, turn, role || ': ' || text AS t, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS batch FROM conversations)
+SELECT conv_id, batch::INT AS batch, count(*)::INT AS n, md5('Below are ' || count(*) || ' sentences from a source document, indexed ' || string_agg(turn::VARCHAR, ', ' ORDER BY turn) || '.' || chr(10) || chr(10) || 'Sentences:' || chr(10) || string_agg(turn || ': ' || t, chr(10) ORDER BY turn)) AS md5 FROM c GROUP BY 1, 2""",
     "even_samples": """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
 SELECT o_custkey, o_orderkey FROM o WHERE n <= 5 OR EXISTS (SELECT 1 FROM range(5) t(j) WHERE i = j * n // 5)""",
 }

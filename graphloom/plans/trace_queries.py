@@ -32,8 +32,86 @@ def budget_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traces.budget_audit(spans(spark, sf_dir), 500).filter("blocked").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.min("spent").alias("first_spent"))
 
 
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as spans of an agent: clicks search, views fetch, purchases are subtopics, errors write."""
+    names = F.create_map(*map(F.lit, ("click", "tool:search_papers", "view", "tool:fetch_paper", "purchase", "worker", "error", "synthesize")))
+    s = spans(spark, sf_dir)
+    status = F.when(F.col("seq") % 3 == 0, "empty").otherwise("ok")
+    start = F.col("seq").cast("double")
+    return s.withColumn("name", F.coalesce(names[F.col("name")], "name")).withColumn("status", status).withColumn("start", start).withColumn("end", start + 0.5).withColumn("input", F.format_string('{"subgoal": "goal %d"}', F.col("seq")))
+
+
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traces.summary_lines(spans(spark, sf_dir))
+    return traces.summary_lines(_named(spark, sf_dir))
+
+
+def plan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.plan_view(_named(spark, sf_dir)).select("run_id", F.md5(F.array_join("lines", "\n")).alias("md5"))
+
+
+def waterfalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.waterfall(_named(spark, sf_dir)).groupBy("run_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "line"))), lambda x: x["line"]), "\n")).alias("md5"))
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = traces.tool_spans(_named(spark, sf_dir))
+    return t.groupBy("name", "ms").agg(F.count(F.lit(1)).alias("n"))
+
+
+def feedback_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as verdicts on the events' runs, appended as spans."""
+    lb = table(spark, sf_dir, "labels")
+    verdicts = lb.select((F.col("doc_id") % 50).alias("run_id"), F.col("doc_id").cast("string").alias("item"), F.when(F.col("quality") == 1, "kept").otherwise("deleted").alias("verdict"))
+    fed = traces.with_feedback(_named(spark, sf_dir), verdicts)
+    return fed.groupBy("run_id").agg(F.count_if(F.col("name").startswith("feedback:")).alias("n"), F.count_if(F.col("output") == "kept").alias("kept"), F.max("seq").alias("last"))
+
+
+def _order_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs: a search that lists the parts of unreturned lines (none for every seventh order), and a saved text that cites
+    the parts of all lines, or says that there are no sources; some save nothing, some outside, some malformed."""
+    li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(
+        F.array_sort(F.collect_set(F.when(F.col("l_returnflag") != "R", F.col("l_partkey").cast("string")))).alias("seen"), F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))).alias("all")
+    )
+    k = F.col("k")
+    listed = F.to_json(F.struct(F.transform("seen", lambda x: F.struct(x.alias("id"))).alias("papers")))
+    cites = F.array_join(F.transform("all", lambda x: F.concat(F.lit("[S2:"), x, F.when(k % 13 == 0, "-").otherwise(""), F.lit("]"))), " ")
+    text = F.when(k % 7 == 0, F.when(k % 2 == 0, "No sources, omitted").otherwise("A fine section")).otherwise(cites)
+    file = F.when(k % 11 == 0, "../n.md").otherwise("n.md")
+    span = lambda seq, name, inp, out: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(name).alias("name"), F.lit("ok").alias("status"), inp.alias("input"), out.alias("output"))
+    none = F.lit(None).cast("string")
+    parts = F.array(span(1, "tool:search_papers", none, F.when(k % 7 == 0, '{"hits": 0}').otherwise(listed)), span(2, "tool:save_to_file", F.to_json(F.struct(text.alias("content"), file.alias("filename"))), none))
+    return li.select(k.alias("run_id"), F.explode(F.when(k % 17 == 0, F.slice(parts, 1, 1)).otherwise(parts)).alias("s")).select("run_id", "s.*")
+
+
+def graded_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs through all grades; every order should have found its least part."""
+    s = _order_runs(spark, sf_dir)
+    gold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("run_id")).agg(F.min("l_partkey").cast("string").alias("id")).filter("run_id % 5 = 0")
+    return traces.grade_runs(s.select("run_id"), s, gold).groupBy("passed", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def replayed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every seventh order is frozen as a case that must abstain, every third as one that must pass."""
+    s = _order_runs(spark, sf_dir)
+    runs = s.select("run_id").distinct()
+    cases = runs.filter("run_id % 7 = 0").select(F.lit("abstains").alias("case"), "run_id", F.lit("abstain").alias("kind")).unionByName(runs.filter("run_id % 3 = 0").select(F.lit("passes").alias("case"), "run_id", F.lit("full").alias("kind")))
+    return traces.replay_cases(cases, runs, s).groupBy("case").agg(F.count(F.lit(1)).alias("n"), F.count_if("passed").alias("passed"))
+
+
+def seen_and_cited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _order_runs(spark, sf_dir)
+    seen, cited = traces.seen_ids(s), traces.cited_ids(traces.saved_content(s))
+    return seen.groupBy("run_id").agg(F.count(F.lit(1)).alias("seen")).join(cited.groupBy("run_id").agg(F.count(F.lit(1)).alias("cited")), "run_id", "full").select("run_id", F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("cited", F.lit(0)).alias("cited"))
+
+
+def year_spec_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order years as specs with their expected bounds; those of March are wrong on purpose."""
+    o = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m"))
+    y = F.col("y").cast("string")
+    spec = F.when(F.col("m") % 4 == 0, y).when(F.col("m") % 4 == 1, F.concat(F.lit("before "), y)).when(F.col("m") % 4 == 2, F.concat(y, F.lit("-"), (F.col("y") + 2).cast("string")))
+    low, high = F.when(F.col("m") % 4 == 1, 1900).when(F.col("m") % 4 != 3, F.col("y")), F.when(F.col("m") % 4 == 2, F.col("y") + 2).when(F.col("m") % 4 != 3, F.col("y"))
+    cases = o.select(F.col("m").cast("string").alias("name"), spec.alias("spec"), F.when(F.col("m") == 3, 1).otherwise(low).alias("low"), high.alias("high"))
+    return traces.parser_regression(cases).groupBy("name", "passed").agg(F.count(F.lit(1)).alias("n"))
 
 
 def reply_states(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,15 +156,17 @@ def write_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def screening_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as records: deduplicated by name and brand, small ones excluded."""
-    p = table(spark, sf_dir, "part").select(F.col("p_name").alias("title"), F.col("p_brand").alias("doi"), F.when(F.col("p_type") == "ECONOMY", "type").alias("excluded_by"))
-    return traces.screening(p.groupBy("title", "doi").agg(F.max("excluded_by").alias("excluded_by")))
+    """Parts as records: one for each name and brand, those that any row excludes by type or size are out."""
+    why = F.when(F.col("p_type") == "ECONOMY", "type").when(F.col("p_size") > 45, "size")
+    p = table(spark, sf_dir, "part").select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.concat(F.lit(" "), "p_name")).alias("title"), F.col("p_brand").alias("doi"), why.alias("excluded_by"))
+    flow = traces.screening(p)
+    return flow.withColumn("by_reason", F.array_join(F.transform(F.map_entries("by_reason"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ","))
 
 
 def response_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    act = traces.response_policy(k % 2 == 0, k % 3 == 0, k % 11 == 0, k % 5 == 0)
+    act = traces.response_policy(k % 2 == 0, k % 3 == 0, k % 5 != 0, k % 7 == 0)
     return o.groupBy(act.alias("action")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -140,17 +220,29 @@ def family_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    run_totals, cost_by_span, routed_costs, budget_blocks, summary_lines, reply_states, citation_grades, claim_actions, consistency, write_checks, screening_flow, response_policies, feed_routes, triage_topics,
+    run_totals, cost_by_span, routed_costs, budget_blocks, summary_lines, plan_lines, waterfalls, tool_calls, feedback_spans, graded_runs, replayed_cases, seen_and_cited, year_spec_cases, reply_states, citation_grades, claim_actions, consistency, write_checks, screening_flow, response_policies, feed_routes, triage_topics,
     taxonomy_review, family_axioms,
 )}
 
 _S = "s AS (SELECT user_id AS run_id, event_id AS seq, event_type AS name, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, floor(value)::BIGINT AS tokens FROM events)"
+_N = "n AS (SELECT user_id AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'tool:search_papers' WHEN 'view' THEN 'tool:fetch_paper' WHEN 'purchase' THEN 'worker' WHEN 'error' THEN 'synthesize' ELSE event_type END AS name, CASE WHEN event_id % 3 = 0 THEN 'empty' ELSE 'ok' END AS status FROM events)"
+_R = "p AS (SELECT l_orderkey AS k, l_partkey AS id, bool_or(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1, 2), r AS (SELECT k, count(*) AS alls, count(*) FILTER (NOT ok) AS lost, arg_min(ok, id) AS first_seen FROM p GROUP BY 1)"
 ORACLE_SQL = {
     "run_totals": f"WITH {_S} SELECT run_id, sum(tokens)::BIGINT AS tokens, bool_or(status = 'error') AS has_anomaly FROM s GROUP BY 1",
     "cost_by_span": f"WITH {_S} SELECT run_id, name, sum(tokens)::BIGINT AS tokens, round_even(sum(tokens) / 1000.0::DOUBLE * 0.004::DOUBLE, 4) AS usd FROM s GROUP BY GROUPING SETS ((run_id, name), (run_id))",
     "routed_costs": f"WITH {_S} SELECT run_id, round(sum(tokens / 1000.0::DOUBLE * CASE name WHEN 'click' THEN 0.001::DOUBLE WHEN 'view' THEN 0.001::DOUBLE WHEN 'purchase' THEN 0.02::DOUBLE ELSE 0.004::DOUBLE END), 6) AS routed_usd, round(sum(tokens / 1000.0::DOUBLE * 0.02::DOUBLE), 6) AS flat_usd FROM s GROUP BY 1",
     "budget_blocks": f"WITH {_S}, b AS (SELECT run_id, coalesce(sum(tokens) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spent FROM s) SELECT run_id, count(*) AS n, min(spent) AS first_spent FROM b WHERE spent >= 500 GROUP BY 1",
-    "summary_lines": f"WITH {_S} SELECT run_id, format('{{}} spans, {{}} errors, {{}} empty, {{}} tokens', count(*), count(*) FILTER (status = 'error'), 0, sum(tokens)::BIGINT) AS line FROM s GROUP BY 1",
+    "summary_lines": f"WITH {_N} SELECT run_id, 'Surveying ' || CASE WHEN count(*) FILTER (name = 'worker') > 0 THEN count(*) FILTER (name = 'worker') ELSE count(*) FILTER (name = 'tool:search_papers') END || ' subtopics \u00b7 ' || count(*) FILTER (name = 'tool:fetch_paper') || ' papers retrieved \u00b7 ' || CASE WHEN bool_or(name = 'synthesize') THEN 'synthesizing now' ELSE 'gathering sources' END AS line FROM n GROUP BY 1",
+    "plan_lines": f"WITH {_N} SELECT run_id, md5(coalesce(string_agg(CASE WHEN status = 'empty' THEN '  [!] goal ' || seq || ' 0 papers' ELSE '  [x] goal ' || seq END, chr(10) ORDER BY seq) FILTER (name = 'worker'), '  [ ] (no plan recorded)')) AS md5 FROM n GROUP BY 1",
+    "waterfalls": f"WITH {_N} SELECT run_id, md5(string_agg('  ' || rpad(name, greatest(24, len(name))::INT, ' ') || ' ' || lpad('500', 6, ' ') || 'ms' || CASE WHEN status = 'ok' THEN '' ELSE '  <empty>' END, chr(10) ORDER BY seq)) AS md5 FROM n GROUP BY 1",
+    "tool_calls": f"WITH {_N} SELECT name, 500::BIGINT AS ms, count(*) AS n FROM n WHERE name LIKE 'tool:%' GROUP BY 1",
+    "feedback_spans": f"WITH {_N}, e AS (SELECT run_id, max(seq) AS last FROM n GROUP BY 1), v AS (SELECT doc_id % 50 AS run_id, count(*) AS c, count(*) FILTER (quality = 1) AS kept FROM labels GROUP BY 1) SELECT run_id, coalesce(c, 0)::BIGINT AS n, coalesce(kept, 0)::BIGINT AS kept, last + coalesce(c, 0) AS last FROM e LEFT JOIN v USING (run_id)",
+    "graded_runs": f"""WITH {_R} SELECT reason IS NULL AS passed, reason, count(*) AS n FROM (SELECT CASE WHEN k % 17 = 0 OR k % 11 = 0 THEN 'no file saved to output/' WHEN k % 7 <> 0 AND k % 13 = 0 THEN 'malformed citation' WHEN k % 7 <> 0 AND lost > 0 THEN 'invented citation'
+ WHEN k % 7 = 0 AND k % 2 = 1 THEN 'improvised a section with zero sources' WHEN k % 5 = 0 AND (k % 7 = 0 OR NOT first_seen) THEN 'missed required papers' END AS reason FROM r) GROUP BY ALL""",
+    "replayed_cases": f"""WITH {_R} SELECT 'abstains' AS "case", count(*) AS n, count(*) FILTER (k % 17 <> 0 AND k % 2 = 0) AS passed FROM r WHERE k % 7 = 0 UNION ALL
+SELECT 'passes', count(*), count(*) FILTER (k % 17 <> 0 AND k % 11 <> 0 AND (k % 7 = 0 AND k % 2 = 0 OR k % 7 <> 0 AND k % 13 <> 0 AND lost = 0)) FROM r WHERE k % 3 = 0""",
+    "seen_and_cited": f"WITH {_R} SELECT k AS run_id, s AS seen, c AS cited FROM (SELECT k, CASE WHEN k % 7 = 0 THEN 0 ELSE alls - lost END AS s, CASE WHEN k % 17 = 0 OR k % 7 = 0 OR k % 13 = 0 THEN 0 ELSE alls END AS c FROM r) WHERE s > 0 OR c > 0",
+    "year_spec_cases": "SELECT month(o_orderdate)::VARCHAR AS name, month(o_orderdate) <> 3 AS passed, count(*) AS n FROM orders GROUP BY ALL",
     "reply_states": "SELECT event_type, CASE ((props->>'$.k')::INT % 10) WHEN 0 THEN 'error' WHEN 1 THEN 'empty' WHEN 2 THEN 'empty' WHEN 3 THEN 'empty' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY ALL",
     "citation_grades": "WITH p AS (SELECT l_orderkey AS run_id, l_partkey, bool_or(l_returnflag <> 'R') AS seen FROM lineitem GROUP BY 1, 2) SELECT run_id, true AS well_formed, count(*) FILTER (NOT seen) AS invented FROM p GROUP BY 1",
     "claim_actions": """WITH l AS (SELECT l_suppkey AS s, l_partkey AS p, bool_or(l_returnflag = 'N') AS n, bool_or(l_returnflag = 'A') AS a FROM lineitem GROUP BY 1, 2)
@@ -159,8 +251,9 @@ SELECT CASE WHEN n THEN 'state' WHEN a THEN 'resolve' WHEN p_size > 40 THEN 'ask
     "write_checks": """WITH c AS (SELECT user_id, event_id, CASE event_type WHEN 'click' THEN 'save_file' WHEN 'purchase' THEN 'send_mail' ELSE event_type END AS tool, CASE WHEN event_id % 50 = 0 THEN '../x' ELSE 'out/' || event_id % 7 END AS f FROM events),
 r AS (SELECT tool, CASE WHEN tool = 'save_file' AND f = '../x' THEN 'path_escape' WHEN tool = 'save_file' AND lag(event_id) OVER (PARTITION BY user_id, tool, f ORDER BY event_id) IS NOT NULL THEN 'overwrite' WHEN tool = 'send_mail' THEN 'irreversible' END AS reason FROM c)
 SELECT tool, CASE WHEN reason IS NULL THEN 'allow' ELSE 'block' END AS verdict, reason, count(*) AS n FROM r GROUP BY ALL""",
-    "screening_flow": "WITH u AS (SELECT p_name, p_brand, max(CASE WHEN p_type = 'ECONOMY' THEN 'type' END) AS x FROM part GROUP BY 1, 2) SELECT count(*) AS identified, count(*) AS screened, count(x) AS excluded, count(*) - count(x) AS included FROM u",
-    "response_policies": "SELECT CASE WHEN o_orderkey % 11 = 0 THEN 'ask' WHEN o_orderkey % 5 = 0 AND o_orderkey % 2 <> 0 THEN 'abstain' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'state' WHEN o_orderkey % 2 = 0 THEN 'hedge' ELSE 'abstain' END AS action, count(*) AS n FROM orders GROUP BY 1",
+    "screening_flow": """WITH u AS (SELECT p_name, p_brand, min(CASE WHEN p_type = 'ECONOMY' THEN 'type' WHEN p_size > 45 THEN 'size' END) AS x FROM part GROUP BY 1, 2), b AS (SELECT string_agg(x || '=' || n, ',' ORDER BY x) AS by_reason FROM (SELECT x, count(*) AS n FROM u WHERE x IS NOT NULL GROUP BY 1))
+SELECT (SELECT count(*) FROM part) AS identified, count(*) AS screened, count(x) AS excluded, count(*) - count(x) AS included, any_value(by_reason) AS by_reason FROM u, b""",
+    "response_policies": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'resolve' ELSE 'ask' END WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN 'hedge' ELSE 'abstain' END AS action, count(*) AS n FROM orders GROUP BY 1",
     "feed_routes": """WITH p AS (SELECT l_orderkey AS o, l_partkey, bool_or(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1, 2), i AS (SELECT o, count(*) FILTER (NOT ok) AS f FROM p JOIN orders ON o_orderkey = o WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) >= 1997 GROUP BY 1)
 SELECT CASE WHEN f = 0 THEN 'digest' ELSE 'inbox' END AS route, count(*) AS n, sum(f)::BIGINT AS flags FROM i GROUP BY 1""",
     "triage_topics": "SELECT source || '-' || lang || '-' || (doc_id % 3) AS topic FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING bool_or(quality = 0) AND NOT bool_or(quality = 1)",
