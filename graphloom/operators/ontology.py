@@ -108,9 +108,9 @@ def disjoint_pairs(t: DataFrame) -> DataFrame:
 
 
 def namespace(t: DataFrame) -> DataFrame:
-    """The ontology's iri if stated, else the most frequent prefix."""
+    """The ontology's iri if stated, else the most frequent prefix of its named subjects."""
     stated = t.filter("p = 'rdf:type' and o = 'owl:Ontology'").agg(F.min("s").alias("stated"))
-    common = t.select(F.regexp_extract("s", r"^(.*[#/:])", 1).alias("ns")).filter("ns <> ''").groupBy("ns").count().orderBy(F.desc("count"), "ns").limit(1)
+    common = t.filter(~F.col("s").startswith("_:")).select(F.regexp_extract("s", r"^(.*[#/:])", 1).alias("ns")).filter("ns <> ''").groupBy("ns").count().orderBy(F.desc("count"), "ns").limit(1)
     return stated.join(common.select("ns"), how="left").select(F.coalesce("stated", "ns").alias("namespace"))
 
 

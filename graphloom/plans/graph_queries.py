@@ -91,12 +91,21 @@ def depth_and_lca(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cycles_broken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order-to-part-to-order links by key arithmetic make cycles; edges that lie on one."""
-    p = table(spark, sf_dir, "part").filter("p_partkey < 300")
-    edges = p.select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * 7 + 3) % 300).alias("dst"))
+    """Links of every part to another by key arithmetic make cycles of some length with trees on them; edges that lie on one."""
+    p = table(spark, sf_dir, "part")
+    many = p.agg(F.count(F.lit(1)).alias("n"))
+    edges = p.join(F.broadcast(many)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * F.col("p_partkey") + 1) % F.col("n")).alias("dst"))
     return graph.cyclic_edges(edges)
 
 
+def cycles_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same links, each with its size as confidence: of every cycle the weakest edge goes."""
+    p = table(spark, sf_dir, "part")
+    many = p.agg(F.count(F.lit(1)).alias("n"))
+    edges = p.join(F.broadcast(many)).select(F.col("p_partkey").alias("src"), ((F.col("p_partkey") * F.col("p_partkey") + 1) % F.col("n")).alias("dst"), F.col("p_size").alias("confidence"))
+    return graph.break_cycles(edges)[1].select("src", "dst", "confidence")
+
+
 def citing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders that hold parts of both most ordered parts, newest year first."""
     li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
@@ -106,7 +115,7 @@ def citing_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bridging_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers of both part types that have the most lines."""
+    """Suppliers with lines of both Brand#2 and Brand#17, the first twenty by key."""
     topics = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_suppkey").alias("id"), F.col("p_brand").alias("topic")).distinct()
     return graph.bridging(topics, "Brand#2", "Brand#17", 20)
 
@@ -128,16 +137,17 @@ def shortest_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neighborhood_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers within two hops of customer 1."""
+    """Suppliers within three hops of customer 1."""
     t = kg_triples(spark, sf_dir)
     return graph.neighborhood(context.entity_edges(t), context.node_types(t), spark.createDataFrame([("Customer_1",)], "id string"), 3, "Supplier")
 
 
 def component_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of parts and suppliers joined by lines of at least 49 units."""
-    li = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49")
-    edges = li.select(node("Part", "l_partkey").alias("a"), node("Supplier", "l_suppkey").alias("b"))
-    return graph.components(edges).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    """Documents joined by the same text or by the same first line of eight words or more: components by their least id."""
+    d = table(spark, sf_dir, "documents")
+    line = F.substring_index("text", "\n", 1)
+    shared = d.select(F.xxhash64("text").alias("key"), "doc_id").unionByName(d.filter(F.size(F.split(line, " ")) >= 8).select(F.xxhash64(line).alias("key"), "doc_id"))
+    return graph.components(graph.stars(shared, "key", "doc_id")).groupBy("root").agg(F.count(F.lit(1)).alias("n"))
 
 
 def ontology_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +204,7 @@ def verify_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    context_graph_customer, kg_pattern_count, kg_statistics, geo_radius, ask_gate_dispatch, turn_evolution, stale_evict, closure_places, depth_and_lca, cycles_broken, citing_all, bridging_topics,
+    context_graph_customer, kg_pattern_count, kg_statistics, geo_radius, ask_gate_dispatch, turn_evolution, stale_evict, closure_places, depth_and_lca, cycles_broken, cycles_removed, citing_all, bridging_topics,
     edge_check, shortest_route, neighborhood_suppliers, component_sizes, ontology_summary, property_usage, verify_stateless, verify_cardinality, verify_admission,
 )}
 
@@ -232,7 +242,7 @@ SELECT * FROM n WHERE age_min > 60 AND EXISTS (SELECT 1 FROM n f WHERE f.type =
     "closure_places": """WITH e AS (SELECT 'c' || c_custkey AS a, 'Nation_' || c_nationkey AS b FROM customer UNION ALL SELECT 's' || s_suppkey, 'Nation_' || s_nationkey FROM supplier), r AS (SELECT 'Nation_' || n_nationkey AS a, 'Region_' || n_regionkey AS b FROM nation)
 SELECT dst, hops, count(*) AS n FROM (SELECT b AS dst, 1 AS hops FROM e UNION ALL SELECT b, 1 FROM r UNION ALL SELECT r.b, 2 FROM e JOIN r ON e.b = r.a) GROUP BY 1, 2""",
     "depth_and_lca": "SELECT a.n_nationkey AS set_id, CASE WHEN a.n_regionkey = b.n_regionkey THEN 'Region_' || a.n_regionkey ELSE 'World' END AS lca FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 1 WHERE a.n_nationkey < 24",
-    "cycles_broken": """WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * 7 + 3) % 300 AS dst FROM part WHERE p_partkey < 300), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
+    "cycles_broken": """WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * p_partkey + 1) % (SELECT count(*) FROM part) AS dst FROM part), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src)
 SELECT e.src, e.dst FROM e WHERE e.src = e.dst OR EXISTS (SELECT 1 FROM r WHERE r.src = e.dst AND r.dst = e.src)""",
     "citing_all": """WITH t AS (SELECT l_partkey AS id FROM lineitem GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 2), h AS (SELECT l_suppkey AS id FROM lineitem JOIN t ON l_partkey = t.id GROUP BY 1 HAVING count(DISTINCT l_partkey) = 2)
 SELECT h.id, max(year(l_shipdate))::INT AS year FROM h JOIN lineitem ON l_suppkey = h.id GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20""",
@@ -244,7 +254,11 @@ SELECT min(n)::INT AS nodes, any_value(src) AS source, any_value(goal) AS target
     "neighborhood_suppliers": f"""WITH {KG}, e AS (SELECT DISTINCT s AS a, o AS b FROM kg WHERE p <> 'rdf:type' AND k = 'iri'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 h1 AS (SELECT DISTINCT b AS n FROM u WHERE a = 'Customer_1'), h2 AS (SELECT DISTINCT b AS n FROM h1 JOIN u ON a = n), h3 AS (SELECT DISTINCT b AS n FROM h2 JOIN u ON a = n)
 SELECT n AS node FROM (FROM h1 UNION FROM h2 UNION FROM h3) WHERE n LIKE 'Supplier%'""",
-    "component_sizes": """WITH RECURSIVE e AS (SELECT DISTINCT 'Part_' || l_partkey AS a, 'Supplier_' || l_suppkey AS b FROM lineitem WHERE l_quantity >= 49), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+    "cycles_removed": """WITH RECURSIVE e AS (SELECT p_partkey AS src, (p_partkey * p_partkey + 1) % (SELECT count(*) FROM part) AS dst, p_size AS confidence FROM part), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src),
+c AS (SELECT e.*, (SELECT min(r.dst) FROM r WHERE r.src = e.src AND EXISTS (SELECT 1 FROM r b WHERE b.src = r.dst AND b.dst = e.src)) AS knot FROM e WHERE EXISTS (SELECT 1 FROM r WHERE r.src = e.src AND r.dst = e.src))
+SELECT src, dst, confidence FROM (SELECT *, row_number() OVER (PARTITION BY knot ORDER BY confidence, src, dst) AS i FROM c) WHERE i = 1""",
+    "component_sizes": """WITH RECURSIVE k AS (SELECT md5(text) AS key, doc_id FROM documents UNION SELECT 'l' || split_part(text, chr(10), 1), doc_id FROM documents WHERE len(string_split(split_part(text, chr(10), 1), ' ')) >= 8),
+u AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM k x JOIN k y USING (key) WHERE x.doc_id <> y.doc_id), r AS (SELECT a, a AS b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
 SELECT root, count(*) AS n FROM (SELECT a, min(b) AS root FROM r GROUP BY 1) GROUP BY 1""",
     "ontology_summary": f"WITH {KG}, {UP}, c AS (SELECT o AS class, count(DISTINCT s) AS n FROM kg WHERE p = 'rdf:type' GROUP BY 1) SELECT class, sum(n)::BIGINT AS instances FROM (SELECT * FROM c UNION ALL SELECT super, n FROM c JOIN up ON class = sub) GROUP BY 1",
     "property_usage": f"""WITH {KG}, pr(iri, kind, domain, "range", is_functional) AS (VALUES ('placedBy','object_property','Order','Party',true),('contains','object_property','Order','Item',false),('suppliedBy','object_property','Order','Supplier',false),('locatedIn','object_property','Party','Place',true),('hasStatus','datatype_property','Order','xsd:string',true))
