@@ -39,8 +39,8 @@ def semantic_links(items: DataFrame, distance: float = 0.07, block_rows: int = 2
     A token's items are dealt to blocks of about ``block_rows`` rows; each pair of blocks is one task's matrix product, of which only
     near pairs leave. So a common token is many bounded tasks. An acronym (a token of 2 to 6 capitals) links nothing by itself."""
     one = items.select("id", "vec", F.explode(F.array_distinct("tokens")).alias("token")).filter(~F.col("token").rlike("^[A-Z]{2,6}$"))
-    sizes = one.groupBy(F.col("token").alias("_t")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_n"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
-    dealt = one.join(sizes, F.col("token") == F.col("_t")).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    sizes = one.groupBy(F.struct("token").alias("_t")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_n"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
+    dealt = one.join(sizes, F.col("token") == F.col("_t.token")).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
     dealt = dealt.select("token", "id", "vec", "_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
     tiles = dealt.select("token", F.least("_s", "_o").alias("s"), F.greatest("_s", "_o").alias("t"), F.when(F.col("_s") <= F.col("_o"), 0).otherwise(1).alias("side"), "id", "vec")
     kind = items.schema["id"].dataType.simpleString()

@@ -1,11 +1,4 @@
-"""Explicit schemas of the tables that the operators pass on."""
+"""Explicit schemas of stored tables."""
 
-TRIPLES = "g string, s string, p string, o string, o_kind string, datatype string, lang string"
-ONTOLOGY_VERSION = "version string, " + TRIPLES
-SENTENCES = "doc_id bigint, sentence_index int, text string"
-MENTIONS = "surface_form string, mention_type string, source string, sentence_index int, seq bigint"
-RAW_TRIPLES = "subject string, predicate string, object string, sentence_index int, source string, negated boolean, seq bigint"
-SPANS = "run_id string, seq bigint, name string, status string, error string, input string, output string, start double, end double, tokens int"
 RUNS = "run_id string, goal string, spans array<struct<name:string,parent:string,span_id:string,start:double,end:double,status:string,error:string,input:string,output:string,tokens:int>>"
-PAPERS = "seq bigint, id string, title string, year int, citations int, venue string, authors array<string>, topics array<string>, references array<string>"
-VECTORS = "id string, vec array<float>, text string, meta map<string,string>"
+VECTORS = "id string, chunk int, vec array<double>, text string, meta map<string,string>"

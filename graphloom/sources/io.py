@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.schemas import RUNS
+from graphloom.schemas import RUNS, VECTORS
 
 _LINE = r'^(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@(\S+))?)\s*\.\s*$'
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text): every file as one row; the id is the file's stem without a stage suffix."""
+    """(doc_id, text): every file that is not empty as one row; the id is the file's stem without a stage suffix."""
     return spark.read.text(path, wholetext=True).select(stem(F.input_file_name()).alias("doc_id"), F.col("value").alias("text"))
 
 
@@ -110,9 +110,6 @@ def ingest_papers(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.filter("src is not null and dst is not null").distinct()
 
 
-VECTORS = "id string, chunk int, vec array<double>, text string, meta map<string,string>"
-
-
 def append_vectors(df: DataFrame, path: str) -> None:
     """Append rows (id, chunk, vec, text, meta) to a vector table."""
     df.write.mode("append").parquet(path)

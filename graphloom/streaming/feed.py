@@ -4,8 +4,12 @@ Batch and stream share the column logic: trigger, draft, verification against th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TAG = r"\[S2:([A-Za-z0-9_]+)\]"
 
@@ -97,3 +101,33 @@ def freshness(stream: DataFrame, late: str = "5 minutes", stale_minutes: float =
         .agg(F.max("ts").alias("last_ts"), F.max_by("value", "ts").alias("last_value"), F.count(F.lit(1)).alias("readings"))
         .select("sensor", "last_ts", "last_value", "readings")
     )
+
+
+def current_readings(stream: DataFrame, late: str = "5 minutes", stale_minutes: float = 5.0) -> DataFrame:
+    """(sensor, last_ts, last_value, readings, stale): the state of every sensor (sensor, ts, value) that a batch touches, and a last row with
+    ``stale`` once event time is ``stale_minutes`` past its last reading, when its state goes.
+
+    The state is one row a sensor. A reading older than the last one counts but changes nothing; rows behind the watermark are left out by Spark."""
+    keep_ms = int(stale_minutes * 60_000)
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last_ms, last_value, readings = state.get if state.exists else (None, None, 0)
+        stale = state.hasTimedOut
+        if stale:
+            state.remove()
+        else:
+            for rows in batches:
+                readings += len(rows)
+                newest = rows.loc[rows["ts"].idxmax()]
+                ms = int(newest["ts"].value // 1_000_000)
+                if last_ms is None or ms >= last_ms:
+                    last_ms, last_value = ms, float(newest["value"])
+            state.update((last_ms, last_value, readings))
+            state.setTimeoutTimestamp(max(last_ms + keep_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"sensor": [key[0]], "last_ts": [pd.Timestamp(last_ms, unit="ms")], "last_value": [last_value], "readings": [readings], "stale": [stale]})
+
+    return (
+        stream.withWatermark("ts", late)
+        .groupBy("sensor")
+        .applyInPandasWithState(follow, "sensor string, last_ts timestamp, last_value double, readings long, stale boolean", "last_ms long, last_value double, readings long", "append", GroupStateTimeout.EventTimeTimeout)
+    )

@@ -253,3 +253,31 @@ def test_stars_and_small(spark):
 
 def one_level(spark):
     return table(spark, "t string", ("a",)).select(X.merged_unique(F.array(F.lit("a"), F.lit("A"), F.lit("b"))).alias("x")).first()["x"]
+
+
+def test_current_readings_and_eviction(spark, tmp_path):
+    schema = "sensor string, value double, ts timestamp"
+    batches = [[("a", 1.0, "2024-01-01 00:00:00"), ("a", 2.0, "2024-01-01 00:03:00"), ("b", 5.0, "2024-01-01 00:01:00")], [("a", 3.0, "2024-01-01 00:02:00"), ("c", 7.0, "2024-01-01 01:00:00")], [("c", 8.0, "2024-01-01 01:01:00")]]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, "sensor string, value double, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        q = feed.current_readings(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = rows(spark.read.parquet(f"{tmp_path}/out"), "sensor", "last_value", "readings", "stale")
+    assert ("a", 2.0, 2, False) in got and ("a", 2.0, 3, True) in got and ("b", 5.0, 1, True) in got and ("c", 8.0, 2, False) in got
+    assert not [g for g in got if g[0] == "c" and g[3]]
+
+
+def test_corpora_and_traces(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c/one_content.md").write_text("# A\ntext")
+    (tmp_path / "c/two.txt").write_text("")
+    assert rows(io.read_corpus(spark, f"{tmp_path}/c"), "doc_id", "text") == [("one", "# A\ntext")]  # an empty file has no row
+    stages = spark.createDataFrame([("d1", "inbox", 1), ("d1", "digest", 2)], "day string, route string, id int")
+    io.routed_sink(stages, f"{tmp_path}/routes")
+    io.routed_sink(stages, f"{tmp_path}/routes")
+    assert spark.read.parquet(f"{tmp_path}/routes").filter("route = 'inbox'").count() == 2
+    (tmp_path / "runs").mkdir()
+    span = '{"name": "x", "start": %s, "end": 9.0, "tokens": 3}'
+    (tmp_path / "runs/a.json").write_text('{"run_id": "a", "goal": "g", "spans": [%s, %s]}' % (span % 1.0, span % 5.0))
+    assert io.read_runs(spark, f"{tmp_path}/runs", "g", 2.0).count() == 1 and io.read_runs(spark, f"{tmp_path}/runs", "other").count() == 0
