@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +22,24 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
-    return _kept(df, shared_folder(df.sparkSession, name))
+    path = shared_folder(df.sparkSession, name)
+    if _noted:
+        _noted[-1].append(path)
+    return _kept(df, path)
+
+
+_noted: list[list[str]] = []
+
+
+@contextmanager
+def cleared(spark: SparkSession) -> Iterator[None]:
+    """Whatever is :func:`stored` within the block is deleted at its end; results must have been written by then."""
+    _noted.append([])
+    try:
+        yield
+    finally:
+        for path in _noted.pop():
+            remove(spark, path)
 
 
 def _kept(df: DataFrame, path: str) -> DataFrame:
