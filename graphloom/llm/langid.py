@@ -141,15 +141,17 @@ def fit(samples: list[tuple[str, np.ndarray, np.ndarray]]) -> Machines:
     return Machines(langs, [t[:3] for t in tasks], weights, np.array([m[1] for m in made]), np.array([m[2] for m in made]))
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500, parts: int = 64) -> Machines:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_docs: int = 1500) -> Machines:
     """Train on at most about ``sample_docs`` documents of each language, those with the least text hash.
 
-    The least of each of ``parts`` parts of a language are found first, so the task that ranks a language gets a bounded number."""
+    An estimate of a language's distinct texts bounds their hashes first, so the task that ranks a language gets about twice as many rows as
+    it keeps, whatever the language's share."""
     known = docs.select(F.col(lang_col).cast("string").alias("_lang"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_h")).filter("_lang is not null and _t is not null")
-    hashes = known.select("_lang", "_h", F.pmod("_h", F.lit(parts)).alias("_part")).distinct()
-    for by in (["_lang", "_part"], ["_lang"]):
-        hashes = hashes.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy("_h"))).filter(F.col("_n") <= sample_docs).drop("_n")
-    edge = hashes.groupBy("_lang").agg(F.max("_h").alias("_edge"))
+    sizes = known.groupBy("_lang").agg(F.approx_count_distinct("_h").alias("n")).collect()
+    bounds = [(r["_lang"], -(1 << 63) + int(min(1.0, 2 * sample_docs / max(r["n"], 1)) * ((1 << 64) - 2048))) for r in sizes]
+    low = F.coalesce(*[F.when((F.col("_lang") == x) & (F.col("_h") <= most), True) for x, most in bounds], F.lit(False))
+    rank = F.row_number().over(W.partitionBy("_lang").orderBy("_h"))
+    edge = known.select("_lang", "_h").filter(low).distinct().withColumn("_n", rank).filter(F.col("_n") <= sample_docs).groupBy("_lang").agg(F.max("_h").alias("_edge"))
     edges = edge.collect()
     if not edges:
         return fit([])
