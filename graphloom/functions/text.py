@@ -364,3 +364,18 @@ def merged_unique(*lists: Column) -> Column:
     """Scope terms of several lists: trimmed, blanks out, the first of each name whatever its case."""
     items = F.filter(F.transform(F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in lists]), lambda x: F.trim(x)), lambda x: x != "")
     return distinct_folded(items)
+
+
+def matches_with_offsets(text: Column, pattern: str) -> Column:
+    """array of struct(text, start, end): what ``pattern`` (never empty, one group around it at most) matches, with places in code points."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
+    start = F.struct(F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"), F.lit(0).alias("at"))
+
+    def step(a: Column, x: Column) -> Column:
+        begin = a["at"] + x["gap"]
+        end = begin + F.length(x["m"])
+        return F.struct(F.array_append(a["out"], F.struct(x["m"].alias("text"), begin.alias("start"), end.alias("end"))).alias("out"), end.alias("at"))
+
+    pairs = F.transform(found, lambda m, i: F.struct(m.alias("m"), F.get(between, i).alias("gap")))
+    return F.aggregate(pairs, start, step, lambda a: a["out"])

@@ -3,25 +3,54 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import dedup_key, fenced_json, fold_key, lemma, sentences
+from graphloom.functions.text import LEADING, dedup_key, fenced_json, fold_key, lemma, looks_like_term, matches_with_offsets, sentences
 
 
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(sentences(F.col(text_col))).alias("sentence_index", "text"))
 
 
-def surface_concepts(docs: DataFrame, extractor: Callable | None = None, schema: str = "doc_id bigint, text string, start int, end int, source string") -> DataFrame:
-    """Runs of capitalised words, with offsets; or whatever ``extractor`` yields from (doc_id, text)."""
+#: Patterns of the default extractor by source: names, gerunds, and adjectives on request.
+NAMES, GERUNDS, ADJECTIVES = r"[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)*", r"[a-z]{3,}ing(?![A-Za-z])", r"[a-z]{2,}(?:able|ible|ical|ive|ous|ful|less)(?![A-Za-z])"
+#: A number with what it counts, a date, or a percentage.
+VALUES = r"\d{4}-\d{2}-\d{2}|\d+(?:[.,]\d+)*(?: ?%| (?:psi|km|m|kg|g|mph|minutes|hours|seconds|days|usd)(?![A-Za-z]))?"
+
+
+def _placed(rows: DataFrame, keys: list[str], pattern: str, source: str) -> DataFrame:
+    """(keys, text, start, end, source) of a pattern's matches that no letter or digit precedes; a leading determiner is cut off, and
+    what is nothing else is left out."""
+    hits = rows.select(*keys, F.col("text").alias("_t"), F.explode(matches_with_offsets(F.col("text"), pattern)).alias("m")).select(*keys, "_t", "m.*")
+    free = hits.filter((F.col("start") == 0) | ~F.substr("_t", F.col("start"), F.lit(1)).rlike(r"[\p{L}\p{N}_]"))
+    head = F.substring_index("text", " ", 1)
+    cut = F.lower(head).isin(LEADING)
+    skip = F.when(cut, F.length(head) + 1).otherwise(0)
+    return free.filter(~(cut & (head == F.col("text")))).select(*keys, F.substr("text", skip + 1).alias("text"), (F.col("start") + skip).alias("start"), "end", F.lit(source).alias("source"))
+
+
+def surface_concepts(docs: DataFrame, extractor: Callable | None = None, schema: str = "doc_id bigint, text string, start int, end int, source string", adjectives: bool = False) -> DataFrame:
+    """(doc_id, text, start, end, source): runs of capitalised words and gerunds, adjectives on request; or whatever ``extractor`` yields
+    from (doc_id, text)."""
     if extractor:
         return docs.select("doc_id", "text").mapInPandas(extractor, schema)
-    runs = F.regexp_extract_all("text", F.lit(r"\b[A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+)*"), F.lit(0))
-    found = docs.select("doc_id", F.col("text").alias("_t"), F.explode(F.array_distinct(runs)).alias("text"))
-    return occurrences(found.select("doc_id", "_t", F.col("text").alias("term"))).select("doc_id", F.col("term").alias("text"), "start", "end", F.lit("pattern").alias("source"))
+    kinds = [(NAMES, "name"), (GERUNDS, "gerund")] + [(ADJECTIVES, "adjective")] * adjectives
+    found = reduce(DataFrame.unionByName, [_placed(docs.select("doc_id", "text"), ["doc_id"], p, s) for p, s in kinds])
+    return found.filter(looks_like_term(F.col("text")))
+
+
+def surface_mentions(sents: DataFrame) -> DataFrame:
+    """(doc_id, sentence_index, surface_form, mention_type, start, end, source) of sentences (doc_id, sentence_index, text): values, and names that
+    touch no value and are no pronoun."""
+    keys = ["doc_id", "sentence_index"]
+    rows = sents.select(*keys, "text").withColumn("doc_id", F.struct("doc_id", "sentence_index")).drop("sentence_index")
+    values = _placed(rows, ["doc_id"], VALUES, "ner").withColumn("mention_type", F.lit("value"))
+    names = without_overlaps(_placed(rows, ["doc_id"], NAMES, "ner"), values).withColumn("mention_type", F.lit("entity"))
+    return values.unionByName(names).select("doc_id.doc_id", "doc_id.sentence_index", F.col("text").alias("surface_form"), "mention_type", "start", "end", "source")
 
 
 def surface_relations(sents: DataFrame, verbs: DataFrame) -> DataFrame:

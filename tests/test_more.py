@@ -130,8 +130,8 @@ def test_surfacing(spark):
     docs = table(spark, "doc_id long, text string", (1, "Fire Unit seals the main. The crew never enters Zone One."))
     found = surface.surface_concepts(docs)
     exact = surface.exact_places(found.withColumn("text", F.lit("?")), docs)
-    assert rows(exact, "text", "start") == [("Fire Unit", 0), ("The", 26), ("Zone One", 48), ("the", 16)]
-    assert rows(surface.without_overlaps(exact, table(spark, "doc_id long, start int, end int", (1, 5, 7))), "text") == [("The",), ("Zone One",), ("the",)]
+    assert rows(exact, "text", "start") == [("Fire Unit", 0), ("Zone One", 48)]
+    assert rows(surface.without_overlaps(exact, table(spark, "doc_id long, start int, end int", (1, 5, 7))), "text") == [("Zone One",)]
     sents = surface.sentence_table(docs)
     verbs = table(spark, "verb string", ("seals",), ("enters",))
     assert rows(surface.surface_relations(sents, verbs), "sentence_index", "relation") == [(0, "seals"), (1, "enters")]
@@ -141,6 +141,16 @@ def test_surfacing(spark):
     assert tuple(surface.union_statistics(cheap, asked).first()) == (2, 2, 1)
 
 
+def test_mentions_and_gerunds(spark):
+    docs = table(spark, "doc_id long, text string", (1, "The Red Crew is sealing usable pipes; McCrew sings. \u00c9Alpha aIng"), (2, None))
+    assert rows(surface.surface_concepts(docs, adjectives=True), "text", "start", "source") == [("McCrew", 38, "name"), ("Red Crew", 4, "name"), ("sealing", 16, "gerund"), ("usable", 24, "adjective")]
+    sents = table(spark, "doc_id long, sentence_index int, text string", (1, 0, "It holds 47 psi, 1,234 units and 5% on 2024-05-06 for Main 7."), (1, 1, "They left."))
+    got = surface.surface_mentions(sents)
+    assert rows(got, "sentence_index", "surface_form", "mention_type", "start") == sorted([(0, "47 psi", "value", 9), (0, "1,234", "value", 17), (0, "5%", "value", 33), (0, "2024-05-06", "value", 39), (0, "Main", "entity", 54), (0, "7", "value", 59)], key=repr)
+    text = "aa1b22\n333"
+    assert [tuple(m) for m in table(spark, "t string", (text,)).select(X.matches_with_offsets(F.col("t"), r"\d+").alias("x")).first()["x"]] == [("1", 2, 3), ("22", 4, 6), ("333", 7, 10)]
+
+
 def test_taxonomy_review(spark):
     classes = table(spark, "id string, label string", ("a", "Aa"), ("b", "Bb"), ("c", "Cc"), ("o", "Oo"))
     edges = table(spark, "child string, parent string, via array<string>", ("a", "coined:x", ["llm"]), ("b", "coined:x", ["llm", "rule"]), ("c", "coined:y", ["rule"]))
