@@ -37,13 +37,15 @@ def closure(edges: DataFrame) -> DataFrame:
     """(src, dst, hops): all reachable pairs but a node with itself, with the least number of steps; safe on cycles."""
     use_checkpoints(edges.sparkSession)
     known = edges.select("src", "dst").filter("src <> dst").distinct().withColumn("hops", F.lit(1)).checkpoint()
-    step, fresh = known.drop("hops"), known
+    step, fresh, parts = known.drop("hops"), known, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for hop in count(2):
         reached = fresh.select("src", F.col("dst").alias("mid")).join(step.withColumnRenamed("src", "mid"), "mid").select("src", "dst").filter("src <> dst").distinct()
         fresh = reached.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
         if fresh.isEmpty():
             break
         known = known.unionByName(fresh)
+        if hop % 8 == 0:  # many rounds of few rows each would otherwise leave as many parts
+            known = known.coalesce(parts).checkpoint()
     return known
 
 

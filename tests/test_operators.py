@@ -196,6 +196,10 @@ def test_feed(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
     fb = spark.createDataFrame([("P1", "kept", 1), ("P2", "kept", 1), ("P2", "deleted", 2)], "item string, verdict string, ts int")
     assert rows(feed.tune_triage(fb, spark.createDataFrame(items, schema), ["gnn", "retrieval"]), "topic") == [("retrieval",)]
+    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    feed.run_feed(stream, edges, ["gnn", "retrieval"], 2020, f"{tmp_path}/out2", f"{tmp_path}/seen2", f"{tmp_path}/cp2", "d1", f"{tmp_path}/spans", fb).awaitTermination()
+    spans = spark.read.parquet(f"{tmp_path}/spans")
+    assert rows(spans.filter("name in ('tune_triage', 'connectors', 'verify:P2')"), "name", "status", "output") == [("connectors", "ok", '{"digest":1,"inbox":1}'), ("tune_triage", "ok", "retrieval"), ("verify:P2", "error", '{"grounded":false,"flags":["R9"]}')]
 
 
 def test_freshness_closes_stale_sessions(spark, tmp_path):
