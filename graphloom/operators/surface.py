@@ -101,14 +101,16 @@ def occurrences(pairs: DataFrame, most: int = 50) -> DataFrame:
 def dedup_mentions(raws: DataFrame) -> DataFrame:
     """Group (kind, text, source, doc_id, start, end) by lemma key; the canonical form is the most frequent, then longest, then first by name.
 
-    Forms and sources are counted first; only places meet row by row, and those as distinct keys."""
-    keyed = raws.withColumn("key", dedup_key(F.col("text"))).filter("key <> ''")
-    forms = keyed.groupBy("kind", "key", "text", "source").agg(F.count(F.lit(1)).alias("n"))
+    Forms and sources are counted before their keys are made; places are dealt by document, keyed there, and counted once."""
+    key = dedup_key(F.col("text"))
+    forms = raws.groupBy("kind", "text", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("key", key).filter("key <> ''")
     by_form = forms.groupBy("kind", "key", "text").agg(F.sum("n").alias("n"), F.collect_set("source").alias("s"))
     merged = by_form.groupBy("kind", "key").agg(
         F.min_by("text", F.struct(-F.col("n"), -F.length("text"), "text")).alias("canonical"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"), F.array_sort(F.collect_set("text")).alias("variants")
     )
-    places = keyed.filter("start is not null").select("kind", "key", "doc_id", "start", "end").distinct().groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_places"))
+    dealt = raws.filter("start is not null").select("kind", "text", "doc_id", "start", "end").repartition("doc_id")  # the distinct below keeps this partitioning
+    placed = dealt.select("kind", key.alias("key"), "doc_id", "start", "end").filter("key <> ''").distinct()
+    places = placed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_places"))
     found = F.coalesce("_places", F.lit(0))
     return merged.join(places, ["kind", "key"], "left").select(
         "kind", "key", "canonical", "sources", "variants", F.greatest(found, F.lit(1)).alias("mention_count"), (found > 0).alias("literal_span"), (F.col("sources") == F.array(F.lit("llm"))).alias("llm_only")
