@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm import bpe, decontam, jaccard, langid, lattice, quality_trees, rules, secrets, shards, token_cache
+from graphloom.llm import bpe, decontam, jaccard, langid, lattice, quality_trees, rules, secrets, shards, spelling, token_cache
 from graphloom.llm.shared import crc_fold, shared_folder
 
 
@@ -70,6 +70,15 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"), least_length=6)
+    code = F.crc32(F.concat_ws(":", "id", "run").cast("binary"))
+    at = F.pmod(code, F.length("run")).cast("int")
+    cut = F.concat(F.col("run").substr(F.lit(1), at), F.substring("run", at + 2, F.length("run")))
+    words = runs.select(F.when(code % 199 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling.group_variants(spelling.vocabulary(words, 6, 5), 6, 5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_boosted_quality": op2_boosted_quality,
@@ -81,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice": op8_lattice,
     "op9_alignment": op9_alignment,
     "op10_language": op10_language,
+    "op11_spelling": op11_spelling,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -119,4 +129,26 @@ SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
   AND NOT (removed_words > 0 AND (n_words - removed_words < 8 OR n_words - removed_words < 0.4 * n_words)) AS kept
 FROM f""",
+    "op11_spelling": r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x] || range(8), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS crc),
+o AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS r FROM documents),
+k AS (SELECT id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS c FROM o WHERE length(r) >= 6 GROUP BY 1, 2),
+y AS (
+  SELECT r, c, flatten(list_transform(string_split(id || ':' || r, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)] ELSE [192 + ord(x) // 64, 128 + ord(x) % 64] END)) AS b FROM k),
+h AS (
+  SELECT r, c, xor(list_reduce([4294967295::BIGINT] || list_transform(b, lambda x: x::BIGINT), lambda a, x: xor(a // 256, crc[(xor(a % 256, x) + 1)::INT])), 4294967295) AS h FROM y, bits),
+w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(r, 1, (h % length(r))::INT) || substr(r, (h % length(r))::INT + 2) ELSE r END AS word, sum(c)::BIGINT AS n FROM h GROUP BY 1),
+v AS (
+  SELECT word, n, length(word) AS size, translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!"#$%&()*+,-./:;<=>?@[]^_{|}') AS one
+  FROM w WHERE length(word) >= 6 AND n >= 5),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM v a JOIN v b ON b.size BETWEEN a.size - 1 AND a.size + 1 AND a.word <> b.word AND levenshtein(a.one, b.one) = 1),
+g AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM p GROUP BY 1),
+f AS (
+  SELECT v.word, v.n, coalesce(g.n_near, 0)::BIGINT AS n_near,
+    CASE WHEN g.top >= 5 * v.n THEN (SELECT min(p.near) FROM p WHERE p.word = v.word AND p.near_n = g.top) END AS form, CASE WHEN g.top >= 5 * v.n THEN g.top END AS form_n
+  FROM v LEFT JOIN g USING (word)),
+r AS (SELECT word, word AS at FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.at AND f.form IS NOT NULL)
+SELECT f.word, f.form, r.at AS root, f.n, f.n_near, f.form_n FROM f JOIN r USING (word) JOIN f e ON e.word = r.at AND e.form IS NULL""",
 }
