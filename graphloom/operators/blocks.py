@@ -89,3 +89,46 @@ def first_k(group: np.ndarray, order: tuple[np.ndarray, ...], k: int) -> np.ndar
     first = np.append(True, group[placed][1:] != group[placed][:-1]) if len(placed) else np.zeros(0, bool)
     at = np.arange(len(placed))
     return placed[at - np.maximum.accumulate(np.where(first, at, 0)) < k]
+
+
+class Best:
+    """The ``k`` highest scores of each of ``n`` queries so far, equal ones by the smaller tag, and what else goes with them.
+
+    Offers wait in a bounded list until they are cut to what can still be among the best."""
+
+    def __init__(self, n: int, k: int, dtype: type = float, pending: int = 500_000):
+        self.k, self.most = k, pending
+        self.least = np.iinfo(dtype).min if np.issubdtype(dtype, np.integer) else -np.inf
+        self._top = np.full((n, k), self.least, dtype)
+        #: The score that an offer must reach: the k-th best so far.
+        self.edge = np.full(n, self.least, dtype)
+        self._kept: list[tuple] = []
+        self._size = 0
+
+    def offer(self, query: np.ndarray, score: np.ndarray, tag: np.ndarray, *others: np.ndarray) -> None:
+        """Rows for the queries at ``query``, a row at most once for each; those below the edge are left out."""
+        high = score >= self.edge[query]
+        query, score = query[high], score[high]
+        if not len(query):
+            return
+        met = np.unique(query)
+        first = first_k(query, (-score,), self.k)
+        place = np.searchsorted(met, query[first])
+        start = np.searchsorted(query[first], met)
+        top = np.concatenate([np.full((len(met), self.k), self.least, self._top.dtype), self._top[met]], axis=1)
+        top[place, np.arange(len(first)) - start[place]] = score[first]
+        self._top[met] = np.partition(top, self.k, axis=1)[:, self.k :]
+        self.edge[met] = self._top[met].min(axis=1)
+        self._kept.append((query, score, tag[high], *(x[high] for x in others)))
+        self._size += len(query)
+        if self._size > self.most:
+            self._size = len(self.rows()[0])
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        """(query, score, tag, others) of the best, by query and from the best on."""
+        if not self._kept:
+            return (np.zeros(0, int), np.zeros(0, self._top.dtype), np.zeros(0, int))
+        columns = [np.concatenate(c) for c in zip(*self._kept, strict=True)]
+        keep = first_k(columns[0], (columns[2], -columns[1]), self.k)
+        self._kept = [tuple(c[keep] for c in columns)]
+        return self._kept[0]
