@@ -6,7 +6,9 @@ ordinary identifiers; a run whose log-likelihood ratio is high enough is a span
 
 Both models are trained from labelled samples: what the patterns match, together with strings made
 from digests, is random; tokens of the sampled documents outside all matches are ordinary, and so are identifiers made
-of words: in camel and snake case, paths, option names, dates and UUIDs. The sample is bounded: the ``sample_docs`` texts with
+of words (in camel and snake case, paths, option names, dates and UUIDs), separator lines, repeated characters, alphabets and rows of
+keys; sampled words count in capitals too. What repeats with a period of four characters or less tells nothing new and adds nothing to a ratio.
+The sample is bounded: the ``sample_docs`` texts with
 the lowest hash, and of each label the ``sample_tokens`` tokens with the lowest hash, up to ``sample_chars`` characters each.
 
 Defined results: null and empty texts have no spans; offsets are code points, ends exclusive; spans
@@ -38,6 +40,8 @@ _assign, _access, _hex, _run = map(re.compile, (ASSIGN, ACCESS, HEX, RUN))
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _CODE = np.full(256, len(ALPHABET), np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
+#: Lengths of patterns whose repetition speaks for no secret.
+PERIODS = (1, 2, 3, 4)
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("ratio", T.DoubleType())]))
 
 
@@ -76,7 +80,7 @@ def made_strings(n: int = 3000) -> list[str]:
     return [forms[i % 4](r) for i, r in enumerate(raw)]
 
 
-#: Words that names in programs and files are made of.
+#: Labelled sample, ordinary side: words that names in programs and files are made of.
 NAME_WORDS = (
     "abstract account action adapter address admin agent api app archive array asset async attribute author auto backend background bar base batch bean binary body boot branch bridge buffer build builder "
     "button by byte cache call category channel char check child class clean client clone cluster code column command comment commit common component config connection console constant container content "
@@ -93,8 +97,8 @@ NAME_WORDS = (
 ).split()
 
 
-def made_names(words: list[str], n: int = 6000) -> list[str]:
-    """Ordinary identifiers of two to six words, picked by digests of numbers: every form in turn."""
+def made_names(words: list[str], n: int = 6000, upper: bool = False) -> list[str]:
+    """Ordinary identifiers of two to six words, picked by digests of numbers: every form in turn, or those in capitals."""
     out = []
     for i in range(n):
         d = hashlib.sha256(f"name {i}".encode()).digest()
@@ -104,10 +108,18 @@ def made_names(words: list[str], n: int = 6000) -> list[str]:
             caps, picked[0] + caps[len(picked[0]) :], "_".join(picked), "_".join(picked).upper(), "-".join(picked), "/" + "/".join(picked), "/".join(picked) + "_" + number, caps + number,
             "--" + "-".join(picked) + "=" + number, "_".join(picked) + "_v" + number, f"{picked[0]}_20{d[28] % 90 + 10}-{d[27] % 12 + 1:02d}-{d[26] % 28 + 1:02d}", f"{hexes[:8]}-{hexes[8:12]}-4{hexes[13:16]}-a{hexes[17:20]}-{hexes[20:32]}",
         )
-        out.append(forms[i % len(forms)])
+        out.append("-_/"[i % 3].join(picked).upper() if upper else forms[i % len(forms)])
     return out
 
 
+def made_sequences(copies: int = 40) -> list[str]:
+    """Ordinary strings that no word is in: repeated characters and pairs of separators, alphabets, digits and rows of keys, both ways."""
+    rows = ["abcdefghijklmnopqrstuvwxyz", "0123456789", "1234567890", "qwertyuiopasdfghjklzxcvbnm", "qwertzuiopasdfghjklyxcvbnm", "azertyuiopqsdfghjklmwxcvbn"]
+    rows += [r.upper() for r in rows if r.isalpha()] + ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"]
+    pairs = [a + b for a in "+/_=-" for b in "+/_=-"]
+    return [*rows, *(r[::-1] for r in rows)] * copies + [c * 24 for c in ALPHABET] + [p * 12 for p in pairs]
+
+
 def fit(random: list[str], ordinary: list[str]) -> np.ndarray:
     """Table of log-likelihood ratios, random over ordinary, by last and next character."""
     return _transitions(random, 1.0) - _transitions(ordinary, 0.5)
@@ -118,7 +130,7 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000, samp
     texts = docs.select(F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_h")).filter("_t is not null")
     edge = texts.select("_h").orderBy("_h").limit(sample_docs).agg(F.max("_h")).first()[0]
     if edge is None:
-        return fit(made_strings(), made_names(NAME_WORDS))
+        return fit(made_strings(), made_names(NAME_WORDS) + made_sequences())
     chosen = texts.filter(F.col("_h") <= edge).dropDuplicates(["_h"])
     values = F.concat(
         F.filter(F.regexp_extract_all("_t", F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= 12),
@@ -134,17 +146,22 @@ def train(docs: DataFrame, text_col: str = "text", sample_docs: int = 4000, samp
 
     ordinary = sampled(plain)
     words = sorted({w for w in ordinary if w.isalpha() and w.isascii() and len(w) <= 12}, key=lambda w: hashlib.sha256(w.encode()).digest())[: len(NAME_WORDS)]
-    return fit(sampled(values) + made_strings(), ordinary + made_names(NAME_WORDS) + made_names(words or NAME_WORDS, 2000))
+    capitals = made_names(words, 4000, upper=True) if words else []
+    return fit(sampled(values) + made_strings(), ordinary + capitals + made_sequences() + made_names(NAME_WORDS) + made_names(words or NAME_WORDS, 2000))
 
 
 def _ratios(runs: list[str], table: np.ndarray) -> np.ndarray:
-    """Summed log-likelihood ratio of each run."""
+    """Summed log-likelihood ratio of each run; the second of two characters that repeat what came a period before counts nothing."""
     sizes = np.fromiter(map(len, runs), np.int64, len(runs))
     code = _CODE[np.frombuffer("".join(runs).encode(), np.uint8)]
     first = np.cumsum(sizes) - sizes
     last = np.append(len(ALPHABET), code[:-1])
     last[first] = len(ALPHABET)
-    return np.add.reduceat(table[last, code], first)
+    gain, place, again = table[last, code], np.arange(len(code)) - np.repeat(first, sizes), np.zeros(len(code), bool)
+    for p in PERIODS:
+        same = code[p:] == code[:-p]
+        again[p + 1 :] |= same[1:] & same[:-1] & (place[p + 1 :] > p)
+    return np.add.reduceat(np.where(again, np.minimum(gain, 0), gain), first)
 
 
 def scan(texts: list[str], table: np.ndarray, least_mean: float, least_sum: float) -> list[list[tuple[int, int, int, float | None]]]:
