@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,22 +24,25 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends there."""
     path = shared_folder(df.sparkSession, name)
-    if _noted:
-        _noted[-1].append(path)
+    for noted in _noted.get()[-1:]:
+        noted.append(path)
     return _kept(df, path)
 
 
-_noted: list[list[str]] = []
+#: Of the running thread: one list of paths for each open block.
+_noted: ContextVar[tuple[list[str], ...]] = ContextVar("noted", default=())
 
 
 @contextmanager
 def cleared(spark: SparkSession) -> Iterator[None]:
     """Whatever is :func:`stored` within the block is deleted at its end; results must have been written by then."""
-    _noted.append([])
+    paths: list[str] = []
+    token = _noted.set((*_noted.get(), paths))
     try:
         yield
     finally:
-        for path in _noted.pop():
+        _noted.reset(token)
+        for path in paths:
             remove(spark, path)
 
 
