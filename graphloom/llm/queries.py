@@ -120,22 +120,22 @@ r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.b FROM r JOIN u
 SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY 1""",
     "op7_line_frequency": rf"""
-WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
-win AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i FROM d),
-grams AS (SELECT win.doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM win JOIN d USING (doc_id)),
-twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
-cover AS (SELECT doc_id, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM twice) GROUP BY 1),
-raw AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d),
-dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
-norm AS (SELECT * FROM (SELECT doc_id, source, p, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS x FROM raw) WHERE x <> ''),
-per AS (SELECT source, doc_id, x, sum(len(string_split(x, ' '))) AS nw FROM norm GROUP BY 1, 2, 3),
-hot AS (SELECT source, x FROM (SELECT DISTINCT n.source, n.x, d.t FROM norm n JOIN d USING (doc_id)) GROUP BY 1, 2 HAVING count(*) > 25),
-gone AS (SELECT doc_id, sum(nw) AS n FROM per JOIN hot ON per.x = hot.x AND per.source IS NOT DISTINCT FROM hot.source GROUP BY 1),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+win AS (SELECT row, unnest(range(1, len(w) - 6)) AS i FROM d),
+grams AS (SELECT win.row, i, array_to_string(w[i:i + 7], ' ') AS g FROM win JOIN d USING (row)),
+twice AS (SELECT row, i FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS n FROM grams) WHERE n > 1),
+cover AS (SELECT row, sum(least(8, coalesce(nxt - i, 8))) AS n FROM (SELECT row, i, lead(i) OVER (PARTITION BY row ORDER BY i) AS nxt FROM twice) GROUP BY 1),
+raw AS (SELECT row, source, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY 1),
+norm AS (SELECT * FROM (SELECT row, source, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS x FROM raw) WHERE x <> ''),
+per AS (SELECT source, row, x, sum(len(string_split(x, ' '))) AS nw FROM norm GROUP BY 1, 2, 3),
+hot AS (SELECT source, x FROM (SELECT DISTINCT n.source, n.x, d.t FROM norm n JOIN d USING (row)) GROUP BY 1, 2 HAVING count(*) > 25),
+gone AS (SELECT row, sum(nw) AS n FROM per JOIN hot ON per.x = hot.x AND per.source IS NOT DISTINCT FROM hot.source GROUP BY 1),
 f AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
          len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines,
          coalesce(cover.n, 0)::BIGINT AS n_repeat_words, coalesce(gone.n, 0)::BIGINT AS removed_words
-  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN cover USING (doc_id) LEFT JOIN gone USING (doc_id))
+  FROM d LEFT JOIN dup USING (row) LEFT JOIN cover USING (row) LEFT JOIN gone USING (row))
 SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
   NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
   AND NOT (removed_words > 0 AND (n_words - removed_words < 8 OR n_words - removed_words < 0.4 * n_words)) AS kept

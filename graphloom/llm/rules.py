@@ -7,8 +7,8 @@ line, takes lines above the limit out, and rejects documents that have too littl
 A line is above the limit when more than ``max_docs`` distinct documents of its host hold it; copies of one text are one
 document, however many they are. Near copies are documents of their own: lines that many of them share go like all others.
 
-Lines are known by one hash of host and line. A first pass counts all of a line's places with partial sums, which bounds its
-documents from above; only lines beyond the limit, few as they are, meet the documents again, before any exchange.
+Lines are known by one hash of host and line. Texts are read once: figures and line keys are stored. A count of all of a line's places
+with partial sums bounds its documents from above; only lines beyond the limit, few as they are, meet the rows again, before any exchange.
 
 Defined results: a null text has no words and fails the base rules; an empty text likewise; rows
 that repeat id, host and text are each judged as one document is; a null host is a host of its own; columns other
@@ -37,18 +37,16 @@ def line_key(host: str | Column, line: Column) -> Column:
     return F.xxhash64(host, line)
 
 
-def base_features(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
-    """One row per input row: ``_k1 _k2``, the id, and the base figures of the whole text."""
-    words = docs.select(
-        F.col(id_col).alias("doc_id"), *identity(id_col, host_col, text_col), whole(text_col).alias("_t")
-    ).select("doc_id", "_k1", "_k2", "_t", F.array_remove(F.split("_t", BLANK), "").alias("_w"))
+def base_features(rows: DataFrame, *others: str) -> DataFrame:
+    """Of rows (doc_id, _k1, _k2, _t and ``others``, which stay): the base figures of the whole text ``_t``."""
+    words = rows.select("doc_id", "_k1", "_k2", *others, "_t", F.array_remove(F.split("_t", BLANK), "").alias("_w"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     starts = F.when(
         F.size("_w") >= WINDOW,
         F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW))),
     ).otherwise(F.array().cast("array<bigint>"))
     counted = words.select(
-        "doc_id", "_k1", "_k2",
+        "doc_id", "_k1", "_k2", *others,
         F.size("_w").cast("long").alias("n_words"),
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.regexp_count("_t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -57,7 +55,7 @@ def base_features(docs: DataFrame, id_col="doc_id", text_col="text", host_col="s
     )
     # Windows sorted by hash put equal ones side by side; each then covers the words up to the next repeated window.
     by_hash = counted.select(
-        "doc_id", "_k1", "_k2", "n_words", "word_chars", "n_symbols",
+        "doc_id", "_k1", "_k2", *others, "n_words", "word_chars", "n_symbols",
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.when(
             F.size(F.array_distinct("_h")) < F.size("_h"),
@@ -80,30 +78,32 @@ def base_features(docs: DataFrame, id_col="doc_id", text_col="text", host_col="s
         lambda a, x: a + x,
     )
     return found.select(
-        "doc_id", "_k1", "_k2", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "_k1", "_k2", *others, "n_words", "word_chars", "n_symbols", "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
 
 
-def document_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
-    """One row for each line with a word: ``_k1 _k2`` of its row, a hash of host and text, the normalised line and its key."""
-    rows = docs.select(
-        F.col(host_col).alias("_host"), *identity(id_col, host_col, text_col), F.xxhash64(host_col, whole(text_col)).alias("_text"),
-        F.explode(F.split(whole(text_col), "\n")).alias("_raw"),
-    )
-    rows = rows.select("_k1", "_k2", "_text", "_host", _normal(F.col("_raw")).alias("_line")).filter("_line <> ''")
-    return rows.withColumn("_key", line_key("_host", F.col("_line"))).drop("_host")
+def line_keys(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source") -> DataFrame:
+    """One row per input row, stored: its figures, ``_row`` which tells repeated rows apart, a hash of host and text, and the key and words of each line with a word."""
+    lines = F.transform(F.split("_t", "\n"), _normal)
+    keyed = F.transform(F.filter(lines, lambda x: x != ""), lambda x: F.struct(line_key(F.col("_host"), x).alias("key"), F.size(F.split(x, " ")).alias("words")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *identity(id_col, host_col, text_col), whole(text_col).alias("_t"), F.col(host_col).alias("_host"))
+    rows = rows.withColumns({"_text": F.xxhash64("_host", "_t"), "_lines": keyed}).drop("_host")
+    return stored(base_features(rows, "_text", "_lines").withColumn("_row", F.monotonically_increasing_id()), "figures")
+
+
+def removed_lines(rows: DataFrame, max_docs=25) -> DataFrame:
+    """(_row, _lost, removed_words) of the rows of :func:`line_keys` that lose lines: the keys of those lines and the words that go with them."""
+    often = stored(rows.select(F.explode("_lines.key").alias("_key")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_docs).select("_key"), "often")
+    lines = rows.select("_row", "_text", F.explode("_lines").alias("_l")).select("_row", "_text", F.col("_l.key").alias("_key"), F.col("_l.words").cast("long").alias("_w"))
+    held = stored(lines.join(small(often), "_key").groupBy("_row", "_text", "_key").agg(F.sum("_w").alias("_words")), "common-lines")
+    hot = stored(held.select("_key", "_text").distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_docs).select("_key"), "boilerplate")
+    return held.join(small(hot), "_key").groupBy("_row").agg(F.collect_set("_key").alias("_lost"), F.sum("_words").alias("removed_words"))
 
 
-def removed_lines(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source", max_docs=25) -> DataFrame:
-    """Per row that loses lines: ``_k1 _k2``, the keys of those lines and the words that go with them."""
-    lines = document_lines(docs, id_col, text_col, host_col)
-    often = stored(lines.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_docs).select("_key"), "often")
-    met = lines.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "_key")
-    words = F.size(F.split("_line", " ")).cast("long")
-    held = stored(met.select("_k1", "_k2", "_text", "_key", words.alias("_w")).groupBy("_k1", "_k2", "_text", "_key").agg(F.sum("_w").alias("_words")), "common-lines")
-    hot = held.select("_key", "_text").distinct().groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_docs).select("_key")
-    return held.join(hot, "_key").groupBy("_k1", "_k2").agg(F.collect_set("_key").alias("_lost"), F.sum("_words").alias("removed_words"))
+def small(keys: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if its rows are counted to be few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
 def quality_rules(
@@ -112,9 +112,8 @@ def quality_rules(
 ) -> DataFrame:
     """Figures and verdict of each row: ``kept`` is false if a base rule fails, or if fewer than ``min_left_words``
     words or less than the share ``min_left`` of them stay once lines above the limits are out."""
-    figures = base_features(docs, id_col, text_col, host_col)
-    gone = removed_lines(docs, id_col, text_col, host_col, max_docs)
-    joined = figures.join(gone.select(F.col("_k1").alias("_g1"), F.col("_k2").alias("_g2"), "_lost", "removed_words"), (F.col("_k1") == F.col("_g1")) & (F.col("_k2") == F.col("_g2")), "left")
+    rows = line_keys(docs, id_col, text_col, host_col)
+    joined = rows.drop("_text", "_lines").join(removed_lines(rows, max_docs), "_row", "left")
     removed = F.coalesce("removed_words", F.lit(0)).cast("long")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     depleted = (removed > 0) & ((F.col("n_words") - removed < min_left_words) | (F.col("n_words") - removed < min_left * F.col("n_words")))

@@ -173,7 +173,7 @@ def test_secret_spans(spark, docs, nothing):
 def test_secret_ratio_and_error_rates():
     held = "customer invoice shipping refund legacy migration telemetry quota kernel shader vertex metric dashboard ingest snapshot checkpoint partition broadcast shuffle lineage".split()
     assert not set(held[1:14]) & set(secrets.NAME_WORDS)
-    table = secrets.fit(secrets.made_strings(), WORDS + secrets.made_names(secrets.NAME_WORDS))
+    table = secrets.fit(secrets.made_strings(), WORDS + secrets.made_names(secrets.NAME_WORDS) + secrets.made_names(WORDS, 2000, upper=True) + secrets.made_sequences())
     for run in ("getUserAccountDetailsById", "Zx8+/qq=_-AAaa01"):
         last, total = len(secrets.ALPHABET), 0.0
         for c in run:
@@ -188,6 +188,25 @@ def test_secret_ratio_and_error_rates():
             assert found(["".join(rng.choice(list(alphabet), size)) for _ in range(200)]) >= 0.9
     names = ["getUserAccountDetailsById", "AbstractSingletonProxyFactoryBean", *secrets.made_names(held, 1200)]
     assert found(names) <= 0.02
+    real = real_names()
+    assert len(real) > 5000 and found(real) <= 0.005  # names of programs, which no generator of the training side makes
+    plain = ["=" * 24, "-" * 80, "_" * 40, "A" * 24, "1" * 19, "x" * 300, "=-" * 12, "/" * 21, "HA" * 10, "0000-0000-0000-0000", "QWERTYUIOPASDFGHJKLZXCVBNM", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789012345678", "Z" * 24 + "Q"]
+    assert found(plain) == 0
+    assert secrets._ratios(["a" * 200, "ab" * 100], table).max() < 18  # what repeats adds nothing, however long
+
+
+def real_names():
+    """Names of 16 and more characters in the standard library and numpy: constants, functions, paths of attributes."""
+    import importlib
+
+    names = set()
+    for module in ("os", "ast", "http", "email", "asyncio", "argparse", "logging", "unittest", "xml.dom.minidom", "socket", "ssl", "decimal", "ctypes", "inspect", "typing", "subprocess", "errno", "token", "locale", "numpy"):
+        found = importlib.import_module(module)
+        for name in dir(found):
+            names.add(name)
+            of = getattr(found, name, None)
+            names |= {f"{module.replace('.', '/')}/{name}/{k}" for k in dir(of)} | set(dir(of)) if isinstance(of, type) else set()
+    return sorted(n for n in names if re.fullmatch(secrets.RUN, n))
 
 
 def test_base_spans_on_odd_strings():
@@ -255,6 +274,28 @@ def test_lines_of_a_block_and_beside_copies(spark):
     assert kept[500] == rows[-80][1].split("\n")[1]
 
 
+def test_repeated_rows_lose_each_line_once(spark, tmp_path):
+    """The query against its SQL where lines go, documents are depleted, and rows repeat."""
+    import duckdb
+
+    from graphloom.llm import queries
+
+    line, other = "One line that many pages of this host hold.", "  ANOTHER such\tline  "
+    rows = [(i, long_unique(f"r{i}", 24 + i % 5) + "\n" + line + ("\n" + other.strip().lower() if i % 2 else "\n" + other), "h") for i in range(30)]
+    rows += [(100 + i, long_unique(f"s{i}", n) + "\n" + line, None if i == 3 else "h") for i, n in enumerate((20, 12, 13, 14, 3))]
+    rows += [rows[0], rows[30], rows[31], *[rows[32]] * 3, *[rows[33]] * 8, (None, rows[1][1], "h"), (None, None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    want = con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'").execute(queries.ORACLE_SQL["op7_line_frequency"])
+    names = [c[0] for c in want.description]
+    got = [tuple(r[n] for n in names) for r in queries.op7_line_frequency(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr) and any(r[names.index("removed_words")] for r in got)
+    by = {r[0]: dict(zip(names, r, strict=True)) for r in got}
+    assert by[0]["removed_words"] == by[2]["removed_words"] == 12 and by[0]["kept"] and not by[104]["kept"]
+    kept = [r["doc_id"] for r in rules.apply_rules(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()]
+    assert kept.count(0) == 2 and kept.count(101) == 2
+
+
 def brute_classes(rows, percent=75):
     """(id, shingles, least id of the class) by comparing all rows, which are known by their place."""
     sets, names = {}, [i for i, _ in rows]
