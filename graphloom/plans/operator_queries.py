@@ -210,19 +210,22 @@ def ontology_namespace(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verify_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as rows of an inverse-functional property (a part belongs to one order), then range violations and clashing types:
-    admitted, rejected by reason. Parts of a third of the lines are called places."""
-    li = table(spark, sf_dir, "lineitem")
-    k = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    place = F.when(k % 17 == 0, "Animal").when(F.col("l_partkey") % 3 == 0, "Place").otherwise("Item")
-    rows = li.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey")).select(
-        k.alias("seq"), node("Order", "l_orderkey").alias("subject_iri"), F.lit("Order").alias("subject_type"), F.lit("holds").alias("predicate_iri"), F.lit("object_property").alias("predicate_kind"), node("Part", "l_partkey").alias("object_iri"),
-        place.alias("object_type"), F.lit(None).cast("string").alias("object_literal"), F.lit(None).cast("string").alias("object_datatype"), F.array(F.lit("llm")).alias("sources"), F.array(F.lit(1)).alias("sentence_indices"), F.lit("high").alias("mapping_confidence"),
+    """Lines as rows that clash in all ways at once: the two halves of an order as subjects of two disjoint types, three slots of it as
+    objects of two disjoint types and a third, in one property that is inverse-functional and allows a subject two rows. Returns every rejected row."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity")).alias("l"))
+    part = lambda c, n: F.concat_ws("-", F.col("l_orderkey").cast("string"), (F.col(c) % n).cast("string"))
+    kept = {"A": "Kept", "R": "Returned", "N": "Fresh"}
+    rows = li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), node("Half", part("l.l_suppkey", 2)).alias("subject_iri"), F.when(F.col("l_linenumber") % 4 == 0, "Late").otherwise("Early").alias("subject_type"),
+        F.lit("holds").alias("predicate_iri"), F.lit("object_property").alias("predicate_kind"), node("Slot", part("l.l_partkey", 3)).alias("object_iri"),
+        F.coalesce(*[F.when(F.col("l.l_returnflag") == k, v) for k, v in kept.items()]).alias("object_type"), F.lit(None).cast("string").alias("object_literal"), F.lit(None).cast("string").alias("object_datatype"),
+        F.array(F.lit("llm")).alias("sources"), F.array(F.col("l.l_quantity").cast("int")).alias("sentence_indices"), F.lit("high").alias("mapping_confidence"),
     )
-    props = spark.createDataFrame([("holds", "Order", "Thing", True)], "iri string, domain string, range string, is_inverse_functional boolean")
-    up = spark.createDataFrame([("Item", "Thing"), ("Place", "Thing")], "sub string, super string")
-    done = verify.admit(rows, props, up, spark.createDataFrame([("Item", "Order")], "a string, b string"), spark.createDataFrame([], "predicate_iri string, max_cardinality int"))
-    return verify.statistics(done)
+    props = spark.createDataFrame([("holds", "Half", "Slot", True)], "iri string, domain string, range string, is_inverse_functional boolean")
+    up = spark.createDataFrame([("Late", "Half"), ("Early", "Half"), ("Kept", "Slot"), ("Returned", "Slot")], "sub string, super string")
+    disjoint = spark.createDataFrame([("Late", "Early"), ("Returned", "Kept")], "a string, b string")
+    done = verify.admit(rows.filter("object_type <> 'Fresh' or seq % 3 > 0"), props, up, disjoint, spark.createDataFrame([("holds", 2)], "predicate_iri string, max_cardinality int"))
+    return done.filter("verdict = 'rejected'").select("seq", "subject_iri", "object_iri", "reason")
 
 
 def asserted_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -429,8 +432,16 @@ SELECT v.version, CASE WHEN v.version = '0.1' THEN b + t ELSE b + 2 END AS class
  SELECT 'closure' AS what, brand[4:] || '>' || brand[4:] AS name FROM u UNION ALL SELECT 'closure', brand[4:] || '>' || kind[4:] FROM u UNION ALL SELECT DISTINCT 'closure', p_type || '>' || p_type FROM p
  UNION ALL SELECT DISTINCT 'disjoint', p_type || '|PROMO' FROM p WHERE p_type <> 'PROMO' UNION ALL SELECT DISTINCT 'property', name[4:] || ':ECONOMY' FROM p UNION ALL SELECT DISTINCT 'below', brand[4:] FROM p WHERE p_type = 'PROMO'
  UNION ALL SELECT DISTINCT 'class', brand[4:] FROM p UNION ALL SELECT DISTINCT 'class', p_type FROM p UNION ALL SELECT DISTINCT 'pair', least(kind, 'ex#PROMO') || '|' || greatest(kind, 'ex#PROMO') FROM p WHERE p_type <> 'PROMO' UNION ALL SELECT 'namespace', 'ex#') SELECT * FROM r""",
-    "verify_conflicts": """WITH l AS (SELECT l_orderkey AS s, l_orderkey * 10 + l_linenumber AS k, min(l_partkey) AS o FROM lineitem GROUP BY 1, 2), f AS (SELECT *, k % 17 = 0 AS bad FROM l), w AS (SELECT o, arg_min(s, k) AS owner FROM f WHERE NOT bad GROUP BY 1)
-SELECT CASE WHEN bad OR owner <> s THEN 'rejected' ELSE 'admit' END AS verdict, CASE WHEN bad THEN 'range_violation' WHEN owner <> s THEN 'cardinality_violation' END AS reason, count(*) AS n FROM f LEFT JOIN w USING (o) GROUP BY ALL""",
+    "verify_conflicts": """WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, min(struct_pack(p := l_partkey, s := l_suppkey, f := l_returnflag, o := l_linestatus, q := l_quantity)) AS l FROM lineitem GROUP BY 1, 2),
+r AS (SELECT k, k * 10 + n AS seq, 'Half_' || k || '-' || (l.s % 2) AS s, CASE WHEN n % 4 = 0 THEN 'Late' ELSE 'Early' END AS st, 'Slot_' || k || '-' || (l.p % 3) AS o,
+ CASE l.f WHEN 'A' THEN 'Kept' WHEN 'R' THEN 'Returned' ELSE 'Fresh' END AS ot, trunc(l.q)::INT AS q FROM l),
+g AS (SELECT k, list([struct_pack(q, seq, s, st, o, ot, ok := '')] ORDER BY q, seq) AS rows FROM r WHERE ot = 'Kept' OR ot = 'Returned' GROUP BY k),
+d AS (SELECT list_reduce([[NULL]] || rows, lambda a, x: a || [struct_pack(q := x[1].q, seq := x[1].seq, s := x[1].s, st := x[1].st, o := x[1].o, ot := x[1].ot, ok :=
+  CASE WHEN len(list_filter(a, lambda y: y.ok = 'admit' AND (y.s = x[1].s AND y.st <> x[1].st OR y.o = x[1].o AND y.ot <> x[1].ot))) > 0 THEN 'disjointness_violation'
+  WHEN len(list_filter(a, lambda y: y.ok = 'admit' AND y.s = x[1].s)) >= 2 OR len(list_filter(a, lambda y: y.ok = 'admit' AND y.o = x[1].o AND y.s <> x[1].s)) > 0 THEN 'cardinality_violation' ELSE 'admit' END)]) AS done FROM g),
+u AS (SELECT unnest(done) AS x FROM d)
+SELECT x.seq AS seq, x.s AS subject_iri, x.o AS object_iri, x.ok AS reason FROM u WHERE x.ok <> 'admit'
+UNION ALL SELECT seq, s, o, 'range_violation' FROM r WHERE ot = 'Fresh' AND seq % 3 > 0""",
     "asserted_types": "SELECT 'Order' AS class, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'Customer', count(DISTINCT o_custkey) FROM orders WHERE o_orderstatus <> 'F'",
     "surfaced_relations": r"""WITH v AS (SELECT DISTINCT v FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS v FROM benchmark) WHERE len(v) > 3), s AS (SELECT unnest([x for x in string_split_regex(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) if x <> '']) AS s FROM documents),
 w AS (SELECT string_split_regex(lower(s), '[^a-z]+') AS w FROM s), x AS (SELECT unnest(w) AS a, unnest(w[2:] || [NULL]) AS b FROM w)

@@ -211,39 +211,65 @@ def test_datatype_repair(spark, value, actual, wanted, verdict, result):
     assert (got["verdict"], got["value"]) == (verdict, result)
 
 
-def brute_admission(data, functional, inverse, disjoint):
+ROWS = "seq long, subject_iri string, subject_type string, predicate_iri string, predicate_kind string, object_iri string, object_type string, object_literal string, object_datatype string, sources array<string>, sentence_indices array<int>, mapping_confidence string"
+
+
+def brute_admission(data, limits, inverse, disjoint):
     types, counts, owners, out = {}, {}, {}, []
+    both = disjoint | {(b, a) for a, b in disjoint}
     for seq, s, st, p, o, ot, where in sorted(data, key=lambda r: (0 if len(r[6]) > 1 else 1, min(r[6]), r[0])):
-        clash = any(b in types.get(x, set()) for x, t in ((s, st), (o, ot)) for a, b in disjoint | {(b, a) for a, b in disjoint} if a == t)
-        if clash:
+        held = [(s, st)] + ([(o, ot)] if o is not None else [])
+        if any(b in types.get(x, set()) for x, t in held for a, b in both if a == t):
             why = "disjointness_violation"
-        elif (p in functional and counts.get((s, p), 0) >= 1) or (p in inverse and owners.get((p, o), s) != s):
+        elif (p in limits and counts.get((s, p), 0) >= limits[p]) or (p in inverse and o is not None and owners.get((p, o), s) != s):
             why = "cardinality_violation"
         else:
             why = None
-            types.setdefault(s, set()).add(st)
-            types.setdefault(o, set()).add(ot)
+            for x, t in held:
+                types.setdefault(x, set()).add(t)
             counts[s, p] = counts.get((s, p), 0) + 1
             owners[p, o] = s
         out.append((seq, why))
     return sorted(out, key=repr)
 
 
-def test_admission_equals_the_replay_in_order(spark):
-    rng = np.random.default_rng(9)
-    data = [(i, f"s{rng.integers(60)}", "ABC"[rng.integers(3)] if rng.random() < 0.1 else "A", "pqr"[rng.integers(3)], f"o{rng.integers(80)}", "T" if rng.random() < 0.95 else "U", [int(x) for x in rng.integers(1, 9, 1 + int(rng.random() < 0.3))]) for i in range(500)]
-    data = [(*d[:6], sorted(set(d[6]))) for d in data]
+def admitted(spark, data, limits, inverse, disjoint):
     full = [(i, s, st, p, "object_property", o, ot, None, None, ["llm"], w, "high") for i, s, st, p, o, ot, w in data]
-    schema = "seq long, subject_iri string, subject_type string, predicate_iri string, predicate_kind string, object_iri string, object_type string, object_literal string, object_datatype string, sources array<string>, sentence_indices array<int>, mapping_confidence string"
-    props = table(spark, "iri string, domain string, range string, is_inverse_functional boolean", ("p", None, None, False), ("q", None, None, True), ("r", None, None, False))
-    none, pairs = table(spark, "sub string, super string"), {("A", "B"), ("T", "U")}
-    done = verify.admit(spark.createDataFrame(full, schema).repartition(4), props, none, table(spark, "a string, b string", *pairs), table(spark, "predicate_iri string, max_cardinality int", ("p", 1)))
-    want = brute_admission(data, {"p"}, {"q"}, pairs)
+    props = table(spark, "iri string, domain string, range string, is_inverse_functional boolean", *[(p, None, None, p in inverse) for p in "pqr"])
+    pairs = table(spark, "a string, b string", *disjoint)
+    return verify.admit(spark.createDataFrame(full, ROWS).repartition(4), props, table(spark, "sub string, super string"), pairs, table(spark, "predicate_iri string, max_cardinality int", *limits.items()))
+
+
+@pytest.mark.parametrize(("seed", "people", "limits", "odd"), [(9, 60, {"p": 1}, 0.1), (10, 12, {"p": 2, "q": 3, "r": 0}, 0.4), (11, 200, {"r": 1}, 0.5)])
+def test_admission_equals_the_replay_in_order(spark, seed, people, limits, odd):
+    rng = np.random.default_rng(seed)
+    name = lambda letter, n: f"{letter}{rng.integers(n)}"
+    data = []
+    for i in range(500):
+        s, o = name("s", people), [name("o", people), name("s", people), None][rng.integers(8) // 3 if odd > 0.2 else 0]
+        data.append((i, s, "ABC"[rng.integers(3)] if rng.random() < odd else "A", "pqr"[rng.integers(3)], o, None if o is None else "TUAB"[rng.integers(4)] if rng.random() < odd else "T", sorted({int(x) for x in rng.integers(1, 9, 1 + int(rng.random() < 0.3))})))
+    pairs = {("A", "B"), ("T", "U"), ("B", "C"), ("T", "A")} if odd > 0.2 else {("A", "B"), ("T", "U")}
+    done = admitted(spark, data, limits, {"q"}, pairs)
+    want = brute_admission(data, limits, {"q"}, pairs)
     assert rows(done, "seq", "reason") == want and len({w for _, w in want}) == 3
-    ranked = verify.confidence_rank(spark.createDataFrame(full, schema))
-    assert ranked.filter("rank is null").count() == 0
-    assert rows(verify.inverse_functional(ranked, props).filter("reason is not null and predicate_iri <> 'q'"), "seq") == []
-    assert dict(rows(verify.statistics(done), "verdict", "reason")) is not None and verify.type_assertions(done).count() > 0
+    assert {r[0] for r in rows(verify.statistics(done), "verdict", "reason")} == {"admit", "rejected"} and verify.type_assertions(done).count() > 0
+
+
+def test_admission_of_a_hot_key_takes_few_rounds(spark, monkeypatch):
+    """Thousands of rows of one individual and one limit are decided at once; each round checkpoints three tables."""
+    kinds = ["A"] + ["AB"[i % 3 == 0] for i in range(2999)]
+    data = [(i, "hub", t, "p" if i % 2 else "q", "o1" if i % 5 else f"x{i}", "T", [1]) for i, t in enumerate(kinds)] + [(4000 + i, f"s{i}", "A", "q", "o1", "T", [1]) for i in range(1000)]
+    done, calls = type(spark.range(0)).checkpoint, []
+    monkeypatch.setattr(type(spark.range(0)), "checkpoint", lambda self, *a: calls.append(1) or done(self, *a))
+    got = rows(admitted(spark, data, {"p": 3}, {"q"}, {("A", "B")}), "seq", "reason")
+    assert got == brute_admission(data, {"p": 3}, {"q"}, {("A", "B")}) and len(calls) <= 4 + 4 * 4
+
+
+def test_a_row_that_gives_one_individual_both_types(spark):
+    data = [(0, "x", "A", "p", "x", "B", [2]), (1, "x", "A", "p", "y", "T", [3]), (2, "x", "B", "p", "y", "T", [4]), (3, "x", "C", "p", "y", "T", [5])]
+    assert rows(admitted(spark, data, {}, set(), {("A", "B")}), "seq", "reason") == brute_admission(data, {}, set(), {("A", "B")})
+    first = [(9, "x", "B", "p", "y", "T", [1]), *data]
+    assert rows(admitted(spark, first, {}, set(), {("A", "B")}), "seq", "reason") == brute_admission(first, {}, set(), {("A", "B")})
 
 
 def test_clock_and_spans_of_a_pass(spark):
