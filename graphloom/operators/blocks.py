@@ -12,7 +12,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Parts that rows are dealt to; each keeps the best of a query, so this many times k rows a query leave the tasks.
@@ -61,8 +61,14 @@ def meet(queries: DataFrame, rows: DataFrame, run: Runner, schema: str, racks: i
     asked = queries.withColumns({"_side": F.lit(0), "_tile": F.lit(-1), "_block": F.pmod(F.xxhash64(F.lit(7), *queries.columns), F.lit(blocks)).cast("int")})
     asked = asked.withColumn("_rack", F.explode(F.sequence(F.lit(0), F.lit(racks - 1))))
     given = rows.withColumns({"_side": F.lit(1), "_rack": F.pmod("_tile", F.lit(racks)).cast("int")}).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    both = asked.unionByName(given, allowMissingColumns=True)
-    dealt = both.repartitionById(min(racks * blocks, MOST_PARTITIONS), F.pmod(F.col("_block") * racks + F.col("_rack"), F.lit(min(racks * blocks, MOST_PARTITIONS))).cast("int"))
+    return streamed(asked.unionByName(given, allowMissingColumns=True), F.col("_block") * racks + F.col("_rack"), racks * blocks, run, schema, order)
+
+
+def streamed(both: DataFrame, group: Column, groups: int, run: Runner, schema: str, order: list[str] | None = None) -> DataFrame:
+    """What ``run`` yields for each group (_rack, _block) of rows with _side (0: queries, 1: rows) and _tile; ``group`` numbers
+    the ``groups`` groups from 0 on."""
+    tasks = max(1, min(groups, MOST_PARTITIONS))
+    dealt = both.repartitionById(tasks, F.pmod(group, F.lit(tasks)).cast("int"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, group in groupby(pieces(batches, _PLACE), key=lambda x: x[0][:2]):
@@ -124,6 +130,14 @@ class Best:
         if self._size > self.most:
             self._size = len(self.rows()[0])
 
+    def handles(self) -> tuple[np.ndarray, ...]:
+        """As :meth:`rows`, whose last column is then numbered anew in their order."""
+        found = self.rows()
+        if self._kept:
+            self._kept = [(*found[:-1], np.arange(len(found[0])))]
+            self._size = len(found[0])
+        return found
+
     def rows(self) -> tuple[np.ndarray, ...]:
         """(query, score, tag, others) of the best, by query and from the best on."""
         if not self._kept:

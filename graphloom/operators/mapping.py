@@ -2,44 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import fold_key, literal_type, slug
-from graphloom.operators.retrieval import TILE, unit_rows
+from graphloom.operators.blocks import BLOCK_ROWS
+from graphloom.operators.retrieval import nearest
 
 
-def top_match(queries: DataFrame, labels: DataFrame, block_rows: int = 20_000) -> DataFrame:
-    """(query_id, id, score): best label (id, idx, vec) of each query (query_id, vec); the first label wins ties.
-
-    Labels go to the queries in blocks of about ``block_rows`` rows; a task of queries keeps its best of each block."""
-    kinds = queries.schema["query_id"].dataType.simpleString(), labels.schema["id"].dataType.simpleString()
-    blocks = labels.count() // block_rows + 1
-    given = queries.select("query_id", "vec").filter("vec is not null")
-
-    def block(b: int) -> DataFrame:
-        held = labels.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).filter("vec is not null").select(F.col("idx").cast("long").alias("idx"), "id", "vec").orderBy("idx").toArrow().combine_chunks()
-        ids, idx = (held[c].combine_chunks() if len(held) else held[c] for c in ("id", "idx"))
-        v = unit_rows(held["vec"]) if len(held) else None
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for lo in range(0, batch.num_rows if v is not None else 0, TILE):
-                    part = batch.slice(lo, TILE)
-                    score = np.round(unit_rows(part.column(1)) @ v.T, 9)
-                    best = score.argmax(axis=1)  # the first of equal ones, in order of idx
-                    yield pa.RecordBatch.from_arrays([part.column(0), ids.take(pa.array(best)), idx.take(pa.array(best)), pa.array(score[np.arange(len(best)), best])], names=["query_id", "id", "idx", "score"])
-
-        return given.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, idx bigint, score double")
-
-    found = reduce(DataFrame.unionByName, map(block, range(blocks)))
-    best = found.groupBy("query_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("idx"))).alias("b"))
+def top_match(queries: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(query_id, id, score): best label (id, idx, vec) of each query (query_id, vec); the first label wins ties. Neither side passes the driver."""
+    found = nearest(queries, labels.withColumnRenamed("idx", "seq"), 1, block_rows, digits=9)
+    best = found.groupBy("query_id").agg(F.max_by(F.struct("id", "score"), F.struct("score", -F.col("seq"))).alias("b"))
     return best.select("query_id", "b.id", "b.score")
 
 

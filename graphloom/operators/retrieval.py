@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphloom.functions.text import edge_order, sliding_chunks
+from graphloom.operators.blocks import BLOCK_ROWS, MOST_PARTITIONS, TILE_ROWS, Best, Runner, matrix, meet, streamed
 from graphloom.operators.graph import neighborhood
 from graphloom.sources.io import append_vectors, read_vectors
 
-#: Rows of vectors and of queries whose scores a task holds at once.
+#: Rows whose scores with all centres a task holds at once.
 TILE = 1024
 
 
@@ -38,60 +39,122 @@ def dense(terms: DataFrame, ids: DataFrame, dims: int = 256) -> DataFrame:
 
 def unit_rows(column: pa.Array) -> np.ndarray:
     """Vectors of a list column as rows of length 1; a zero vector stays zero."""
-    rows = np.array(column.to_pylist(), float).reshape(len(column), -1)
+    rows = matrix(column)
     norm = np.linalg.norm(rows, axis=1)
     return rows / np.where(norm > 0, norm, 1)[:, None]
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
-    """(query_id, id, seq, score): for each query (query_id, vec) its ``k`` best of the vectors (seq, id, vec) in each task and block.
+def _best_of(k: int, digits: int, kinds: tuple[str, str]) -> tuple[Runner, str]:
+    """What a task does with a block of queries (query_id, _q) and tiles of vectors (seq, id, _v): the ``k`` best of each query."""
 
-    Queries go to the executors in blocks of about ``block_rows`` rows, whatever their number; a task keeps ``k`` rows a query."""
+    def run(block: pa.Table, tiles: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        q, asked = unit_rows(block["_q"]), block["query_id"].combine_chunks()
+        best, ids = Best(len(q), k), None
+        for tile in tiles:
+            v, seq = unit_rows(tile["_v"]), tile["seq"].to_numpy()
+            score = np.round(q @ v.T, digits)
+            at, row = np.nonzero(score >= best.edge[:, None])
+            given = tile["id"].combine_chunks()
+            known = 0 if ids is None else len(ids)
+            best.offer(at, score[at, row], seq[row], row + known)
+            ids = (given if ids is None else pa.concat_arrays([ids, given])).take(pa.array(best.handles()[-1]))
+        if ids is not None and len(ids):
+            at, score, seq, _ = best.rows()
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(at)), ids, pa.array(seq), pa.array(score)], names=["query_id", "id", "seq", "score"])
+
+    return run, f"query_id {kinds[0]}, id {kinds[1]}, seq bigint, score double"
+
+
+def _sides(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    blocks = queries.count() // block_rows + 1
-    given = vectors.select(F.col("seq").cast("long").alias("seq"), "id", "vec").filter("vec is not null")
-
-    def block(b: int) -> DataFrame:
-        held = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).filter("vec is not null").select("query_id", "vec").toArrow().combine_chunks()
-        ids = held["query_id"].combine_chunks() if len(held) else held["query_id"]
-        q = unit_rows(held["vec"]) if len(held) else np.zeros((0, 0))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: list[list] = [[] for _ in range(0, len(q), TILE)]
-            for batch in batches:
-                for lo in range(0, batch.num_rows, TILE) if len(q) else ():
-                    part = batch.slice(lo, TILE)
-                    v, seq = unit_rows(part.column(2)), part.column(0).to_numpy()
-                    for n, at in enumerate(range(0, len(q), TILE)):
-                        score = np.round(q[at : at + TILE] @ v.T, 6)
-                        edge = np.partition(score, -min(k, score.shape[1]), axis=1)[:, -min(k, score.shape[1])]
-                        r, c = np.nonzero(score >= edge[:, None])
-                        best[n].append((r, score[r, c], seq[c], part.column(1).take(pa.array(c))))
-                        if len(best[n]) > 8:
-                            best[n] = [cut(best[n])]
-            for n, at in enumerate(range(0, len(q), TILE)):
-                if best[n]:
-                    r, score, seq, id = cut(best[n])
-                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + at)), id, pa.array(seq), pa.array(score)], names=["query_id", "id", "seq", "score"])
-
-        def cut(parts: list) -> tuple:
-            r, score, seq = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            id = pa.concat_arrays([p[3] for p in parts])
-            order = np.lexsort((seq, -score, r))
-            first = np.append(True, r[order][1:] != r[order][:-1])
-            rank = np.arange(len(r)) - np.maximum.accumulate(np.where(first, np.arange(len(r)), 0))
-            order = order[rank < k]
-            return r[order], score[order], seq[order], id.take(pa.array(order))
-
-        return given.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, seq bigint, score double")
-
-    return reduce(DataFrame.unionByName, map(block, range(blocks)))
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = 20_000) -> DataFrame:
-    """(query_id, id, score, rank) of queries (query_id, vec) against vectors (seq, id, vec) by cosine; order of arrival breaks ties."""
+    asked = queries.filter("vec is not null").select("query_id", F.col("vec").cast("array<double>").alias("_q"))
+    return asked, vectors.filter("vec is not null").select(F.col("seq").cast("long").alias("seq"), "id", F.col("vec").cast("array<double>").alias("_v")), kinds
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS, digits: int = 6) -> DataFrame:
+    """(query_id, id, seq, score): for each query (query_id, vec) its ``k`` best of the vectors (seq, id, vec) in each rack, exactly.
+
+    Queries meet vectors block by block in a shuffle; a task holds one block, one tile and ``k`` rows a query, the driver none."""
+    asked, given, kinds = _sides(queries, vectors)
+    return meet(asked, given, *_best_of(k, digits, kinds), block_rows=block_rows)
+
+
+def fit_cells(vectors: DataFrame, cells: int = 256, sample_rows: int = 20_000, rounds: int = 8) -> np.ndarray:
+    """Unit centres of up to ``cells`` cells, fitted by k-means on a sample: the ``sample_rows`` vectors with the lowest hash."""
+    sample = vectors.filter("vec is not null").select("vec").orderBy(F.xxhash64("vec")).limit(sample_rows).toArrow()
+    if not len(sample):
+        return np.zeros((0, 0))
+    v = np.unique(unit_rows(sample["vec"]), axis=0)
+    rng = np.random.default_rng(0)
+    centres = v[rng.choice(len(v), min(cells, len(v)), replace=False)]
+    for _ in range(rounds):
+        near = (v @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, v)
+        norm = np.linalg.norm(sums, axis=1)
+        centres = np.where(norm[:, None] > 0, sums / np.where(norm > 0, norm, 1)[:, None], centres)
+    return centres
+
+
+def in_cells(rows: DataFrame, vec: str, centres: np.ndarray, cells: int = 1) -> DataFrame:
+    """``rows`` with ``cell``: a row for each of the ``cells`` nearest centres of its vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, TILE):
+                part = batch.slice(lo, TILE)
+                score = unit_rows(part.column(vec)) @ centres.T
+                near = np.argpartition(-score, min(cells, score.shape[1]) - 1, axis=1)[:, :cells]
+                rows = part.take(pa.array(np.repeat(np.arange(part.num_rows), near.shape[1])))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(near.ravel().astype(np.int32))], names=[*rows.schema.names, "cell"])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType())]))
+
+
+def index_vectors(vectors: DataFrame, path: str, centres: np.ndarray) -> None:
+    """Store the vectors (seq, id, vec) as lists by cell, and the centres beside them."""
+    _, given, _ = _sides(vectors.withColumn("query_id", F.col("id")), vectors)
+    in_cells(given, "_v", centres).write.partitionBy("cell").parquet(f"{path}/lists")
+    vectors.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").write.parquet(f"{path}/centres")
+
+
+def probe(queries: DataFrame, path: str, k: int, probes: int = 16, block_rows: int = BLOCK_ROWS, digits: int = 6) -> DataFrame:
+    """(query_id, id, seq, score) as :func:`nearest`, from the ``probes`` cells nearest to each query; all cells give the exact result.
+
+    Queries meet the lists of their cells on the cell. A long list is dealt to parts and many queries of a cell to blocks, so a hot cell is many tasks."""
+    spark = queries.sparkSession
+    kept = spark.read.parquet(f"{path}/centres").orderBy("cell").toArrow()  # bounded by the number of cells
+    lists = spark.read.parquet(f"{path}/lists")
+    if not len(kept):
+        return nearest(queries, lists.select("seq", "id", F.col("_v").alias("vec")), k, block_rows, digits)
+    centres = unit_rows(kept["centre"])
+    asked, _, _ = _sides(queries, lists.withColumn("vec", F.col("_v")))
+    kinds = queries.schema["query_id"].dataType.simpleString(), lists.schema["id"].dataType.simpleString()
+    asked = in_cells(asked, "_q", centres, probes)
+    sizes = lists.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (8 * TILE_ROWS)).cast("int").alias("_parts")).join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_blocks")), "cell")
+    sizes = F.broadcast(sizes)  # a row for each cell at most
+    groups = F.pmod(F.xxhash64("cell", "_part", "_b"), F.lit(MOST_PARTITIONS))
+    asked = asked.join(sizes, "cell").withColumn("_b", F.pmod(F.xxhash64("query_id"), F.col("_blocks").cast("long"))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    asked = asked.select("query_id", "_q", "cell", "_part", "_b", F.lit(0).alias("_side"), F.lit(-1).alias("_tile"))
+    rows = lists.join(sizes, "cell").withColumn("_h", F.xxhash64("seq", "id")).withColumn("_part", F.pmod("_h", F.col("_parts")).cast("int"))
+    rows = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks").cast("long") - 1))).select("seq", "id", "_v", "cell", "_part", "_b", F.lit(1).alias("_side"), F.pmod(F.shiftright("_h", 20), F.lit(8)).cast("int").alias("_tile"))
+    both = asked.unionByName(rows, allowMissingColumns=True).withColumns({"_rack": F.col("cell").cast("long") * 2**20 + F.col("_part"), "_block": F.col("_b")})
+    tasks = min(len(centres) * 4, MOST_PARTITIONS)
+    return streamed(both, groups, tasks, *_best_of(k, digits, kinds))
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, score, rank) of what the tasks found; order of arrival breaks ties."""
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "seq")
-    return nearest(queries, vectors, k, block_rows).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("seq")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("seq")
+
+
+def top_k(queries: DataFrame, vectors: DataFrame | str, k: int, block_rows: int = BLOCK_ROWS, probes: int = 16) -> DataFrame:
+    """(query_id, id, score, rank) of queries (query_id, vec) against vectors (seq, id, vec) by cosine; order of arrival breaks ties.
+
+    ``vectors`` is a table, searched exactly, or the path of an index, of which each query probes ``probes`` cells."""
+    found = probe(queries, vectors, k, probes, block_rows) if isinstance(vectors, str) else nearest(queries, vectors, k, block_rows)
+    return ranked(found, k)
 
 
 def embedded(texts: DataFrame, dims: int = 256) -> DataFrame:
@@ -131,6 +194,13 @@ def hybrid_recall(questions: DataFrame, vectors: DataFrame, edges: DataFrame, ty
     return seeds, neighborhood(edges, types, seeds.select("id").distinct(), hops, kind)
 
 
+def recall_of_groups(found: DataFrame, queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(query_id, recall) where the gold of a query (query_id, group) is all members (id, group) of its group: these are counted, never listed."""
+    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))
+    hits = found.filter(F.col("rank") <= k).join(queries, "query_id").join(members.select("id", F.col("group").alias("_g")), "id").filter("group = _g").groupBy("query_id").agg(F.count(F.lit(1)).alias("_hits"))
+    return queries.join(sizes, "group").join(hits, "query_id", "left").select("query_id", (F.coalesce("_hits", F.lit(0)) / F.col("_n")).alias("recall"))
+
+
 def recall_at_k(found: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """(query_id, recall) of ranked results against gold (query_id, id)."""
     hits = gold.join(found.filter(F.col("rank") <= k).select("query_id", "id").withColumn("_h", F.lit(1)), ["query_id", "id"], "left")

@@ -10,21 +10,19 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import canonical_label, fold_key, slug
 from graphloom.operators.graph import components
+from graphloom.operators.retrieval import unit_rows
 
 #: Single words that name parts of documents and no concept.
 BOILERPLATE = [
     "page", "step", "figure", "fig", "table", "example", "exercise", "chapter", "section", "note", "answer", "solution", "problem", "part", "item", "row", "column", "appendix", "outline", "objective",
     "introduction", "summary",
 ]
+#: Tokens too common to count as shared evidence.
+STOP_TOKENS = ["of", "the", "a", "an", "and", "or", "to", "in", "for", "by", "with", "is", "are", "be", "on", "as", "at", "number", "numbers"]
 #: Parts that the rows of a kind are cut into before they are ranked.
 PARTS = 64
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
-
-
 def acronym_links(candidates: DataFrame) -> DataFrame:
     """(kind, a, b): an acronym of 2 to 6 capitals and a key of several words with those initials."""
     words = F.filter(F.split("key", " "), lambda w: w != "")
@@ -34,35 +32,47 @@ def acronym_links(candidates: DataFrame) -> DataFrame:
 
 
 def semantic_links(items: DataFrame, distance: float = 0.07, block_rows: int = 2000) -> DataFrame:
-    """(a, b) of items (id, tokens, vec) whose vectors are near and which share a token.
+    """(a, b) of items (id, tokens, vec): links whose components are those of all near pairs that share a content token.
 
-    A token's items are dealt to blocks of about ``block_rows`` rows; each pair of blocks is one task's matrix product, of which only
-    near pairs leave. So a common token is many bounded tasks. An acronym (a token of 2 to 6 capitals) links nothing by itself."""
-    one = items.select("id", "vec", F.explode(F.array_distinct("tokens")).alias("token")).filter(~F.col("token").rlike("^[A-Z]{2,6}$"))
+    A token's items are dealt to blocks of about ``block_rows`` rows; each pair of blocks is one task's matrix product, of which a spanning
+    forest leaves: fewer links than rows, however many pairs are near. So a common token is many bounded tasks. Stop
+    tokens, tokens without a letter and acronyms (2 to 6 capitals) link nothing by themselves, nor does a zero vector."""
+    one = items.select("id", "vec", F.explode(F.array_distinct("tokens")).alias("token")).filter(~F.col("token").rlike("^[A-Z]{2,6}$") & F.col("token").rlike(r"\p{L}") & ~F.col("token").isin(STOP_TOKENS))
     sizes = one.groupBy(F.struct("token").alias("_t")).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("_n"), F.count(F.lit(1)).alias("_rows")).filter("_rows > 1")
     dealt = one.join(sizes, F.col("token") == F.col("_t.token")).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
     dealt = dealt.select("token", "id", "vec", "_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_o"))
-    tiles = dealt.select("token", F.least("_s", "_o").alias("s"), F.greatest("_s", "_o").alias("t"), F.when(F.col("_s") <= F.col("_o"), 0).otherwise(1).alias("side"), "id", "vec")
+    tiles = dealt.select("token", F.least("_s", "_o").alias("s"), F.greatest("_s", "_o").alias("t"), "id", "vec")
     kind = items.schema["id"].dataType.simpleString()
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.combine_chunks().sort_by("id")
-        vec = np.array(tile["vec"].to_pylist(), float)
-        norm = np.linalg.norm(vec, axis=1)
-        vec /= np.where(norm > 0, norm, 1)[:, None]
-        side = tile["side"].to_numpy()
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        right = left if tile["s"][0].as_py() == tile["t"][0].as_py() else right
-        i, j = np.nonzero(vec[left] @ vec[right].T >= 1 - distance - 1e-12)
-        i, j = left[i], right[j]
-        keep = i < j if right is left else i != j
-        i, j = np.minimum(i, j)[keep], np.maximum(i, j)[keep]
-        ids = tile["id"].combine_chunks() if isinstance(tile["id"], pa.ChunkedArray) else tile["id"]
-        return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j))})
+        vec = unit_rows(tile["vec"])
+        ids = tile["id"].combine_chunks()
+        parent = spanning_forest(vec, 1 - distance - 1e-12)
+        child = np.flatnonzero(parent != np.arange(len(parent)))
+        low, high = np.minimum(child, parent[child]), np.maximum(child, parent[child])
+        return pa.table({"a": ids.take(pa.array(low)), "b": ids.take(pa.array(high))})
 
     return tiles.groupBy("token", "s", "t").applyInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def spanning_forest(vec: np.ndarray, least: float) -> np.ndarray:
+    """Parent of each unit vector in a forest of the pairs with a product of ``least`` or more; a root is its own parent."""
+    parent, fresh = np.arange(len(vec)), np.ones(len(vec), bool)
+    for root in range(len(vec)):
+        if not fresh[root]:
+            continue
+        fresh[root], front = False, np.array([root])
+        while len(front):
+            rest = np.flatnonzero(fresh)
+            near = vec[rest] @ vec[front].T >= least
+            met = near.any(axis=1)
+            parent[rest[met]] = front[near[met].argmax(axis=1)]
+            fresh[rest[met]] = False
+            front = rest[met]
+    return parent
+
+
 def group_candidates(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """``candidates`` with ``group``: the least key of their component of (a, b) edges, or their own key."""
     roots = components(edges)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import context, mapping, ontology, retrieval, surface, taxonomy, verify, vocabulary
+from graphloom.operators import context, graph, mapping, ontology, retrieval, surface, taxonomy, verify, vocabulary
 from graphloom.sources import io
 from graphloom.sources.bindings import node, table
 from graphloom.storage import shared_base
@@ -298,9 +298,10 @@ def simple_saliences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of one label that are near each other."""
+    """Vectors of one label in groups of such as are near each other, each with the least id of its group."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.array(F.concat(F.lit("label"), _text_column("label"))).alias("tokens"), F.col("embedding").alias("vec"))
-    return vocabulary.semantic_links(e, 0.7)
+    roots = graph.components(vocabulary.semantic_links(e, 0.7))
+    return e.select("id").join(roots, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def acronym_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -461,7 +462,8 @@ k AS (SELECT *, CASE WHEN rel THEN m >= 30 ELSE (hit OR m >= 33) AND r <= 40 END
 SELECT id, kept, CASE WHEN kept THEN NULL WHEN rel THEN 'mention_count < 30' ELSE array_to_string([x for x in [CASE WHEN NOT hit THEN 'not in scope' END, CASE WHEN m < 33 THEN 'mention_count < 33' END, CASE WHEN r > 40 THEN 'below top-40' END] if x IS NOT NULL], '; ') END AS reason FROM k""",
     "simple_saliences": """WITH t AS (SELECT DISTINCT lower(p_name) AS t FROM part WHERE p_size = 50 UNION SELECT string_split(p_name, ' ')[2] FROM part WHERE string_split(p_name, ' ')[2] LIKE '%o%'), c AS (SELECT p_name AS label, max(p_size) > 48 AS g FROM part GROUP BY 1), h AS (SELECT label, g, EXISTS (SELECT 1 FROM t WHERE contains(label, t) OR contains(t, label)) AS scope_hit FROM c)
 SELECT label, scope_hit, round((CASE WHEN scope_hit THEN 0.5::DOUBLE ELSE 0 END) + (CASE WHEN g THEN 0.3::DOUBLE ELSE 0 END) + 0.2::DOUBLE, 3) AS salience, true AS kept FROM h""",
-    "semantic_pairs": f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings) SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id < y.vec_id WHERE {_DOT.format('x.v', 'y.v')} >= 0.3::DOUBLE",
+    "semantic_pairs": f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), p AS (SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y ON x.label = y.label AND x.vec_id <> y.vec_id WHERE {_DOT.format('x.v', 'y.v')} >= 0.3::DOUBLE),
+r AS (SELECT vec_id AS id, vec_id AS b FROM e UNION SELECT r.id, p.b FROM r JOIN p ON r.b = p.a) SELECT id, min(b) AS root FROM r GROUP BY 1""",
     "acronym_pairs": "SELECT DISTINCT 'concept' AS kind, lower(p_name[1] || split_part(p_name, ' ', 2)[1]) AS a, p_name AS b FROM part",
     "recalled_notes": "SELECT item_id::VARCHAR AS query_id, least(5, (SELECT sum(ceil(len(text) / 650.0)) FROM benchmark))::INT AS n, item_id::VARCHAR AS first FROM benchmark",
     "hybrid_neighbours": f"""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), r AS (SELECT b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT.format('a.v', 'b.v')}, 6) DESC, b.vec_id) AS r FROM e a, e b WHERE a.vec_id % 20 = 0)

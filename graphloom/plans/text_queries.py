@@ -209,8 +209,8 @@ def recall_of_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vec")
     queries = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vec", "label")
     found = retrieval.top_k(queries.select("query_id", "vec"), e.select(F.col("vec_id").alias("seq"), F.col("vec_id").alias("id"), "vec"), 10)
-    gold = queries.select("query_id", "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
-    return retrieval.recall_at_k(found, gold, 10).select("query_id", F.round("recall", 6).alias("recall"))
+    members = e.select(F.col("vec_id").alias("id"), F.col("label").alias("group"))
+    return retrieval.recall_of_groups(found, queries.select("query_id", F.col("label").alias("group")), members, 10).select("query_id", F.round("recall", 6).alias("recall"))
 
 
 def minted_iris(spark: SparkSession, sf_dir: str) -> DataFrame:
