@@ -49,6 +49,18 @@ DOCUMENT_WORDS = ["chapter", "page", "section", "figure", "fig", "table", "examp
 ENTITY_NAMES = ["gt", "lt", "amp", "quot", "nbsp", "apos"]
 #: Leading articles and determiners that labels and terms lose.
 ARTICLES = ["the", "a", "an", "this", "that", "these", "those"]
+#: Words that labels lose at their beginning.
+LABEL_LEADING = ["a", "an", "the", "this", "that", "these", "those", "its", "their", "his", "her", "our", "your", "some", "any"]
+#: Words of headings that are scaffolding and no topic, of headings whose sections are left out, and ends of a defined term.
+HEADING_NOISE = [
+    "example", "solution", r"try\s*it", r"how\s*to", r"be\s*prepared", r"manipulative\s*mathematics", "exercise", "exercises", r"chapter\s*outline", r"learning\s*objectives", r"key\s*concepts", r"key\s*terms",
+    "glossary", r"self\s*check", "practice", "answers?", "step", "review", r"everyday\s*math",
+]
+EXCLUDED_SECTIONS = [
+    "example", "solution", r"try\s*it", r"how\s*to", r"be\s*prepared", r"manipulative\s*mathematics", "exercises?", r"practice(\s*makes\s*perfect)?", r"self\s*check", "answers?", r"chapter\s*(review|practice\s*test)",
+    r"review\s*exercises?",
+]
+CLAUSE_ENDS = ["[.,;:]", " and ", " or ", " which ", " that ", " when ", " because ", " so ", r"\bof\b", " if "]
 #: Determiners and pronouns that begin no term.
 LEADING = [*ARTICLES, "my", "your", "his", "her", "its", "our", "their", "some", "any", "each", "every", "no", "all", "both", "which", "what", "whose", "it", "he", "she", "they", "we", "you", "i", "another", "such"]
 
@@ -117,12 +129,17 @@ def slug(text: Column, join: str = "_") -> Column:
 
 
 def canonical_label(surface: Column, kind: Column) -> Column:
-    """PascalCase for concepts, camelCase for relations; short words in capitals stay; leading articles go."""
-    words = F.filter(F.split(surface, r"[^A-Za-z0-9]+"), lambda w: w != "")
-    kept = F.filter(words, lambda w, i: ~((i == 0) & F.lower(w).isin(ARTICLES) & (F.size(words) > 1)))
-    cap = lambda w: F.when(w.rlike("^[A-Z0-9]{2,5}$"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
-    camel = F.transform(kept, lambda w, i: F.when(i == 0, F.lower(w)).otherwise(cap(w)))
-    return F.array_join(F.when(kind == "relation", camel).otherwise(F.transform(kept, cap)), "")
+    """PascalCase for concepts, camelCase for relations; words of up to 6 capitals stay; leading articles and possessives go unless they
+    are all there is. A surface without letters and digits is its own label, a blank one ``Unnamed``."""
+    words = F.regexp_extract_all(surface, F.lit("[A-Za-z0-9]+"), F.lit(0))
+    content = F.filter(F.transform(words, lambda w, i: F.when(F.lower(w).isin(LABEL_LEADING), None).otherwise(i)), lambda i: i.isNotNull())
+    kept = F.when(F.size(content) > 0, F.slice(words, F.get(content, F.lit(0)) + 1, F.size(words))).otherwise(words)
+    title = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
+    cap = lambda w: F.when(w.rlike("^[A-Z]{1,6}$"), w).otherwise(title(w))
+    small = lambda w: F.when(w.rlike("^(?=.*[A-Z])[A-Z0-9]{1,6}$"), w).otherwise(F.lower(w))
+    camel = F.transform(kept, lambda w, i: F.when(i == 0, small(w)).otherwise(cap(w)))
+    label = F.array_join(F.when(kind == "relation", camel).otherwise(F.transform(kept, cap)), "")
+    return F.when(F.size(words) > 0, label).otherwise(F.coalesce(F.nullif(F.trim(surface), F.lit("")), F.lit("Unnamed")))
 
 
 def literal_type(surface: Column) -> Column:
@@ -218,14 +235,25 @@ def section_filter(text: Column, heading: str, dropped: str) -> Column:
     return F.aggregate(F.split(text, "\n"), start, step, lambda a: F.struct(a["lines"].alias("lines"), a["dropped"].alias("dropped")))
 
 
-def content_lines(text: Column, heading: str, dropped: str) -> Column:
+#: Sections of worked examples, exercises and activities, by their headings.
+EXCLUDED = r"(?i)\b(" + "|".join(EXCLUDED_SECTIONS) + r")\b"
+HEADING = r"^(#{1,6})\s+\S"
+
+
+def content_lines(text: Column, heading: str = HEADING, dropped: str = EXCLUDED) -> Column:
     return section_filter(text, heading, dropped)["lines"]
 
 
+def clean_phrase(text: Column) -> Column:
+    """White space collapsed, punctuation at the edges off."""
+    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), r"""^[.,;:!?()\[\]{}"']+|[.,;:!?()\[\]{}"']+$""", ""))
+
+
 def topic_title(heading: Column) -> Column:
-    """True for headings of 2 to 9 words that are mostly letters."""
-    letters = F.length(F.regexp_replace(heading, r"[^\p{L}]", "")) / F.greatest(F.length(F.regexp_replace(heading, r"\s", "")), F.lit(1))
-    return F.size(F.split(F.trim(heading), r"\s+")).between(2, 9) & (letters >= 0.85)
+    """True for headings of 2 to 9 words that are no scaffolding, hold no markup and are letters and blanks for 85 % at least."""
+    noise = r"(?i)\b(" + "|".join(HEADING_NOISE) + r")\b"
+    letters = F.length(F.regexp_replace(heading, r"[^\p{L}\s]", "")) / F.greatest(F.length(heading), F.lit(1))
+    return (heading != "") & ~heading.rlike(noise) & ~heading.rlike(r"[$\\{}|=^_]") & F.regexp_count(heading, F.lit("[A-Za-z]+")).between(2, 9) & (letters >= 0.85)
 
 
 def looks_like_term(text: Column) -> Column:
@@ -302,37 +330,39 @@ def distinct_folded(items: Column) -> Column:
 
 
 def topic_list(text: Column) -> Column:
-    """Outline lines (``1.2 Title``) and headings that read as topics, the first of each name."""
-    found = F.regexp_extract_all(text, F.lit(r"(?m)^(?:#{1,6}\s+|\d+(?:\.\d+)+\s+)(?:\d+(?:\.\d+)*\s+)?(\S[^\n]*?)\s*$"), F.lit(1))
+    """Outline lines (``1.2 Title``), then headings, that read as topics; the first of each name."""
+    titles = lambda head: F.regexp_extract_all(text, F.lit(rf"(?md)^{head}\s+(.+?)\s*$"), F.lit(1))
+    found = F.transform(F.concat(titles(r"\d+\.\d+"), titles("#{1,6}")), clean_phrase)
     return distinct_folded(F.filter(found, topic_title))
 
 
 def objectives(text: Column, reach: int = 14) -> Column:
-    """Bullets within ``reach`` lines after "you will be able to", up to a heading or a blank line after the first bullet."""
+    """Lines within ``reach`` lines after one with "you will be able to", bullets off, up to a heading or a blank line after the first of them."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("left"), F.lit(0).alias("got"))
 
     def step(a: Column, line: Column) -> Column:
-        cue = F.lower(line).contains("you will be able to")
-        bullet = F.regexp_extract(line, r"^\s*(?:[-*•]|\d+[.)])\s+(.*\S)\s*$", 1)
-        stop = line.rlike(r"^#{1,6}\s") | ((F.trim(line) == "") & (a["got"] > 0))
+        cue, bare = F.lower(line).contains("you will be able to"), F.trim(F.regexp_replace(line, r"^\s+", ""))
+        item = clean_phrase(F.regexp_replace(bare, r"^[-*•]\s*", ""))
+        stop = bare.startswith("#") | ((bare == "") & (a["got"] > 0))
+        take = ~stop & (a["left"] > 0) & (item != "")
         left = F.when(cue, F.lit(reach)).when(stop, F.lit(0)).otherwise(F.greatest(a["left"] - 1, F.lit(0)))
-        take = ~cue & ~stop & (a["left"] > 0) & (bullet != "")
-        return F.struct(F.when(take, F.array_append(a["out"], bullet)).otherwise(a["out"]).alias("out"), left.alias("left"), F.when(cue, 0).when(take, a["got"] + 1).otherwise(a["got"]).alias("got"))
+        return F.struct(F.when(take, F.array_append(a["out"], item)).otherwise(a["out"]).alias("out"), left.alias("left"), F.when(cue, 0).when(take, a["got"] + 1).otherwise(a["got"]).alias("got"))
 
-    return distinct_folded(F.aggregate(F.split(text, "\n"), start, step, lambda a: a["out"]))
+    return distinct_folded(F.aggregate(F.split(text, r"\r\n|[\r\n]"), start, step, lambda a: a["out"]))
 
 
 def defined_terms(text: Column) -> Column:
-    """Terms of "is called X", "X is defined as" and bold "**Term:**"; one to four words with a small letter, the first of each."""
+    """Terms of "is called X" up to the end of its clause, "X is defined as" or "X is the name", and bold "**Term:**" with its
+    colon inside; one to four words with a small letter, the first of each."""
     all_of = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(1))
-    word = r"[A-Za-z][A-Za-z-]*"
+    bold = F.filter(F.transform(all_of(r"\*\*([^*]+?)\*\*"), F.trim), lambda b: b.endswith(":") & ~b.rlike(r"(?i)\b(" + "|".join(HEADING_NOISE) + r")\b"))
     found = F.concat(
-        all_of(rf"(?:is|are) called (?:an? |the )?({word}(?: {word}){{0,3}})(?=[.,;:)]|$)"),
-        all_of(rf"(?:^|[.!?]\s+)(?:An? |The )?({word}(?: {word}){{0,3}}) (?:is|are) defined as"),
-        all_of(r"\*\*([^*:\n]{2,60}):?\*\*:?"),
+        all_of(rf"(?i)\b(?:is|are)\s+called\s+(?:(?:the|an?)\s+)?([a-z][a-z\- ]{{2,40}}?)(?={'|'.join(CLAUSE_ENDS)})"),
+        all_of(r"(?i)\b([a-z][a-z\- ]{2,40}?)\s+(?:is|are)\s+(?:defined as|the name)\b"),
+        bold,
     )
-    clean = F.transform(found, clean_surface)
-    return distinct_folded(F.filter(clean, lambda t: F.size(F.split(t, r"\s+")).between(1, 4) & t.rlike("[a-z]")))
+    clean = F.transform(found, clean_phrase)
+    return distinct_folded(F.filter(clean, lambda t: (t != "") & F.size(F.split(t, r"\s+")).between(1, 4) & t.rlike("[a-z]")))
 
 
 def skeleton(topics: Column, aims: Column, terms: Column, cap: int = 80) -> Column:
@@ -341,10 +371,20 @@ def skeleton(topics: Column, aims: Column, terms: Column, cap: int = 80) -> Colu
     return F.concat_ws("\n", part("Topics", topics), part("Objectives", aims), part("Terms", terms))
 
 
-def context_text(surface: Column, source: Column, starts: Column, n: int = 3, width: int = 60) -> Column:
-    """The surface and up to ``n`` windows of ``width`` characters around its places."""
-    window = lambda s: F.regexp_replace(F.substring(source, F.greatest(s - width, F.lit(0)) + 1, F.length(surface) + width + F.least(s, F.lit(width))), r"\s+", " ")
-    return F.concat_ws(" | ", surface, F.array_join(F.transform(F.slice(starts, 1, n), window), " ... "))
+def context_text(surface: Column, source: Column, starts: Column, n: int = 3, width: int = 60, ends: Column | None = None) -> Column:
+    """The surface and up to ``n`` windows of ``width`` characters around its places; the surface alone if it has none."""
+    places = F.slice(F.transform(starts, lambda s: F.struct(s.alias("s"), (s + F.length(surface)).alias("e"))) if ends is None else F.arrays_zip(starts.alias("s"), ends.alias("e")), 1, n)
+    at = lambda p: F.greatest(p["s"] - width, F.lit(0))
+    window = lambda p: F.trim(F.regexp_replace(F.substr(source, at(p) + 1, p["e"] + width - at(p)), r"\s+", " "))
+    return F.when(F.coalesce(F.size(places), F.lit(0)) > 0, F.concat(surface, F.lit(" || "), F.array_join(F.transform(places, window), " ... "))).otherwise(surface)
+
+
+def search_row(paper: Column) -> Column:
+    """struct(id, title, authors, year, citations, abstract_snippet) of a paper: its first three authors and the first 300 characters of its abstract."""
+    return F.struct(
+        paper["id"].alias("id"), paper["title"].alias("title"), F.slice(F.coalesce(paper["authors"], F.array().cast("array<string>")), 1, 3).alias("authors"), paper["year"].alias("year"),
+        F.coalesce(paper["citations"], F.lit(0)).alias("citations"), F.substring(F.coalesce(paper["abstract"], F.lit("")), 1, 300).alias("abstract_snippet"),
+    )
 
 
 def window_note(title: Column, abstract: Column, authors: Column) -> Column:

@@ -6,12 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.functions.text import edge_order, sliding_chunks
+from graphloom.functions.text import edge_order, search_row, sliding_chunks, year_matches
 from graphloom.operators.blocks import BLOCK_ROWS, MOST_PARTITIONS, TILE_ROWS, Best, Runner, matrix, meet, streamed
 from graphloom.operators.graph import neighborhood
 from graphloom.sources.io import append_vectors, read_vectors
@@ -194,6 +194,14 @@ def hybrid_recall(questions: DataFrame, vectors: DataFrame, edges: DataFrame, ty
     return seeds, neighborhood(edges, types, seeds.select("id").distinct(), hops, kind)
 
 
+def search_papers(papers: DataFrame, years: Column | None = None, by_citations: bool = False, k: int = 10) -> DataFrame:
+    """The first ``k`` papers (seq, id, title, authors, year, citations, abstract) as search rows: only years of the spec, and a paper without
+    a year is in none; in order of arrival or the most cited first. The top-k is the operator; no task sorts all rows."""
+    fits = papers if years is None else papers.filter(year_matches(F.col("year"), years))
+    order = [F.desc(F.coalesce("citations", F.lit(0))), "seq"] if by_citations else ["seq"]
+    return fits.orderBy(*order).limit(k).select(search_row(F.struct(*papers.columns)).alias("r")).select("r.*")
+
+
 def recall_of_groups(found: DataFrame, queries: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """(query_id, recall) where the gold of a query (query_id, group) is all members (id, group) of its group: these are counted, never listed."""
     sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("_n"))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import LEADING, dedup_key, fenced_json, fold_key, lemma, looks_like_term, matches_with_offsets, sentences
+from graphloom.operators.blocks import meet
+from graphloom.operators.graph import small, use_checkpoints
 
 
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -54,11 +57,10 @@ def surface_mentions(sents: DataFrame) -> DataFrame:
 
 
 def surface_relations(sents: DataFrame, verbs: DataFrame) -> DataFrame:
-    """Verbs of a lexicon (verb) in sentences, extended by a following particle or preposition."""
-    words = sents.select("doc_id", "sentence_index", F.posexplode(F.split(F.lower("text"), r"[^a-z]+")).alias("pos", "word"))
-    after = F.lead("word").over(W.partitionBy("doc_id", "sentence_index").orderBy("pos"))
-    words = words.withColumn("next", after)
-    joined = words.join(verbs, F.col("word") == F.col("verb"))
+    """Verbs of a lexicon (verb) in sentences, extended by a following particle or preposition. The next word is looked up in the sentence's own row."""
+    words = F.split(F.lower("text"), r"[^a-z]+")
+    both = sents.select("doc_id", "sentence_index", words.alias("_w")).select("doc_id", "sentence_index", F.posexplode(F.transform("_w", lambda w, i: F.struct(w.alias("word"), F.get("_w", i + 1).alias("next")))).alias("pos", "_p"))
+    joined = both.select("doc_id", "sentence_index", "pos", "_p.word", "_p.next").join(verbs, F.col("word") == F.col("verb"))
     particle = F.col("next").isin("in", "on", "at", "to", "by", "of", "with", "from", "for", "up", "out", "off", "over")
     return joined.select("doc_id", "sentence_index", "pos", F.when(particle, F.concat_ws(" ", "word", "next")).otherwise(F.col("word")).alias("relation"))
 
@@ -80,37 +82,124 @@ def without_overlaps(mentions: DataFrame, taken: DataFrame) -> DataFrame:
     return mentions.join(t, (F.col("doc_id") == F.col("_d")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")), "left_anti")
 
 
-def occurrences(pairs: DataFrame, most: int = 50) -> DataFrame:
-    """(doc_id, _t, term) to word-bounded, case-insensitive places (start, end), at most ``most`` a term; without a
-    place the row stays with nulls."""
-    text, term = F.lower("_t"), F.lower("term")
-    parts = F.split(text, F.concat(F.lit(r"\Q"), term, F.lit(r"\E")), -1)
-    step = F.length("term")
-    ends = F.aggregate(
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
-        F.struct(F.array().cast("array<int>").alias("out"), F.lit(0).alias("at")),
-        lambda a, p: F.struct(F.array_append(a["out"], a["at"] + F.length(p)).alias("out"), (a["at"] + F.length(p) + step).alias("at")),
-        lambda a: a["out"],
-    )
-    letter = lambda c: c.rlike(r"^\w$")
-    free = F.filter(ends, lambda i: ~letter(F.substring("_t", i, F.lit(1))) | (i == 0))
-    free = F.filter(free, lambda i: ~letter(F.substring("_t", i + step + 1, F.lit(1))))
-    return pairs.withColumn("_places", F.slice(free, 1, most)).select("*", F.explode_outer("_places").alias("start")).withColumn("end", F.col("start") + step).drop("_places")
+class _Lower(dict):
+    """Lower forms of one character for ``str.translate``: one that is longer stays as it is, and a final sigma is a sigma."""
+
+    def __missing__(self, code: int) -> int:
+        low = chr(code).lower()
+        self[code] = code if len(low) > 1 else 0x3C3 if low == "\u03c2" else ord(low)
+        return self[code]
+
+
+_LOWER = _Lower()
+
+
+def _lowered(text: str) -> str:
+    """Lower case that keeps every place."""
+    return text.lower() if text.isascii() else text.translate(_LOWER)
+
+
+def _matches(words: list[str]) -> Callable[[str, bool, int], Iterator[tuple[int, int, int]]]:
+    """A search of one text for many words (in lower case): (place in ``words``, start, end), at most ``most`` of each word, never overlapping itself."""
+    import ahocorasick
+
+    tree = ahocorasick.Automaton()
+    for i, w in enumerate(words):
+        tree.add_word(w, i)
+    tree.make_automaton()
+    sizes = [len(w) for w in words]
+
+    def search(text: str, bounded: bool, most: int) -> Iterator[tuple[int, int, int]]:
+        low, reach, found = _lowered(text), {}, {}
+        for last, i in tree.iter(low):
+            start, end = last + 1 - sizes[i], last + 1
+            if start < reach.get(i, 0) or found.get(i, 0) >= most or bounded and (start and _letter(low[start - 1]) or end < len(low) and _letter(low[end])):
+                continue
+            reach[i], found[i] = end, found.get(i, 0) + 1
+            yield i, start, end
+
+    return search
+
+
+def _letter(c: str) -> bool:
+    """ASCII letters and digits, and what folds to such a letter."""
+    return c.isascii() and c.isalnum() or c in "\u0130\u0131\u017f\u212a"
+
+
+def find_phrases(docs: DataFrame, phrases: DataFrame, most: int = 50, bounded: bool = True, block_phrases: int = 50_000) -> DataFrame:
+    """(doc_id, term, start, end) for each place of each phrase (term) in documents (doc_id, text): case-insensitive, with no ASCII letter or digit
+    (or what folds to one) before or after it if ``bounded``, at most ``most`` places of a phrase in a document, from the front, never overlapping. Places are code points.
+
+    Up to ``block_phrases`` phrases are counted, then go to the tasks as one automaton, and documents are read in one pass without an
+    exchange. More of them meet the documents in blocks of that size, each an automaton of its own, by a shuffle."""
+    terms = phrases.select("term").filter("term <> ''").distinct()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, term string, start int, end int"
+    given = docs.select("doc_id", "text").filter("text <> ''")
+
+    def places(words: list[str]) -> Callable[[pa.Table | pa.RecordBatch], pa.RecordBatch]:
+        forms: dict[str, list[str]] = {}
+        for w in words:
+            forms.setdefault(_lowered(w), []).append(w)
+        search, named = _matches(list(forms)), list(forms.values())
+
+        def found(batch: pa.Table | pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            doc, term, start, end = [], [], [], []
+            ids = batch.column("doc_id").combine_chunks() if isinstance(batch, pa.Table) else batch.column("doc_id")
+
+            def out() -> pa.RecordBatch:
+                rows = [pa.array(doc, pa.int64()), pa.array(term, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+                return pa.RecordBatch.from_arrays([ids.take(rows[0]), *rows[1:]], names=["doc_id", "term", "start", "end"])
+
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for i, a, b in search(text, bounded, most):
+                    for name in named[i]:
+                        doc.append(row), term.append(name), start.append(a), end.append(b)
+                if len(doc) > 50_000:
+                    yield out()
+                    doc, term, start, end = [], [], [], []
+            yield out()
+
+        return found
+
+    if terms.limit(block_phrases + 1).count() <= block_phrases:
+        words = [r["term"] for r in terms.collect()]  # counted: a bounded list
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = places(words) if words else lambda batch: ()
+            for batch in batches:
+                yield from found(batch)
+
+        return given.mapInArrow(scan, schema)
+
+    def run(block: pa.Table, tiles: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        found = places(block["term"].to_pylist())
+        for tile in tiles:
+            yield from found(tile)
+
+    return meet(terms, given, run, schema, block_rows=block_phrases, tile_rows=256)
+
+
+def resolved_terms(docs: DataFrame, terms: DataFrame, most: int = 50) -> DataFrame:
+    """(doc_id, term, start, end) of all places of the terms, and a row without a place for each that is nowhere in the documents."""
+    return terms.select("term").distinct().join(find_phrases(docs, terms, most), "term", "left").select("doc_id", "term", "start", "end")
 
 
 def dedup_mentions(raws: DataFrame) -> DataFrame:
     """Group (kind, text, source, doc_id, start, end) by lemma key; the canonical form is the most frequent, then longest, then first by name.
 
-    Forms and sources are counted before their keys are made; places are dealt by document, keyed there, and counted once."""
-    key = dedup_key(F.col("text"))
-    forms = raws.groupBy("kind", "text", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("key", key).filter("key <> ''")
+    The key of each form is made and numbered once and meets the places in a join, broadcast if the forms are counted to be few; places are then dealt by
+    document as plain numbers and counted once."""
+    use_checkpoints(raws.sparkSession)
+    forms = raws.groupBy("kind", "text", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("key", dedup_key(F.col("text"))).filter("key <> ''").checkpoint()
+    ids = forms.select("kind", "key").distinct().withColumn("_id", F.monotonically_increasing_id()).checkpoint()
     by_form = forms.groupBy("kind", "key", "text").agg(F.sum("n").alias("n"), F.collect_set("source").alias("s"))
     merged = by_form.groupBy("kind", "key").agg(
         F.min_by("text", F.struct(-F.col("n"), -F.length("text"), "text")).alias("canonical"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"), F.array_sort(F.collect_set("text")).alias("variants")
     )
-    dealt = raws.filter("start is not null").select("kind", "text", "doc_id", "start", "end").repartition("doc_id")  # the distinct below keeps this partitioning
-    placed = dealt.select("kind", key.alias("key"), "doc_id", "start", "end").filter("key <> ''").distinct()
-    places = placed.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("_places"))
+    coded = small(forms.select("kind", "text", "key").distinct().join(ids, ["kind", "key"]).select("kind", "text", "_id").checkpoint())
+    dealt = raws.filter("start is not null").join(coded, ["kind", "text"]).select("_id", "doc_id", "start", "end").repartition("doc_id").distinct()  # the distinct keeps this partitioning
+    places = dealt.groupBy("_id").agg(F.count(F.lit(1)).alias("_places")).join(ids, "_id").drop("_id")
     found = F.coalesce("_places", F.lit(0))
     return merged.join(places, ["kind", "key"], "left").select(
         "kind", "key", "canonical", "sources", "variants", F.greatest(found, F.lit(1)).alias("mention_count"), (found > 0).alias("literal_span"), (F.col("sources") == F.array(F.lit("llm"))).alias("llm_only")
@@ -182,11 +271,18 @@ def gate_override(gated: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.withColumn("reason", F.when(moved, said).otherwise(F.col("reason"))).withColumn("bin", F.when(moved, F.col("_l")).otherwise(F.col("bin"))).drop("_t", "_l")
 
 
-def grounded_in(terms: DataFrame, words: DataFrame, stop: list[str]) -> DataFrame:
-    """``terms`` (term) with ``grounded``: all its other than stop words are words (word) of the corpus."""
-    parts = terms.select("term", F.explode(F.array_except(F.split(F.lower("term"), r"[^a-z0-9]+"), F.array(*map(F.lit, [*stop, ""])))).alias("word"))
-    seen = parts.join(words.select("word").distinct().withColumn("_h", F.lit(1)), "word", "left").groupBy("term").agg(F.min(F.coalesce("_h", F.lit(0))).alias("_all"))
-    return terms.join(seen, "term", "left").withColumn("grounded", F.coalesce(F.col("_all") == 1, F.lit(False))).drop("_all")
+def grounded_in(terms: DataFrame, docs: DataFrame, stop: list[str]) -> DataFrame:
+    """``terms`` (term) with ``grounded``: the phrase itself is within a text (text), or all its tokens but stop words are; in lower case, hyphens
+    and white space as one blank."""
+    use_checkpoints(terms.sparkSession)
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"[\s-]+", " "))
+    asked = terms.select("term").distinct().withColumn("_p", norm(F.col("term"))).withColumn("_w", F.array_except(F.split("_p", " "), F.array(*map(F.lit, [*stop, ""])))).checkpoint()
+    wanted = asked.select(F.explode(F.array_distinct(F.concat(F.array("_p"), "_w"))).alias("term"))
+    seen = find_phrases(docs.select(F.lit(0).alias("doc_id"), norm(F.col("text")).alias("text")), wanted, 1, False).select(F.col("term").alias("_s")).distinct().checkpoint()
+    whole = asked.join(seen, F.col("_p") == F.col("_s"), "left_semi").select("term")
+    tokens = asked.select("term", F.explode("_w").alias("_t")).join(seen.withColumn("_h", F.lit(1)), F.col("_t") == F.col("_s"), "left").groupBy("term").agg(F.count_if(F.col("_h").isNull()).alias("_n")).filter("_n = 0").select("term")
+    hit = whole.unionByName(tokens).distinct().withColumn("grounded", F.lit(True))
+    return terms.join(hit, "term", "left").withColumn("grounded", F.coalesce("grounded", F.lit(False)))
 
 
 def merge_mentions(raw: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import canonical_label, fold_key, slug
-from graphloom.operators.graph import components
+from graphloom.operators.blocks import parts
+from graphloom.operators.graph import components, use_checkpoints
 from graphloom.operators.retrieval import unit_rows
 
 #: Single words that name parts of documents and no concept.
@@ -100,7 +101,7 @@ def build_elements(grouped: DataFrame, most_places: int = 50) -> DataFrame:
 
 
 def rejection_reason(text: Column, kind: Column, mention_count: Column, llm_only: Column, literal_span: Column, sources: Column) -> Column:
-    """Why an element is near certainly none, or null to keep it."""
+    """Why an element is near certainly none, or null to keep it. The reasons are fixed values."""
     surface = F.trim(text)
     words = F.regexp_extract_all(surface, F.lit("[A-Za-z0-9]+"), F.lit(0))
     concept = kind == "concept"
@@ -129,16 +130,28 @@ def synonym_groups(mentions: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 
 def spread(occurrences: DataFrame, doc_len: int, buckets: int = 20) -> DataFrame:
-    """(id, spread): share of the document's segments that an element's places touch."""
-    place = F.least(F.lit(buckets - 1), F.floor(F.col("start") / (doc_len / buckets)))
-    return occurrences.groupBy("id").agg((F.count_distinct(place) / F.least(F.lit(buckets), F.count(F.lit(1)))).alias("spread"))
+    """(id, spread): share of the document's segments, of those that so many places could touch, that an element's places touch."""
+    place = F.least(F.lit(buckets - 1), F.floor(F.col("start") / max(1, doc_len // buckets)))
+    share = F.count_distinct(place) / F.least(F.lit(buckets), F.count(F.lit(1)))
+    return occurrences.groupBy("id").agg((share if doc_len > 0 else F.lit(0.0)).alias("spread"))
+
+
+def scope_hits(elements: DataFrame, scope: DataFrame) -> DataFrame:
+    """(id) of elements (id, surface; label, representative and alt_labels where there are such columns) of which any surface equals a
+    scope term (term), both in lower case with single blanks, as they are or without a plural ending."""
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    forms = lambda c: F.explode(F.array_distinct(F.array(norm(c), F.regexp_replace(norm(c), "(es|s)$", ""))))
+    given = [F.col(c) for c in ("surface", "label", "representative") if c in elements.columns]
+    surfaces = F.array_compact(F.concat(F.array(*given), F.coalesce("alt_labels", F.array().cast("array<string>"))) if "alt_labels" in elements.columns else F.array(*given))
+    terms = scope.filter(norm(F.col("term")) != "").select(forms(F.col("term")).alias("_term")).distinct()
+    asked = elements.select("id", F.explode(surfaces).alias("_s")).filter(norm(F.col("_s")) != "").select("id", forms(F.col("_s")).alias("_term"))
+    return asked.join(terms, "_term").select("id").distinct()
 
 
 def salience(elements: DataFrame, scope: DataFrame) -> DataFrame:
-    """``elements`` (id, surface, mention_count, spread, grounded) with the weighted salience and its parts; ``scope`` (term)."""
-    terms = scope.select(F.lower("term").alias("_term")).distinct().withColumn("_hit", F.lit(1.0))
+    """``elements`` (id, surface, mention_count, spread, grounded, and what :func:`scope_hits` reads) with the weighted salience and its parts; ``scope`` (term)."""
     top = elements.agg(F.max(F.log1p(F.col("mention_count").cast("double"))).alias("_top"))
-    joined = elements.join(terms, F.lower("surface") == F.col("_term"), "left").join(F.broadcast(top))
+    joined = elements.join(scope_hits(elements, scope).withColumn("_hit", F.lit(1.0)), "id", "left").join(F.broadcast(top))
     scope_match, freq = F.coalesce("_hit", F.lit(0.0)), F.coalesce(F.log1p(F.col("mention_count").cast("double")) / F.nullif("_top", F.lit(0.0)), F.lit(0.0))
     ground = F.when(F.col("grounded"), 1.0).otherwise(0.0)
     total = 0.35 * scope_match + 0.30 * freq + 0.20 * F.col("spread") + 0.15 * ground
@@ -160,15 +173,17 @@ def keep_or_park(scored: DataFrame, top_n: int = 0, least: int = 3, least_relati
     return rows.withColumn("kept", kept).withColumn("reason", F.when(~F.col("kept"), reason)).drop("_top")
 
 
-def simple_salience(concepts: DataFrame, topics: DataFrame, floor: float = 0.15, max_topics: int = 100_000) -> DataFrame:
+def simple_salience(concepts: DataFrame, topics: DataFrame, floor: float = 0.15, block_topics: int = 100_000) -> DataFrame:
     """``concepts`` (label, grounded) with salience (half for a topic within the label or around it, 0.3 for grounding, 0.2 for
-    being named) and ``kept``. The topics (topic) of a scope are a short list, of ``max_topics`` at most."""
+    being named) and ``kept``. The topics (topic) of a scope go to the concepts in lists of about ``block_topics``, whatever their number."""
+    use_checkpoints(concepts.sparkSession)
     names = topics.select(fold_key(F.col("topic")).alias("t")).distinct()
-    if names.limit(max_topics + 1).count() > max_topics:
-        raise ValueError(f"more than {max_topics} topics")
-    listed = names.agg(F.array_sort(F.collect_list("t")).alias("_topics"))
-    label = fold_key(F.col("label"))
-    rows = concepts.join(F.broadcast(listed)).withColumn("scope_hit", F.exists("_topics", lambda t: label.contains(t) | t.contains(label))).drop("_topics")
+    lists = parts(names.count(), block_topics)
+    listed = names.groupBy(F.pmod(F.xxhash64("t"), F.lit(lists)).alias("_b")).agg(F.collect_list("t").alias("_topics")).checkpoint()
+    label, rows = fold_key(F.col("label")), concepts.withColumn("scope_hit", F.lit(False))
+    for b in range(lists):
+        one = listed.filter(F.col("_b") == b).agg(F.flatten(F.collect_list("_topics")).alias("_topics"))
+        rows = rows.join(F.broadcast(one)).withColumn("scope_hit", F.col("scope_hit") | F.exists("_topics", lambda t: label.contains(t) | t.contains(label))).drop("_topics")
     total = F.round(F.when(F.col("scope_hit"), 0.5).otherwise(0.0) + F.when(F.col("grounded"), 0.3).otherwise(0.0) + 0.2, 3)
     return rows.withColumn("salience", total).withColumn("kept", F.col("salience") >= floor)
 

@@ -246,11 +246,13 @@ def surfaced_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of the word "the" in every document, at most 50, with the exact slice at each."""
-    d = table(spark, sf_dir, "documents")
-    found = surface.occurrences(d.select("doc_id", F.col("text").alias("_t"), F.lit("the").alias("term"))).drop("_t")
-    exact = surface.exact_places(found.filter("start is not null"), d)
-    return exact.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower("text") == "the").alias("exact"))
+    """Places of every word of the benchmark items and of the pairs of words that begin them in all documents, at most 50 a document and term, each
+    with its exact slice: how many, where the first is, and the terms that are nowhere."""
+    d, words = table(spark, sf_dir, "documents"), F.split(F.lower("text"), "[^a-z]+")
+    terms = table(spark, sf_dir, "benchmark").select(F.explode(F.concat(words, F.array(F.concat_ws(" ", F.slice(words, 1, 2))))).alias("term")).filter("length(term) > 3").distinct()
+    found = surface.resolved_terms(d, terms)
+    exact = surface.exact_places(found.filter("start is not null"), d).groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.lower("text") == F.col("term")).alias("exact"), F.count_distinct("doc_id").alias("docs"), F.sum("start").alias("starts"))
+    return found.select("term").distinct().join(exact, "term", "left").select("term", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "exact", "docs", "starts")])
 
 
 def cheap_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -447,7 +449,12 @@ UNION ALL SELECT seq, s, o, 'range_violation' FROM r WHERE ot = 'Fresh' AND seq
     "surfaced_relations": r"""WITH v AS (SELECT DISTINCT v FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS v FROM benchmark) WHERE len(v) > 3), s AS (SELECT unnest([x for x in string_split_regex(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) if x <> '']) AS s FROM documents),
 w AS (SELECT string_split_regex(lower(s), '[^a-z]+') AS w FROM s), x AS (SELECT unnest(w) AS a, unnest(w[2:] || [NULL]) AS b FROM w)
 SELECT CASE WHEN b IN ('in', 'on', 'at', 'to', 'by', 'of', 'with', 'from', 'for', 'up', 'out', 'off', 'over') THEN a || ' ' || b ELSE a END AS relation, count(*) AS n FROM x JOIN v ON a = v GROUP BY 1""",
-    "term_places": r"SELECT doc_id, least(50, n) AS n, least(50, n) AS exact FROM (SELECT doc_id, len(regexp_extract_all(lower(text), '(?:^|[^a-z0-9_])(the)')) AS m, len([x for x in string_split_regex(lower(text), '[^a-z0-9_]+') if x = 'the'])::BIGINT AS n FROM documents) WHERE n > 0",
+    "term_places": r"""WITH w AS (SELECT string_split_regex(lower(text), '[^a-z]+') AS w FROM benchmark), t AS (SELECT DISTINCT t FROM (SELECT unnest(w || [array_to_string(w[1:2], ' ')]) AS t FROM w) WHERE len(t) > 3),
+c AS (SELECT doc_id, t, string_split(lower(text), t) AS p, lower(text) AS x FROM documents JOIN t ON contains(lower(text), t)),
+u AS (SELECT doc_id, t, x, list_sum(list_transform(p[1:i], lambda y: len(y))) + (i - 1) * len(t) AS pos FROM (SELECT *, unnest(range(1, len(p))) AS i FROM c)),
+f AS (SELECT doc_id, t, pos, row_number() OVER (PARTITION BY doc_id, t ORDER BY pos) AS r FROM u WHERE NOT regexp_matches(x[pos:pos], '[0-9a-z]') AND NOT regexp_matches(x[pos + len(t) + 1:pos + len(t) + 1], '[0-9a-z]')),
+g AS (SELECT t, count(*) AS n, count(DISTINCT doc_id) AS docs, sum(pos)::BIGINT AS starts FROM f WHERE r <= 50 GROUP BY 1)
+SELECT t.t AS term, coalesce(n, 0) AS n, coalesce(n, 0) AS exact, coalesce(docs, 0) AS docs, coalesce(starts, 0) AS starts FROM t LEFT JOIN g USING (t)""",
     "cheap_first": """WITH a AS (SELECT DISTINCT p_name AS x FROM part), t AS (SELECT DISTINCT p_type AS x FROM part), k AS (SELECT (SELECT count(*) FROM a) AS cheap, (SELECT count(*) FROM a) + (SELECT count(*) FROM t) AS llm, (SELECT count(*) FROM a) AS merged)
 SELECT 'cheap' AS source, true AS grounded, (SELECT count(*) FROM a) AS n, k.* FROM k UNION ALL SELECT 'llm', false, (SELECT count(*) FROM t), k.* FROM k""",
     "gate_overrides": """WITH l AS (SELECT p_name, min(p_partkey) % 3 AS m FROM part GROUP BY 1), g AS (SELECT p_partkey % 4 = 0 AS rel, p_partkey % 5 = 0 AS dig, m FROM part JOIN l USING (p_name)),

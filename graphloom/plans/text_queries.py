@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as X
 from graphloom.operators import mapping, retrieval, surface, taxonomy, vocabulary
 from graphloom.sources import io
-from graphloom.sources.bindings import table
+from graphloom.sources.bindings import node, table
 
 
 def sentence_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +42,14 @@ def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document in markdown outside its example, and the headings of what is left out."""
-    d = table(spark, sf_dir, "documents").select("doc_id", X.section_filter(_marked_up(F.col("text")), r"^(#{1,6})\s", "EXAMPLE").alias("s"))
+    d = table(spark, sf_dir, "documents").select("doc_id", X.section_filter(_marked_up(F.col("text")), X.HEADING, X.EXCLUDED).alias("s"))
     return d.select("doc_id", F.size("s.lines").alias("n_lines"), F.array_join("s.dropped", "|").alias("dropped"))
 
 
 def page_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of pages that read as topics; the first of a name on a page stays."""
     heads = F.regexp_extract_all("html", F.lit("<(?:h1|li)>(?:<a[^>]*>)?([^<\n]*)<"), F.lit(1))
-    p = table(spark, sf_dir, "pages").select("page_id", X.topic_list(F.array_join(F.transform(heads, lambda h: F.concat(F.lit("# "), h)), "\n")).alias("t"))
+    p = table(spark, sf_dir, "pages").select("page_id", X.topic_list(F.array_join(F.transform(F.filter(heads, lambda h: F.trim(h) != ""), lambda h: F.concat(F.lit("# "), h)), "\n")).alias("t"))
     return p.select("page_id", F.size("t").alias("n"), F.array_join("t", "|").alias("topics"))
 
 
@@ -117,9 +117,14 @@ def provenance_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paper_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten largest orders of 1995 as a search with a year filter."""
-    o = table(spark, sf_dir, "orders").filter(X.year_matches(F.year("o_orderdate"), F.lit("1995")))
-    return o.orderBy(F.desc(F.coalesce("o_totalprice", F.lit(0.0))), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice")
+    """Orders as papers of their year, cited as often as they cost: the ten most cited of 1995 as search rows."""
+    o = table(spark, sf_dir, "orders")
+    papers = o.select(
+        F.col("o_orderkey").alias("seq"), node("Order", "o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.array(node("Customer", "o_custkey"), F.lit("b"), F.lit("c"), F.lit("d")).alias("authors"),
+        F.year("o_orderdate").alias("year"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_totalprice")).alias("citations"), F.repeat("o_orderstatus", 400).alias("abstract"),
+    )
+    found = retrieval.search_papers(papers, F.lit("1995"), True)
+    return found.select("id", "title", F.array_join("authors", "|").alias("authors"), "year", "citations", "abstract_snippet")
 
 
 def reply_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,10 +168,11 @@ def triple_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grounded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which benchmark items have all their words in the documents."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9]+"))).alias("word"))
-    terms = table(spark, sf_dir, "benchmark").select(F.col("text").alias("term")).distinct()
-    return surface.grounded_in(terms, words, ["the"]).select(F.md5("term").alias("term"), "grounded")
+    """Which benchmark items, and which of their first three words with a hyphen and of these words reversed, are in the documents as phrases or word by word."""
+    d, b = table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark")
+    words = F.slice(F.split("text", r"[\s-]+"), 1, 3)
+    terms = b.select(F.explode(F.array("text", F.array_join(words, "-"), F.array_join(F.reverse(words), " "), F.concat(F.array_join(words, " "), F.lit(" zq")))).alias("term")).distinct()
+    return surface.grounded_in(terms, d, ["the"]).select(F.md5("term").alias("term"), "grounded")
 
 
 def vocabulary_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +187,7 @@ def strongest_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def salience_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Salience of part names: scope from brands' first names, spread over keys."""
+    """Salience of part names: the names of large parts are the scope, places are spread over the keys."""
     p = table(spark, sf_dir, "part")
     total = p.count()
     places = p.select(F.col("p_name").alias("id"), F.col("p_partkey").alias("start"))
@@ -289,12 +295,13 @@ SELECT doc_id, len(s) AS n, (len(s) - 1)::INT AS last, len([x for x in s if NOT
     "cleaning_statistics": f"WITH {_MD} SELECT doc_id, len(whole)::INT AS original_chars, len(less)::INT AS after_exercise_removal, len(clean)::INT AS after_markdown_clean, (len(whole) - len(clean))::INT AS chars_removed, round_even(100 * (1 - len(clean)::DOUBLE / len(whole)), 1) AS pct_removed FROM m",
     "cleaned_texts": f"WITH {_MD} SELECT doc_id, md5(clean) AS md5 FROM m",
     "kept_sections": "SELECT doc_id, (len(string_split(text, chr(10))) + 3)::INT AS n_lines, '## EXAMPLE 1.1' AS dropped FROM documents",
-    "page_topics": r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '<(?:h1|li)>(?:<a[^>]*>)?([^<\n]*)<', 1) AS x FROM pages), u AS (SELECT page_id, generate_subscripts(x, 1) AS p, trim(regexp_replace(trim(unnest(x)), '^\d+(\.\d+)*\s+', '')) AS t FROM h),
-k AS (SELECT page_id, p, t FROM u WHERE t <> '' AND len(string_split_regex(t, '\s+')) BETWEEN 2 AND 9 AND len(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 0.85 * greatest(len(regexp_replace(t, '\s', '', 'g')), 1)),
+    "page_topics": r"""WITH h AS (SELECT page_id, regexp_extract_all(html, '<(?:h1|li)>(?:<a[^>]*>)?([^<\n]*)<', 1) AS x FROM pages), u AS (SELECT page_id, generate_subscripts(x, 1) AS p, trim(regexp_replace(trim(regexp_replace(unnest(x), '\s+', ' ', 'g')), '^[.,;:!?()\[\]{}"'']+|[.,;:!?()\[\]{}"'']+$', '', 'g')) AS t FROM h),
+k AS (SELECT page_id, p, t FROM u WHERE t <> '' AND NOT regexp_matches(t, '\b(example|solution|try\s*it|how\s*to|be\s*prepared|manipulative\s*mathematics|exercises?|chapter\s*outline|learning\s*objectives|key\s*concepts|key\s*terms|glossary|self\s*check|practice|answers?|step|review|everyday\s*math)\b', 'i')
+ AND NOT regexp_matches(t, '[$\\{}|=^_]') AND len(regexp_extract_all(t, '[A-Za-z]+')) BETWEEN 2 AND 9 AND len(regexp_replace(t, '[^\p{L}\s]', '', 'g')) >= 0.85 * len(t)),
 f AS (SELECT page_id, min(p) AS p, arg_min(t, p) AS t FROM k GROUP BY page_id, lower(t)), g AS (SELECT page_id, count(*) AS n, string_agg(t, '|' ORDER BY p) AS topics FROM f GROUP BY 1)
 SELECT page_id, coalesce(n, 0)::INT AS n, coalesce(topics, '') AS topics FROM pages LEFT JOIN g USING (page_id)""",
     "scope_skeletons": """WITH d AS (SELECT source, lang, 'Team ' || translate(source, '0123456789', 'abcdefghij') AS s FROM documents)
-SELECT source, lang, 'Topics:' || chr(10) || '- ' || s || ' Work' || chr(10) || '- Use ' || s || chr(10) || 'Objectives:' || chr(10) || '- read ' || lang || chr(10) || 'Terms:' || chr(10) || '- quick ' || lang || ' test' AS outline, count(*) AS n FROM d GROUP BY ALL""",
+SELECT source, lang, 'Topics:' || chr(10) || '- Use ' || s || chr(10) || '- ' || s || ' Work' || chr(10) || 'Objectives:' || chr(10) || '- read ' || lang || chr(10) || 'Terms:' || chr(10) || '- quick ' || lang || ' test' AS outline, count(*) AS n FROM d GROUP BY ALL""",
     "placed_blocks": """WITH b AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p FROM documents), c AS (SELECT doc_id, l, sum(len(l) + 2) OVER (PARTITION BY doc_id ORDER BY p) - len(l) - 2 AS pos FROM b)
 SELECT doc_id, (count(*) FILTER (trim(l) <> ''))::INT AS n, coalesce(sum(pos) FILTER (trim(l) <> ''), 0)::BIGINT AS starts, true AS exact FROM c GROUP BY 1""",
     "edge_orders": """WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
@@ -311,16 +318,21 @@ g AS (SELECT CASE WHEN NOT regexp_matches(w, '[A-Za-z]') THEN 'no letters (pure
  WHEN regexp_matches(w, '[0-9]') THEN 'contains a numeric value (a particular)' ELSE 'common-noun phrase' END AS reason FROM w)
 SELECT CASE reason WHEN 'common-noun phrase' THEN 'class' WHEN 'contains a numeric value (a particular)' THEN 'individual' ELSE 'non_concept' END AS bin, reason, count(*) AS n FROM g GROUP BY ALL""",
     "provenance_envelopes": "SELECT doc_id, md5('<untrusted source=\"' || source || '\" id=\"' || doc_id || '\">' || chr(10) || text || chr(10) || '</untrusted>') AS md5 FROM documents",
-    "paper_search": "SELECT o_orderkey, o_totalprice FROM orders WHERE year(o_orderdate) = 1995 ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
+    "paper_search": """SELECT 'Order_' || o_orderkey AS id, o_orderpriority AS title, 'Customer_' || o_custkey || '|b|c' AS authors, 1995 AS "year", o_totalprice AS citations, repeat(o_orderstatus, 300) AS abstract_snippet
+FROM orders WHERE year(o_orderdate) = 1995 ORDER BY CASE WHEN o_orderkey % 7 > 0 THEN o_totalprice ELSE 0 END DESC, o_orderkey LIMIT 10""",
     "reply_parsing": "SELECT event_type, (props->>'$.k')::INT AS sentence_index, event_type AS surface_form, 'value' AS mention_type, count(*) AS n FROM events WHERE (props->>'$.k')::INT < 90 GROUP BY ALL",
     "mention_dedup": f"WITH {_MENT} SELECT key, canonical, mention_count, n_sources::INT AS n_sources, n_variants::INT AS n_variants FROM d",
     "entity_merge": """WITH r AS (SELECT lower(trim(p_name)) AS key, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS t, p_partkey % 2 = 0 AS llm, p_size, p_partkey FROM part)
 SELECT key, coalesce(arg_min(t, p_partkey) FILTER (llm AND t IS NOT NULL), arg_min(t, p_partkey) FILTER (NOT llm AND t IS NOT NULL), 'entity') AS mention_type, array_to_string(list_sort(list(DISTINCT CASE WHEN llm THEN 'llm' ELSE 'ner' END)), ',') AS sources, count(DISTINCT p_size)::INT AS n FROM r GROUP BY 1""",
     "triple_merge": """SELECT 'Supplier ' || l_suppkey AS subject, CASE WHEN l_returnflag = 'R' THEN 'receives' ELSE 'ships' END AS predicate, p_type AS object, bool_or(l_quantity > 49) AS negated, array_to_string(list_sort(list(DISTINCT CASE WHEN l_linestatus = 'F' THEN 'llm' ELSE 'dep_parse' END)), ',') AS sources, count(DISTINCT l_linenumber)::INT AS n, 'entity' AS object_type FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3""",
-    "grounded_terms": "WITH w AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents), t AS (SELECT DISTINCT text AS term, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM benchmark) SELECT md5(term) AS term, bool_and(word IN (SELECT word FROM w)) AS grounded FROM t WHERE word NOT IN ('', 'the') GROUP BY 1",
+    "grounded_terms": r"""WITH w AS (SELECT text, string_split_regex(text, '[\s-]+')[1:3] AS w FROM benchmark), t AS (SELECT DISTINCT unnest([text, array_to_string(w, '-'), array_to_string(list_reverse(w), ' '), array_to_string(w, ' ') || ' zq']) AS term FROM w),
+n AS (SELECT term, trim(regexp_replace(lower(term), '[\s-]+', ' ', 'g')) AS p FROM t), d AS (SELECT trim(regexp_replace(lower(text), '[\s-]+', ' ', 'g')) AS x FROM documents),
+k AS (SELECT DISTINCT unnest([p] || string_split(p, ' ')) AS k FROM n), s AS MATERIALIZED (SELECT k FROM k WHERE k <> '' AND EXISTS (SELECT 1 FROM d WHERE contains(x, k))),
+q AS (SELECT term, p, list_filter(string_split(p, ' '), lambda y: y <> 'the' AND y <> '') AS q FROM n), z AS (SELECT list(k) AS z FROM s)
+SELECT md5(term) AS term, list_contains(z, p) OR len(q) > 0 AND list_has_all(z, q) AS grounded FROM q, z""",
     "vocabulary_elements": f"""WITH {_MENT}, x AS (SELECT key[1:8] AS "group", arg_max(canonical, struct_pack(b := NOT regexp_matches(canonical, '^[A-Z]{{2,6}}$'), c := mention_count, d := len(canonical), e := canonical)) AS representative, sum(mention_count)::BIGINT AS mention_count, count(*)::INT AS n_members FROM d GROUP BY 1)
-SELECT "group", representative, CASE WHEN regexp_matches(representative, '^[A-Z0-9]{{2,5}}$') THEN representative ELSE upper(representative[1]) || lower(representative[2:]) END AS label, mention_count, n_members FROM x""",
-    "salience_scores": """WITH b AS (SELECT p_name AS id, count(*) AS n, count(DISTINCT least(19, floor(p_partkey / ((SELECT count(*) FROM part) / 20.0::DOUBLE)))) / least(20, count(*))::DOUBLE AS spread, bool_or(p_size > 48) AS hit FROM part GROUP BY 1), m AS (SELECT max(ln(1 + n)) AS m FROM b)
+SELECT "group", representative, CASE WHEN regexp_matches(representative, '^[A-Z]{{1,6}}$') THEN representative ELSE upper(representative[1]) || lower(representative[2:]) END AS label, mention_count, n_members FROM x""",
+    "salience_scores": """WITH z AS (SELECT p_name AS t FROM part WHERE p_size > 48 UNION SELECT regexp_replace(p_name, '(es|s)$', '') FROM part WHERE p_size > 48), b AS (SELECT p_name AS id, count(*) AS n, count(DISTINCT least(19, p_partkey // greatest(1, (SELECT count(*) FROM part) // 20))) / least(20, count(*))::DOUBLE AS spread, bool_or(p_name IN (SELECT t FROM z) OR regexp_replace(p_name, '(es|s)$', '') IN (SELECT t FROM z)) AS hit FROM part GROUP BY 1), m AS (SELECT max(ln(1 + n)) AS m FROM b)
 SELECT id, n AS mention_count, (CASE WHEN hit THEN 1 ELSE 0 END)::DOUBLE AS scope_match, round(spread, 6) AS spread, round(0.35::DOUBLE * (CASE WHEN hit THEN 1 ELSE 0 END) + 0.30::DOUBLE * ln(1 + n) / m + 0.20::DOUBLE * spread + 0.15::DOUBLE * (CASE WHEN n > 5 THEN 1 ELSE 0 END), 6) AS salience FROM b, m""",
     "hashed_embedding": """WITH w AS (SELECT item_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), h AS (SELECT id, ('0x' || md5('a:' || w)[1:8])::BIGINT % 256 AS dim, 1.0::DOUBLE AS v FROM w UNION ALL SELECT id, ('0x' || md5('b:' || w)[1:8])::BIGINT % 256, 0.5::DOUBLE FROM w), s AS (SELECT id, dim, sum(v) AS x FROM h GROUP BY 1, 2)
 SELECT id, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS weight FROM s""",

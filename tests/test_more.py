@@ -122,6 +122,12 @@ def test_vocabulary_rules(spark):
     scored = table(spark, "id string, kind string, scope_match double, mention_count long, salience double", ("a", "concept", 1.0, 1, 0.9), ("b", "concept", 0.0, 3, 0.5), ("c", "concept", 0.0, 1, 0.1), ("r", "relation", 0.0, 2, 0.0), ("s", "relation", 0.0, 1, 0.0))
     assert rows(vocabulary.keep_or_park(scored), "id", "kept", "reason") == [("a", True, None), ("b", True, None), ("c", False, "not in scope; mention_count < 3"), ("r", True, None), ("s", False, "mention_count < 2")]
     assert rows(vocabulary.keep_or_park(scored, 1).filter("id = 'b'"), "kept", "reason") == [(False, "not in scope; below top-1")]
+    named = table(spark, "id string, surface string, label string, representative string, alt_labels array<string>", ("a", "x", "PrimeFactor", "Prime  Factors", []), ("b", "y", "Y", "y", ["boxes"]), ("c", "z", "Z", "z", None), ("d", "class", "Class", "class", []))
+    assert rows(vocabulary.scope_hits(named, table(spark, "term string", ("prime factor",), ("Box",), (" ",), ("clas",))), "id") == [("a",), ("b",), ("d",)]
+    assert rows(vocabulary.spread(table(spark, "id string, start int", ("a", 0), ("a", 6), ("a", 200), ("b", 3)), 119), "id", "spread") == [("a", 1.0), ("b", 1.0)]
+    assert rows(vocabulary.spread(table(spark, "id string, start int", ("a", 0), ("a", 1)), 7), "id", "spread") == [("a", 1.0)]
+    many = vocabulary.simple_salience(table(spark, "label string, grounded boolean", ("Fire-Unit", True), ("Pasta", False)), table(spark, "topic string", *[(f"topic {i}",) for i in range(30)], ("unit",)), block_topics=7)
+    assert rows(many, "label", "scope_hit") == [("Fire-Unit", True), ("Pasta", False)]
     simple = vocabulary.simple_salience(table(spark, "label string, grounded boolean", ("Fire-Unit", True), ("unit", False), ("Pasta", False)), table(spark, "topic string", ("fire unit",)))
     assert rows(simple, "label", "salience", "kept") == [("Fire-Unit", 1.0, True), ("Pasta", 0.2, True), ("unit", 0.7, True)]
     assert rows(vocabulary.strongest(table(spark, "kind string, key string, mention_count long", *[("c", f"k{i:02}", i // 2) for i in range(30)]), 3), "key") == [("k27",), ("k28",), ("k29",)] or rows(vocabulary.strongest(table(spark, "kind string, key string, mention_count long", *[("c", f"k{i:02}", i // 2) for i in range(30)]), 3), "key") == [("k26",), ("k28",), ("k29",)]

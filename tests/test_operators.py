@@ -83,11 +83,44 @@ def test_triple_merge(spark):
     assert tuple(surface.triple_statistics(m).first()) == (1, 1, 0, 1)
 
 
-def test_occurrences_are_word_bounded(spark):
-    d = spark.createDataFrame([(1, "Fire! A firefighter, a FIRE and fire", "fire"), (1, "none", "fire")], "doc_id int, _t string, term string")
-    got = rows(surface.occurrences(d), "_t", "start", "end")
-    assert [(s, e) for t, s, e in got if t != "none"] == [(0, 4), (23, 27), (32, 36)] and [s for t, s, _ in got if t == "none"] == [None]
-    assert all(t[s:e].lower() == "fire" for t, s, e in got if s is not None)
+def places_of(text, term, most, bounded):
+    import re
+
+    edge = ("(?<![0-9A-Za-z])", "(?![0-9A-Za-z])") if bounded else ("", "")
+    return [m.span() for m in re.finditer(edge[0] + re.escape(term) + edge[1], text, re.I)][:most]
+
+
+def test_phrases_are_found_as_one_by_one(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["fire", "Fire", "water main", "a", "a a", "_x", "x", "é", "ΣΑΣ", "İ", "c++", "\\E", "main", "1", "a1", "-"]
+    texts = ["".join(rng.choice([w, w.upper(), " ", " ", "_", ".", "\n"]) for w in rng.choices(words, k=40)) for _ in range(60)] + ["", None, "fire " * 3000]
+    terms = [*[w for w in words if w != "İ"], "fire fire", "none", "a a a", "A A"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    given = spark.createDataFrame([(t,) for t in [*terms, "fire", ""]], "term string")
+    for most, bounded in ((50, True), (3, False)):
+        want = sorted((i, t, *span) for i, x in enumerate(texts) for t in terms for span in places_of(x or "", t, most, bounded))
+        for block in (50_000, 4):
+            assert rows(surface.find_phrases(docs, given, most, bounded, block), "doc_id", "term", "start", "end") == sorted(want, key=repr)
+    nowhere = rows(surface.resolved_terms(docs, given).filter("start is null"), "doc_id", "term")
+    assert nowhere == [(None, t) for t in ("", "a a a", "none")] and surface.find_phrases(docs, given.limit(0)).count() == 0
+
+
+def test_many_phrases_in_one_pass(spark):
+    terms = [f"term {i}" for i in range(10_000)]
+    docs = spark.createDataFrame([(i, f"Term {i}, xterm {i + 1} and TERM {i * 7}; term {i}0") for i in range(300)], "doc_id int, text string")
+    got = rows(surface.find_phrases(docs, spark.createDataFrame([(t,) for t in terms], "term string")), "doc_id", "term", "start")
+    want = [(i, f"term {j}", at) for i in range(300) for j, at in ((i, 0), (i * 7, len(f"Term {i}, xterm {i + 1} and ")), (i * 10, len(f"Term {i}, xterm {i + 1} and TERM {i * 7}; ")))]
+    assert got == sorted(want, key=repr)
+
+
+def test_terms_are_grounded_as_phrases_or_by_tokens(spark):
+    docs = spark.createDataFrame([("The water-main\nburst at noon",), ("a fire crew",)], "text string")
+    terms = ["Water Main", "noon burst", "at fire", "ire cre", "crew the", "the", "the an", "Crew left", "-"]
+    got = surface.grounded_in(spark.createDataFrame([(t,) for t in terms], "term string"), docs, ["the", "an"])
+    assert {r["term"] for r in got.filter("grounded").collect()} == {"Water Main", "noon burst", "at fire", "ire cre", "crew the", "the"}
+    assert got.count() == len(terms)
 
 
 def test_acronyms_and_elements(spark):

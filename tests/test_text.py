@@ -87,16 +87,34 @@ def test_terms_and_gates(spark):
 
 def test_skeleton_parts(spark):
     t = "# Whole Numbers\n1.2 Use Place Value\n# whole numbers\nYou will be able to:\n- name parts\n- Name Parts\n- add them\n\n- not this\nA ray is called a half line. A point is defined as a place. **Line segment:** x"
-    assert one(spark, X.topic_list(F.col("t")), t) == ["Whole Numbers", "Use Place Value"]
+    assert one(spark, X.topic_list(F.col("t")), t) == ["Use Place Value", "Whole Numbers"]
     assert one(spark, X.objectives(F.col("t")), t) == ["name parts", "add them"]
-    assert one(spark, X.defined_terms(F.col("t")), t) == ["half line", "point", "Line segment"]
+    assert one(spark, X.defined_terms(F.col("t")), t) == ["half line", "A point", "Line segment"]
     s = one(spark, X.skeleton(X.topic_list(F.col("t")), X.objectives(F.col("t")), X.defined_terms(F.col("t"))), t)
-    assert s.startswith("Topics:\n- Whole Numbers\n- Use Place Value\nObjectives:\n- name parts")
+    assert s.startswith("Topics:\n- Use Place Value\n- Whole Numbers\nObjectives:\n- name parts")
+
+
+def test_skeleton_rules(spark):
+    topics = lambda t: one(spark, X.topic_list(F.col("t")), t)
+    assert topics("# Key Concepts Review\n# Add $x$ Now\n# One\n# A 12 34 56 B\n## (Prime Factors):\n#Not one\n3.1  Add Whole Numbers \n3.1.2 Not Outline") == ["Add Whole Numbers", "Prime Factors"]
+    aims = lambda t: one(spark, X.objectives(F.col("t")), t)
+    assert aims("you will be able to:\n\nname parts.\n* add them\n\nnot this") == ["name parts", "add them"]
+    assert aims("x\nYou will be able to\n- one\n## Stop\n- two") == ["one"] and len(aims("You will be able to\n" + "\n".join(f"item {i}" for i in range(20)))) == 14
+    terms = lambda t: one(spark, X.defined_terms(F.col("t")), t)
+    assert terms("We use **important words** here") == [] and terms("**Key Terms:** x **Unit rate:** y **Ratio**: z") == ["Unit rate"]
+    assert terms("This is called the unit rate of the line, which is called slope and more.") == ["unit rate", "slope"]
+    assert terms("Seven is the name of it. 4: A LINE IS DEFINED AS it.") == ["Seven"]
+    label = lambda t, k="concept": one(spark, X.canonical_label(F.col("t"), F.lit(k)), t)
+    assert [label(t) for t in ("ABCDEF rule", "their NATO3 plan", "the the cat", "%%", " ", "the", "ABCDEFG x")] == ["ABCDEFRule", "Nato3Plan", "Cat", "%%", "Unnamed", "The", "AbcdefgX"]
+    assert [label(t, "relation") for t in ("the EMS3 sends", "Is Part Of", "ISO reads XML")] == ["EMS3Sends", "isPartOf", "ISOReadsXML"]
+    assert one(spark, X.context_text(F.col("t"), F.lit("x"), F.array().cast("array<int>")), "fire") == "fire"
+    text = "# A\nkeep\n## Try It 3\ngone\n### Deep\ngone\n# Chapter Review\ngone\n# Previews\nkeep"
+    assert one(spark, X.content_lines(F.col("t")), text) == ["# A", "keep", "# Previews", "keep"]
 
 
 def test_windows(spark):
     t = "x" * 100 + " fire " + "y" * 100
     got = one(spark, X.context_text(F.lit("fire"), F.col("t"), F.array(F.lit(101))), t)
-    assert got == "fire | " + "x" * 59 + " fire " + "y" * 59
+    assert got == "fire || " + "x" * 59 + " fire " + "y" * 59
     note = one(spark, X.window_note(F.lit("T"), F.col("t"), F.array(*map(F.lit, "abcd"))), "First part. Second.")
     assert note == "T — a, b, c — First part"
