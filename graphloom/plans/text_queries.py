@@ -158,13 +158,16 @@ def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("key", "mention_type", F.array_join("sources", ",").alias("sources"), F.size("sentences").alias("n"))
 
 
-def triple_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as raw triples of supplier, flag and part type."""
+def _merged_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as raw triples of supplier, flag and part type, merged."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     raw = li.select(F.concat(F.lit("Supplier "), F.col("l_suppkey").cast("string")).alias("subject"), F.when(F.col("l_returnflag") == "R", "receives").otherwise("ships").alias("predicate"), F.col("p_type").alias("object"), F.col("l_linenumber").alias("sentence_index"), F.when(F.col("l_linestatus") == "F", "llm").otherwise("dep_parse").alias("source"), (F.col("l_quantity") > 49).alias("negated"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"))
     mentions = table(spark, sf_dir, "part").select(F.col("p_type").alias("surface_form"), F.lit("entity").alias("mention_type")).distinct()
-    m = surface.merge_triples(raw, mentions)
-    return m.select("subject", "predicate", "object", "negated", F.array_join("sources", ",").alias("sources"), F.size("sentence_indices").alias("n"), "object_type")
+    return surface.merge_triples(raw, mentions)
+
+
+def triple_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged_triples(spark, sf_dir).select("subject", "predicate", "object", "negated", F.array_join("sources", ",").alias("sources"), F.size("sentence_indices").alias("n"), "object_type")
 
 
 def grounded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

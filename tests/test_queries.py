@@ -6,10 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from graphloom.plans import graph_queries, operator_queries, text_queries, trace_queries
+from graphloom.plans import graph_queries, operator_queries, stage_queries, text_queries, trace_queries
 
 DATA = "/root/testdata/sf0.001"
-SQL = {n: q for p in (graph_queries, text_queries, trace_queries, operator_queries) for n, q in p.ORACLE_SQL.items()}
+SQL = {n: q for p in (graph_queries, text_queries, trace_queries, operator_queries, stage_queries) for n, q in p.ORACLE_SQL.items()}
 
 
 def norm(v):
@@ -39,7 +39,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_its_sql():
-    for p in (graph_queries, text_queries, trace_queries, operator_queries):
+    for p in (graph_queries, text_queries, trace_queries, operator_queries, stage_queries):
         assert set(p.QUERIES) == set(p.ORACLE_SQL)
 
 
