@@ -29,40 +29,88 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-
-
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst, hops): all reachable pairs but a node with itself, with the least number of steps; safe on cycles."""
+    """(src, dst, hops): all reachable pairs but a node with itself, with the least number of steps; safe on cycles.
+
+    A round doubles the length: once all pairs within 2^k steps are known, a longer shortest path has a node at exactly 2^k steps
+    from its start, and the rest of it is known. The rounds are as many as the longest path has binary digits."""
     use_checkpoints(edges.sparkSession)
-    known = edges.select("src", "dst").filter("src <> dst").distinct().withColumn("hops", F.lit(1)).checkpoint()
-    step, fresh, parts = known.drop("hops"), known, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for hop in count(2):
-        reached = fresh.select("src", F.col("dst").alias("mid")).join(step.withColumnRenamed("src", "mid"), "mid").select("src", "dst").filter("src <> dst").distinct()
-        fresh = reached.join(known, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
+    known, length = edges.select("src", "dst").filter("src <> dst").distinct().withColumn("hops", F.lit(1)).checkpoint(), 1
+    while True:
+        first = known.filter(F.col("hops") == length).select("src", F.col("dst").alias("_mid"))
+        rest = known.select(F.col("src").alias("_mid"), "dst", "hops")
+        longer = first.join(rest, "_mid").filter("src <> dst").groupBy("src", "dst").agg((F.min("hops") + length).alias("hops"))
+        fresh = longer.join(known.select("src", "dst"), ["src", "dst"], "left_anti").checkpoint()
         if fresh.isEmpty():
+            return known
+        known, length = known.unionByName(fresh), 2 * length
+
+
+def reached_pairs(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those distinct (a, b) of ``pairs``, of two nodes, that have a path from a to b.
+
+    Only nodes behind an a that still has an open pair are visited; no closure of the whole graph is built."""
+    spark = edges.sparkSession
+    use_checkpoints(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step = edges.select("src", "dst").filter("src <> dst").distinct().checkpoint()
+    asked = pairs.select("a", "b").filter("a <> b").distinct().checkpoint()
+    frontier = seen = asked.select("a", F.col("a").alias("node")).distinct().checkpoint()
+    found = asked.limit(0)
+    for turn in count(1):
+        near = step.join(small(frontier.withColumnRenamed("node", "src")), "src").select("a", F.col("dst").alias("node")).distinct()
+        near = near.join(seen, ["a", "node"], "left_anti").checkpoint()
+        if near.isEmpty():
+            return found
+        hits = near.select("a", F.col("node").alias("b"))
+        found = found.unionByName(asked.join(hits, ["a", "b"], "left_semi").checkpoint())
+        asked = asked.join(hits, ["a", "b"], "left_anti").checkpoint()
+        seen = seen.unionByName(near)
+        if turn % 8 == 0:  # long searches would otherwise leave many small parts
+            found, seen = found.coalesce(parts).checkpoint(), seen.coalesce(parts).checkpoint()
+        frontier = near.join(asked.select("a").distinct(), "a", "left_semi").checkpoint()
+
+
+def _chains(single: DataFrame, many: int) -> DataFrame:
+    """(node, top, steps) of nodes with one parent (node, top, steps): followed to the first that is not one of them, by doubling.
+
+    A chain of ``many`` nodes needs as many rounds as that has binary digits; what is not at its end by then is on a loop and left out."""
+    jump = single
+    for _ in range(many.bit_length() + 1):
+        ahead = jump.select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("steps").alias("_steps"))
+        jump = jump.join(ahead, "top", "left").select("node", F.coalesce("_top", "top").alias("top"), (F.col("steps") + F.coalesce("_steps", F.lit(0))).alias("steps"), F.col("_top").isNotNull().alias("_moved")).checkpoint()
+        if jump.filter("_moved").isEmpty():
             break
-        known = known.unionByName(fresh)
-        if hop % 8 == 0:  # many rounds of few rows each would otherwise leave as many parts
-            known = known.coalesce(parts).checkpoint()
-    return known
+        jump = jump.drop("_moved")
+    return jump.select("node", "top", "steps").join(single.select(F.col("node").alias("top")), "top", "left_anti")
 
 
 def longest_depth(edges: DataFrame) -> DataFrame:
-    """(node, depth): longest distance to a root of an acyclic child-parent table; an error if a cycle hangs under a root."""
+    """(node, depth): longest distance to a root of an acyclic child-parent table; an error if a cycle hangs under a root.
+
+    Chains of nodes with one parent are followed by doubling; what is left are the nodes with several, whose depths are raised
+    until none grows, in at most as many rounds as there are such nodes."""
     use_checkpoints(edges.sparkSession)
-    nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select("dst").withColumnRenamed("dst", "node")).distinct()
-    level = nodes.join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti").withColumn("depth", F.lit(0)).checkpoint()
-    found, many = level, nodes.count()
-    for depth in count(1):
-        level = edges.join(level.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node")).distinct().withColumn("depth", F.lit(depth)).checkpoint()
-        if level.isEmpty():
+    edges = edges.select("src", "dst").filter("src is not null and dst is not null").distinct().checkpoint()
+    parents = edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("top")).checkpoint()
+    single = parents.filter("n = 1").select("node", "top", F.lit(1).cast("long").alias("steps")).checkpoint()
+    chain, forks = _chains(single, single.count()).checkpoint(), parents.filter("n > 1").select("node").checkpoint()
+    best = edges.select(F.col("dst").alias("node")).distinct().join(parents, "node", "left_anti").select("node", F.lit(0).cast("long").alias("depth")).checkpoint()
+    up = edges.join(forks.withColumnRenamed("node", "src"), "src", "left_semi")
+    direct = up.join(single.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst", F.lit(1).cast("long").alias("steps"))
+    through = up.join(chain.withColumnRenamed("node", "dst"), "dst").select("src", F.col("top").alias("dst"), F.col("steps") + 1)
+    links = direct.union(through).groupBy("src", "dst").agg(F.max("steps").alias("steps")).checkpoint()
+    raised, most = best, forks.count()
+    for turn in count(1):
+        below = links.join(small(raised.withColumnRenamed("node", "dst")), "dst").groupBy(F.col("src").alias("node")).agg(F.max(F.col("depth") + F.col("steps")).alias("depth"))
+        raised = below.join(best.withColumnRenamed("depth", "_old"), "node", "left").filter("_old is null or depth > _old").select("node", "depth").checkpoint()
+        if raised.isEmpty():
             break
-        if depth >= many:
+        if turn > most:
             raise ValueError("the longest depth is not defined: the table has a cycle")
-        found = found.unionByName(level)
-    return found.groupBy("node").agg(F.max("depth").alias("depth"))
+        best = best.unionByName(raised).groupBy("node").agg(F.max("depth").alias("depth")).checkpoint()
+    hung = chain.join(best.withColumnRenamed("node", "top"), "top").select("node", (F.col("depth") + F.col("steps")).alias("depth"))
+    return best.unionByName(hung).select("node", F.col("depth").cast("int").alias("depth"))
 
 
 def lowest_common_ancestors(sets: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,19 +167,27 @@ def cyclic_edges(edges: DataFrame) -> DataFrame:
 
 
 def break_cycles(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, removed) of a table (src, dst, confidence): of every knot of cycles the weakest edge goes, until none is left."""
-    use_checkpoints(edges.sparkSession)
-    kept, gone = edges.filter("src <> dst"), [edges.filter("src = dst")]
-    while True:
-        bad = cyclic_edges(kept).checkpoint()
-        if bad.isEmpty():
-            break
-        knots = components(bad.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-        order = W.partitionBy("root").orderBy("confidence", "src", "dst")
-        weakest = bad.join(knots, F.col("src") == F.col("node")).withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(*edges.columns)
-        gone.append(weakest)
-        kept = kept.join(weakest.select("src", "dst"), ["src", "dst"], "left_anti").select(*edges.columns).checkpoint()
-    return kept, reduce(DataFrame.unionByName, gone)
+    """(kept, removed) of a table (src, dst, confidence): of every knot of cycles the weakest edge goes, until none is left.
+
+    A cut makes no new cycle, so a round looks only at the knots of the one before it, and all knots are cut in the same round.
+    Rows with the same ends go together."""
+    spark = edges.sparkSession
+    use_checkpoints(spark)
+    order = F.struct("confidence", "src", "dst")
+    live, cut = cyclic_edges(edges.filter("src <> dst")).checkpoint(), []
+    while not live.isEmpty():
+        knots = components(live.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+        ends = live.join(knots, F.col("src") == F.col("node")).groupBy("root").agg(F.min(order).alias("_e")).select("_e.src", "_e.dst").checkpoint()
+        cut.append(ends)
+        if len(cut) == 32:
+            cut = [reduce(DataFrame.unionByName, cut).coalesce(int(spark.conf.get("spark.sql.shuffle.partitions"))).checkpoint()]
+        live = cyclic_edges(live.join(ends, ["src", "dst"], "left_anti").select(*edges.columns).checkpoint()).checkpoint()
+    loops, others = edges.filter("src = dst"), edges.filter("src <> dst")
+    if not cut:
+        return others, loops
+    ends = reduce(DataFrame.unionByName, cut)
+    gone = others.join(ends, ["src", "dst"], "left_semi").select(*edges.columns)
+    return others.join(ends, ["src", "dst"], "left_anti").select(*edges.columns), loops.unionByName(gone)
 
 
 def least_by(pairs: DataFrame, key: str, value: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import year_bounds
+from graphloom.operators.sums import sum_before
 
 #: Price per 1,000 tokens of the three tiers, and the tier of each stage.
 PRICES = {"small": 0.001, "medium": 0.004, "large": 0.020}
@@ -215,8 +216,7 @@ def response_policy(reducible: Column, by_agent: Column, bounded: Column, high_s
 
 def budget_audit(spans: DataFrame, cap: int) -> DataFrame:
     """Tokens spent before each span of its run, and whether the cap blocks it."""
-    before = F.coalesce(F.sum("tokens").over(W.partitionBy("run_id").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return spans.withColumn("spent", before).withColumn("blocked", F.col("spent") >= cap)
+    return sum_before(spans, "run_id", "seq", "tokens", "spent").withColumn("blocked", F.col("spent") >= cap)
 
 
 def write_audit(calls: DataFrame, irreversible: list[str]) -> DataFrame:

@@ -195,6 +195,40 @@ def feed_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/out").groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("flags")).alias("flags"))
 
 
+def feed_in_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Urgent orders come in three passes of which the second and third hold earlier ones again: items routed by each pass.
+
+    Pass k brings the orders whose key leaves k and k - 1 by 3, so each order but those of the first and last remainder comes twice; the
+    stream is started anew for each pass and goes on from its checkpoint."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    use_checkpoints(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/feed-{uuid.uuid4().hex}"
+    items = _items(o, li)
+    rest = F.col("id").substr(F.lit(2), F.length("id")).cast("long") % 3
+    for k in range(3):
+        items.filter((rest == k) | (rest == k - 1)).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(items.schema).parquet(f"{base}/in")
+        feed.run_feed(stream, _feed_edges(li), ["1-URGENT"], 1992, f"{base}/out", f"{base}/seen", f"{base}/cp", "2024-01-01").awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy(F.col("batch").cast("int").alias("batch"), "route").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("flags")).alias("flags"))
+
+
+def reading_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as sensors, their events as readings, in two passes by time: every state that the stream emits, in either pass.
+
+    A user without an event for six hours before the watermark is stale, its state goes, and it starts anew with a later event."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("sensor"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    use_checkpoints(spark)
+    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/readings-{uuid.uuid4().hex}"
+    ends = e.agg((F.min(F.unix_micros("ts")) + F.expr("(max(unix_micros(ts)) - min(unix_micros(ts))) div 2")).alias("_half"))
+    dated = e.join(F.broadcast(ends)).withColumn("late", F.unix_micros("ts") > F.col("_half")).drop("_half")
+    for late in (False, True):
+        dated.filter(F.col("late") == late).drop("late").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("sensor string, ts timestamp, value double").parquet(f"{base}/in")
+        states = feed.current_readings(stream, stale_minutes=360.0)
+        states.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("sensor", F.unix_micros("last_ts").alias("last_us"), "last_value", "readings", "stale")
+
+
 def triage_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels as feedback on documents: sources with a deleted and no kept document."""
     lb, d = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")
@@ -220,7 +254,7 @@ def family_axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    run_totals, cost_by_span, routed_costs, budget_blocks, summary_lines, plan_lines, waterfalls, tool_calls, feedback_spans, graded_runs, replayed_cases, seen_and_cited, year_spec_cases, reply_states, citation_grades, claim_actions, consistency, write_checks, screening_flow, response_policies, feed_routes, triage_topics,
+    run_totals, cost_by_span, routed_costs, budget_blocks, summary_lines, plan_lines, waterfalls, tool_calls, feedback_spans, graded_runs, replayed_cases, seen_and_cited, year_spec_cases, reply_states, citation_grades, claim_actions, consistency, write_checks, screening_flow, response_policies, feed_routes, feed_in_passes, reading_states, triage_topics,
     taxonomy_review, family_axioms,
 )}
 
@@ -256,6 +290,16 @@ SELECT (SELECT count(*) FROM part) AS identified, count(*) AS screened, count(x)
     "response_policies": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN 'resolve' ELSE 'ask' END WHEN o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0 THEN 'hedge' ELSE 'abstain' END AS action, count(*) AS n FROM orders GROUP BY 1",
     "feed_routes": """WITH p AS (SELECT l_orderkey AS o, l_partkey, bool_or(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1, 2), i AS (SELECT o, count(*) FILTER (NOT ok) AS f FROM p JOIN orders ON o_orderkey = o WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) >= 1997 GROUP BY 1)
 SELECT CASE WHEN f = 0 THEN 'digest' ELSE 'inbox' END AS route, count(*) AS n, sum(f)::BIGINT AS flags FROM i GROUP BY 1""",
+    "feed_in_passes": """WITH p AS (SELECT l_orderkey AS o, l_partkey, bool_or(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY 1, 2), i AS (SELECT o, count(*) FILTER (NOT ok) AS f FROM p JOIN orders ON o_orderkey = o WHERE o_orderpriority = '1-URGENT' AND year(o_orderdate) >= 1992 GROUP BY 1)
+SELECT (o % 3)::INT AS batch, CASE WHEN f = 0 THEN 'digest' ELSE 'inbox' END AS route, count(*) AS n, sum(f)::BIGINT AS flags FROM i GROUP BY 1, 2""",
+    "reading_states": """WITH e AS (SELECT user_id::VARCHAR AS sensor, epoch_us(ts) AS us, value FROM events), h AS (SELECT min(us) + (max(us) - min(us)) // 2 AS half FROM e),
+g AS (SELECT sensor, us > half AS late, max({'us': us, 'v': value}) AS m, count(*) AS n FROM e, h GROUP BY 1, 2),
+w AS (SELECT max(m.us) FILTER (NOT late) // 1000 - 300000 AS w1, max(m.us) // 1000 - 300000 AS w2 FROM g),
+one AS (SELECT sensor, m, n, m.us // 1000 + 21600000 <= w1 AS gone FROM g, w WHERE NOT late),
+two AS (SELECT g.sensor, g.m, g.n + CASE WHEN one.gone THEN 0 ELSE coalesce(one.n, 0) END AS n FROM g LEFT JOIN one USING (sensor) WHERE late),
+held AS (SELECT * FROM two UNION ALL SELECT sensor, m, n FROM one WHERE NOT gone AND sensor NOT IN (SELECT sensor FROM two)),
+every AS (SELECT sensor, m, n, false AS stale FROM one UNION ALL SELECT sensor, m, n, true FROM one WHERE gone UNION ALL SELECT sensor, m, n, false FROM two UNION ALL SELECT sensor, m, n, true FROM held, w WHERE m.us // 1000 + 21600000 <= w2)
+SELECT sensor, m.us AS last_us, m.v AS last_value, n AS readings, stale FROM every""",
     "triage_topics": "SELECT source || '-' || lang || '-' || (doc_id % 3) AS topic FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING bool_or(quality = 0) AND NOT bool_or(quality = 1)",
     "taxonomy_review": "WITH g AS (SELECT c_nationkey AS k FROM customer GROUP BY 1 HAVING count(*) > 60), f AS (SELECT 'coined:' || n_regionkey AS parent, count(g.k) AS n FROM nation LEFT JOIN g ON g.k = n_nationkey GROUP BY 1) SELECT parent, n, CASE WHEN n >= 2 THEN 'accept' WHEN n = 1 THEN 'demote' ELSE 'reject' END AS verdict FROM f",
     "family_axioms": "WITH n AS (SELECT n_nationkey AS k, n_regionkey AS r FROM nation WHERE n_nationkey IN (SELECT s_nationkey FROM supplier)), z AS (SELECT r FROM n GROUP BY 1 HAVING count(*) BETWEEN 2 AND 6) SELECT a.k AS a, b.k AS b FROM n a JOIN n b ON a.r = b.r AND a.k < b.k WHERE a.r IN (SELECT r FROM z)",

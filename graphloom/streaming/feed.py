@@ -7,9 +7,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+
+from graphloom.streaming.seen import leave_out_seen, remember
 
 TAG = r"\[S2:([A-Za-z0-9_]+)\]"
 
@@ -58,21 +61,14 @@ def run_feed(stream: DataFrame, edges: DataFrame, tracked: list[str], floor_year
     """Start the feed: new items of each micro-batch are routed to ``out`` by day and route, and their ids kept in ``state``.
 
     With ``spans``, a folder, each pass leaves its trace there, with the note of the tuning step if there is ``feedback``. A batch that is replayed after a failure overwrites its own folder, so a restart neither loses nor doubles items."""
-    spark = stream.sparkSession
-
     def handle(batch: DataFrame, number: int) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(state)
-        known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        fresh = batch.dropDuplicates(["id"])
-        if known:
-            earlier = spark.read.option("basePath", state).schema("id string, batch bigint").parquet(state).filter(F.col("batch") != number)
-            fresh = unseen(fresh, earlier)
+        fresh = leave_out_seen(batch.dropDuplicates(["id"]), state, number)
         routed = verified(drafted(fresh), edges).withColumn("day", F.lit(day)).persist()
         routed.write.partitionBy("day", "route").mode("overwrite").parquet(f"{out}/batch={number}")
         if spans:
             note = tune_triage(feedback, batch, tracked) if feedback is not None else None
             pass_spans(routed, f"{day}-{number}", note).write.mode("overwrite").parquet(f"{spans}/batch={number}")
-        routed.select("id").write.mode("overwrite").parquet(f"{state}/batch={number}")
+        remember(routed, state, number)
         routed.unpersist()
 
     return triggered(stream, tracked, floor_year).writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -103,31 +99,60 @@ def freshness(stream: DataFrame, late: str = "5 minutes", stale_minutes: float =
     )
 
 
+class _Readings(StatefulProcessor):
+    """Last reading and number of readings of a sensor, and a timer in event time that ends them."""
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "last_us long, last_value double, readings long")
+
+    def _row(self, key: tuple, state: tuple, stale: bool) -> pd.DataFrame:
+        last_us, last_value, readings = state
+        return pd.DataFrame({"sensor": [key[0]], "last_ts": [pd.Timestamp(last_us, unit="us")], "last_value": [last_value], "readings": [readings], "stale": [stale]})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.last.get()) if self.last.exists() else None
+        due = None if state is None else state[0] // 1000 + self.keep_ms
+        for part in rows:
+            newest = part.sort_values(["ts", "value"], na_position="first").iloc[-1]
+            at, value = int(newest["ts"].value // 1000), None if pd.isna(newest["value"]) else float(newest["value"])
+            low = float("-inf")
+            if state is None or (at, low if value is None else value) >= (state[0], low if state[1] is None else state[1]):
+                state = (at, value, 0 if state is None else state[2])
+            state = (*state[:2], state[2] + len(part))
+        now = state[0] // 1000 + self.keep_ms
+        if now != due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            self.handle.registerTimer(now)
+        self.last.update(state)
+        yield self._row(key, state, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists():
+            state = tuple(self.last.get())
+            self.last.clear()
+            yield self._row(key, state, True)
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """State in RocksDB: on the executors' disks with changes in the checkpoint, so it may outgrow their memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+
+
 def current_readings(stream: DataFrame, late: str = "5 minutes", stale_minutes: float = 5.0) -> DataFrame:
     """(sensor, last_ts, last_value, readings, stale): the state of every sensor (sensor, ts, value) that a batch touches, and a last row with
     ``stale`` once event time is ``stale_minutes`` past its last reading, when its state goes.
 
-    The state is one row a sensor. A reading older than the last one counts but changes nothing; rows behind the watermark are left out by Spark."""
-    keep_ms = int(stale_minutes * 60_000)
-
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last_ms, last_value, readings = state.get if state.exists else (None, None, 0)
-        stale = state.hasTimedOut
-        if stale:
-            state.remove()
-        else:
-            for rows in batches:
-                readings += len(rows)
-                newest = rows.loc[rows["ts"].idxmax()]
-                ms = int(newest["ts"].value // 1_000_000)
-                if last_ms is None or ms >= last_ms:
-                    last_ms, last_value = ms, float(newest["value"])
-            state.update((last_ms, last_value, readings))
-            state.setTimeoutTimestamp(max(last_ms + keep_ms, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"sensor": [key[0]], "last_ts": [pd.Timestamp(last_ms, unit="ms")], "last_value": [last_value], "readings": [readings], "stale": [stale]})
-
+    The state is one row a sensor, kept in RocksDB (which this sets for the session's next queries), and one timer a sensor; a batch touches the
+    sensors it holds and those whose timers end. A reading older than the last one counts but changes nothing, of readings at one time the greatest
+    value is the last; rows without a time, and rows behind the watermark, are left out."""
+    use_rocksdb(stream.sparkSession)
     return (
-        stream.withWatermark("ts", late)
-        .groupBy("sensor")
-        .applyInPandasWithState(follow, "sensor string, last_ts timestamp, last_value double, readings long, stale boolean", "last_ms long, last_value double, readings long", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+        stream.filter("ts is not null").withWatermark("ts", late).groupBy("sensor")
+        .transformWithStateInPandas(_Readings(int(stale_minutes * 60_000)), "sensor string, last_ts timestamp, last_value double, readings long, stale boolean", "Append", "EventTime")
+    )
