@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import LEADING, dedup_key, fenced_json, fold_key, lemma, looks_like_term, matches_with_offsets, sentences
 from graphloom.operators.blocks import meet
 from graphloom.operators.graph import small, use_checkpoints
+from graphloom.operators.phrases import noun_phrases
 
 
 def sentence_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -36,23 +37,29 @@ def _placed(rows: DataFrame, keys: list[str], pattern: str, source: str) -> Data
     return free.filter(~(cut & (head == F.col("text")))).select(*keys, F.substr("text", skip + 1).alias("text"), (F.col("start") + skip).alias("start"), "end", F.lit(source).alias("source"))
 
 
-def surface_concepts(docs: DataFrame, extractor: Callable | None = None, schema: str = "doc_id bigint, text string, start int, end int, source string", adjectives: bool = False) -> DataFrame:
-    """(doc_id, text, start, end, source): runs of capitalised words and gerunds, adjectives on request; or whatever ``extractor`` yields
-    from (doc_id, text)."""
+def surface_concepts(docs: DataFrame, extractor: Callable | None = None, schema: str = "doc_id bigint, text string, start int, end int, source string", adjectives: bool = False, lexicon: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text, start, end, source): runs of capitalised words and gerunds, adjectives on request, and with a ``lexicon`` (word, class) noun
+    phrases without their determiner, as source ``term``; or whatever ``extractor`` yields from (doc_id, text)."""
     if extractor:
         return docs.select("doc_id", "text").mapInPandas(extractor, schema)
     kinds = [(NAMES, "name"), (GERUNDS, "gerund")] + [(ADJECTIVES, "adjective")] * adjectives
     found = reduce(DataFrame.unionByName, [_placed(docs.select("doc_id", "text"), ["doc_id"], p, s) for p, s in kinds])
+    if lexicon is not None:
+        bare = F.substr("text", F.col("bare_start") - F.col("start") + 1)
+        found = found.unionByName(noun_phrases(docs, lexicon, ["doc_id"]).select("doc_id", bare.alias("text"), F.col("bare_start").alias("start"), "end", F.lit("term").alias("source")))
     return found.filter(looks_like_term(F.col("text")))
 
 
-def surface_mentions(sents: DataFrame) -> DataFrame:
-    """(doc_id, sentence_index, surface_form, mention_type, start, end, source) of sentences (doc_id, sentence_index, text): values, and names that
-    touch no value and are no pronoun."""
+def surface_mentions(sents: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+    """(doc_id, sentence_index, surface_form, mention_type, start, end, source) of sentences (doc_id, sentence_index, text): values, names that
+    touch no value and are no pronoun, and with a ``lexicon`` (word, class) noun phrases that touch neither."""
     keys = ["doc_id", "sentence_index"]
     rows = sents.select(*keys, "text").withColumn("doc_id", F.struct("doc_id", "sentence_index")).drop("sentence_index")
     values = _placed(rows, ["doc_id"], VALUES, "ner").withColumn("mention_type", F.lit("value"))
     names = without_overlaps(_placed(rows, ["doc_id"], NAMES, "ner"), values).withColumn("mention_type", F.lit("entity"))
+    if lexicon is not None:
+        chunks = noun_phrases(rows, lexicon, ["doc_id"]).select("doc_id", "text", "start", "end", F.lit("noun_chunk").alias("source"), F.lit("entity").alias("mention_type"))
+        names = names.unionByName(without_overlaps(chunks, values.unionByName(names)))
     return values.unionByName(names).select("doc_id.doc_id", "doc_id.sentence_index", F.col("text").alias("surface_form"), "mention_type", "start", "end", "source")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
-from graphloom.operators import surface, taxonomy, vocabulary
+from graphloom.operators import phrases, surface, taxonomy, vocabulary
 from graphloom.plans.text_queries import _MENT, _merged_triples, _raw_mentions
 from graphloom.sources.bindings import table
 
@@ -65,7 +65,18 @@ def triple_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surface.triple_statistics(_merged_triples(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (surfacing_counts, vocabulary_counts, synonym_concepts, assembled_parents, packed_chunks, cleaned_words, triple_counts)}
+def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noun phrases of every document, by a lexicon of its words: those in "a" are determiners, in "e" and "o" adjectives, in "s" and "t" verbs."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = F.substring("word", 1, 1)
+    words = d.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}'\u2019-]+"), F.lit(0)))).alias("word")).distinct()
+    lexicon = words.select("word", F.when(first == "a", "D").when(first.isin("e", "o"), "A").when(first.isin("s", "t"), "V").alias("class"))
+    found = phrases.noun_phrases(d, lexicon, ["doc_id"])
+    bare = F.substr("text", F.col("bare_start") - F.col("start") + 1)
+    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", bare.alias("t")))), lambda x: x["t"]), "|")).alias("md5"))
+
+
+QUERIES = {f.__name__: f for f in (surfacing_counts, vocabulary_counts, synonym_concepts, assembled_parents, packed_chunks, cleaned_words, triple_counts, noun_phrases)}
 
 _M0, _REST = _MENT.split(",\nk AS", 1)
 _CAND = f"""{_M0.replace("m AS", "m0 AS", 1)}, m AS (SELECT * FROM m0 UNION ALL SELECT NULL, 'llm', NULL, w || CASE WHEN p_partkey % 2 = 0 THEN 'zq' ELSE '' END FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)),
@@ -89,4 +100,7 @@ SELECT len(c) >= 2 AND regexp_matches(c, '[A-Za-z]{2,}') AND NOT (lower(c) IN ('
  count(*) AS n, count(DISTINCT c) AS surfaces, sum(len(c))::BIGINT AS chars FROM c GROUP BY 1""",
     "triple_counts": """WITH m AS (SELECT bool_or(l_quantity > 49) AS negated, bool_or(l_linestatus = 'F') AS llm, bool_or(l_linestatus <> 'F') AS dep FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey, l_returnflag = 'R', p_type)
 SELECT count(*) FILTER (negated) AS negated, count(*) FILTER (llm AND dep) AS both_sources, count(*) FILTER (dep AND NOT llm) AS dep_only, count(*) FILTER (llm AND NOT dep) AS llm_only FROM m""",
+    "noun_phrases": r"""WITH m AS (SELECT doc_id, regexp_replace(translate(text, '<>', '..'), '(\p{L}+(?:[''’-]\p{L}+)*|[0-9]+(?:[.,][0-9]+)*)', '<\1>', 'g') AS t FROM documents),
+c AS (SELECT doc_id, regexp_extract_all(t, '(?:<[aA][^>]*>[ \t]+)?((?:<[^aAsStT>][^>]*>[ \t]+)*<[^aAeEoOsStT0-9>][^>]*>)', 0) AS whole, regexp_extract_all(t, '(?:<[aA][^>]*>[ \t]+)?((?:<[^aAsStT>][^>]*>[ \t]+)*<[^aAeEoOsStT0-9>][^>]*>)', 1) AS bare FROM m)
+SELECT doc_id, len(whole) AS n, len(translate(array_to_string(whole, ''), '<>', '')) AS chars, md5(translate(array_to_string(bare, '|'), '<>', '')) AS md5 FROM c WHERE len(whole) > 0""",
 }

@@ -1,7 +1,7 @@
 """Ids that a stream has handled, kept so that a batch reads only the part that may hold its own.
 
-Under the folder of the state, ``log/batch=n/bucket=b`` holds the ids of one batch and ``base/upto=n/bucket=b`` all ids up to batch n. Ids are dealt
-to buckets by hash; a batch reads the buckets of its ids. From time to time base and log become a new base, which a replayed batch does not use."""
+Under the folder of the state, ``base/upto=n/bucket=b`` holds all ids up to batch n, dealt to buckets by hash, and ``log/batch=n`` those of one batch
+since, sorted by bucket. A batch reads the buckets of its ids. From time to time base and log become a new base, which a replayed batch does not use."""
 
 from __future__ import annotations
 
@@ -31,7 +31,7 @@ def _numbered(spark: SparkSession, folder: str, name: str) -> list[int]:
 
 
 def seen_before(spark: SparkSession, state: str, number: int) -> DataFrame:
-    """(id, bucket) of all batches before ``number``; a filter on bucket reads only those folders."""
+    """(id, bucket) of all batches before ``number``; a filter on bucket reads only those folders of the base, and row groups of the log."""
     schema = "id string, bucket int"
     bases = [n for n in _numbered(spark, f"{state}/base", "upto") if n < number]
     start = bases[-1] if bases else -1
@@ -57,7 +57,7 @@ def remember(ids: DataFrame, state: str, number: int, buckets: int = BUCKETS, fo
 
     The last two bases stay, and the logs after the older one, so that the batch can be replayed after its fold."""
     spark = ids.sparkSession
-    ids.select("id", bucket_of(F.col("id"), buckets).alias("bucket")).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{state}/log/batch={number}")
+    ids.select("id", bucket_of(F.col("id"), buckets).alias("bucket")).sortWithinPartitions("bucket").write.mode("overwrite").parquet(f"{state}/log/batch={number}")
     bases = [n for n in _numbered(spark, f"{state}/base", "upto") if n < number]
     if number - (bases[-1] if bases else -1) < fold_every:
         return

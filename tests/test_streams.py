@@ -15,7 +15,7 @@ def batch(spark, *names):
 
 def test_seen_ids_are_read_by_bucket(spark, tmp_path):
     state = str(tmp_path)
-    seen.remember(batch(spark, *(f"p{i}" for i in range(200))), state, 0, 64)
+    seen.remember(batch(spark, *(f"p{i}" for i in range(200))), state, 0, 64, fold_every=1)
     fresh = seen.leave_out_seen(batch(spark, "p7", "q7"), state, 1, 64)
     assert ids(fresh) == ["q7"]
     mine = [r[0] for r in batch(spark, "p7", "q7").select(seen.bucket_of(F.col("id"), 64)).collect()]
