@@ -98,9 +98,10 @@ def graph_statistics(triples: DataFrame, sensor_type: str) -> DataFrame:
     )
 
 
-def entity_edges(triples: DataFrame) -> DataFrame:
-    """(src, rel, dst) between entities: types and literals are no edges."""
-    return triples.filter((F.col("p") != "rdf:type") & (F.col("o_kind") == "iri")).select(F.col("s").alias("src"), F.col("p").alias("rel"), F.col("o").alias("dst")).distinct()
+def entity_edges(triples: DataFrame, unique: bool = True) -> DataFrame:
+    """(src, rel, dst) between entities: types and literals are no edges. Walks, which make their own rows distinct, need no ``unique`` edges."""
+    edges = triples.filter((F.col("p") != "rdf:type") & (F.col("o_kind") == "iri")).select(F.col("s").alias("src"), F.col("p").alias("rel"), F.col("o").alias("dst"))
+    return edges.distinct() if unique else edges
 
 
 def node_types(triples: DataFrame) -> DataFrame:

@@ -72,11 +72,22 @@ def surface_relations(sents: DataFrame, verbs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "sentence_index", "pos", F.when(particle, F.concat_ws(" ", "word", "next")).otherwise(F.col("word")).alias("relation"))
 
 
+#: Verbs of a lexicon up to which, counted, they are looked up in a sentence's own row.
+VERBS = 5_000
+
+
 def surface_triples(sents: DataFrame, verbs: DataFrame) -> DataFrame:
-    """subject-verb-object by pattern, with a negation flag."""
+    """subject-verb-object by pattern around the first verb of each sentence, with a negation flag. Up to ``VERBS`` verbs, counted, are looked up in
+    the sentence's own row; more of them meet its words in a join."""
     words = sents.select("doc_id", "sentence_index", "text", F.split(F.regexp_replace("text", r"[.!?]+$", ""), r"\s+").alias("w"))
-    hits = words.select("*", F.posexplode("w").alias("pos", "word")).join(verbs, F.lower("word") == F.col("verb"))
-    first = hits.withColumn("_r", F.row_number().over(W.partitionBy("doc_id", "sentence_index").orderBy("pos"))).filter("_r = 1 and pos > 0")
+    verbs = verbs.select("verb").filter("verb is not null").distinct()
+    if verbs.limit(VERBS + 1).count() <= VERBS:
+        known = [r["verb"] for r in verbs.collect()]  # counted: a bounded list
+        placed = F.transform("w", lambda x, i: F.struct(i.alias("pos"), F.lower(x).alias("verb")))
+        first = words.withColumn("_v", F.get(F.filter(placed, lambda h: h["verb"].isin(known)), F.lit(0))).filter("_v.pos > 0").select("*", "_v.pos", "_v.verb")
+    else:
+        hits = words.select("*", F.posexplode("w").alias("pos", "word")).join(verbs, F.lower("word") == F.col("verb"))
+        first = hits.withColumn("_r", F.row_number().over(W.partitionBy("doc_id", "sentence_index").orderBy("pos"))).filter("_r = 1 and pos > 0")
     side = lambda a, n: F.array_join(F.filter(F.slice("w", a, n), lambda x: ~F.lower(x).isin("not", "never", "no", "does", "did")), " ")
     subject, obj = side(F.lit(1), F.col("pos")), side(F.col("pos") + 2, F.greatest(F.size("w") - F.col("pos") - 1, F.lit(0)))
     out = first.select("doc_id", "sentence_index", subject.alias("subject"), F.col("verb").alias("predicate"), obj.alias("object"), F.col("text").rlike(r"(?i)\b(not|never|no)\b").alias("negated"))

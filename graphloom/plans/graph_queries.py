@@ -26,7 +26,7 @@ def context_graph_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = kg_triples(spark, sf_dir)
     focal = spark.createDataFrame([("Customer_1",), ("Customer_2",)], "focal string")
     ages = t.filter("1 = 0").select(F.col("s").alias("node"), F.lit(0.0).alias("age_min"))
-    return context.context_graph(context.entity_edges(t), context.node_types(t), ages, focal, ["Supplier", "Part"], 3, 30)
+    return context.context_graph(context.entity_edges(t, unique=False), context.node_types(t), ages, focal, ["Supplier", "Part"], 3, 30)
 
 
 def kg_pattern_count(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import text as X
 from graphloom.operators import phrases, surface, taxonomy, vocabulary
-from graphloom.plans.text_queries import _MENT, _merged_triples, _raw_mentions
+from graphloom.plans.text_queries import _MENT, _SENT, _merged_triples, _raw_mentions
 from graphloom.sources.bindings import table
 
 
@@ -76,7 +76,14 @@ def noun_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", bare.alias("t")))), lambda x: x["t"]), "|")).alias("md5"))
 
 
-QUERIES = {f.__name__: f for f in (surfacing_counts, vocabulary_counts, synonym_concepts, assembled_parents, packed_chunks, cleaned_words, triple_counts, noun_phrases)}
+def svo_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the documents with one of four verbs: subjects and objects beside the first of them, by verb and negation."""
+    verbs = spark.createDataFrame([("is",), ("was",), ("are",), ("had",)], "verb string")
+    found = surface.surface_triples(surface.sentence_table(table(spark, sf_dir, "documents")), verbs)
+    return found.groupBy("predicate", "negated").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("subject")).alias("subject_chars"), F.sum(F.length("object")).alias("object_chars"))
+
+
+QUERIES = {f.__name__: f for f in (surfacing_counts, vocabulary_counts, synonym_concepts, assembled_parents, packed_chunks, cleaned_words, triple_counts, noun_phrases, svo_triples)}
 
 _M0, _REST = _MENT.split(",\nk AS", 1)
 _CAND = f"""{_M0.replace("m AS", "m0 AS", 1)}, m AS (SELECT * FROM m0 UNION ALL SELECT NULL, 'llm', NULL, w || CASE WHEN p_partkey % 2 = 0 THEN 'zq' ELSE '' END FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)),
@@ -103,4 +110,8 @@ SELECT count(*) FILTER (negated) AS negated, count(*) FILTER (llm AND dep) AS bo
     "noun_phrases": r"""WITH m AS (SELECT doc_id, regexp_replace(translate(text, '<>', '..'), '(\p{L}+(?:[''’-]\p{L}+)*|[0-9]+(?:[.,][0-9]+)*)', '<\1>', 'g') AS t FROM documents),
 c AS (SELECT doc_id, regexp_extract_all(t, '(?:<[aA][^>]*>[ \t]+)?((?:<[^aAsStT>][^>]*>[ \t]+)*<[^aAeEoOsStT0-9>][^>]*>)', 0) AS whole, regexp_extract_all(t, '(?:<[aA][^>]*>[ \t]+)?((?:<[^aAsStT>][^>]*>[ \t]+)*<[^aAeEoOsStT0-9>][^>]*>)', 1) AS bare FROM m)
 SELECT doc_id, len(whole) AS n, len(translate(array_to_string(whole, ''), '<>', '')) AS chars, md5(translate(array_to_string(bare, '|'), '<>', '')) AS md5 FROM c WHERE len(whole) > 0""",
+    "svo_triples": rf"""WITH s AS (SELECT unnest({_SENT}) AS x FROM documents), w AS (SELECT x, string_split_regex(regexp_replace(x, '[.!?]+$', ''), '\s+') AS w FROM s),
+p AS (SELECT x, w, list_position(list_transform(w, lambda v: lower(v) IN ('is', 'was', 'are', 'had')), true) AS p FROM w),
+t AS (SELECT lower(w[p]) AS predicate, regexp_matches(x, '(?i)\b(not|never|no)\b') AS negated, array_to_string([v for v in w[1:p - 1] if lower(v) NOT IN ('not', 'never', 'no', 'does', 'did')], ' ') AS a, array_to_string([v for v in w[p + 1:] if lower(v) NOT IN ('not', 'never', 'no', 'does', 'did')], ' ') AS b FROM p WHERE p > 1)
+SELECT predicate, negated, count(*) AS n, sum(len(a))::BIGINT AS subject_chars, sum(len(b))::BIGINT AS object_chars FROM t WHERE b <> '' GROUP BY 1, 2""",
 }

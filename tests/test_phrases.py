@@ -45,3 +45,12 @@ def test_concepts_and_mentions_take_phrases(spark, lexicon):
     sents = spark.createDataFrame([(1, 0, "the big dog sees Red Crew in 2 km")], "doc_id bigint, sentence_index int, text string")
     got = rows(surface.surface_mentions(sents, lexicon), "surface_form", "mention_type", "source")
     assert got == [("2 km", "value", "ner"), ("Red Crew", "entity", "ner"), ("the big dog", "entity", "noun_chunk")]
+
+
+@pytest.mark.parametrize("most", [5_000, 0])
+def test_triples_with_few_and_many_verbs(spark, monkeypatch, most):
+    monkeypatch.setattr(surface, "VERBS", most)
+    sents = spark.createDataFrame([(1, 0, "The pump Feeds the tank."), (1, 1, "runs it feeds"), (1, 2, "The pump does not feeds or runs tanks!"), (2, 0, None), (2, 1, ""), (3, 0, "it runs")], "doc_id long, sentence_index int, text string")
+    verbs = spark.createDataFrame([("feeds",), ("runs",), (None,), ("runs",)], "verb string")
+    got = rows(surface.surface_triples(sents, verbs), "doc_id", "sentence_index", "subject", "predicate", "object", "negated")
+    assert got == [(1, 0, "The pump", "feeds", "the tank", False), (1, 2, "The pump", "feeds", "or runs tanks", True)]
