@@ -206,20 +206,20 @@ def resolved_terms(docs: DataFrame, terms: DataFrame, most: int = 50) -> DataFra
 def dedup_mentions(raws: DataFrame) -> DataFrame:
     """Group (kind, text, source, doc_id, start, end) by lemma key; the canonical form is the most frequent, then longest, then first by name.
 
-    The key of each form is made and numbered once and meets the places in a join, broadcast if the forms are counted to be few; places are then dealt by
-    document as plain numbers and counted once."""
+    Forms are counted first, with partial sums, and the key of each is made once. A place meets the number of its form's key in a join, broadcast if
+    the forms are counted to be few; places are then dealt by document as plain numbers and counted once."""
     use_checkpoints(raws.sparkSession)
-    forms = raws.groupBy("kind", "text", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("key", dedup_key(F.col("text"))).filter("key <> ''").checkpoint()
-    ids = forms.select("kind", "key").distinct().withColumn("_id", F.monotonically_increasing_id()).checkpoint()
-    by_form = forms.groupBy("kind", "key", "text").agg(F.sum("n").alias("n"), F.collect_set("source").alias("s"))
-    merged = by_form.groupBy("kind", "key").agg(
-        F.min_by("text", F.struct(-F.col("n"), -F.length("text"), "text")).alias("canonical"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"), F.array_sort(F.collect_set("text")).alias("variants")
-    )
-    coded = small(forms.select("kind", "text", "key").distinct().join(ids, ["kind", "key"]).select("kind", "text", "_id").checkpoint())
+    by_source = raws.groupBy("kind", "text", "source").agg(F.count(F.lit(1)).alias("n"))  # plain counts first: sets of all rows would be sorted
+    forms = by_source.groupBy("kind", "text").agg(F.sum("n").alias("n"), F.collect_list("source").alias("s")).repartition("kind", "text")
+    forms = forms.select("*", dedup_key(F.col("text")).alias("key")).checkpoint().filter("key <> ''")
+    merged = forms.groupBy("kind", "key").agg(
+        F.min_by("text", F.struct(-F.col("n"), -F.length("text"), "text")).alias("canonical"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"), F.array_sort(F.collect_list("text")).alias("variants")
+    ).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    coded = small(forms.select("kind", "text", "key").join(merged.select("kind", "key", "_id"), ["kind", "key"]).select("kind", "text", "_id").checkpoint())
     dealt = raws.filter("start is not null").join(coded, ["kind", "text"]).select("_id", "doc_id", "start", "end").repartition("doc_id").distinct()  # the distinct keeps this partitioning
-    places = dealt.groupBy("_id").agg(F.count(F.lit(1)).alias("_places")).join(ids, "_id").drop("_id")
+    places = dealt.groupBy("_id").agg(F.count(F.lit(1)).alias("_places"))
     found = F.coalesce("_places", F.lit(0))
-    return merged.join(places, ["kind", "key"], "left").select(
+    return merged.join(places, "_id", "left").select(
         "kind", "key", "canonical", "sources", "variants", F.greatest(found, F.lit(1)).alias("mention_count"), (found > 0).alias("literal_span"), (F.col("sources") == F.array(F.lit("llm"))).alias("llm_only")
     )
 
