@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from graphloom.operators import context, graph, ontology, verify
+from graphloom.operators import coded, context, graph, ontology, verify
 from graphloom.sources import bindings
 from graphloom.sources.bindings import kg_triples, node, ontology_triples, table
+from graphloom.storage import shared_base
 
 KG = """kg AS (
  SELECT 'Order_' || o_orderkey AS s, 'placedBy' AS p, 'Customer_' || o_custkey AS o, 'iri' AS k FROM orders UNION ALL
@@ -29,6 +32,30 @@ def context_graph_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.context_graph(context.entity_edges(t, unique=False), context.node_types(t), ages, focal, ["Supplier", "Part"], 3, 30)
 
 
+def _kept_graph(spark: SparkSession, sf_dir: str) -> coded.CodedGraph:
+    return coded.store_graph(kg_triples(spark, sf_dir), f"{shared_base(spark)}/graph-{uuid4().hex}")
+
+
+def kept_graph_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from a stored graph of coded triples, one call a customer: the triples are read once, for both."""
+    kept = _kept_graph(spark, sf_dir)
+    ages = kept.terms.filter("1 = 0").select(F.col("term").alias("node"), F.lit(0.0).alias("age_min"))
+    call = lambda name: coded.coded_context_graph(kept, ages, spark.createDataFrame([(name,)], "focal string"), ["Supplier", "Part"], 3, 30)
+    return call("Customer_1").unionByName(call("Customer_2"))
+
+
+def kept_graph_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From one stored graph: how many suppliers are within three hops of customer 1, and the nodes and ends of the path from an order to a region."""
+    kept = _kept_graph(spark, sf_dir)
+    near = coded.coded_neighborhood(kept, spark.createDataFrame([("Customer_1",)], "id string"), 3, "Supplier")
+    stated = kept.edges.filter("way = 'out' and rel in ('placedBy', 'partOf')")
+    ends = stated.agg(F.min(F.when(F.col("rel") == "placedBy", F.col("src"))).alias("a"), F.max(F.when(F.col("rel") == "partOf", F.col("dst"))).alias("b"))
+    ends = coded.named(kept, ends, ["a", "b"]).first()
+    path = coded.coded_path(kept, ends["a"], ends["b"])
+    counted = near.agg(F.lit("near").alias("call"), F.count(F.lit(1)).alias("n"), F.min("node").alias("first"), F.max("node").alias("last"))
+    return counted.unionByName(path.select(F.lit("path").alias("call"), F.size("path").cast("long").alias("n"), F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("last")))
+
+
 def kg_pattern_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders by nation of their customer and status: a pattern with an aggregate."""
     t = context.union_graph(kg_triples(spark, sf_dir))
@@ -205,7 +232,7 @@ def verify_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     context_graph_customer, kg_pattern_count, kg_statistics, geo_radius, ask_gate_dispatch, turn_evolution, stale_evict, closure_places, depth_and_lca, cycles_broken, cycles_removed, citing_all, bridging_topics,
-    edge_check, shortest_route, neighborhood_suppliers, component_sizes, ontology_summary, property_usage, verify_stateless, verify_cardinality, verify_admission,
+    kept_graph_contexts, kept_graph_walks, edge_check, shortest_route, neighborhood_suppliers, component_sizes, ontology_summary, property_usage, verify_stateless, verify_cardinality, verify_admission,
 )}
 
 _M = """m AS (
@@ -268,3 +295,7 @@ SELECT pr.*, count(*) AS n FROM pr JOIN kg ON p = iri GROUP BY ALL""",
     "verify_admission": f"""WITH {_M}, d AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY s, p, reason IS NULL ORDER BY CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END, k % 10, seq) > 1 THEN 'cardinality_violation' ELSE reason END AS why FROM c)
 SELECT p AS predicate_iri, CASE WHEN why IS NOT NULL THEN 'rejected' WHEN repaired THEN 'repaired' ELSE 'admit' END AS verdict, why AS reason, count(*) AS n FROM d GROUP BY ALL""",
 }
+
+ORACLE_SQL["kept_graph_contexts"] = ORACLE_SQL["context_graph_customer"]
+ORACLE_SQL["kept_graph_walks"] = f"""SELECT 'near' AS call, count(*) AS n, min(node) AS first, max(node) AS last FROM ({ORACLE_SQL["neighborhood_suppliers"]})
+UNION ALL SELECT 'path', nodes::BIGINT, source, target FROM ({ORACLE_SQL["shortest_route"]})"""
