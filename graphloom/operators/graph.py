@@ -230,7 +230,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def hops_from(edges: DataFrame, starts: DataFrame, k: int) -> DataFrame:
     """(focal, node, hop) within ``k`` steps over undirected ``edges``; ``starts`` has a column focal."""
     use_checkpoints(edges.sparkSession)
-    step = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).checkpoint()  # rounds end in a distinct
+    ways = F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    step = edges.select(F.inline(ways)).checkpoint()  # the edges are read once; rounds end in a distinct
     seen = starts.select("focal", F.col("focal").alias("node")).distinct().withColumn("hop", F.lit(0)).checkpoint()
     frontier = seen
     for hop in range(1, k + 1):
