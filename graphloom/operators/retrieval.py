@@ -12,12 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.functions.text import edge_order, search_row, sliding_chunks, year_matches
-from graphloom.operators.blocks import BLOCK_ROWS, MOST_PARTITIONS, TILE_ROWS, Best, Runner, matrix, meet, streamed
+from graphloom.operators.blocks import MOST_PARTITIONS, TILE_ROWS, Best, Runner, matrix, meet, streamed
 from graphloom.operators.graph import neighborhood
 from graphloom.sources.io import append_vectors, read_vectors
 
 #: Rows whose scores with all centres a task holds at once.
 TILE = 1024
+#: Queries in a block: every block meets all vectors, so these are shuffled once for as many queries.
+BLOCK_ROWS = 65_536
+#: Scores that a task holds at once: those of a slice of its block with one tile.
+SCORES = 2**20
 
 
 def hashed_terms(docs: DataFrame, dims: int = 256) -> DataFrame:
@@ -45,18 +49,25 @@ def unit_rows(column: pa.Array) -> np.ndarray:
 
 
 def _best_of(k: int, digits: int, kinds: tuple[str, str]) -> tuple[Runner, str]:
-    """What a task does with a block of queries (query_id, _q) and tiles of vectors (seq, id, _v): the ``k`` best of each query."""
+    """What a task does with a block of queries (query_id, _q) and tiles of vectors (seq, id, _v): the ``k`` best of each query.
+
+    Only a slice of their scores is held at once, and only those that can be among the best are rounded; so a task's memory hangs on neither table."""
+    slack = 10.0**-digits  # what rounding may lift
 
     def run(block: pa.Table, tiles: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
         q, asked = unit_rows(block["_q"]), block["query_id"].combine_chunks()
         best, ids = Best(len(q), k), None
         for tile in tiles:
             v, seq = unit_rows(tile["_v"]), tile["seq"].to_numpy()
-            score = np.round(q @ v.T, digits)
-            at, row = np.nonzero(score >= best.edge[:, None])
             given = tile["id"].combine_chunks()
-            known = 0 if ids is None else len(ids)
-            best.offer(at, score[at, row], seq[row], row + known)
+            known, step = 0 if ids is None else len(ids), max(1, SCORES // max(1, len(v)))
+            for lo in range(0, len(q), step):
+                raw = q[lo : lo + step] @ v.T
+                edge = best.edge[lo : lo + step]
+                if len(v) > k and not np.isfinite(edge).all():
+                    edge = np.maximum(edge, np.partition(np.where(np.isnan(raw), -np.inf, raw), -k, axis=1)[:, -k])
+                at, row = np.nonzero(raw >= edge[:, None] - slack)
+                best.offer(at + lo, np.round(raw[at, row], digits), seq[row], row + known)
             ids = (given if ids is None else pa.concat_arrays([ids, given])).take(pa.array(best.handles()[-1]))
         if ids is not None and len(ids):
             at, score, seq, _ = best.rows()
@@ -67,8 +78,9 @@ def _best_of(k: int, digits: int, kinds: tuple[str, str]) -> tuple[Runner, str]:
 
 def _sides(queries: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame, tuple[str, str]]:
     kinds = queries.schema["query_id"].dataType.simpleString(), vectors.schema["id"].dataType.simpleString()
-    asked = queries.filter("vec is not null").select("query_id", F.col("vec").cast("array<double>").alias("_q"))
-    return asked, vectors.filter("vec is not null").select(F.col("seq").cast("long").alias("seq"), "id", F.col("vec").cast("array<double>").alias("_v")), kinds
+    numbers = lambda df: F.col("vec") if df.schema["vec"].dataType == T.ArrayType(T.FloatType(), df.schema["vec"].dataType.containsNull) else F.col("vec").cast("array<double>")
+    asked = queries.filter("vec is not null").select("query_id", numbers(queries).alias("_q"))
+    return asked, vectors.filter("vec is not null").select(F.col("seq").cast("long").alias("seq"), "id", numbers(vectors).alias("_v")), kinds
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS, digits: int = 6) -> DataFrame:

@@ -344,3 +344,29 @@ def test_corpora_and_traces(spark, tmp_path):
     span = '{"name": "x", "start": %s, "end": 9.0, "tokens": 3}'
     (tmp_path / "runs/a.json").write_text('{"run_id": "a", "goal": "g", "spans": [%s, %s]}' % (span % 1.0, span % 5.0))
     assert io.read_runs(spark, f"{tmp_path}/runs", "g", 2.0).count() == 1 and io.read_runs(spark, f"{tmp_path}/runs", "other").count() == 0
+
+
+def test_a_search_task_holds_a_slice_of_its_scores():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    v = np.round(rng.normal(size=(12_000, 4)), 1)
+    v[::1000] = v[1]
+    table_of = lambda rows, **more: pa.table({**more, "_v": pa.array(v[rows].tolist(), pa.list_(pa.float32()))})
+    tiles = [table_of(slice(lo, lo + 4000), seq=np.arange(lo, lo + 4000), id=np.arange(lo, lo + 4000)) for lo in (0, 4000, 8000)]
+    block = table_of(slice(0, 4000), query_id=np.arange(4000)).rename_columns(["query_id", "_q"])
+    run, _ = retrieval._best_of(5, 6, ("bigint", "bigint"))
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(run(block, iter(tiles)))).to_pandas()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    u = np.asarray(v, np.float32).astype(float)
+    norm = np.linalg.norm(u, axis=1)
+    u = u / np.where(norm > 0, norm, 1)[:, None]
+    for i in (0, 1, 1000, 2477, 3999):
+        s = np.round(u @ u[i], 6)
+        best = found[found["query_id"] == i].sort_values(["score", "seq"], ascending=[False, True])["id"].tolist()
+        assert best[:5] == sorted(range(len(u)), key=lambda j: (-s[j], j))[:5]  # noqa: B023
