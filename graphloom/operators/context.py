@@ -49,11 +49,17 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH_M * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def within_radius(centres: DataFrame, points: DataFrame, metres: float, kind: str | None = None) -> DataFrame:
-    """(centre, point, metres, rank) strictly nearer than ``metres``, rank 1 the nearest; with ``kind`` only points of that ``type``.
+#: Tasks of the join that gives each spot its points, and parts that the points of one spot are dealt to.
+SPOT_TASKS, SPOT_PARTS = 128, 16
+
+
+def within_radius(centres: DataFrame, points: DataFrame, metres: float, kind: str | None = None, digits: int | None = None) -> DataFrame:
+    """(centre, point, metres, rank) strictly nearer than ``metres``, rank 1 the nearest; with ``kind`` only points of that ``type``, with ``digits``
+    also ``rounded``, the metres rounded.
 
     Bands of latitude are cut into cells as wide as the radius at their edge farther from the equator, counted around the globe; a centre
-    meets the cells beside its own in three bands. So the join is on equal cells, also across the 180th meridian and at the poles."""
+    meets the cells beside its own in three bands. So the join is on equal cells, also across the 180th meridian and at the poles. Cells join
+    the distinct spots of both sides, so a distance is worked out once for all that share two spots; ids come back on equal spots, those of a spot dealt to parts, in a fixed number of tasks."""
     arc = metres / EARTH_M
     cell = degrees(arc) * 1.001
     far = lambda y: F.least(F.greatest(F.abs(y * cell), F.abs((y + 1) * cell)) + cell, F.lit(90.0))
@@ -61,12 +67,20 @@ def within_radius(centres: DataFrame, points: DataFrame, metres: float, kind: st
     cells = lambda y: F.when(wide(y) >= 90, 1).otherwise(F.floor(360 / wide(y))).cast("long")
     column = lambda y, lon: F.pmod(F.floor((lon + 180) / 360 * cells(y)).cast("long"), cells(y))
     band = F.floor(F.col("lat") / cell).cast("long")
-    near = centres.select(F.col("id").alias("centre"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.array(*[band + i for i in (-1, 0, 1)])).alias("_y"))
+    given = points if kind is None else points.filter(F.col("type") == kind)
+    near = centres.select("lat", "lon").distinct().select(F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.array(*[band + i for i in (-1, 0, 1)])).alias("_y"))
     beside = F.array_distinct(F.array(*[F.pmod(column(F.col("_y"), F.col("_lon")) + i, cells(F.col("_y"))) for i in (-1, 0, 1)]))
-    near = near.select("centre", "_lat", "_lon", "_y", F.explode(beside).alias("_x"))
-    placed = (points if kind is None else points.filter(F.col("type") == kind)).withColumn("_y", band).withColumn("_x", column(F.col("_y"), F.col("lon")))
-    pairs = placed.join(near, ["_y", "_x"]).select("centre", F.col("id").alias("point"), haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")).alias("metres"))
-    return pairs.filter(F.col("metres") < metres).withColumn("rank", F.row_number().over(W.partitionBy("centre").orderBy("metres", "point")))
+    near = near.select("_lat", "_lon", "_y", F.explode(beside).alias("_x"))
+    placed = given.select("lat", "lon").distinct().withColumn("_y", band).withColumn("_x", column(F.col("_y"), F.col("lon")))
+    spots = placed.join(near, ["_y", "_x"]).select("_lat", "_lon", "lat", "lon", haversine(F.col("_lat"), F.col("_lon"), F.col("lat"), F.col("lon")).alias("metres")).filter(F.col("metres") < metres)
+    shown = [] if digits is None else ["rounded"]
+    spots = spots if digits is None else spots.withColumn("rounded", F.round("metres", digits))
+    part = F.pmod(F.xxhash64("id"), F.lit(SPOT_PARTS)).cast("int")
+    held = given.select(F.col("id").alias("point"), "lat", "lon", part.alias("_part")).repartition(SPOT_TASKS, "lat", "lon", "_part")
+    around = centres.select(F.col("id").alias("centre"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon")).join(spots, ["_lat", "_lon"])
+    around = around.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SPOT_PARTS - 1)))).repartition(SPOT_TASKS, "lat", "lon", "_part")
+    pairs = held.join(around, ["lat", "lon", "_part"]).select("centre", "point", "metres", *shown)
+    return pairs.withColumn("rank", F.row_number().over(W.partitionBy("centre").orderBy("metres", "point")))
 
 
 def ask_gate(requests: DataFrame, active: DataFrame, available: DataFrame) -> DataFrame:

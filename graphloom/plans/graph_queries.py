@@ -73,8 +73,8 @@ def _places(df: DataFrame, key: str, kind: str) -> DataFrame:
 
 def geo_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers within 400 m of each supplier."""
-    near = context.within_radius(_places(table(spark, sf_dir, "supplier"), "s_suppkey", "Supplier"), _places(table(spark, sf_dir, "customer"), "c_custkey", "Customer"), 400.0)
-    return near.select("centre", "point", F.round("metres", 3).alias("metres"))
+    near = context.within_radius(_places(table(spark, sf_dir, "supplier"), "s_suppkey", "Supplier"), _places(table(spark, sf_dir, "customer"), "c_custkey", "Customer"), 400.0, digits=3)
+    return near.select("centre", "point", F.col("rounded").alias("metres"))
 
 
 def ask_gate_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,3 +370,13 @@ def test_a_search_task_holds_a_slice_of_its_scores():
         s = np.round(u @ u[i], 6)
         best = found[found["query_id"] == i].sort_values(["score", "seq"], ascending=[False, True])["id"].tolist()
         assert best[:5] == sorted(range(len(u)), key=lambda j: (-s[j], j))[:5]  # noqa: B023
+
+
+def test_points_of_one_spot_are_dealt_to_tasks(spark):
+    centres = table(spark, "id string, lat double, lon double", ("a", 40.0, -74.0), ("b", 40.0, -74.0), ("c", 40.002, -74.0), ("far", 41.0, -74.0))
+    points = spark.range(200).select(F.col("id").cast("string").alias("id"), F.lit(40.0).alias("lat"), F.lit(-74.0).alias("lon"))
+    near = context.within_radius(centres, points, 400.0, digits=1)
+    found = near.select("centre", "point", "rounded").collect()
+    assert sorted((r["centre"], r["point"], r["rounded"]) for r in found) == sorted((c, str(i), m) for c, m in (("a", 0.0), ("b", 0.0), ("c", 222.4)) for i in range(200))
+    assert near.select("point", "centre").select(F.spark_partition_id().alias("t")).distinct().count() > 4
+    assert sorted(r["rank"] for r in near.filter("centre = 'c'").collect()) == list(range(1, 201))
