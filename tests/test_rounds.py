@@ -120,3 +120,20 @@ def test_one_run_is_audited_in_many_tasks(spark):
     got = traces.budget_audit(spans, 15_000)
     assert got.agg(F.count_if("blocked"), F.count_if(F.col("spent") != F.col("seq"))).first()[:] == (5000, 0)
     assert "windowspecdefinition(run_id" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_predicates_do_not_bring_all_rows_together(spark):
+    from graphloom.operators import verify
+
+    ranked = spark.range(60).select(
+        F.col("id").alias("seq"), (F.col("id") % 20).cast("string").alias("subject_iri"), F.when(F.col("id") % 3 == 0, "p").otherwise("q").alias("predicate_iri"), F.struct(F.col("id").alias("seq")).alias("rank")
+    )
+    limits = spark.createDataFrame([("p", 1)], "predicate_iri string, max_cardinality int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = verify.cardinality(ranked, limits)
+        assert "hashpartitioning(predicate_iri" not in done._jdf.queryExecution().toString()
+        assert done.filter("reason is not null").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
