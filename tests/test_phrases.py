@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from graphloom.operators import phrases, surface
 
 LEXICON = [("the", "D"), ("a", "D"), ("every", "D"), ("big", "A"), ("red", "A"), ("runs", "V"), ("sees", "V"), ("it", "R"), ("of", "P"), ("in", "P"), ("very", "X"), (None, "N"), ("odd", None), ("fast", "X"), ("fast", "A")]
@@ -54,3 +56,13 @@ def test_triples_with_few_and_many_verbs(spark, monkeypatch, most):
     verbs = spark.createDataFrame([("feeds",), ("runs",), (None,), ("runs",)], "verb string")
     got = rows(surface.surface_triples(sents, verbs), "doc_id", "sentence_index", "subject", "predicate", "object", "negated")
     assert got == [(1, 0, "The pump", "feeds", "the tank", False), (1, 2, "The pump", "feeds", "or runs tanks", True)]
+
+
+def test_common_words_do_not_meet_the_lexicon(spark, lexicon):
+    texts = [(i, "the red dog of tree" + chr(97 + i % 20) * (1 + i // 20)) for i in range(40)] + [(i, "big dog") for i in range(40)] + [(90, "odd fast 3"), (91, "odd fast 3"), (92, None)]
+    d = spark.createDataFrame(texts, "doc_id long, text string").filter("text <> ''")
+    known = lexicon.filter("word is not null and class is not null").groupBy("word").agg(F.min("class").alias("class"))
+    assert rows(phrases._common(d, known, 5), "word", "class") == sorted([("the", "D"), ("red", "A"), ("dog", None), ("of", "P"), ("big", "A")], key=repr)
+    assert rows(phrases._common(d, known, 4), "word") == [("dog",)]  # words as common as each other go or stay together
+    near, far = (rows(phrases.noun_phrases(d, lexicon, ["doc_id"], lexicon_words=n), "doc_id", "start", "bare_start", "end", "text") for n in (500_000, 5))
+    assert near == far and len(near) == 122
