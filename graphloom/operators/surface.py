@@ -203,23 +203,36 @@ def resolved_terms(docs: DataFrame, terms: DataFrame, most: int = 50) -> DataFra
     return terms.select("term").distinct().join(find_phrases(docs, terms, most), "term", "left").select("doc_id", "term", "start", "end")
 
 
-def dedup_mentions(raws: DataFrame) -> DataFrame:
+def dedup_mentions(raws: DataFrame, repeated: DataFrame | None = None) -> DataFrame:
     """Group (kind, text, source, doc_id, start, end) by lemma key; the canonical form is the most frequent, then longest, then first by name.
 
-    Forms are counted first, with partial sums, and the key of each is made once. A place meets the number of its form's key in a join, broadcast if
-    the forms are counted to be few; places are then dealt by document as plain numbers and counted once."""
+    Forms are counted first, with partial sums, and the key of each is made once. ``repeated`` (doc_id, null too) names the documents that may
+    hold a place of a form more than once; the places of all others are counted with their forms and not dealt. Without it that is every document: a
+    place then meets the number of its form's key in a join, broadcast if the forms are counted to be few, and is dealt by document as plain numbers and counted once."""
     use_checkpoints(raws.sparkSession)
-    by_source = raws.groupBy("kind", "text", "source").agg(F.count(F.lit(1)).alias("n"))  # plain counts first: sets of all rows would be sorted
-    forms = by_source.groupBy("kind", "text").agg(F.sum("n").alias("n"), F.collect_list("source").alias("s")).repartition("kind", "text")
+    dealt, once = raws, F.lit(0)
+    if repeated is not None:
+        again = repeated.select(F.col("doc_id").alias("_d")).distinct().checkpoint()
+        dealt, once = None, F.count("start")
+        if not again.isEmpty():
+            dealt = raws.join(small(again), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+            raws = raws.join(small(again.withColumn("_again", F.lit(True))), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+            once = F.count(F.when(F.col("_again").isNull(), F.col("start")))
+    by_source = raws.groupBy("kind", "text", "source").agg(F.count(F.lit(1)).alias("n"), once.cast("long").alias("once"))  # plain counts first: sets of all rows would be sorted
+    forms = by_source.groupBy("kind", "text").agg(F.sum("n").alias("n"), F.sum("once").alias("once"), F.collect_list("source").alias("s")).repartition("kind", "text")
     forms = forms.select("*", dedup_key(F.col("text")).alias("key")).checkpoint().filter("key <> ''")
     merged = forms.groupBy("kind", "key").agg(
-        F.min_by("text", F.struct(-F.col("n"), -F.length("text"), "text")).alias("canonical"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"), F.array_sort(F.collect_list("text")).alias("variants")
-    ).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
-    coded = small(forms.select("kind", "text", "key").join(merged.select("kind", "key", "_id"), ["kind", "key"]).select("kind", "text", "_id").checkpoint())
-    dealt = raws.filter("start is not null").join(coded, ["kind", "text"]).select("_id", "doc_id", "start", "end").repartition("doc_id").distinct()  # the distinct keeps this partitioning
-    places = dealt.groupBy("_id").agg(F.count(F.lit(1)).alias("_places"))
-    found = F.coalesce("_places", F.lit(0))
-    return merged.join(places, "_id", "left").select(
+        F.min_by("text", F.struct(-F.col("n"), -F.length("text"), "text")).alias("canonical"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"), F.array_sort(F.collect_list("text")).alias("variants"),
+        F.sum("once").alias("_once"),
+    )
+    found = F.col("_once")
+    if dealt is not None:
+        merged = merged.withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+        coded = small(forms.select("kind", "text", "key").join(merged.select("kind", "key", "_id"), ["kind", "key"]).select("kind", "text", "_id").checkpoint())
+        dealt = dealt.filter("start is not null").join(coded, ["kind", "text"]).select("_id", "doc_id", "start", "end").repartition("doc_id").distinct()  # the distinct keeps this partitioning
+        merged = merged.join(dealt.groupBy("_id").agg(F.count(F.lit(1)).alias("_places")), "_id", "left")
+        found = found + F.coalesce("_places", F.lit(0))
+    return merged.select(
         "kind", "key", "canonical", "sources", "variants", F.greatest(found, F.lit(1)).alias("mention_count"), (found > 0).alias("literal_span"), (F.col("sources") == F.array(F.lit("llm"))).alias("llm_only")
     )
 

@@ -290,3 +290,14 @@ def test_edges_of_long_and_knotted_cycles(spark):
     edges = spark.createDataFrame(sorted(ring | knot | other) + [(7, 7)], "src int, dst int")
     got = graph.cyclic_edges(edges).collect()
     assert len(got) == len(ring | knot) + 1 and {tuple(r) for r in got} == ring | knot | {(7, 7)}
+
+
+def test_places_of_single_documents_are_counted_with_their_forms(spark):
+    raws = [("c", w, s, d, i, i + 1) for s, d, t in [("a", 1, "Dogs dog cat"), ("b", 2, "dog Cats x x"), ("b", 2, "dog Cats y"), ("a", None, "cat dog"), ("c", None, "cat owl"), ("llm", 3, "owl")] for i, w in enumerate(t.split())]
+    raws = spark.createDataFrame(raws + [("c", "elk", "llm", None, None, None), ("c", "owls", "llm", None, None, None)], "kind string, text string, source string, doc_id long, start int, end int")
+    again = spark.createDataFrame([(2,), (None,), (None,)], "doc_id long")
+    names = ("key", "canonical", "sources", "variants", "mention_count", "literal_span", "llm_only")
+    every, some = surface.dedup_mentions(raws), surface.dedup_mentions(raws, again)
+    assert rows(every, *names) == rows(some, *names) and {r["key"]: r["mention_count"] for r in some.collect()} == {"dog": 4, "cat": 3, "x": 2, "y": 1, "owl": 2, "elk": 1}
+    single = surface.dedup_mentions(raws.filter("doc_id in (1, 3) or start is null"), again.limit(0))
+    assert {r["key"]: r["mention_count"] for r in single.collect()} == {"dog": 2, "cat": 1, "owl": 1, "elk": 1}
