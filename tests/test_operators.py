@@ -301,3 +301,22 @@ def test_places_of_single_documents_are_counted_with_their_forms(spark):
     assert rows(every, *names) == rows(some, *names) and {r["key"]: r["mention_count"] for r in some.collect()} == {"dog": 4, "cat": 3, "x": 2, "y": 1, "owl": 2, "elk": 1}
     single = surface.dedup_mentions(raws.filter("doc_id in (1, 3) or start is null"), again.limit(0))
     assert {r["key"]: r["mention_count"] for r in single.collect()} == {"dog": 2, "cat": 1, "owl": 1, "elk": 1}
+
+
+def test_grading_reads_the_spans_twice(spark, tmp_path):
+    row = "struct<run_id:long,seq:long,name:string,status:string,input:string,output:string>"
+    given = [
+        (1, 1, "tool:search_papers", "ok", None, '{"papers": [{"id": "a"}, {"id": "b"}]}'), (1, 2, "tool:save_file", "ok", '{"filename": "n.md", "content": "[S2:a] [S2:b] [S2:a]"}', None),
+        (2, 1, "tool:save_file", "ok", '{"filename": "n.md", "content": "[S2:a]"}', None), (None, 1, "tool:save_file", "ok", '{"filename": "n.md", "content": "x"}', None), (4, 1, "tool:search_papers", "ok", None, '{"hits": 0}'),
+        (4, 2, "tool:save_file", "ok", '{"filename": "n.md"}', None),
+    ]
+    spark.createDataFrame(given, row).write.parquet(f"{tmp_path}/spans")
+    spans = spark.read.parquet(f"{tmp_path}/spans")
+    runs = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,), (4,)], "run_id long")
+    gold = spark.createDataFrame([(1, "a"), (1, "c"), (1, "c"), (2, "a")], "run_id long, id string")
+    graded = traces.grade_runs(runs, spans, gold)
+    nothing, bold = "no file saved to output/", "improvised a section with zero sources"
+    assert rows(graded, "run_id", "reason") == sorted([(1, "missed required papers"), (2, "invented citation"), (3, nothing), (None, nothing), (4, bold)], key=repr)
+    assert graded._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
+    cases = spark.createDataFrame([("c", i, k) for i in (1, 2, 3, 4, 5) for k in ("full", "abstain")], "case string, run_id long, kind string")
+    assert rows(traces.replay_cases(cases, runs, spans).filter("passed"), "run_id") == [(1,), (1,), (3,), (5,)]
