@@ -34,13 +34,13 @@ def store_graph(triples: DataFrame, path: str) -> CodedGraph:
     Rows are dealt by ranges of all their columns, so a hot relation or node is spread over tasks and files. A triple with a null in it or
     an empty relation is left out; repeated triples are one; a node with several types has the first by name."""
     spark = triples.sparkSession
-    edges = entity_edges(triples).dropna().filter("rel <> ''")
+    edges = entity_edges(triples, unique=False).dropna().filter("rel <> ''")
     types = node_types(triples).dropna()
     names = edges.select(F.explode(F.array("src", "dst")).alias("term")).unionByName(types.select(F.col("node").alias("term"))).distinct()
     names.repartitionByRange("term").sortWithinPartitions("term").select("term", F.monotonically_increasing_id().alias("id")).write.parquet(f"{path}/terms")
     terms = spark.read.schema(SCHEMAS["terms"]).parquet(f"{path}/terms")
     side = lambda end: terms.select(F.col("term").alias(end), F.col("id").alias("_" + end))
-    coded = edges.join(side("src"), "src").join(side("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "rel")
+    coded = edges.join(side("src"), "src").join(side("dst"), "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), "rel").distinct()  # numbers are compared, and the ranges are sampled behind this exchange
     ways = F.array(F.struct("src", "dst", F.lit("out").alias("way")), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit("in").alias("way")))
     both = coded.select(F.explode(ways).alias("e"), "rel").select("e.*", "rel")
     both.repartitionByRange("way", "rel", "src", "dst").sortWithinPartitions("way", "rel", "src").write.partitionBy("way", "rel").parquet(f"{path}/edges")
@@ -89,9 +89,15 @@ def coded_hops(graph: CodedGraph, focal: DataFrame, k: int, relations: list[str]
 
 
 def named(graph: CodedGraph, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` with the terms of the numbers in ``columns``."""
+    """``rows`` with the terms of the numbers in ``columns``. Few numbers, counted, are a filter of the scan of the terms; more meet it as a broadcast, beyond that in a join."""
+    rows = rows.checkpoint()
+    ids = rows.select(F.explode(F.array(*columns)).alias("id")).filter("id is not null").distinct().checkpoint()
+    terms = graph.terms
+    if ids.limit(FILTER_IDS + 1).count() <= FILTER_IDS:
+        terms = terms.filter(F.col("id").isin([r["id"] for r in ids.collect()]))  # counted: a bounded list
+    terms = small(terms.join(small(ids), "id").checkpoint())
     for c in columns:
-        rows = rows.join(graph.terms.select(F.col("id").alias(c), F.col("term").alias("_term")), c).drop(c).withColumnRenamed("_term", c)
+        rows = rows.join(terms.select(F.col("id").alias(c), F.col("term").alias("_term")), c).drop(c).withColumnRenamed("_term", c)
     return rows
 
 
@@ -105,7 +111,7 @@ def coded_context_graph(graph: CodedGraph, ages: DataFrame, focal: DataFrame, go
     scored = scored.withColumn("relevance", F.round(relevance(F.col("hop"), F.col("type").isin(goal_types), F.coalesce("age_min", F.lit(0.0))), 9))
     order = W.partitionBy("focal").orderBy(F.desc(F.col("hop") == 0), F.desc("relevance"), "node")
     best = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= max_nodes).select("focal", "node", "type", "hop", "relevance", "rank")
-    return named(graph, best.checkpoint(), ["focal", "node"]).select("focal", "node", "type", "hop", "relevance", "rank")
+    return named(graph, best, ["focal", "node"]).select("focal", "node", "type", "hop", "relevance", "rank")
 
 
 def coded_neighborhood(graph: CodedGraph, seeds: DataFrame, hops: int, kind: str) -> DataFrame:
