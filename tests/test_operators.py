@@ -320,3 +320,10 @@ def test_grading_reads_the_spans_twice(spark, tmp_path):
     assert graded._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 2
     cases = spark.createDataFrame([("c", i, k) for i in (1, 2, 3, 4, 5) for k in ("full", "abstain")], "case string, run_id long, kind string")
     assert rows(traces.replay_cases(cases, runs, spans).filter("passed"), "run_id") == [(1,), (1,), (3,), (5,)]
+
+
+def test_term_places_reads_texts_once_for_places(spark):
+    from graphloom.plans.operator_queries import term_places
+
+    plan = term_places(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
