@@ -3,14 +3,16 @@
 A document's set holds the hashes of its distinct word shingles. Documents with equal sets are one
 *set* from then on. The join runs in four steps:
 
-1. *Shared shingles.* All shingles are dealt by hash to buckets (a few bytes each); a bucket tells
-   which of them two or more sets hold. A set can only have a link if at least ``threshold`` of its
-   shingles are shared, so all others leave here. Dealing uses shortened hashes: a clash can only keep
-   a set that might have left.
-2. *Clusters.* Two linked sets share one of the first ``1 - threshold`` of their shingles, in any order that
-   holds for all sets; here frequent shingles come last. Sets that share such a shingle are joined to the least of them, and the components of these
-   joins are the clusters: no link leaves a cluster.
-3. *Tiles.* A cluster is cut into bands of set size, and bands into blocks of bounded content; only
+1. *Shared shingles.* The shingles of one half of all hashes are dealt to buckets (a few bytes each); a bucket tells
+   which of them two or more sets hold. A set with a link lacks partners for at most ``1 - threshold`` of its
+   shingles, wherever these fall; a set for which the half alone shows more leaves here. Dealing uses shortened
+   hashes, and a set's place in its slice of texts stands for its id: a clash can only keep a set that might have left.
+2. *Clusters.* Let a set's *missing* number be ``1 - threshold`` of its shingles. Two linked sets share at least ``k`` of their
+   first *missing + k* shingles, in any order that holds for all sets; here frequent shingles come last, the most frequent
+   at the very end. Pairs of sets with enough rare shingles in common there are joined, and so are sets that share a
+   frequent one among their first *missing + 1*; the components of these joins are the clusters: no link leaves a cluster,
+   and a shingle that two texts share by chance ties nothing.
+3. *Tiles.* A small cluster is one tile. A larger one is cut into bands of set size, and bands into blocks of bounded content; only
    blocks of equal or neighbouring bands meet, each pair of blocks as one tile. In a tile, bit counts of
    hashed bitmaps bound every overlap from above, and pairs that may reach the threshold and are not yet
    connected are compared by intersecting their sorted arrays. A tile returns a spanning forest.
@@ -41,6 +43,8 @@ from graphloom.operators.graph import components, stars
 BITS = 1024
 #: Characters and shingles that a task works on at once: a few arrays of some MB.
 SLICE_CHARS, SLICE_SHINGLES = 300_000, 250_000
+#: Sets up to which all that share a rare shingle make pairs; more are joined to the least of them.
+PAIRED_SETS = 16
 #: Rows up to which a table of ids is broadcast; beyond that the join shuffles.
 BROADCAST_ROWS = 500_000
 
@@ -61,8 +65,13 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit("")))
 
 
-def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, row, set_id, n_shingles) of every row."""
+def dealt_half(hashes: np.ndarray, percent: int) -> np.ndarray:
+    """Which hashes are dealt: half of them, where the other half can hide no more than a linked set may lack; else all."""
+    return hashes >= 0 if percent >= 75 else np.ones(len(hashes), bool)
+
+
+def set_table(docs: DataFrame, n: int, id_col: str, text_col: str, percent: int = 75) -> DataFrame:
+    """(doc_id, row, set_id, n_shingles, n_dealt) of every row; n_dealt: those of its shingles that are dealt."""
     given = docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = given.schema["doc_id"].dataType.simpleString()
 
@@ -70,59 +79,77 @@ def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             texts = b.column(2).to_pylist()
             for lo, hi in text_slices(texts, SLICE_CHARS):
-                _, sizes, ids = text_sets(texts[lo:hi], n)
+                flat, sizes, ids = text_sets(texts[lo:hi], n)
+                dealt = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[dealt_half(flat, percent)], minlength=len(sizes))
                 here = [b.column(i).slice(lo, hi - lo) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*here, pa.array(ids), pa.array(sizes)], names=["doc_id", "row", "set_id", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([*here, pa.array(ids), pa.array(sizes), pa.array(dealt)], names=["doc_id", "row", "set_id", "n_shingles", "n_dealt"])
+
+    return given.mapInArrow(run, f"doc_id {kind}, row bigint, set_id bigint, n_shingles bigint, n_dealt bigint")
 
-    return given.mapInArrow(run, f"doc_id {kind}, row bigint, set_id bigint, n_shingles bigint")
 
+def dealt_shingles(docs: DataFrame, n: int, text_col: str, buckets: int, percent: int = 75) -> DataFrame:
+    """(bucket, slice, h, of): shortened hashes of a bucket, and whose they are, as steps from place to place in a slice of sets.
 
-def shared_counts(docs: DataFrame, n: int, text_col: str, buckets: int) -> DataFrame:
-    """(set_id, shared): how many shingles of the set another set also holds, for sets that have any."""
+    A slice has one more row, whose ``bucket`` its hash decides: ``of`` is null there and ``h`` holds the ids of its sets."""
     given = docs.select(F.coalesce(text_col, F.lit("")).alias("_t"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        hashes, owners, held = [], [], 0
+        hashes, owners, held = [], [], []
 
         def flush() -> pa.RecordBatch:
-            h, o = np.concatenate(hashes).view(np.uint64), np.concatenate(owners)
-            bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-            order = np.argsort(bucket.astype(np.uint32), kind="stable")
+            ids = np.concatenate(held)
+            h, o = np.concatenate(hashes).view(np.uint64), np.repeat(np.arange(len(ids)), np.concatenate(owners))
+            name = int((mixed(ids.view(np.uint64)) * (2 * np.arange(len(ids), dtype=np.uint64) + np.uint64(1))).sum(dtype=np.uint64) >> np.uint64(1))
+            bucket = (((h >> np.uint64(31)) & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
+            order = np.argsort(bucket.astype(np.uint32), kind="stable")  # stable: within a bucket, places in the slice still rise
             h, o, bucket = h[order].astype(np.uint32), o[order], bucket[order]
-            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-            rows = []
+            edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(h) else np.zeros(0, np.int64)
+            rows = [(name % buckets, ids.tobytes(), None)]
             for a, e in zip(edge, np.append(edge[1:], len(h)), strict=True):
-                ids, of = np.unique(o[a:e], return_inverse=True)
-                rows.append((int(bucket[a]), h[a:e].tobytes(), ids.tobytes(), of.astype(np.uint32 if len(ids) > 65535 else np.uint16).tobytes()))
-            hashes.clear()
-            owners.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["bucket", "h", "ids", "of"])
+                steps = np.diff(o[a:e], prepend=0)
+                rows.append((int(bucket[a]), h[a:e].tobytes(), steps.astype(np.uint8 if steps.max() < 256 else np.uint32).tobytes()))
+            for x in (hashes, owners, held):
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([name] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["bucket", "slice", "h", "of"])
 
+        total = 0
         for b in batches:
             texts = b.column(0).to_pylist()
             for lo, hi in text_slices(texts, SLICE_CHARS):
                 flat, sizes, ids = text_sets(texts[lo:hi], n)
                 fresh = np.array([s > 0 and i not in seen and not seen.add(i) for i, s in zip(ids.tolist(), sizes.tolist(), strict=True)], bool)
-                keep = np.repeat(fresh, sizes)
+                keep, owner = np.repeat(fresh, sizes) & dealt_half(flat, percent), np.repeat(np.arange(len(sizes)), sizes)
                 hashes.append(flat[keep])
-                owners.append(np.repeat(ids[fresh], sizes[fresh]))
-                held += int(keep.sum())
-                if held > SLICE_SHINGLES:
+                owners.append(np.bincount(owner[keep], minlength=len(sizes))[fresh])
+                held.append(ids[fresh])
+                total += int(keep.sum())
+                if total > 2 * SLICE_SHINGLES:
                     yield flush()
-                    held = 0
-        if held:
+                    total = 0
+        if total:
             yield flush()
 
+    return given.mapInArrow(deal, "bucket int, slice bigint, h binary, of binary")
+
+
+def shared_counts(docs: DataFrame, n: int, text_col: str, buckets: int, percent: int = 75) -> DataFrame:
+    """(set_id, shared): how many of the dealt shingles of the set another set also holds, for sets that have any.
+
+    Where rows of different tasks have equal sets, their shingles count as shared too."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        parts: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for b in batches:
-            for bucket, h, ids, of in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                ids, h = np.frombuffer(ids, np.int64), np.frombuffer(h, np.uint32)
-                parts.setdefault(bucket, []).append((h, ids[np.frombuffer(of, np.uint32 if len(ids) > 65535 else np.uint16)]))
+            for bucket, name, h, of in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if of is None:
+                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([name], pa.int64()), pa.array([h], pa.binary()), pa.array([None], pa.binary())], names=["goal", "slice", "at", "c"])
+                else:
+                    h = np.frombuffer(h, np.uint32)
+                    parts.setdefault(bucket, []).append((name, h, np.cumsum(np.frombuffer(of, np.uint8 if len(of) == len(h) else np.uint32), dtype=np.int64)))
         while parts:
             _, rows = parts.popitem()
-            h, o = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+            h, o = np.concatenate([r[1] for r in rows]), np.concatenate([(i << 32) + r[2] for i, r in enumerate(rows)])
             order = np.argsort(h, kind="stable")
             h, o = h[order], o[order]
             near = h[1:] == h[:-1]
@@ -133,28 +160,34 @@ def shared_counts(docs: DataFrame, n: int, text_col: str, buckets: int) -> DataF
             once = np.append(True, (h[1:] != h[:-1]) | (o[1:] != o[:-1])) if len(h) else np.zeros(0, bool)
             h, o = h[once], o[once]
             near = h[1:] == h[:-1]
-            ids, c = np.unique(o[np.append(near, False) | np.append(False, near)], return_counts=True) if len(h) else (o, o)
-            if len(ids):
-                goal = (mixed(ids.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(goal, kind="stable")
-                ids, c, goal = ids[order], c[order].astype(np.int64), goal[order]
-                edge = np.flatnonzero(np.append(True, goal[1:] != goal[:-1]))
-                ends = zip(edge, np.append(edge[1:], len(goal)), strict=True)
-                rows = [(int(goal[x]), ids[x:y].tobytes(), c[x:y].tobytes()) for x, y in ends]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2))], names=["goal", "ids", "c"])
+            found, c = np.unique(o[np.append(near, False) | np.append(False, near)], return_counts=True) if len(h) else (o, o)
+            if len(found):
+                part, at = found >> 32, (found & 0xFFFFFFFF).astype(np.uint32)
+                edge = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+                out = [(rows[part[x]][0], at[x:y], c[x:y]) for x, y in zip(edge, np.append(edge[1:], len(part)), strict=True)]
+                at = [x.astype(np.uint16) if x[-1] < 65536 else x for _, x, _ in out]
+                c = [x.astype(np.uint8 if x.max() < 256 else np.uint32) for _, _, x in out]
+                names = [r[0] for r in out]
+                yield pa.RecordBatch.from_arrays([pa.array([x % buckets for x in names], pa.int32()), pa.array(names, pa.int64()), pa.array([bytes([x.itemsize]) + x.tobytes() for x in at], pa.binary()), pa.array([bytes([x.itemsize]) + x.tobytes() for x in c], pa.binary())], names=["goal", "slice", "at", "c"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, c = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        kind = {1: np.uint8, 2: np.uint16, 4: np.uint32}
+        held: dict[int, np.ndarray] = {}
+        total: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
-            ids += [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
-            c += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-        found, of = np.unique(np.concatenate(ids), return_inverse=True)
-        total = np.bincount(of, np.concatenate(c), len(found)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total)], names=["set_id", "shared"])
+            for name, at, c in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if c is None:
+                    held[name] = np.frombuffer(at, np.int64)
+                else:
+                    total.setdefault(name, []).append((np.frombuffer(at, kind[at[0]], offset=1), np.frombuffer(c, kind[c[0]], offset=1)))
+        for name, rows in total.items():
+            ids = held[name]
+            c = np.bincount(np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows]), len(ids)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[c > 0]), pa.array(c[c > 0])], names=["set_id", "shared"])
 
-    dealt = given.mapInArrow(deal, "bucket int, h binary, ids binary, of binary").repartition(buckets, "bucket")
-    counted = dealt.mapInArrow(count, "goal int, ids binary, c binary").repartition(buckets, "goal")
-    return counted.mapInArrow(add, "set_id bigint, shared bigint")
+    dealt = dealt_shingles(docs, n, text_col, buckets, percent).repartition(buckets, "bucket")
+    counted = dealt.mapInArrow(count, "goal int, slice bigint, at binary, c binary").repartition(buckets, "goal")
+    return counted.mapInArrow(add, "set_id bigint, shared bigint").groupBy("set_id").agg(F.max("shared").alias("shared"))
 
 
 def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -208,38 +241,86 @@ def tile_links(left: list[np.ndarray], right: list[np.ndarray] | None, percent:
 
 
 def prefix_keys(sets: DataFrame, percent: int, common: int = 500_000) -> DataFrame:
-    """(set_id, key) of the lowest ``1 - percent`` shingles of each set, in an order that puts frequent shingles last.
+    """(set_id, n, key, often, need) of the first shingles of each set, in an order that puts frequent shingles last.
 
     Any order is exact. The ``common`` most frequent shingles, of those in more than 8 sets, go to the executors to
-    make up the order, so that a passage of many documents does not tie them into one cluster."""
+    make up the order, so that a passage of many documents does not tie them into one cluster. Two linked sets share one that is
+    ``often`` here, or at least ``need`` (the smaller of theirs) that are not."""
     top = sets.select(F.explode("hashes").alias("key")).groupBy("key").count().filter("count > 8").orderBy(F.desc("count"), "key").limit(common)
-    last = sets.sparkSession.sparkContext.broadcast(np.sort(top.select("key").toArrow()["key"].to_numpy()))
+    found = top.toArrow()["key"].to_numpy()
+    at = np.argsort(found)
+    last = sets.sparkSession.sparkContext.broadcast((found[at], (len(found) - at).astype(np.int32)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = last.value
+        often, place = last.value
         for b in batches:
             n = b.column(1).to_numpy()
             part = (np.cumsum(n) - n) // SLICE_SHINGLES
             for rows in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1):
                 sizes = n[rows]
                 flat = b.column(2).slice(rows[0], len(rows)).flatten().to_numpy() if len(rows) else np.zeros(0, np.int64)
-                late = np.zeros(len(flat), bool)
+                late = np.zeros(len(flat), np.int32)
                 if len(often):
-                    late = often[np.minimum(np.searchsorted(often, flat), len(often) - 1)] == flat
+                    near = np.minimum(np.searchsorted(often, flat), len(often) - 1)
+                    late = np.where(often[near] == flat, place[near], 0)
                 owner = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((late, owner))  # stable: hashes stay sorted within both halves
+                order = np.lexsort((late, owner))  # stable: hashes that are not frequent stay sorted
+                flat, late = flat[order], late[order] > 0
                 rank = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                keep = rank < (sizes - -(-sizes * percent // 100) + 1)[owner]
-                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[rows][owner[keep]]), pa.array(flat[order][keep])], names=["set_id", "key"])
+                least = -(-sizes * percent // 100)
+                missing, more = sizes - least, np.minimum(1 + sizes // 16, least)
+                first = rank < (missing + more)[owner]
+                need = np.maximum(more - np.bincount(owner[first & late], minlength=len(sizes)), 1)
+                keep = first & ~(late & (rank > missing[owner]))
+                of = owner[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(b.column(0).to_numpy()[rows][of]), pa.array(sizes[of]), pa.array(flat[keep]), pa.array(late[keep]), pa.array(need[of])], names=["set_id", "n", "key", "often", "need"])
+
+    return sets.select("set_id", "n", "hashes").mapInArrow(run, "set_id bigint, n bigint, key bigint, often boolean, need bigint")
+
 
-    return sets.select("set_id", "n", "hashes").mapInArrow(run, "set_id bigint, key bigint")
+def near_pairs(prefixes: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(a, b): pairs of sets that share enough rare shingles of a table :func:`prefix_keys`, and sizes that may link.
+
+    A shingle of more than ``PAIRED_SETS`` sets joins each of them to the least instead."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [tuple(c.to_numpy() for c in b.columns) for b in batches]
+        if not rows:
+            return
+        key, ids, n, need = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        order = np.lexsort((ids, key))
+        key, ids, n, need = key[order], ids[order], n[order], need[order]
+        edge = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(edge, len(key)))
+        start, size = np.repeat(edge, size), np.repeat(size, size)
+        wide = np.flatnonzero((size > PAIRED_SETS) & (start != np.arange(len(key))))
+        found = [np.stack([ids[start[wide]], ids[wide], np.zeros(len(wide), np.int64)])]
+        for step in range(1, PAIRED_SETS):
+            i = np.flatnonzero((key[step:] == key[:-step]) & (size[step:] <= PAIRED_SETS)) if len(key) > step else np.zeros(0, np.int64)
+            i = i[100 * np.minimum(n[i], n[i + step]) >= percent * np.maximum(n[i], n[i + step])]
+            found.append(np.stack([ids[i], ids[i + step], np.minimum(need[i], need[i + step])]))
+        a, b, need = np.concatenate(found, axis=1)
+        order = np.lexsort((need, b, a))
+        a, b, need = a[order], b[order], need[order]
+        edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.zeros(0, np.int64)
+        c = np.diff(np.append(edge, len(a)))
+        yield pa.RecordBatch.from_arrays([pa.array(a[edge]), pa.array(b[edge]), pa.array(need[edge]), pa.array(c)], names=["a", "b", "need", "c"])
+
+    rare = prefixes.filter("not often").select("key", "set_id", "n", "need").repartition(parts, "key")
+    pairs = rare.mapInArrow(run, "a bigint, b bigint, need bigint, c bigint")
+    return pairs.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("need").alias("need")).filter("c >= need").select("a", "b")
 
 
 def links(sets: DataFrame, scratch: Scratch, percent: int = 75, tile_shingles: int = 400_000, tile_sets: int = 4096) -> DataFrame:
     """Spanning links (a, b) between sets of a table (set_id, n, hashes: sorted array)."""
-    clusters = components(stars(scratch.stored(prefix_keys(sets, percent), "prefixes"), "key", "set_id"))
+    prefixes = scratch.stored(prefix_keys(sets, percent), "prefixes")
+    parts = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), prefixes.count() // 500_000 + 1)
+    clusters = scratch.stored(components(near_pairs(prefixes, percent, parts).unionByName(stars(prefixes.filter("often"), "key", "set_id"))), "clusters")
+    sized = sets.select("set_id", "n").join(clusters, F.col("set_id") == F.col("node")).select("set_id", "n", F.col("root").alias("cluster"))
+    small = sized.groupBy(F.col("cluster").alias("_of")).agg(((F.sum("n") <= tile_shingles) & (F.count("n") <= tile_sets)).alias("_small"))
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
-    placed = scratch.stored(sets.join(clusters, F.col("set_id") == F.col("node")).select("set_id", "n", "hashes", F.col("root").alias("cluster"), band.alias("band")), "placed")
+    placed = sized.join(small, F.col("cluster") == F.col("_of")).select("set_id", "n", "cluster", F.when(F.col("_small"), 0).otherwise(band).alias("band"))
+    placed = scratch.stored(placed, "placed")
     blocks = placed.groupBy("cluster", "band").agg(F.greatest(F.ceil(F.sum("n") / tile_shingles), F.ceil(F.count("n") / tile_sets)).cast("int").alias("blocks"))
     here = blocks.select(F.col("cluster").alias("_c"), F.col("band").alias("_b"), F.col("blocks").alias("_own"))
     above = blocks.select(F.col("cluster").alias("_c2"), (F.col("band") - 1).alias("_b2"), F.col("blocks").alias("_up"))
@@ -248,7 +329,11 @@ def links(sets: DataFrame, scratch: Scratch, percent: int = 75, tile_shingles: i
     sized = scratch.stored(sized.select("_c", "_b", "_own", F.coalesce("_up", F.lit(0)).alias("_up"), F.coalesce("_down", F.lit(0)).alias("_down")), "blocks")
     if sized.count() <= BROADCAST_ROWS:  # few rows: the sets of a large cluster then need not meet in one task
         sized = F.broadcast(sized)
-    rows = placed.join(sized, (F.col("cluster") == F.col("_c")) & (F.col("band") == F.col("_b")))
+    placed = placed.drop("n").join(sized, (F.col("cluster") == F.col("_c")) & (F.col("band") == F.col("_b")))
+    placed = scratch.stored(placed.drop("_c", "_b"), "dealt")
+    if placed.count() <= BROADCAST_ROWS:  # else the sets are dealt once more to meet their tiles
+        placed = F.broadcast(placed)
+    rows = sets.select("set_id", "hashes").join(placed, "set_id")
     rows = rows.withColumn("_s", F.pmod(F.xxhash64("set_id"), F.col("_own")).cast("int"))
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     tile = lambda low, s, t, side, step: F.struct(low.alias("low"), s.alias("s"), t.alias("t"), F.lit(side).alias("side"), F.lit(step).alias("step"))
@@ -277,17 +362,21 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "d
 
     Two sets are in one class if their ``root`` is the same; ``component_id`` is the least id of the class."""
     spark = docs.sparkSession
-    table = stored(set_table(docs, words, id_col, text_col), "sets")
+    table = stored(set_table(docs, words, id_col, text_col, percent), "sets")
     with Scratch(spark, "jaccard") as scratch:
-        reps = table.filter("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n_shingles").alias("n"))
-        total = table.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+        held = table.filter("n_shingles > 0")
+        reps = held.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("n_shingles").alias("n"), F.first("n_dealt").alias("n_dealt"))
+        copies = scratch.stored(held.select("row").distinct().join(reps.select("row"), "row", "left_anti"), "copies")
+        total = table.agg(F.coalesce(F.sum("n_dealt"), F.lit(0))).first()[0]
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total) // 1_500_000 + 1)
-        shared = shared_counts(docs, words, text_col, buckets)
-        may = scratch.stored(reps.join(shared, "set_id").filter(100 * F.col("shared") >= percent * F.col("n")).select("set_id", "row"), "may")
+        given = docs.select(row_key(id_col, text_col).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
+        once = given.join(F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies, "row", "left_anti")  # one row of each set
+        shared = shared_counts(once, words, "text", buckets, percent)
+        lacks = F.col("n_dealt") - F.coalesce("shared", F.lit(0))
+        may = scratch.stored(reps.join(shared, "set_id", "left").filter(100 * lacks <= (100 - percent) * F.col("n")).select("set_id", "row"), "may")
         chosen = may.select("row").distinct()
-        if may.count() <= BROADCAST_ROWS:
-            chosen = F.broadcast(chosen)
-        left = docs.select(row_key(id_col, text_col).alias("row"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen, "row", "left_semi")
+        few = may.count() <= BROADCAST_ROWS
+        left = given.join(F.broadcast(chosen) if few else chosen, "row", "left_semi")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -298,7 +387,10 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "d
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), rows], names=["set_id", "n", "hashes"])
 
         sets = left.select("text").mapInArrow(run, "set_id bigint, n bigint, hashes array<bigint>").filter("n > 0")
-        sets = scratch.stored(sets.join(may.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "may-sets")
+        wanted = may.select("set_id")
+        sets = sets.join(F.broadcast(wanted) if few else wanted, "set_id", "left_semi")
+        again = held.groupBy("row").count().filter("count > 1").join(chosen, "row", "left_semi")
+        sets = scratch.stored(sets if again.isEmpty() else sets.dropDuplicates(["set_id"]), "may-sets")  # only repeated rows give a set twice
         found = scratch.stored(components(links(sets, scratch, percent)), "found")
         first = reps.join(found, F.col("set_id") == F.col("node"), "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
         # only a class of several sets needs the least of their ids; those are few, and met in a counted broadcast where they can be
