@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.bpe import text_slices
 from graphloom.llm.hashing import Batch, mixed, per_text_sets
 from graphloom.llm.shared import Scratch, stored
 from graphloom.operators.graph import components, stars
@@ -60,6 +60,15 @@ def text_sets(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return flat, sizes, mixed(sums ^ mixed(sizes.astype(np.uint64))).view(np.int64)
 
 
+def text_parts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of rows of about ``SLICE_CHARS`` bytes each with their texts, so that the texts of a batch are never all held as a list."""
+    ends, lo = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+    while lo < len(ends):
+        hi = min(int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SLICE_CHARS)) + 1, len(ends))
+        yield lo, hi, column.slice(lo, hi - lo).to_pylist()
+        lo = hi
+
+
 def row_key(id_col: str, text_col: str) -> Column:
     """Tells rows of different id or text apart; never null."""
     return F.xxhash64(F.col(id_col), F.coalesce(text_col, F.lit("")))
@@ -77,9 +86,8 @@ def set_table(docs: DataFrame, n: int, id_col: str, text_col: str, percent: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(2).to_pylist()
-            for lo, hi in text_slices(texts, SLICE_CHARS):
-                flat, sizes, ids = text_sets(texts[lo:hi], n)
+            for lo, hi, texts in text_parts(b.column(2)):
+                flat, sizes, ids = text_sets(texts, n)
                 dealt = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[dealt_half(flat, percent)], minlength=len(sizes))
                 here = [b.column(i).slice(lo, hi - lo) for i in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*here, pa.array(ids), pa.array(sizes), pa.array(dealt)], names=["doc_id", "row", "set_id", "n_shingles", "n_dealt"])
@@ -115,16 +123,15 @@ def dealt_shingles(docs: DataFrame, n: int, text_col: str, buckets: int, percent
 
         total = 0
         for b in batches:
-            texts = b.column(0).to_pylist()
-            for lo, hi in text_slices(texts, SLICE_CHARS):
-                flat, sizes, ids = text_sets(texts[lo:hi], n)
+            for _, _, texts in text_parts(b.column(0)):
+                flat, sizes, ids = text_sets(texts, n)
                 fresh = np.array([s > 0 and i not in seen and not seen.add(i) for i, s in zip(ids.tolist(), sizes.tolist(), strict=True)], bool)
                 keep, owner = np.repeat(fresh, sizes) & dealt_half(flat, percent), np.repeat(np.arange(len(sizes)), sizes)
                 hashes.append(flat[keep])
                 owners.append(np.bincount(owner[keep], minlength=len(sizes))[fresh])
                 held.append(ids[fresh])
                 total += int(keep.sum())
-                if total > 2 * SLICE_SHINGLES:
+                if total > SLICE_SHINGLES:
                     yield flush()
                     total = 0
         if total:
@@ -380,9 +387,8 @@ def classes(docs: DataFrame, words: int = 5, percent: int = 75, id_col: str = "d
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = b.column(0).to_pylist()
-                for lo, hi in text_slices(texts, SLICE_CHARS):
-                    flat, sizes, ids = text_sets(texts[lo:hi], words)
+                for _, _, texts in text_parts(b.column(0)):
+                    flat, sizes, ids = text_sets(texts, words)
                     rows = pa.ListArray.from_arrays(np.append(0, np.cumsum(sizes)).astype(np.int32), pa.array(flat))
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sizes), rows], names=["set_id", "n", "hashes"])
 
