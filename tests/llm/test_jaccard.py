@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from graphloom.llm import jaccard
 from graphloom.llm.shared import Scratch
 from graphloom.operators.graph import components, stars
@@ -24,12 +25,12 @@ def table(spark, sets):
 
 def watched(monkeypatch):
     seen = []
-    monkeypatch.setattr(jaccard, "components", lambda edges: seen.append(edges) or components(edges))
+    monkeypatch.setattr(jaccard, "components", lambda edges: seen.append(edges.collect()) or components(edges))
     return seen
 
 
 def test_dealt_shingles_stay_small_in_many_buckets(spark):
-    shared = words("shared".encode()[0], 60)
+    shared = words(999, 60)
     texts = [" ".join(words(i, 200) + (shared[i % 7 :] if i % 3 == 0 else [])) for i in range(200)] + ["a b", "", "a  B", "one"]
     d = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3).cache()
     dealt = jaccard.dealt_shingles(d, 5, "text", 1000)
@@ -55,7 +56,7 @@ def test_chance_shingles_tie_no_cluster(spark, monkeypatch):
     with Scratch(spark, "chance") as scratch:
         got = {r["node"]: r["root"] for r in components(jaccard.links(table(spark, sets), scratch)).collect()}
         assert got == {i: i - i % 3 for i in range(90)}
-        assert {(r["a"] // 3, r["b"] // 3) for r in seen[0].collect()} == {(f, f) for f in range(30)}
+        assert {(r["a"] // 3, r["b"] // 3) for r in seen[0]} == {(f, f) for f in range(30)}
 
 
 def test_no_link_leaves_a_cluster(spark):
@@ -81,3 +82,16 @@ def test_no_link_leaves_a_cluster(spark):
                     linked += 1
                     assert root[i] == root[j]
         assert linked > 500
+
+
+def test_pipeline_stage_ties_no_texts_by_a_phrase(spark, monkeypatch):
+    rows, family = [], {}
+    for f in range(30):
+        base = words(1000 + f, 90) + words(5000 + f, 5) + words(2000 + f, 20) + words(5001 + f, 5)
+        rows += [(3 * f + k, " ".join([*base, f"end{f}-{k}"])) for k in range(3)]
+    for i, x in enumerate(jaccard.text_sets([t for _, t in rows], 5)[2].tolist()):
+        family[x] = i // 3
+    seen = watched(monkeypatch)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 90, 3))
+    assert {(family[r["a"]], family[r["b"]]) for r in seen[0]} == {(f, f) for f in range(30)}
